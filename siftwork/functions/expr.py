@@ -37,3 +37,21 @@ def nan_to_null(c) -> Column:
 def round_cols(df, cols, digits: int = 6):
     """Round the given double columns (HALF_UP, same as DuckDB)."""
     return df.select(*[F.round(F.col(c), digits).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+def round_np(c, digits: int) -> Column:
+    """numpy / pandas ``round``: half-to-even on the binary product x * 10^d, then / 10^d
+    (``F.round`` rounds the decimal representation HALF_UP instead: 0.0001245 -> 0.000125
+    there, 0.000124 here). Used for every figure the study itself rounds."""
+    p = float(10 ** digits)
+    return F.rint(col_(c).cast("double") * F.lit(p)) / F.lit(p)
+
+
+def round_out(c, digits: int = 6) -> Column:
+    """Half away from zero on the binary product x * 10^d (the SQL engines' ROUND on
+    doubles); used to normalise query outputs for comparison."""
+    p = float(10 ** digits)
+    v = col_(c).cast("double") * F.lit(p)
+    r = F.rint(v)
+    away = F.when(F.abs(v - r) == F.lit(0.5), v + F.lit(0.5) * F.signum(v)).otherwise(r)
+    return away / F.lit(p)

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwork.functions.expr import as_int, f_beta, nan_to_null, safe_div
+from siftwork.functions.expr import as_int, f_beta, nan_to_null, round_np, safe_div
 from siftwork.operators.prefix import running_totals
 
 END_POINT_EPS = 1e-6  # fixed value: offset below the minimum score for the end point
@@ -260,8 +260,8 @@ def pick_threshold_under_recall_floor(grid: DataFrame, group_cols=None, floor: f
     """Among grid rows with recall >= floor (compared on values rounded to ``digits``), the
     one with the best ``by`` (first threshold on ties); else the highest-recall row."""
     g = _g(group_cols)
-    r = F.round("recall", digits)
-    key = F.round(by, digits)
+    r = round_np("recall", digits)
+    key = round_np(by, digits)
     s = grid.groupBy(*g).agg(
         F.min(F.when(r >= floor, F.struct((-key).alias("k"), F.col("threshold").alias("t")))).alias("_ok"),
         F.min(F.struct((-r).alias("k"), F.col("threshold").alias("t"))).alias("_fb"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siftwork.functions.expr import round_np
 from siftwork.operators import ranking as R
 from siftwork.plans.common import finish
 from siftwork.sources import fixtures as fx
@@ -66,8 +67,8 @@ def q_best_grid_threshold(spark, sf):
     """Best-precision grid threshold with recall >= .95 on rounded values, fallback max
     recall (W-04), next to the highest threshold reaching .95 (W-05)."""
     g = R.threshold_grid(fx.scored(spark, sf), R.grid_thresholds(), ["fold"], score="prob")
-    g3 = g.select("fold", F.round("threshold", 3).alias("threshold"),
-                  *[F.round(c, 3).alias(c) for c in ("recall", "specificity", "accuracy", "precision")])
+    g3 = g.select("fold", round_np("threshold", 3).alias("threshold"),
+                  *[round_np(c, 3).alias(c) for c in ("recall", "specificity", "accuracy", "precision")])
     a = R.pick_threshold_under_recall_floor(g3, ["fold"], 0.95, "precision") \
         .select("fold", F.lit("best_precision").alias("rule"), "threshold", "recall", "precision")
     b = R.highest_threshold_reaching(g, ["fold"], 0.95) \
@@ -321,11 +322,12 @@ FROM m"""
 
 SQL_BEST_GRID = GRID_BODY + """,
 g AS (
-  SELECT fold, threshold AS t_raw, ROUND(threshold, 3) AS threshold,
+  SELECT fold, threshold AS t_raw, round_even(threshold * 1e3, 0) / 1e3 AS threshold,
     COALESCE(CAST(tp AS DOUBLE) / NULLIF(tp + fn, 0), 0.0) AS recall,
     COALESCE(CAST(tp AS DOUBLE) / NULLIF(tp + fp, 0), 0.0) AS precision
   FROM m),
-g3 AS (SELECT fold, threshold, ROUND(recall, 3) AS recall, ROUND(precision, 3) AS precision FROM g),
+g3 AS (SELECT fold, threshold, round_even(recall * 1e3, 0) / 1e3 AS recall,
+             round_even(precision * 1e3, 0) / 1e3 AS precision FROM g),
 okp AS (
   SELECT fold, threshold, recall, precision, 'precision' AS how,
     ROW_NUMBER() OVER (PARTITION BY fold ORDER BY precision DESC, threshold) AS rn
