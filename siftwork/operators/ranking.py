@@ -33,6 +33,16 @@ def _g(group_cols) -> list[str]:
     return list(group_cols or [])
 
 
+def _join_totals(rows: DataFrame, tot: DataFrame, g: list[str]) -> DataFrame:
+    """Attach per-group totals (one row per group; a single row when ungrouped, joined on
+    a constant key rather than as a cartesian product)."""
+    if not g:
+        one = F.lit(1).alias("_sw_one")
+        return rows.select("*", one).join(tot.select("*", one), on="_sw_one").drop("_sw_one")
+    cond = [rows[c].eqNullSafe(tot[c]) for c in g]
+    return rows.join(tot, on=cond, how="inner").drop(*[tot[c] for c in g])
+
+
 def score_counts(scored: DataFrame, group_cols=None, label: str = "label",
                  score: str = "score") -> DataFrame:
     """(group..., score, pos, neg): one row per distinct score (map-side combined)."""
@@ -51,9 +61,8 @@ def pr_curve(scored: DataFrame, group_cols=None, label: str = "label", score: st
     cum = running_totals(counts, g, [F.col("score").desc()], ["pos", "neg"], num_blocks=num_blocks)
     tot = counts.groupBy(*g).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"),
                                  F.min("score").alias("min_score"), F.max("score").alias("max_score"))
-    cond = [cum[c].eqNullSafe(tot[c]) for c in g]
-    j = cum.join(tot, on=cond, how="inner") if g else cum.crossJoin(tot)
-    out = j.select(*[cum[c] for c in g], cum["score"].alias("threshold"), "pos", "neg",
+    j = _join_totals(cum, tot, g)
+    out = j.select(*g, F.col("score").alias("threshold"), "pos", "neg",
                    F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"), "P", "N",
                    "min_score", "max_score")
     return out.withColumn("precision", safe_div("tp", F.col("tp") + F.col("fp"))) \
@@ -294,10 +303,9 @@ def wss_at_recall(scored: DataFrame, group_cols=None, target_recall: float = 0.9
     cum = running_totals(rows, g, [F.col("_s").desc(), F.col("_id").asc()], ["_y", "_n"],
                          num_blocks=num_blocks)
     tot = rows.groupBy(*g).agg(F.sum("_y").alias("P"), F.count(F.lit(1)).alias("N"))
-    cond = [cum[c].eqNullSafe(tot[c]) for c in g]
-    j = cum.join(tot, on=cond, how="inner") if g else cum.crossJoin(tot)
+    j = _join_totals(cum, tot, g)
     need = F.ceil(F.lit(float(target_recall)) * F.col("P").cast("double"))
-    s = j.groupBy(*[cum[c] for c in g]).agg(
+    s = j.groupBy(*g).agg(
         F.first("P").alias("n_pos"), F.first("N").alias("n"),
         F.min(F.when(F.col("cum__y") >= need, F.col("cum__n"))).alias("k"))
     wss = F.when((F.col("n_pos") == 0) | F.col("k").isNull(), F.lit(0.0)).otherwise(

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from siftwork.functions.vector import l2_norm, l2_normalize, scale
 
 NN_SCHEMA = "query_id long, neighbor_id long, distance double"
+SMOTE_BROADCAST_ROWS = 100_000  # minority rows broadcast to the synthetic-index range below this
 
 
 def normalize(df: DataFrame, vec: str = "embedding", out: str | None = None) -> DataFrame:
@@ -127,25 +128,28 @@ def smote(df: DataFrame, k: int = 3, target: str = "target", id_col: str = "id",
           seed: int = 42, tile_rows: int = 2048) -> DataFrame:
     """SMOTE to parity: each synthetic row = x + u (x_nb - x) with x a minority row, x_nb
     one of its k nearest minority neighbours and u in [0, 1), both chosen by hashes of
-    (id, j, seed). Minority rows share the synthetic quota evenly (the first
-    n_synth % n_min rows in hash order get one more). Adds ``synthetic``."""
+    (id, j, seed). Synthetic row j (0-based) grows from the minority row of hash rank
+    j % n_min, so rows share the quota evenly. Adds ``synthetic``."""
     from siftwork.operators.split import class_rank
     counts = {r[0]: r[1] for r in df.groupBy(target).count().collect()}  # two scalars
     if len(counts) < 2:
         return df.withColumn("synthetic", F.lit(False))
     minority = min(counts, key=lambda v: (counts[v], str(v)))
     n_min = counts[minority]
-    n_synth = max(counts.values()) - n_min
+    n_synth = max(counts.values()) - n_min  # synthetic ids are -1 .. -n_synth
     base = df.withColumn("synthetic", F.lit(False))
     if n_synth == 0:
         return base
     mino = df.where(F.col(target) == F.lit(minority))
     nn = nearest_neighbours(mino, mino, k, id_col, id_col, vec, vec, True, tile_rows)
-    ranked = class_rank(mino.select(id_col, vec, target), target, id_col, seed, out="_r")
-    per, extra = divmod(n_synth, n_min)
-    cnt = F.lit(per) + F.when(F.col("_r") < extra, 1).otherwise(0)
-    gen = ranked.where(cnt > 0).select(id_col, vec, target,
-                                       F.explode(F.sequence(F.lit(0), cnt - 1)).alias("_j"))
+    ranked = class_rank(mino.select(id_col, vec, target), target, id_col, seed, out="_r") \
+        .select(id_col, vec, target, "_r")
+    # synthetic row j comes from minority row j % n_min: the indices are a distributed
+    # range, so a tiny minority facing a huge majority never expands inside one task
+    gen = spark_range(df, n_synth).select(F.col("id").alias("_j"), (F.col("id") % n_min).alias("_r"))
+    # the minority side is broadcast only below a row bound checked from the counts above
+    side = F.broadcast(ranked) if n_min <= SMOTE_BROADCAST_ROWS else ranked
+    gen = gen.join(side, "_r", "inner")
     h = F.xxhash64(F.col(id_col), F.col("_j"), F.lit(seed))
     n_nb = nn.groupBy("query_id").agg(F.max("rank").alias("_nk"))
     gen = gen.join(n_nb, gen[id_col] == n_nb["query_id"], "inner").drop("query_id")
@@ -156,13 +160,19 @@ def smote(df: DataFrame, k: int = 3, target: str = "target", id_col: str = "id",
     g2 = gen.join(nn, (gen[id_col] == nn["query_id"]) & (gen["_pick"] == nn["rank"]), "inner") \
             .join(nbv, F.col("neighbor_id") == F.col("_nid"), "inner")
     newv = F.zip_with(F.col(vec), F.col("_nv"), lambda a, b: a.cast("double") + F.col("_u") * (b - a))
-    synth = g2.select((-(F.col(id_col) * 100000 + F.col("_j")) - 1).alias(id_col), newv.alias(vec),
+    synth = g2.select((-F.col("_j") - 1).alias(id_col), newv.alias(vec),
                       F.col(target), F.lit(True).alias("synthetic"))
     keep = [c for c in base.columns if c in (id_col, vec, target, "synthetic")]
     return base.select(*keep).withColumn(vec, F.transform(vec, lambda x: x.cast("double"))) \
         .unionByName(synth.select(*keep))
 
 
+def spark_range(df: DataFrame, n: int) -> DataFrame:
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return spark.range(0, n, 1, max(1, min(parts, n)))
+
+
 def scaled_vectors(df: DataFrame, vec: str = "embedding", factor_col: str = "id") -> DataFrame:
     """Vectors multiplied by 1 + id % 7 (to give unit-length inputs real norms)."""
     return df.withColumn(vec, scale(vec, F.lit(1) + F.col(factor_col) % 7))

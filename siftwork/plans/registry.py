@@ -11,6 +11,8 @@ _MODULES = [
     "siftwork.plans.answer_queries",
     "siftwork.plans.llm_queries",
     "siftwork.plans.vector_queries",
+    "siftwork.plans.report_queries",
+    "siftwork.plans.io_queries",
     "siftwork.plans.ml_queries",
     "siftwork.plans.stream_queries",
 ]
