@@ -202,3 +202,43 @@ def embed_with_store(df: DataFrame, store_path: str, model_name: str, encoder, t
         enc.write.mode("append").partitionBy("model").parquet(store_path)
     store = spark.read.parquet(store_path).where(F.col("model") == model_name)
     return keyed.join(store.select("text_sha1", "embedding", "model"), "text_sha1", "inner").drop("text_sha1")
+
+
+def svm_platt(inner_folds: int = 3, max_iter: int = 100):
+    """Linear SVM with sigmoid calibration: margins of ``inner_folds`` inner
+    cross-validation fits train a one-feature logistic regression, which then maps the
+    margins of the SVM refitted on all training rows to probabilities."""
+    def fit_score_calibrated(train: DataFrame, test: DataFrame, label: str = "label", id_col: str = "id"):
+        inner = cross_val_scored(train, linear_svm(max_iter), inner_folds, label, id_col, vec="features")
+        _, pred = fit_score(train, test, linear_svm(max_iter), label)
+        return platt_scale(inner, pred.select(*[c for c in pred.columns
+                                                if c not in ("rawPrediction", "probability", "prediction")]),
+                           label)
+    return fit_score_calibrated
+
+
+# Encoder choice by model name (X-04): name -> factory returning an encoder function
+ENCODERS = {"hashing-64": lambda: hashing_encoder(64), "hashing-256": lambda: hashing_encoder(256)}
+
+
+def get_encoder(name: str):
+    if name not in ENCODERS:
+        raise KeyError(f"unknown encoder {name!r}; known: {sorted(ENCODERS)}")
+    return ENCODERS[name]()
+
+
+def benchmark_classifiers(vectors: DataFrame, classifiers: dict, k: int = 5, label: str = "label",
+                          id_col: str = "id", model_col: str = "embedding_model", seed: int = 42) -> DataFrame:
+    """Every (embedding model, classifier) pair cross-validated; the scored rows of all
+    pairs are unioned so the metrics of the whole grid are one grouped query."""
+    models = [r[0] for r in vectors.select(model_col).distinct().collect()]  # a handful of names
+    parts = []
+    for m in sorted(models):
+        sub = vectors.where(F.col(model_col) == m)
+        for name, make in classifiers.items():
+            parts.append(cross_val_scored(sub, make, k, label, id_col, seed,
+                                          tags={model_col: m, "classifier": name}))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

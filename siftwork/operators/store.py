@@ -41,7 +41,6 @@ def config_hash(name: str, params: dict, **cv) -> str:
 def save_results(folds: DataFrame, path: str, data_key: str, config_key: str) -> None:
     """Append/replace the fold rows of one evaluation (keyed by data and config hash)."""
     spark = folds.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     out = folds.withColumn("data_hash", F.lit(data_key)).withColumn("config_hash", F.lit(config_key))
     try:
         old = spark.read.parquet(path)
@@ -52,7 +51,8 @@ def save_results(folds: DataFrame, path: str, data_key: str, config_key: str) ->
         out = _materialise(out)
     except Exception:  # noqa: BLE001 - no store yet
         pass
-    out.write.mode("overwrite").partitionBy(*PARTITIONS).parquet(path)
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+        .partitionBy(*PARTITIONS).parquet(path)
 
 
 def _materialise(df: DataFrame) -> DataFrame:
@@ -86,7 +86,8 @@ def list_results(spark: SparkSession, path: str) -> DataFrame:
 def clear_results(spark: SparkSession, path: str) -> None:
     """Empty the store (overwrite with an empty table of the same schema)."""
     schema = spark.read.parquet(path).schema
-    spark.createDataFrame([], schema).write.mode("overwrite").partitionBy(*PARTITIONS).parquet(path)
+    spark.createDataFrame([], schema).write.mode("overwrite").option("partitionOverwriteMode", "static") \
+        .partitionBy(*PARTITIONS).parquet(path)
 
 
 # ---------------------------------------------------------------- vector collection
