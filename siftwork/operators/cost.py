@@ -86,8 +86,7 @@ def cost_savings_sweep(answers_cost: DataFrame, question_stats: DataFrame, thres
         F.min(F.when(~F.col("_w"), F.col("unsure_pct"))).alias("_mr"), F.sum(cost).alias("_ps"))
     p_agg = per_paper.agg(F.avg("_ps").alias("_all"),
                           *[F.count_if(F.col("_mr") <= F.lit(t * 100)).alias(f"_p{i}") for i, t in enumerate(ts)])
-    one = F.lit(1).alias("_one")
-    both = q_agg.select("*", one).join(p_agg.select("*", one), on="_one")  # 1 row = 1 row
+    both = q_agg.select("*", *[p_agg.select(c).scalar().alias(c) for c in p_agg.columns])  # 1 row each
     rows = F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(f"_c{i}").alias("_c"),
                               F.col(f"_r{i}").alias("_r"), F.col(f"_p{i}").alias("_p"))
                      for i, t in enumerate(ts)])

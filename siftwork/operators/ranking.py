@@ -34,11 +34,10 @@ def _g(group_cols) -> list[str]:
 
 
 def _join_totals(rows: DataFrame, tot: DataFrame, g: list[str]) -> DataFrame:
-    """Attach per-group totals (one row per group; a single row when ungrouped, joined on
-    a constant key rather than as a cartesian product)."""
-    if not g:
-        one = F.lit(1).alias("_sw_one")
-        return rows.select("*", one).join(tot.select("*", one), on="_sw_one").drop("_sw_one")
+    """Attach per-group totals (one row per group; when ungrouped the single row is
+    attached through scalar subqueries rather than a cartesian join)."""
+    if not g:  # one row of totals: scalar subqueries, no join at all
+        return rows.select("*", *[tot.select(c).scalar().alias(c) for c in tot.columns])
     cond = [rows[c].eqNullSafe(tot[c]) for c in g]
     return rows.join(tot, on=cond, how="inner").drop(*[tot[c] for c in g])
 
