@@ -72,11 +72,16 @@ def strip_markup(c) -> Column:
 
 def html_to_text(c, exact_entities: bool = True) -> Column:
     """HTML to visible text: markup removed with no separator, entities decoded twice
-    (parser + unescape), whitespace collapsed. Non-string input is cast to string."""
-    stripped = strip_markup(col_(c).cast("string"))
-    native = _decode_native(_decode_native(stripped))
+    (parser + unescape), whitespace collapsed. Non-string input is cast to string.
+
+    The markup passes run only on texts containing '<' and the entity passes only on
+    texts containing '&', so plain text costs two scans plus the whitespace collapse."""
+    x = col_(c).cast("string")
+    stripped = F.when(F.instr(x, "<") > 0, strip_markup(x)).otherwise(x)
+    has_amp = F.instr(stripped, "&") > 0
+    native = F.when(has_amp, _decode_native(_decode_native(stripped))).otherwise(stripped)
     if exact_entities:
-        needs = native.rlike(_ENTITY_RE)
+        needs = has_amp & native.rlike(_ENTITY_RE)
         native = F.coalesce(_unescape_twice(F.when(needs, stripped)), native)
     return collapse_whitespace(native)
 

@@ -50,8 +50,9 @@ def clean_papers(df: DataFrame, id_col: str = "id", null_abstract: str = "empty"
     require_columns(df)
     fill = {"empty": "", "literal": "nan"}[null_abstract]
     x = df.where(F.length("title") > 0)
-    x = x.withColumn("title", html_to_text(strip_unicode("title"))) \
-         .withColumn("abstract", html_to_text(strip_unicode(F.coalesce(F.col("abstract"), F.lit(fill)))))
+    # html_to_text ends with a whitespace collapse that also strips both ends
+    x = x.withColumn("title", html_to_text("title")) \
+         .withColumn("abstract", html_to_text(F.coalesce(F.col("abstract"), F.lit(fill))))
     if dedup:
         key = normalise_key(F.concat(F.col("title"), F.lit(" || "), F.col("abstract")))
         x = dedup_keep_first(x, key, id_col)
