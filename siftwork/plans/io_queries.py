@@ -14,7 +14,8 @@ from siftwork.plans.llm_queries import SQL_RULE_ANSWERS, q_rule_answers
 from siftwork.plans.ranking_queries import SQL_FIXED_RECALL_FOLDS, TARGET
 from siftwork.session import ensure_checkpoint_dir
 from siftwork.sources import fixtures as fx
-from siftwork.sources.io import read_answer_dir, write_answer_dir
+from siftwork.plans.ranking_queries import SQL_RECALL_SCAN
+from siftwork.sources.io import first_n, json_safe, read_answer_dir, write_answer_dir
 
 
 def _scratch(spark, name):
@@ -44,12 +45,31 @@ def q_result_store_roundtrip(spark, sf):
     return finish(hit.select(*cols))
 
 
+def q_json_safe_scan(spark, sf):
+    """Threshold scan made JSON-safe: NaN -> NULL, +-inf -> 'inf' strings (S-10)."""
+    c = R.pr_curve(fx.scored(spark, sf), ["fold"])
+    return json_safe(finish(R.recall_threshold_scan(c, ["fold"], TARGET)))
+
+
+def q_first_papers(spark, sf):
+    """The first 25 papers by id (P-11 / O-03: the first-n restriction is the feature)."""
+    return first_n(fx.papers(spark, sf).select("id", "label"), 25, ["id"])
+
+
 QUERIES = {
     "answers_json_roundtrip": q_answers_json_roundtrip,
     "result_store_roundtrip": q_result_store_roundtrip,
+    "json_safe_scan": q_json_safe_scan,
+    "first_papers": q_first_papers,
 }
 
 ORACLE = {
+    "json_safe_scan": f"""WITH s AS ({SQL_RECALL_SCAN})
+SELECT fold, CAST(target_recall AS VARCHAR) AS target_recall,
+  CASE WHEN isinf(threshold_literal) THEN 'inf' ELSE CAST(threshold_literal AS VARCHAR) END AS threshold_literal,
+  CASE WHEN isinf(threshold_corrected) THEN 'inf' ELSE CAST(threshold_corrected AS VARCHAR) END AS threshold_corrected
+FROM s""",
+    "first_papers": """SELECT doc_id AS id, quality = 1 AS label FROM labels ORDER BY doc_id LIMIT 25""",
     "answers_json_roundtrip": f"""WITH r AS ({SQL_RULE_ANSWERS})
 SELECT paper_id, question_id, response, model, input_tokens, output_tokens FROM r""",
     "result_store_roundtrip": f"""WITH f AS ({SQL_FIXED_RECALL_FOLDS})

@@ -45,7 +45,22 @@ def q_ml_forest_holdout(spark, sf):
                              "workload_reduction", "tp", "fp", "fn", "tn"))
 
 
+def q_ml_embedding_benchmark(spark, sf):
+    """Embedding models x classifiers grid: raw and L2-normalised vectors, logistic
+    regression, 5 folds each; all scored rows unioned and evaluated in one grouped
+    query, then averaged per (model, classifier) (J-06, L-08, A-17)."""
+    from siftwork.operators import vectors as V
+    ensure_checkpoint_dir(spark)
+    v = fx.vectors(spark, sf).select("id", "embedding", F.col("target").alias("label"))
+    both = V.scaled_vectors(v).withColumn("embedding_model", F.lit("scaled")).unionByName(
+        V.normalize(V.scaled_vectors(v)).withColumn("embedding_model", F.lit("normalised")))
+    scored = M.benchmark_classifiers(both, {"logreg": M.logreg(max_iter=100)}, 5)
+    folds = R.evaluate_default(scored, ["embedding_model", "classifier", "fold"])
+    return finish(R.summarise_folds(folds, ["embedding_model", "classifier"]))
+
+
 QUERIES = {
+    "ml_embedding_benchmark": q_ml_embedding_benchmark,
     "ml_logreg_fixed_recall": q_ml_logreg_fixed_recall,
     "ml_forest_holdout": q_ml_forest_holdout,
 }
