@@ -95,6 +95,6 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     decision positive when the event is a purchase."""
     ev = read_table(spark, sf_dir, "events")
     return ev.select(F.col("event_id").alias("id"),
-                     F.to_date(F.col("ts").cast("timestamp")).alias("run"),
+                     F.to_date(F.col("ts")).alias("run"),  # wall-clock date, any session zone
                      F.concat(F.lit("m"), (F.col("user_id") % 3).cast("string")).alias("model"),
                      (F.col("event_type") == "purchase").alias("positive"))

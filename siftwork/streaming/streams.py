@@ -34,21 +34,33 @@ def daily_counts_stream(spark: SparkSession, source_glob: str, schema, out_dir:
     out_dir = out_dir or _scratch(spark, "daily-counts-out")
     ckpt_dir = ckpt_dir or _scratch(spark, "daily-counts-ckpt")
     src = spark.readStream.schema(schema).parquet(source_glob)
-    ev = src.select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    agg = (ev.withWatermark("ts", delay).groupBy(F.window("ts", window).alias("w"), "event_type")
+    # event time as an instant whose UTC reading is the stored wall clock (unix_timestamp
+    # reads TIMESTAMP_NTZ as UTC), so day windows do not move with the session time zone
+    ev = src.select(F.timestamp_seconds(F.unix_timestamp("ts")).alias("et"), "event_type")
+    agg = (ev.withWatermark("et", delay).groupBy(F.window("et", window).alias("w"), "event_type")
            .agg(F.count(F.lit(1)).alias("n")))
 
     def sink(batch: DataFrame, batch_id: int):
-        batch.select(F.col("w.start").alias("window_start"), "event_type", "n",
+        day = F.date_from_unix_date(F.floor(F.unix_seconds(F.col("w.start")) / 86400).cast("int"))
+        batch.select(day.alias("day"), "event_type", "n",
                      F.lit(batch_id).alias("batch_id")).write.mode("append").parquet(out_dir)
 
     q = (agg.writeStream.outputMode("update").foreachBatch(sink)
          .option("checkpointLocation", ckpt_dir).trigger(availableNow=True).start())
-    q.awaitTermination()
+    _await(q)
     res = spark.read.parquet(out_dir)
-    w = Window.partitionBy("window_start", "event_type").orderBy(F.col("batch_id").desc())
+    w = Window.partitionBy("day", "event_type").orderBy(F.col("batch_id").desc())
     latest = res.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
-    return latest.select(F.to_date("window_start").alias("day"), "event_type", F.col("n").cast("long").alias("n"))
+    return latest.select("day", "event_type", F.col("n").cast("long").alias("n"))
+
+
+def _await(q, timeout_s: float = 3600.0) -> None:
+    """Wait for an availableNow stream; stop it and fail instead of blocking forever."""
+    if not q.awaitTermination(timeout_s):
+        q.stop()
+        raise TimeoutError(f"stream {q.name or q.id} did not drain within {timeout_s:.0f}s")
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
 
 
 def answer_ingest_stream(spark: SparkSession, source_dir: str, schema, target_dir: str,
@@ -70,7 +82,7 @@ def answer_ingest_stream(spark: SparkSession, source_dir: str, schema, target_di
 
     q = (src.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt_dir)
          .trigger(availableNow=True).start())
-    q.awaitTermination()
+    _await(q)
     try:
         return spark.read.parquet(target_dir).count()
     except Exception:  # noqa: BLE001
