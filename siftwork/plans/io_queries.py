@@ -15,7 +15,9 @@ from siftwork.plans.ranking_queries import SQL_FIXED_RECALL_FOLDS, TARGET
 from siftwork.session import ensure_checkpoint_dir
 from siftwork.sources import fixtures as fx
 from siftwork.plans.ranking_queries import SQL_RECALL_SCAN
-from siftwork.sources.io import first_n, json_safe, read_answer_dir, write_answer_dir
+from siftwork.plans import sqlsnips as SQ
+from siftwork.sources.io import first_n, json_safe, read_answer_dir, read_papers_csv, write_answer_dir, write_csv
+from siftwork.sources.tables import read_table
 
 
 def _scratch(spark, name):
@@ -56,7 +58,30 @@ def q_first_papers(spark, sf):
     return first_n(fx.papers(spark, sf).select("id", "label"), 25, ["id"])
 
 
+def q_papers_csv_roundtrip(spark, sf):
+    """Papers exported as CSV (quoted, multi-line abstracts) and read back with the
+    required-column check and the label column renamed (S-12, S-01, P-01). Empty fields
+    read back as NULL, as a pandas CSV reader does."""
+    path = _scratch(spark, "papers-csv")
+    p = fx.papers(spark, sf).select("id", "title", "abstract", F.col("label").cast("string").alias("MK_IN"))
+    write_csv(p, path)
+    back = read_papers_csv(spark, path, label_col="MK_IN")
+    return back.select("id", "title", "abstract", (F.col("label") == "true").alias("label"))
+
+
+def q_document_embeddings(spark, sf):
+    """Every document embedded through the content-keyed store with the offline hashing
+    encoder (S-08, L-18, X-04); a text already stored is not encoded again."""
+    from siftwork.operators import ml as M
+    path = _scratch(spark, "embeddings")
+    d = read_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    e = M.embed_with_store(d, path, "hashing-64", M.get_encoder("hashing-64"))
+    return e.select("id", "model", F.size("embedding").alias("dim"))
+
+
 QUERIES = {
+    "papers_csv_roundtrip": q_papers_csv_roundtrip,
+    "document_embeddings": q_document_embeddings,
     "answers_json_roundtrip": q_answers_json_roundtrip,
     "result_store_roundtrip": q_result_store_roundtrip,
     "json_safe_scan": q_json_safe_scan,
@@ -64,6 +89,8 @@ QUERIES = {
 }
 
 ORACLE = {
+    "papers_csv_roundtrip": f"WITH {SQ.PAPERS}\n"
+                            "SELECT id, NULLIF(title, '') AS title, NULLIF(abstract, '') AS abstract, label FROM papers",
     "json_safe_scan": f"""WITH s AS ({SQL_RECALL_SCAN})
 SELECT fold, CAST(target_recall AS VARCHAR) AS target_recall,
   CASE WHEN isinf(threshold_literal) THEN 'inf' ELSE CAST(threshold_literal AS VARCHAR) END AS threshold_literal,
