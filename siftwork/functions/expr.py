@@ -34,11 +34,6 @@ def nan_to_null(c) -> Column:
     return F.nanvl(col_(c).cast("double"), F.lit(None).cast("double"))
 
 
-def round_cols(df, cols, digits: int = 6):
-    """Round the given double columns (HALF_UP, same as DuckDB)."""
-    return df.select(*[F.round(F.col(c), digits).alias(c) if c in cols else F.col(c) for c in df.columns])
-
-
 def round_np(c, digits: int) -> Column:
     """numpy / pandas ``round``: half-to-even on the binary product x * 10^d, then / 10^d
     (``F.round`` rounds the decimal representation HALF_UP instead: 0.0001245 -> 0.000125

@@ -97,5 +97,15 @@ def add_to_collection(vectors: DataFrame, path: str, label: str = "label", mode:
     vectors.write.mode(mode).partitionBy(label).parquet(path)
 
 
-def collection_info(spark: SparkSession, path: str, label: str = "label") -> DataFrame:
-    return spark.read.parquet(path).groupBy(label).agg(F.count(F.lit(1)).alias("n_items"))
+def read_collection(spark: SparkSession, path: str, label: str = "label", label_type: str = "boolean",
+                    value=None) -> DataFrame:
+    """Read the collection; ``value`` keeps only that label's partition (pruned at
+    listing time). Partition discovery yields strings for booleans, so the label is
+    cast back to ``label_type``."""
+    df = spark.read.parquet(path)
+    df = df.withColumn(label, F.col(label).cast(label_type))
+    return df if value is None else df.where(F.col(label) == F.lit(value))
+
+
+def collection_info(spark: SparkSession, path: str, label: str = "label", label_type: str = "boolean") -> DataFrame:
+    return read_collection(spark, path, label, label_type).groupBy(label).agg(F.count(F.lit(1)).alias("n_items"))
