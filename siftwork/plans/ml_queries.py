@@ -31,8 +31,9 @@ def q_ml_forest_holdout(spark, sf):
     ensure_checkpoint_dir(spark)
     wide = _encoded(spark, sf).withColumnRenamed("paper_id", "id")
     x = wide.select("id", "label", F.array(*[F.col(q) for q in QIDS]).alias("embedding"))
-    sp = holdout_split(x, test=0.2, val=0.2)
-    sp = M.with_features(sp)
+    from siftwork.session import cut_lineage
+    # the split feeds the fit, the validation grid and the test scoring: materialise once
+    sp = cut_lineage(M.with_features(holdout_split(x, test=0.2, val=0.2)))
     model, val = M.fit_score(sp.where("split = 'train'"), sp.where("split = 'val'"),
                              M.random_forest(num_trees=500))
     grid = R.threshold_grid(val.withColumn("g", F.lit("val")), R.grid_thresholds(), ["g"])
