@@ -40,46 +40,52 @@ def _tiles(n: int, tile_rows: int) -> int:
     return max(1, int(math.ceil(n / float(tile_rows))))
 
 
-def _block_topk(k: int, exclude_self: bool):
+def _block_topk(k: int, exclude_self: bool, chunk_rows: int = 512):
+    """Per (query tile, corpus tile): exact top-k by (distance, neighbour id). Distances
+    are computed in chunks of ``chunk_rows`` queries, so memory is chunk x tile."""
     def fn(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"query_id": pd.Series([], dtype="int64"),
+                              "neighbor_id": pd.Series([], dtype="int64"),
+                              "distance": pd.Series([], dtype="float64")})
         if len(q) == 0 or len(c) == 0:
-            return pd.DataFrame({"query_id": pd.Series([], dtype="int64"),
-                                 "neighbor_id": pd.Series([], dtype="int64"),
-                                 "distance": pd.Series([], dtype="float64")})
+            return empty
         qv = np.vstack(q["qv"].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
         cv = np.vstack(c["cv"].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
-        qn = np.sqrt((qv * qv).sum(axis=1))
-        cn = np.sqrt((cv * cv).sum(axis=1))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            dist = 1.0 - (qv @ cv.T) / np.outer(qn, cn)
         qid = q["qid"].to_numpy(dtype=np.int64)
         cid = c["cid"].to_numpy(dtype=np.int64)
-        rank_key = np.where(np.isnan(dist), np.inf, dist)
-        if exclude_self:
-            rank_key[qid[:, None] == cid[None, :]] = np.inf
-        out_q, out_c, out_d = [], [], []
+        qn = np.sqrt((qv * qv).sum(axis=1))
+        cn = np.sqrt((cv * cv).sum(axis=1))
         kk = min(k, len(cid))
-        for i in range(len(qid)):
-            row = rank_key[i]
-            if kk < len(row):
-                cut = np.partition(row, kk - 1)[kk - 1]
-                cand = np.nonzero(row <= cut)[0]  # keep every tie at the cut
+        outs = []
+        for s0 in range(0, len(qid), chunk_rows):
+            ids = qid[s0:s0 + chunk_rows]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                dist = 1.0 - (qv[s0:s0 + chunk_rows] @ cv.T) / np.outer(qn[s0:s0 + chunk_rows], cn)
+            key = np.where(np.isnan(dist), np.inf, dist)
+            if exclude_self:
+                key[ids[:, None] == cid[None, :]] = np.inf
+            if kk < key.shape[1]:
+                cut = np.partition(key, kk - 1, axis=1)[:, kk - 1]
+                r, j = np.nonzero(key <= cut[:, None])   # every tie at the cut is kept
             else:
-                cand = np.arange(len(row))
-            cand = cand[np.isfinite(row[cand])]
-            order = np.lexsort((cid[cand], row[cand]))[:kk]
-            sel = cand[order]
-            out_q.append(np.full(len(sel), qid[i], dtype=np.int64))
-            out_c.append(cid[sel])
-            out_d.append(dist[i, sel])
-        return pd.DataFrame({"query_id": np.concatenate(out_q), "neighbor_id": np.concatenate(out_c),
-                             "distance": np.concatenate(out_d)})
+                r, j = np.nonzero(np.ones(key.shape, dtype=bool))
+            d = key[r, j]
+            fin = np.isfinite(d)
+            r, j, d = r[fin], j[fin], d[fin]
+            order = np.lexsort((cid[j], d, r))            # by row, then distance, then id
+            r, j = r[order], j[order]
+            starts = np.r_[0, np.flatnonzero(np.diff(r)) + 1]
+            rank = np.arange(len(r)) - np.repeat(starts, np.diff(np.r_[starts, len(r)]))
+            sel = rank < kk
+            outs.append(pd.DataFrame({"query_id": ids[r[sel]], "neighbor_id": cid[j[sel]],
+                                      "distance": dist[r[sel], j[sel]]}))
+        return pd.concat(outs, ignore_index=True) if outs else empty
     return fn
 
 
 def nearest_neighbours(queries: DataFrame, corpus: DataFrame, k: int, q_id: str = "id",
                        c_id: str = "id", q_vec: str = "embedding", c_vec: str = "embedding",
-                       exclude_self: bool = True, tile_rows: int = 2048) -> DataFrame:
+                       exclude_self: bool = True, tile_rows: int = 8192) -> DataFrame:
     """Exact cosine-distance top-k: (query_id, rank, neighbor_id, distance), ties by
     neighbour id. ``exclude_self`` drops corpus rows with the query's own id."""
     nq = _tiles(queries.count(), tile_rows)
@@ -125,7 +131,7 @@ def lookup(df: DataFrame, id_value, id_col: str = "id") -> DataFrame:
 
 
 def smote(df: DataFrame, k: int = 3, target: str = "target", id_col: str = "id", vec: str = "embedding",
-          seed: int = 42, tile_rows: int = 2048) -> DataFrame:
+          seed: int = 42, tile_rows: int = 8192) -> DataFrame:
     """SMOTE to parity: each synthetic row = x + u (x_nb - x) with x a minority row, x_nb
     one of its k nearest minority neighbours and u in [0, 1), both chosen by hashes of
     (id, j, seed). Synthetic row j (0-based) grows from the minority row of hash rank

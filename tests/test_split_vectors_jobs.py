@@ -116,3 +116,19 @@ def test_entry_smoke(spark):
     rows = df.collect()
     assert len(rows) == 5 and "roc_auc" in df.columns
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_block_kernel_chunks_and_ties():
+    import pandas as pd
+    from siftwork.operators.vectors import _block_topk
+    rnd = np.random.default_rng(7)
+    q = rnd.normal(size=(11, 3)).round(1)
+    c = np.vstack([q, q[:4]])                      # duplicates -> exact distance ties
+    qdf = pd.DataFrame({"qid": np.arange(11), "qv": list(q)})
+    cdf = pd.DataFrame({"cid": np.arange(15), "cv": list(c)})
+    got = _block_topk(3, True, chunk_rows=4)(qdf, cdf)
+    nq, nc = np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1)
+    d = 1 - (q @ c.T) / np.outer(nq, nc)
+    for i in range(11):
+        exp = [j for _, j in sorted((d[i, j], j) for j in range(15) if j != i)[:3]]
+        assert list(got[got.query_id == i].sort_values(["distance", "neighbor_id"]).neighbor_id) == exp
