@@ -64,12 +64,13 @@ def _await(q, timeout_s: float = 3600.0) -> None:
 
 
 def answer_ingest_stream(spark: SparkSession, source_dir: str, schema, target_dir: str,
-                         ckpt_dir: str, keys=("paper_id", "question_id")) -> int:
+                         ckpt_dir: str, keys=("paper_id", "question_id"), fmt: str = "parquet") -> int:
     """Append to ``target_dir`` every answer whose key is not there yet. Within a
     micro-batch duplicates collapse to one row; across batches and reruns the
     anti-join against the target keeps the table unique, and the checkpoint makes the
-    stream skip files it already processed. Returns the number of rows in the target."""
-    src = spark.readStream.schema(schema).parquet(source_dir)
+    stream skip files it already processed. ``fmt`` is the source format ('parquet' or
+    'json' for the JSON answer folders). Returns the number of rows in the target."""
+    src = spark.readStream.schema(schema).format(fmt).load(source_dir)
 
     def sink(batch: DataFrame, batch_id: int):
         new = batch.dropDuplicates(list(keys))

@@ -132,3 +132,12 @@ def test_block_kernel_chunks_and_ties():
     for i in range(11):
         exp = [j for _, j in sorted((d[i, j], j) for j in range(15) if j != i)[:3]]
         assert list(got[got.query_id == i].sort_values(["distance", "neighbor_id"]).neighbor_id) == exp
+
+
+def test_answer_ingest_stream_from_json(spark):
+    from siftwork.streaming.streams import answer_ingest_stream
+    base = tempfile.mkdtemp(prefix="sw-jstream-")
+    src, tgt, ck = (os.path.join(base, x) for x in ("src", "tgt", "ck"))
+    schema = "paper_id long, question_id string, response string"
+    spark.createDataFrame([(1, "I1", "YES"), (1, "I1", "YES"), (4, "E2", "NO")], schema).write.json(src)
+    assert answer_ingest_stream(spark, src, schema, tgt, ck, fmt="json") == 2
