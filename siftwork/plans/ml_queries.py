@@ -60,7 +60,30 @@ def q_ml_embedding_benchmark(spark, sf):
     return finish(R.summarise_folds(folds, ["embedding_model", "classifier"]))
 
 
+def q_ml_svm_platt_fixed_recall(spark, sf):
+    """Linear SVM with sigmoid calibration from 3 inner folds, per outer fold of 5;
+    calibrated scores evaluated at a fixed 95 % recall (L-02, L-07)."""
+    from siftwork.operators.split import stratified_folds
+    from siftwork.session import cut_lineage
+    ensure_checkpoint_dir(spark)
+    v = fx.vectors(spark, sf).select("id", "embedding", F.col("target").alias("label"))
+    f = cut_lineage(stratified_folds(M.with_features(v), 5).select("id", "label", "features", "fold"))
+    from concurrent.futures import ThreadPoolExecutor
+    fit = M.svm_platt(3, 100)
+
+    def one(i):  # outer folds are independent jobs: submit them concurrently
+        return fit(f.where(F.col("fold") != i), f.where(F.col("fold") == i)).select("fold", "id", "label", "score")
+
+    with ThreadPoolExecutor(max_workers=5) as pool:
+        parts = list(pool.map(one, range(5)))
+    scored = parts[0]
+    for p in parts[1:]:
+        scored = scored.unionByName(p)
+    return finish(R.evaluate_fixed_recall(scored, ["fold"], 0.95))
+
+
 QUERIES = {
+    "ml_svm_platt_fixed_recall": q_ml_svm_platt_fixed_recall,
     "ml_embedding_benchmark": q_ml_embedding_benchmark,
     "ml_logreg_fixed_recall": q_ml_logreg_fixed_recall,
     "ml_forest_holdout": q_ml_forest_holdout,
