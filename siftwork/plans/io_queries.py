@@ -63,9 +63,9 @@ def q_papers_csv_roundtrip(spark, sf):
     required-column check and the label column renamed (S-12, S-01, P-01). Empty fields
     read back as NULL, as a pandas CSV reader does."""
     path = _scratch(spark, "papers-csv")
-    p = fx.papers(spark, sf).select("id", "title", "abstract", F.col("label").cast("string").alias("MK_IN"))
+    p = fx.papers(spark, sf).select("id", "title", "abstract", F.col("label").cast("string").alias("included"))
     write_csv(p, path)
-    back = read_papers_csv(spark, path, label_col="MK_IN")
+    back = read_papers_csv(spark, path, label_col="included")
     return back.select("id", "title", "abstract", (F.col("label") == "true").alias("label"))
 
 

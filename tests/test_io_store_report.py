@@ -42,8 +42,8 @@ def test_prices_json(spark):
 def test_papers_csv_required_columns(spark):
     p = _tmp("papers.csv")
     with open(p, "w") as f:
-        f.write('id,title,abstract,MK_IN\n1,"A, b","x\ny",True\n')
-    df = IO.read_papers_csv(spark, p, label_col="MK_IN").collect()
+        f.write('id,title,abstract,included\n1,"A, b","x\ny",True\n')
+    df = IO.read_papers_csv(spark, p, label_col="included").collect()
     assert df[0].title == "A, b" and df[0].abstract == "x\ny" and df[0].label == "True"
     with pytest.raises(ValueError):
         IO.read_papers_csv(spark, p, label_col="nope")
