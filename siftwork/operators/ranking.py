@@ -295,23 +295,44 @@ def wss_at_recall(scored: DataFrame, group_cols=None, target_recall: float = 0.9
                   num_blocks: int | None = None) -> DataFrame:
     """Work saved over sampling: rows by score desc (ties by id), smallest k whose
     cumulative positives reach ceil(R * P); WSS = 1 - k/N clamped to [0, 1]; 0 without
-    positives. (1 - k/N as in the study, not the published 1 - k/N - (1 - R).)"""
+    positives. (1 - k/N as in the study, not the published 1 - k/N - (1 - R).)
+
+    Two levels, so the full table is never sorted: the distinct-score curve gives the
+    critical score s* (highest threshold whose tp reaches the need) and the counts above
+    it; only the rows tied at s* are then ranked by id to place the m-th positive."""
     g = _g(group_cols)
-    rows = scored.select(*g, as_int(label).alias("_y"), F.col(score).alias("_s"), F.col(id_col).alias("_id"),
+    t = F.lit(float(target_recall))
+    curve = pr_curve(scored, g, label, score, num_blocks=num_blocks)
+    need = F.ceil(t * F.col("P").cast("double"))
+    crit = curve.groupBy(*g).agg(
+        F.first("P").alias("n_pos"), (F.first("P") + F.first("N")).alias("n"),
+        F.max(F.when(F.col("tp") >= need, F.struct(F.col("threshold").alias("s"), F.col("tp").alias("tp"),
+                                                     F.col("fp").alias("fp"), F.col("pos").alias("pos"),
+                                                     F.col("neg").alias("neg")))).alias("_c"),
+        F.first(need).alias("need"))
+    crit = crit.select(*g, "n_pos", "n", "need", F.col("_c.s").alias("_s"),
+                       (F.col("_c.tp") + F.col("_c.fp") - F.col("_c.pos") - F.col("_c.neg")).alias("_above"),
+                       (F.col("need") - (F.col("_c.tp") - F.col("_c.pos"))).alias("_m"))
+    # rows tied at s*, ranked by id: the m-th positive's position inside the tie group
+    key = crit.where(F.col("_s").isNotNull() & (F.col("_m") >= 1)).select(*g, "_s", "_m")
+    rows = scored.select(*g, as_int(label).alias("_y"), F.col(score).alias("_sc"), F.col(id_col).alias("_id"),
                          F.lit(1).alias("_n"))
-    cum = running_totals(rows, g, [F.col("_s").desc(), F.col("_id").asc()], ["_y", "_n"],
-                         num_blocks=num_blocks)
-    tot = rows.groupBy(*g).agg(F.sum("_y").alias("P"), F.count(F.lit(1)).alias("N"))
-    j = _join_totals(cum, tot, g)
-    need = F.ceil(F.lit(float(target_recall)) * F.col("P").cast("double"))
-    s = j.groupBy(*g).agg(
-        F.first("P").alias("n_pos"), F.first("N").alias("n"),
-        F.min(F.when(F.col("cum__y") >= need, F.col("cum__n"))).alias("k"))
+    cond = [rows[c].eqNullSafe(key[c]) for c in g] + [rows["_sc"] == key["_s"]]
+    tie = rows.join(key, on=cond, how="inner").select(*[rows[c] for c in g], "_y", "_id", "_n", "_m")
+    cum = running_totals(tie, g, [F.col("_id").asc()], ["_y", "_n"], num_blocks=num_blocks)
+    pos_in_tie = cum.where((F.col("_y") == 1) & (F.col("cum__y") == F.col("_m"))) \
+        .groupBy(*g).agg(F.min("cum__n").alias("_pos_in_tie"))
+    if g:
+        j = crit.join(pos_in_tie, on=g, how="left")
+    else:
+        j = crit.select("*", pos_in_tie.select(F.min("_pos_in_tie")).scalar().alias("_pos_in_tie"))
+    k = F.when(F.col("_s").isNull(), F.lit(None)).otherwise(
+        F.col("_above") + F.when(F.col("_m") <= 0, F.lit(1)).otherwise(F.col("_pos_in_tie")))
+    j = j.withColumn("k", k)
     wss = F.when((F.col("n_pos") == 0) | F.col("k").isNull(), F.lit(0.0)).otherwise(
         F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(1.0) - F.col("k") / F.col("n").cast("double"))))
-    return s.select(*g, F.lit(float(target_recall)).alias("target_recall"),
-                    F.col("n_pos").cast("long").alias("n_pos"), F.col("n").cast("long").alias("n"),
-                    F.col("k").cast("long").alias("k"), wss.alias("wss"))
+    return j.select(*g, t.alias("target_recall"), F.col("n_pos").cast("long").alias("n_pos"),
+                    F.col("n").cast("long").alias("n"), F.col("k").cast("long").alias("k"), wss.alias("wss"))
 
 
 def recall_threshold_scan(curve: DataFrame, group_cols=None, target_recall: float = 0.95) -> DataFrame:

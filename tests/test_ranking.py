@@ -164,3 +164,25 @@ def test_threshold_grid_matches_direct(spark):
         c = R.confusion_at(df, t, ["grp"]).collect()[0]
         assert (g[t].tp, g[t].fp) == (c.tp, c.fp)
     assert R.grid_thresholds()[2] == 0.15000000000000002
+
+
+@pytest.mark.parametrize("target", [0.0, 0.5, 0.95, 1.0])
+def test_wss_brute_force_with_ties(spark, target):
+    rnd = random.Random(11)
+    n = 80
+    labels = [rnd.random() < 0.3 for _ in range(n)]
+    scores = [round(rnd.random(), 1) for _ in range(n)]  # large tie groups
+    order = sorted(range(n), key=lambda i: (-scores[i], i))
+    P = sum(labels)
+    need = math.ceil(target * P)
+    cum, k = 0, None
+    for pos, i in enumerate(order, 1):
+        cum += labels[i]
+        if cum >= need:
+            k = pos
+            break
+    exp = 0.0 if P == 0 or k is None else max(0.0, min(1.0, 1.0 - k / n))
+    df = _scored(spark, labels, scores)
+    for groups in (["grp"], []):
+        r = R.wss_at_recall(df, groups, target, num_blocks=3).collect()[0]
+        assert r.k == k and r.wss == pytest.approx(exp)
