@@ -1,6 +1,7 @@
 """Token costs: price lookup, per-row cost, summaries, and the UNSURE-threshold
 cost-savings sweep. The price dimension has one row per model (5 here); it is
-broadcast, and an unknown model raises instead of silently costing 0."""
+inlined as a literal map (size checked), and an unknown model raises instead of
+silently costing 0."""
 
 from __future__ import annotations
 
@@ -11,16 +12,30 @@ from siftwork.functions.expr import round_np
 from siftwork.operators.answers import UNSURE_SWEEP
 
 
+MAX_PRICE_ROWS = 10_000  # the price dimension is inlined; refuse anything larger
+
+
+def price_lookup(prices: DataFrame) -> F.Column:
+    """The price dimension as a literal map model -> (in, out). It has one row per model
+    (5 here), checked against MAX_PRICE_ROWS, so a map lookup replaces the join."""
+    rows = prices.select("model", "usd_per_1m_in", "usd_per_1m_out").limit(MAX_PRICE_ROWS + 1).collect()
+    if len(rows) > MAX_PRICE_ROWS:
+        raise ValueError("price dimension too large to inline")
+    kv = []
+    for m, pin, pout in rows:
+        kv += [F.lit(m), F.struct(F.lit(float(pin)).alias("pin"), F.lit(float(pout)).alias("pout"))]
+    return F.create_map(*kv)
+
+
 def add_cost(df: DataFrame, prices: DataFrame, model: str = "model", in_tok: str = "input_tokens",
              out_tok: str = "output_tokens", out: str = "cost_usd", digits: int = 6) -> DataFrame:
-    """cost = in/1e6 * price_in + out/1e6 * price_out, rounded to ``digits``."""
-    p = F.broadcast(prices.select(F.col("model").alias("_pm"), "usd_per_1m_in", "usd_per_1m_out"))
-    j = df.join(p, df[model] == F.col("_pm"), "left")
+    """cost = in/1e6 * price_in + out/1e6 * price_out, rounded to ``digits``; a model
+    without a price raises."""
+    price = price_lookup(prices)[F.col(model)]
     missing = F.raise_error(F.concat(F.lit("no price for model "), F.coalesce(F.col(model), F.lit("NULL"))))
-    cost = (F.coalesce(F.col(in_tok), F.lit(0)) / F.lit(1e6) * F.col("usd_per_1m_in")
-            + F.coalesce(F.col(out_tok), F.lit(0)) / F.lit(1e6) * F.col("usd_per_1m_out"))
-    c = F.when(F.col("_pm").isNull(), missing.cast("double")).otherwise(round_np(cost, digits))
-    return j.withColumn(out, c).drop("_pm", "usd_per_1m_in", "usd_per_1m_out")
+    cost = (F.coalesce(F.col(in_tok), F.lit(0)) / F.lit(1e6) * price["pin"]
+            + F.coalesce(F.col(out_tok), F.lit(0)) / F.lit(1e6) * price["pout"])
+    return df.withColumn(out, F.when(price.isNull(), missing.cast("double")).otherwise(round_np(cost, digits)))
 
 
 def cost_totals(df: DataFrame, prices: DataFrame, group_cols=("model",), model: str = "model",
@@ -30,10 +45,9 @@ def cost_totals(df: DataFrame, prices: DataFrame, group_cols=("model",), model:
     g = list(group_cols)
     s = df.groupBy(*g).agg(F.sum(in_tok).alias("tot_in"), F.sum(out_tok).alias("tot_out"),
                            F.count(F.lit(1)).alias("n_papers"))
-    p = F.broadcast(prices.select(F.col("model").alias("_pm"), "usd_per_1m_in", "usd_per_1m_out"))
-    j = s.join(p, F.col(model) == F.col("_pm"), "left")
-    tot = (F.col("tot_in") / F.lit(1e6) * F.col("usd_per_1m_in")
-           + F.col("tot_out") / F.lit(1e6) * F.col("usd_per_1m_out"))
+    price = price_lookup(prices)[F.col(model)]
+    j = s
+    tot = (F.col("tot_in") / F.lit(1e6) * price["pin"] + F.col("tot_out") / F.lit(1e6) * price["pout"])
     per = tot / F.col("n_papers")
     return j.select(*g, round_np(per, 4).alias("cost_per_paper"), round_np(per * 1000, 3).alias("cost_per_1k_papers"),
                     round_np(tot, 3).alias("total_cost"), F.col("n_papers").cast("long").alias("n_papers"))
