@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from siftwork.llm.common import table, work_dir, written
 from siftwork.llm.exact import drop_copies
+from siftwork.llm.mixing import mixed
+from siftwork.llm.pieces import encode_documents
 from siftwork.llm.quality import keep_good
 from siftwork.llm.simhash import near_duplicates
 
@@ -31,7 +33,18 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(leaders, "doc_id", "left_semi").select(*docs.columns)
 
 
-STAGES = [("quality", quality), ("exact", exact), ("near", near)]
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample whose token shares are the production targets."""
+    return mixed(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, the ids of the text, their number and the segmentation's score."""
+    encoded = encode_documents(docs, carry={c: docs[c] for c in ("doc_id", "lang", "source")})
+    return encoded.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "score", "ids")
+
+
+STAGES = [("quality", quality), ("exact", exact), ("near", near), ("mix", mix), ("encode", encode)]
 
 # SimHash components and SentencePiece ids have no SQL form; tests/llm compares run() with brute force.
 ORACLE_SQL = None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwork.llm.common import table
+from siftwork.llm.common import table, work_dir
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +14,29 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(docs, carry={"text_sha256": F.sha2(without_white_space(docs["text"]), 256)})
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwork.llm.mixing import mix
+    found = mix(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "tokens", F.col("by_source").alias("source_class"), F.col("by_lang").alias("lang_class"), F.col("by_topic").alias("topic"),
+                        F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "kept")
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwork.llm.pieces import decode_documents, encode_documents
+    docs = table(spark, sf_dir, "documents")
+    text = F.coalesce(docs["text"], F.lit(""))
+    encoded = encode_documents(docs, carry={"doc_id": docs["doc_id"], "text_crc32": F.crc32(F.replace(text, F.lit("\u2581"), F.lit(" ")).cast("binary"))})
+    decoded = decode_documents(encoded)
+    return decoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "score", "n_chunks",
+                          F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), (F.crc32(F.col("decoded").cast("binary")) == F.col("text_crc32")).alias("round_trip"))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwork.llm.sharding import shard
+    found = shard(table(spark, sf_dir, "documents"), shards=40)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftwork.llm.simhash import near_duplicates
     found = near_duplicates(table(spark, sf_dir, "documents"))
@@ -26,7 +49,22 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op6_simhash_near_dedup, op7_quality_rules)}
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwork.llm.lines import drop_boilerplate
+    cleaned = drop_boilerplate(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwork.llm.idstore import document_keys, find_keys, read_ids, write_store
+    docs = table(spark, sf_dir, "documents")
+    folder = work_dir(spark, "idstore")
+    write_store(docs, folder)
+    return read_ids(spark, folder, find_keys(spark, folder, document_keys(docs))).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_exact_dedup, op3_mix_sources, op4_sentencepiece, op5_sharding, op6_simhash_near_dedup, op7_quality_rules, op9_line_dedup, op10_token_store)}
 
 SQL_EXACT_DEDUP = r"""
 WITH t AS (
