@@ -14,6 +14,13 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(docs, carry={"text_sha256": F.sha2(without_white_space(docs["text"]), 256)})
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwork.llm.suffix import repeated_spans
+    found = repeated_spans(table(spark, sf_dir, "documents"), length=200)
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftwork.llm.mixing import mix
     found = mix(table(spark, sf_dir, "documents"))
@@ -64,7 +71,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_exact_dedup, op3_mix_sources, op4_sentencepiece, op5_sharding, op6_simhash_near_dedup, op7_quality_rules, op9_line_dedup, op10_token_store)}
+    op1_exact_dedup, op2_suffix_dedup, op3_mix_sources, op4_sentencepiece, op5_sharding, op6_simhash_near_dedup, op7_quality_rules, op9_line_dedup, op10_token_store)}
 
 SQL_EXACT_DEDUP = r"""
 WITH t AS (
