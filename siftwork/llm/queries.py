@@ -56,6 +56,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwork.llm.urls import judge_urls
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftwork.llm.lines import drop_boilerplate
     cleaned = drop_boilerplate(table(spark, sf_dir, "documents"))
@@ -71,7 +76,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_exact_dedup, op2_suffix_dedup, op3_mix_sources, op4_sentencepiece, op5_sharding, op6_simhash_near_dedup, op7_quality_rules, op9_line_dedup, op10_token_store)}
+    op1_exact_dedup, op2_suffix_dedup, op3_mix_sources, op4_sentencepiece, op5_sharding, op6_simhash_near_dedup, op7_quality_rules, op8_url_filter, op9_line_dedup, op10_token_store)}
 
 SQL_EXACT_DEDUP = r"""
 WITH t AS (
