@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwork.llm.common import table, work_dir
+from siftwork.llm.sql import ORACLE  # noqa: F401
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,16 +78,3 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_suffix_dedup, op3_mix_sources, op4_sentencepiece, op5_sharding, op6_simhash_near_dedup, op7_quality_rules, op8_url_filter, op9_line_dedup, op10_token_store)}
-
-SQL_EXACT_DEDUP = r"""
-WITH t AS (
-  SELECT doc_id, length(coalesce(text, '')) AS cp, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents
-), g AS (
-  SELECT norm, count(*) AS group_size, min(doc_id) FILTER (cp = top) AS keep_id
-  FROM (SELECT *, max(cp) OVER (PARTITION BY norm) AS top FROM t) GROUP BY norm
-)
-SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.norm) AS text_sha256
-FROM t JOIN g ON t.norm = g.norm
-"""
-
-ORACLE = {"op1_exact_dedup": SQL_EXACT_DEDUP}
