@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from siftwork.llm.common import written
 
-_WORDS_KEPT = 400_000
+_WORDS_KEPT = 1_200_000
 _GAMMA = 2
 _MAX_LEVELS = 64
 _RECORD = np.dtype([("fingerprint", "<u4"), ("shard", "<u4"), ("at", "<u8"), ("n", "<u8"), ("start", "<u8")])
@@ -81,44 +81,73 @@ def _read(folder: str, name: str, at: int = 0, size: int | None = None) -> bytes
 
 # ---- encoding ---------------------------------------------------------------------------
 
+_MARK = b"\x00"
+
+
 class _Words(dict):
-    """Ids by white-space-separated word. The tokenizer drops white space and never joins
-    across it, so a text's ids are its words' ids in a row; each word is encoded once
-    while it is remembered (a bounded table)."""
+    """Ids (as little-endian bytes) by white-space-separated word, each encoded once while it is
+    remembered (a bounded table).
+
+    A tokenizer that drops white space never joins across it, so a text's ids are its words'
+    ids in a row (``by_word``; checked on an example, other kinds get whole texts). New words
+    are encoded many at a time, with a mark of one id between them."""
 
-    def __init__(self, tokenizer: bytes):
+    def __init__(self, tokenizer: bytes, width: int):
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_buffer(tokenizer)
+        self.tokenizer, self.kind = Tokenizer.from_buffer(tokenizer), f"<u{width}"
+        ids = [e.ids for e in self._encode(["a b", "a", "b", "\x00"])]
+        self.by_word = ids[0] == ids[1] + ids[2]
+        self.mark = ids[3]
 
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > _WORDS_KEPT:
-            self.clear()
-            new = list(words)
-        for k in range(0, len(new), 4096):
-            part = new[k:k + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False), strict=True):
-                self[w] = e.ids
+    def _encode(self, texts: list[str]):
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self._encode(texts)]
 
-def encode_texts(texts: list[str | None], words: _Words, end_id: int) -> list[np.ndarray]:
-    """Each text's ids with the end id."""
-    split = [(t or "").encode("utf-8").split() for t in texts]
-    out, group, size = [], [], 0
+    def learn(self, words: set[bytes]) -> None:
+        plain = [w for w in words if _MARK not in w and b"<|" not in w] if len(self.mark) == 1 else []
+        step = np.dtype(self.kind).itemsize
+        for k in range(0, len(plain), 2000):
+            part = plain[k:k + 2000]
+            ids = np.array(self._encode([(b" " + _MARK + b" ").join(part).decode("utf-8")])[0].ids, self.kind)
+            ends = [*(step * np.flatnonzero(ids == self.mark[0])).tolist(), step * len(ids)]
+            if len(ends) == len(part):
+                raw, at = ids.tobytes(), 0
+                for w, end in zip(part, ends, strict=True):
+                    self[w] = raw[at:end]
+                    at = end + step
+        rest = [w for w in words if w not in self]
+        for k in range(0, len(rest), 2000):
+            part = rest[k:k + 2000]
+            self.update(zip(part, self.whole([w.decode("utf-8") for w in part]), strict=True))
+
+
+def encode_texts(texts: list[str | None], words: _Words, end_id: int) -> list[bytes]:
+    """Each text's ids with the end id, as little-endian bytes."""
+    end, out, group, size = np.array([end_id], words.kind).tobytes(), [], [], 0
+    if not words.by_word:
+        return [ids + end for ids in words.whole([t or "" for t in texts])]
 
     def flush():
-        words.learn(set(chain.from_iterable(group)))
-        for w in group:
-            ids = list(chain.from_iterable(map(words.__getitem__, w)))
-            ids.append(end_id)
-            out.append(np.array(ids, np.uint32))
-
-    for w in split:
-        group.append(w)
-        size += len(w)
-        if size >= 200_000:
+        found = [list(map(words.get, split)) for split in group]
+        open_texts = [k for k, got in enumerate(found) if None in got]
+        missing = {w for k in open_texts for w, got in zip(group[k], found[k], strict=True) if got is None}
+        if len(words) + 2 * len(missing) > _WORDS_KEPT:
+            words.clear()
+            missing = {w for k in open_texts for w in group[k]}
+        words.learn(missing)
+        for k in open_texts:
+            found[k] = list(map(words.__getitem__, group[k]))
+        out.extend(b"".join(got) + end for got in found)
+        group.clear()
+
+    for text in texts:
+        group.append((text or "").encode("utf-8").split())
+        size += len(group[-1])
+        if size >= 100_000:
             flush()
-            group, size = [], 0
+            size = 0
     flush()
     return out
 
@@ -207,7 +236,7 @@ def _keyed(df: DataFrame, parts: int) -> DataFrame:
 
 
 def write_store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: bytes | None = None,
-                end_id: int = 2, shard_bytes: int = 16 << 20, part_keys: int = 100_000) -> None:
+                end_id: int = 2, shard_bytes: int = 64 << 20, part_keys: int = 100_000) -> None:
     """Encode the texts and write the store into ``folder`` (a new folder below a shared one)."""
     spark = docs.sparkSession
     source = tokenizer or default_tokenizer()
@@ -224,7 +253,7 @@ def write_store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from pyspark import TaskContext
-        shard, words, rows = TaskContext.get().partitionId(), _Words(shared.value), []
+        shard, words, rows = TaskContext.get().partitionId(), _Words(shared.value, width), []
 
         def parts():
             at, last, occ = 0, object(), 0
@@ -233,9 +262,9 @@ def write_store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
                 for name, ids in zip(names, encode_texts(batch.column(1).to_pylist(), words, end_id), strict=True):
                     occ = occ + 1 if name == last else 0
                     last = name
-                    rows.append((name, occ, at, len(ids)))
-                    at += len(ids)
-                    yield ids.astype(f"<u{width}").tobytes()
+                    rows.append((name, occ, at, len(ids) // width))
+                    at += len(ids) // width
+                    yield ids
 
         first = next(stream := parts(), None)
         if first is None:

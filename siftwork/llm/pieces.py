@@ -3,12 +3,14 @@
 Encoding finds the segmentation of a text into the model's pieces with the largest sum
 of piece scores (characters that no piece covers become byte pieces). Ties go to the
 longest last piece, as in a left-to-right search, so the result is one fixed sequence
-whatever the chunking. On a unigram model it equals the library's own ids; on other
-kinds it is the best-scoring segmentation with that model's pieces and scores.
+whatever the chunking. A unigram model's scores are its log-probabilities, in 1/1024; other
+models store ranks, which are read as log-probabilities by Zipf's law, -log2(rank + 2), in
+1/1024. Scores are whole numbers, so sums are exact in any order.
 
 A piece never holds a space mark after another character, nor a character outside the
 pieces' alphabet, so every path passes through certain cuts; between two cuts lies a
-unit (mostly a word) that is solved once per task and remembered (a bounded table).
+unit (mostly a word) that is solved once per task and remembered (a bounded table). Units
+are solved by the library's unigram search, texts without cuts by the same search here.
 
 Texts above ``giant_chars`` are split into chunk rows of ``chunk_chars`` and dealt over
 the cluster:
@@ -33,12 +35,13 @@ one; null ids stay null; carried columns keep their names.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from math import log2
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,7 +49,8 @@ from siftwork.llm.common import work_dir, written
 
 MARK = "▁"
 NONE = -(1 << 60)
-_UNITS_KEPT = 400_000
+_UNITS_KEPT = 600_000
+_UNIT_CHARS = 64  # longer units are searched here: the library adds scores in single precision
 _BLOCK = 64
 
 
@@ -57,18 +61,34 @@ def default_model() -> bytes:
         return f.read()
 
 
+def scored_model(model: bytes) -> bytes:
+    """The model file as a unigram model with whole-number scores and no prefix of its own."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+    proto = pb.ModelProto()
+    proto.ParseFromString(model)
+    unigram = proto.trainer_spec.model_type == 1
+    normal = [p for p in proto.pieces if p.type == 1]
+    worst = max((-p.score for p in normal if p.score > -1e8), default=0)  # a score far below is a mark, not a rank
+    for p in normal:
+        p.score = float(round(1024 * (p.score if unigram else -log2(min(max(0, -p.score), worst + 1) + 2))))
+    proto.trainer_spec.model_type = 1
+    proto.normalizer_spec.add_dummy_prefix = False
+    proto.normalizer_spec.remove_extra_whitespaces = False
+    return proto.SerializeToString()
+
+
 class PieceModel:
-    """Pieces, scores and the search; built in each task from the model file's bytes."""
+    """Pieces, scores and the search; built in each task from ``scored_model``'s bytes."""
 
     def __init__(self, model: bytes):
         import sentencepiece
-        sp = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.score: dict[str, float] = {}
+        self.sp = sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+        n = sp.get_piece_size()
+        score: dict[str, int] = {}
         self.id: dict[str, int] = {}
         self.bytes_of: list[bytes] = []
         self.byte_id = [0] * 256
-        for k in range(sp.get_piece_size()):
-            piece = sp.id_to_piece(k)
+        for k, piece in enumerate(sp.id_to_piece(list(range(n)))):
             if sp.is_byte(k):
                 value = int(piece[1:-1], 16)
                 self.byte_id[value] = k
@@ -76,19 +96,27 @@ class PieceModel:
             elif sp.is_control(k) or sp.is_unknown(k) or sp.is_unused(k):
                 self.bytes_of.append(b"")
             else:
-                self.score[piece], self.id[piece] = sp.get_score(k), k
+                score[piece], self.id[piece] = round(sp.get_score(k)), k
                 self.bytes_of.append(piece.encode("utf-8"))
-        # whole numbers (hundred-thousandths where the model has fractions): sums are exact in any order
-        scale = 1 if all(v == int(v) for v in self.score.values()) else 100_000
-        self.score = {p: round(v * scale) for p, v in self.score.items()}
-        self.unknown = min(self.score.values()) - 10 * scale
-        self.longest = max(map(len, self.score))
-        self.begins = {p[:k] for p in self.score for k in range(1, len(p) + 1)}
-        outside = "".join(c for c in "\n\t\r" if not any(c in p for p in self.score))
-        splits = all(MARK not in p.lstrip(MARK) for p in self.score)
-        skip = re.escape(outside)
-        self.unit_re = re.compile((f"[{skip}]|" if skip else "") + (f"{MARK}*[^{MARK}{skip}]+|{MARK}+" if splits else (f"[^{skip}]+" if skip else "(?s).+")))
-        self.known: dict[str, tuple[int, tuple[int, ...]]] = {}
+        self.unknown = min(score.values()) - 10
+        self.score_of = np.zeros(n, np.int64)  # by id; a character in bytes counts once, at its first byte
+        for piece, k in self.id.items():
+            self.score_of[k] = score[piece]
+        for value, k in enumerate(self.byte_id):
+            if value < 0x80 or value >= 0xC0:
+                self.score_of[k] = self.unknown
+        self.longest = max(map(len, score))
+        self.trie: list = [{}, None]  # [next by character, score]
+        for piece, value in score.items():
+            node = self.trie
+            for c in piece:
+                node = node[0].setdefault(c, [{}, None])
+            node[1] = value
+        outside = re.escape("".join(c for c in "\n\t\r" if not any(c in p for p in score)))
+        splits = all(MARK not in p.lstrip(MARK) for p in score)
+        skip = f"[{outside}]|" if outside else ""
+        self.unit_re = re.compile(skip + (f"{MARK}*[^{MARK}{outside}]+|{MARK}+" if splits else f"[^{outside}]+" if outside else "(?s:.+)"))
+        self.known: dict[str, bytes] = {}
 
     def search(self, s: str, starts_before: int, entry: list[int]) -> tuple[list[int], list[int]]:
         """Best score to each position of ``s`` and where its last piece starts; pieces start before
@@ -96,17 +124,18 @@ class PieceModel:
         n = len(s)
         best, back = [NONE] * (n + 1), [-1] * (n + 1)
         best[:len(entry)] = entry
-        score, begins = self.score, self.begins
+        trie = self.trie
         for i in range(min(n, starts_before)):
             here = best[i]
             if here <= NONE:
                 continue
-            single = False
-            for e in range(i + 1, min(n, i + self.longest) + 1):
-                part = s[i:e]
-                if part not in begins:
+            node, e, single = trie, i, False
+            while e < n:
+                node = node[0].get(s[e])
+                if node is None:
                     break
-                value = score.get(part)
+                e += 1
+                value = node[1]
                 if value is not None:
                     if e == i + 1:
                         single = True
@@ -131,59 +160,101 @@ class PieceModel:
                 ids.append(k)
         return end, ids
 
-    def unit(self, u: str) -> tuple[int, tuple[int, ...]]:
-        """Score and ids of a text between two cuts."""
-        found = self.known.get(u)
-        if found is None:
-            best, back = self.search(u, len(u), [0])
-            found = best[-1], tuple(self.trace(u, back, len(u))[1])
-            if len(self.known) >= _UNITS_KEPT:
-                self.known.clear()
-            if len(u) <= 64:
-                self.known[u] = found
-        return found
-
-    def encode(self, text: str | None) -> tuple[int, list[int]]:
-        """Score and ids of a whole text."""
-        ids: list[int] = []
-        total, known, unit = 0, self.known, self.unit
-        for u in self.unit_re.findall(marked(text)):
-            score, part = known.get(u) or unit(u)
-            total += score
-            ids.extend(part)
-        return total, ids
-
-    def decode(self, ids) -> str:
+    def _learn(self, units: set[str]) -> None:
+        short = [u for u in units if len(u) <= _UNIT_CHARS]
+        for u, ids in zip(short, self.sp.encode(short, num_threads=1), strict=True):
+            self.known[u] = np.array(ids, "<i4").tobytes()
+        for u in units:
+            if len(u) > _UNIT_CHARS:
+                self.known[u] = np.array(self.trace(u, self.search(u, len(u), [0])[1], len(u))[1], "<i4").tobytes()
+
+    def encode_marked(self, marked_texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts that begin and end at cuts."""
+        known = self.known
+        units = [self.unit_re.findall(s) for s in marked_texts]
+        found = [list(map(known.get, us)) for us in units]
+        open_texts = [k for k, got in enumerate(found) if None in got]
+        missing = {u for k in open_texts for u, got in zip(units[k], found[k], strict=True) if got is None}
+        if len(known) + len(missing) > _UNITS_KEPT:
+            known.clear()
+            missing = {u for k in open_texts for u in units[k]}
+        self._learn(missing)
+        for k in open_texts:
+            found[k] = list(map(known.__getitem__, units[k]))
+        return [np.frombuffer(b"".join(got), "<i4") for got in found]
+
+    def encode(self, texts: list[str | None]) -> tuple[list[int], list[np.ndarray]]:
+        """Scores and ids of whole texts."""
+        ids: list[np.ndarray] = []
+        group, size = [], 0
+        for text in texts:
+            group.append(marked(text))
+            size += len(group[-1])
+            if size > 1_000_000:
+                ids += self.encode_marked(group)
+                group, size = [], 0
+        ids += self.encode_marked(group)
+        return [int(self.score_of[x].sum()) for x in ids], ids
+
+    def decode(self, ids: list[int]) -> str:
         """The text of a whole document's ids."""
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")[1:]
 
-    def cuts(self, s: str, size: int) -> tuple[int, int] | None:
-        """First and last position within the chunk (0 to size) that every path passes."""
-        marks = [m.start() for m in self.unit_re.finditer(s) if 0 < m.start() <= size]
-        # position 0 is a cut only where a unit cannot have begun before it; it is left to the states
-        return (marks[0], marks[-1]) if marks else None
-
-    def chunk(self, s: str, size: int, entry: list[int]) -> tuple[list[int], Callable]:
-        """Scores at the exit states 0.. for the given entry scores, and a function
-        exit -> (entry, ids)."""
-        at = self.cuts(s, size)
-        if at is None:
-            best, back = self.search(s, size, entry)
-            return best[size:], lambda out: self.trace(s, back, size + out)
-        first, last = at
-        head, middle, tail = s[:first], s[first:last], s[last:]
-        head_best, head_back = self.search(head, first, entry[:first + 1])
-        units = [self.unit(u) for u in self.unit_re.findall(middle)]
-        here = head_best[first] + sum(u[0] for u in units) if head_best[first] > NONE else NONE
-        best, back = self.search(tail, size - last, [here])
-
-        def follow(out: int) -> tuple[int, list[int]]:
-            came, ids = self.trace(head, head_back, first)
-            for _, part in units:
-                ids.extend(part)
-            return came, ids + self.trace(tail, back, size - last + out)[1]
-
-        return best[size - last:], follow
+
+class Chunk:
+    """One chunk of a giant text: ``size`` characters of ``s``, the rest is what pieces may reach into."""
+
+    def __init__(self, model: PieceModel, s: str, size: int):
+        self.model, self.size = model, size
+        # a cut is where a unit begins; position 0 is left to the states, for a unit may have begun before it
+        cuts = [m.start() for m in model.unit_re.finditer(s) if 0 < m.start() <= size]
+        self.cut, self.whole = bool(cuts), s
+        if cuts:
+            first, self.last = cuts[0], cuts[-1]
+            self.head, self.middle, self.tail = s[:first], s[first:self.last], s[self.last:]
+
+    def transfer(self) -> np.ndarray:
+        """The boundary-state transfer matrix."""
+        states = self.model.longest
+        if not self.cut:
+            rows = [_padded(self.model.search(self.whole, self.size, [NONE] * i + [0])[0][self.size:], states) if i <= self.size else _padded([], states) for i in range(states)]
+            return np.stack(rows)
+        first = len(self.head)
+        head = np.array([self.model.search(self.head, first, [NONE] * i + [0])[0][first] if i <= first else NONE for i in range(states)], np.int64)
+        middle = int(self.model.score_of[self.model.encode_marked([self.middle])[0]].sum())
+        tail = _padded(self.model.search(self.tail, self.size - self.last, [0])[0][self.size - self.last:], states)
+        both = np.where((head[:, None] > NONE) & (tail[None, :] > NONE), head[:, None] + middle + tail[None, :], NONE)
+        return both
+
+    def origins(self, entry: list[int]) -> list[int]:
+        """For each exit state the entry state its best path comes from (-1: no path)."""
+        states = self.model.longest
+        if self.cut:
+            first = len(self.head)
+            _, back = self.model.search(self.head, first, entry[:first + 1])
+            return [self.model.trace(self.head, back, first)[0]] * states
+        best, back = self.model.search(self.whole, self.size, entry[:self.size + 1])
+        out = []
+        for end in range(self.size, self.size + states):
+            if end >= len(best) or best[end] <= NONE:
+                out.append(-1)
+                continue
+            while back[end] >= 0:
+                end = back[end]
+            out.append(end)
+        return out
+
+    def ids(self, entry: list[int], leave: int) -> np.ndarray:
+        """The ids of the pieces that start in the chunk, on the best path that leaves at ``leave``."""
+        if not self.cut:
+            _, back = self.model.search(self.whole, self.size, entry[:self.size + 1])
+            return np.array(self.model.trace(self.whole, back, self.size + leave)[1], "<i4")
+        first = len(self.head)
+        _, back = self.model.search(self.head, first, entry[:first + 1])
+        head = self.model.trace(self.head, back, first)[1]
+        _, back = self.model.search(self.tail, self.size - self.last, [0])
+        tail = self.model.trace(self.tail, back, self.size - self.last + leave)[1]
+        return np.concatenate([np.array(head, "<i4"), self.model.encode_marked([self.middle])[0], np.array(tail, "<i4")])
 
 
 def marked(text: str | None) -> str:
@@ -219,8 +290,13 @@ def _padded(scores: list[int], states: int) -> np.ndarray:
     return row
 
 
+def _lists(ids: list[np.ndarray]) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, "<i4"), *ids])))
+
+
 def _giants(parts: DataFrame, model, chunk_chars: int, work: str) -> DataFrame:
-    """(uid, text) -> (uid, score, ids, n_chunks) by the scan."""
+    """(uid, text) -> (uid, ids, n_chunks) by the scan."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longest = PieceModel(model.value).longest
@@ -228,24 +304,23 @@ def _giants(parts: DataFrame, model, chunk_chars: int, work: str) -> DataFrame:
             for uid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = marked(text)
                 edges = [*range(0, max(1, len(s) - longest), chunk_chars), len(s)]
-                for k, (a, b) in enumerate(zip(edges, edges[1:])):
-                    yield pa.RecordBatch.from_pydict({"uid": [uid], "k": [k], "size": [b - a], "s": [s[a:b + longest - 1]]}, schema=rows)
+                spans = list(zip(edges, edges[1:]))
+                yield pa.RecordBatch.from_pydict({
+                    "uid": [uid] * len(spans), "k": list(range(len(spans))), "size": [b - a for a, b in spans], "s": [s[a:b + longest - 1] for a, b in spans]}, schema=rows)
 
     rows = pa.schema([("uid", pa.int64()), ("k", pa.int64()), ("size", pa.int64()), ("s", pa.string())])
-    pieces = written(parts.mapInArrow(split, "uid bigint, k bigint, size bigint, s string").repartition("uid", "k"), f"{work}/chunks")
+    pieces = written(parts.mapInArrow(split, "uid bigint, k bigint, size bigint, s string"), f"{work}/chunks")
+    # few bytes but much work per row: dealt by count, not by size
+    spark = parts.sparkSession
+    dealt = max(2 * spark.sparkContext.defaultParallelism, pieces.count() // 64)
 
     def transfer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = PieceModel(model.value)
         for pdf in batches:
-            out = []
-            for s, size in zip(pdf["s"], pdf["size"], strict=True):
-                matrix = np.full((m.longest, m.longest), NONE, np.int64)
-                for i in range(min(m.longest, size + 1)):
-                    matrix[i] = _padded(m.chunk(s, size, [NONE] * i + [0])[0], m.longest)
-                out.append(matrix.tobytes())
+            out = [Chunk(m, s, size).transfer().tobytes() for s, size in zip(pdf["s"], pdf["size"], strict=True)]
             yield pd.DataFrame({"uid": pdf["uid"], "k": pdf["k"], "matrix": out})
 
-    matrices = written(pieces.mapInPandas(transfer, "uid bigint, k bigint, matrix binary"), f"{work}/matrices")
+    matrices = pieces.repartition(dealt, "uid", "k").mapInPandas(transfer, "uid bigint, k bigint, matrix binary")
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("k")
@@ -253,16 +328,13 @@ def _giants(parts: DataFrame, model, chunk_chars: int, work: str) -> DataFrame:
         vectors = entry_vectors(np.stack([np.frombuffer(b, np.int64).reshape(states, states) for b in pdf["matrix"]]))
         return pd.DataFrame({"uid": pdf["uid"], "k": pdf["k"], "entry": list(vectors)})
 
-    entries = matrices.groupBy("uid").applyInPandas(scan, "uid bigint, k bigint, entry array<bigint>")
-    ready = written(pieces.join(entries, ["uid", "k"]), f"{work}/entries")
+    entries = written(matrices.groupBy("uid").applyInPandas(scan, "uid bigint, k bigint, entry array<bigint>"), f"{work}/entries")
+    ready = pieces.join(entries, ["uid", "k"])
 
     def origins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = PieceModel(model.value)
         for pdf in batches:
-            out = []
-            for s, size, entry in zip(pdf["s"], pdf["size"], pdf["entry"], strict=True):
-                scores, follow = m.chunk(s, size, [int(x) for x in entry][:size + 1])
-                out.append([follow(j)[0] if j < len(scores) and scores[j] > NONE else -1 for j in range(m.longest)])
+            out = [Chunk(m, s, size).origins([int(x) for x in entry]) for s, size, entry in zip(pdf["s"], pdf["size"], pdf["entry"], strict=True)]
             yield pd.DataFrame({"uid": pdf["uid"], "k": pdf["k"], "origin": out})
 
     def compose(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -273,54 +345,57 @@ def _giants(parts: DataFrame, model, chunk_chars: int, work: str) -> DataFrame:
             out = int(origin[out])
         return pd.DataFrame({"uid": pdf["uid"], "k": pdf["k"], "leave": leave[::-1]})
 
-    leaves = (ready.mapInPandas(origins, "uid bigint, k bigint, origin array<bigint>")
-              .groupBy("uid").applyInPandas(compose, "uid bigint, k bigint, leave bigint"))
+    leaves = written(ready.mapInPandas(origins, "uid bigint, k bigint, origin array<bigint>")
+                     .groupBy("uid").applyInPandas(compose, "uid bigint, k bigint, leave bigint"), f"{work}/leaves")
 
     def trace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = PieceModel(model.value)
         for pdf in batches:
-            scores, ids = [], []
-            for s, size, entry, leave in zip(pdf["s"], pdf["size"], pdf["entry"], pdf["leave"], strict=True):
-                got, follow = m.chunk(s, size, [int(x) for x in entry][:size + 1])
-                scores.append(got[leave])
-                ids.append(follow(leave)[1])
-            yield pd.DataFrame({"uid": pdf["uid"], "k": pdf["k"], "score": scores, "ids": ids})
+            ids = [Chunk(m, s, size).ids([int(x) for x in entry], leave) for s, size, entry, leave in zip(pdf["s"], pdf["size"], pdf["entry"], pdf["leave"], strict=True)]
+            yield pd.DataFrame({"uid": pdf["uid"], "k": pdf["k"], "ids": ids})
 
-    traced = ready.join(leaves, ["uid", "k"]).mapInPandas(trace, "uid bigint, k bigint, score bigint, ids array<int>")
-    whole = traced.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("k", "score", "ids"))).alias("parts"))
-    return whole.select("uid", F.element_at("parts.score", -1).alias("score"), F.flatten("parts.ids").alias("ids"), F.size("parts").cast("bigint").alias("n_chunks"))
+    traced = ready.join(leaves, ["uid", "k"]).repartition(dealt, "uid", "k").mapInPandas(trace, "uid bigint, k bigint, ids array<int>")
+    whole = traced.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"))
+    return whole.select("uid", F.flatten("parts.ids").alias("ids"), F.size("parts").cast("bigint").alias("n_chunks"))
 
 
 def encode_documents(docs: DataFrame, text_col: str = "text", carry: dict[str, Column] | None = None, model: bytes | None = None,
-                     giant_chars: int = 32_768, chunk_chars: int = 8_192) -> DataFrame:
-    """The carried columns, ``score`` (in the model's units, or hundred-thousandths of them where it has fractions), ``ids array<int>`` and ``n_chunks``, one row per input row."""
+                     giant_chars: int = 65_536, chunk_chars: int = 8_192) -> DataFrame:
+    """The carried columns, ``score`` (in 1/1024), ``ids array<int>`` and ``n_chunks``, one row per input row."""
     carry = carry if carry is not None else {"doc_id": docs["doc_id"]}
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model or default_model())  # one model file: a fixed size
+    shared = spark.sparkContext.broadcast(scored_model(model or default_model()))  # one model file: a fixed size
     base = docs.select(F.struct(*(c.alias(n) for n, c in carry.items()), F.lit(0).alias("_")).alias("carried"), docs[text_col].alias("text"))
     length = F.coalesce(F.length("text"), F.lit(0))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = PieceModel(shared.value)
         for batch in batches:
-            found = [m.encode(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.list_(pa.int32())),
-                 pa.array([1] * len(found), pa.int64())], names=["carried", "score", "ids", "n_chunks"])
+            scores, ids = m.encode(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.int64()), _lists(ids), pa.array([1] * len(ids), pa.int64())],
+                                             names=["carried", "score", "ids", "n_chunks"])
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = PieceModel(shared.value)
+        for batch in batches:
+            found = [int(m.score_of[x.values.to_numpy()].sum()) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64()), *batch.columns[2:]], names=batch.schema.names)
 
-    result = [T.StructField("score", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_chunks", T.LongType())]
-    short = base.filter(length <= giant_chars).mapInArrow(whole, T.StructType([base.schema["carried"], *result]))
+    schema = T.StructType([base.schema["carried"], T.StructField("score", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())),
+                           T.StructField("n_chunks", T.LongType())])
+    encoded = base.filter(length <= giant_chars).mapInArrow(whole, schema)
     work = work_dir(spark, "pieces")
     giants = written(base.filter(length > giant_chars).withColumn("uid", F.monotonically_increasing_id()), f"{work}/giants")
     if not giants.isEmpty():
         done = written(_giants(giants.select("uid", "text"), shared, chunk_chars, work), f"{work}/encoded")
-        short = short.unionAll(giants.select("uid", "carried").join(done, "uid").select("carried", "score", "ids", "n_chunks"))
-    return short.select(*(F.col(f"carried.`{n}`").alias(n) for n in carry), "score", "ids", "n_chunks")
+        joined = giants.select("uid", "carried").join(done, "uid").select("carried", F.lit(0).cast("bigint").alias("score"), "ids", "n_chunks")
+        encoded = encoded.unionAll(joined.mapInArrow(scores, schema))
+    return encoded.select(*(F.col(f"carried.`{n}`").alias(n) for n in carry), "score", "ids", "n_chunks")
 
 
 def decode_documents(encoded: DataFrame, ids_col: str = "ids", model: bytes | None = None, out_col: str = "decoded") -> DataFrame:
     """Append the text of each row's ids."""
-    shared = encoded.sparkSession.sparkContext.broadcast(model or default_model())
+    shared = encoded.sparkSession.sparkContext.broadcast(scored_model(model or default_model()))
     at = encoded.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
