@@ -33,7 +33,8 @@ NATIVE_ENTITIES = [
 DECISIONS = ("YES", "NO", "UNCERTAIN")
 ANSWERS = ("YES", "NO", "UNSURE")
 
-_ENTITY_RE = r"&(#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);"
+_ENTITY_RE = r"&(#[0-9xX]|[a-zA-Z])"  # with or without the closing semicolon
+_TAG_RE = r"""<[a-zA-Z/!?](?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""  # '>' inside quoted attributes belongs to the tag
 
 
 def strip_unicode(c) -> Column:
@@ -63,11 +64,13 @@ def _unescape_twice(s: pd.Series) -> pd.Series:
 
 
 def strip_markup(c) -> Column:
-    """Drop comments, script/style/template blocks (before tags: scripts may hold tags), then tags."""
-    c = F.regexp_replace(col_(c), r"(?s)<!--.*?-->", "")
+    """Drop comments, script/style/template blocks (before tags: scripts may hold tags; an
+    unclosed one reaches to the end), then tags and processing instructions. A tag
+    whose quote never closes ends at the next '>'."""
+    c = F.regexp_replace(col_(c), r"(?s)<!--.*?(-->|\z)", "")
     for tag in ("script", "style", "template"):
-        c = F.regexp_replace(c, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
-    return F.regexp_replace(c, r"<[a-zA-Z/!][^>]*>", "")
+        c = F.regexp_replace(c, rf"(?is)<{tag}\b[^>]*>.*?(</{tag}\s*>|\z)", "")
+    return F.regexp_replace(F.regexp_replace(c, _TAG_RE, ""), r"<[a-zA-Z/!?][^>]*>", "")
 
 
 def html_to_text(c, exact_entities: bool = True) -> Column:

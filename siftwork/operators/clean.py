@@ -30,13 +30,11 @@ def strict_bool(c) -> F.Column:
 def dedup_keep_first(df: DataFrame, key: F.Column, id_col: str = "id") -> DataFrame:
     """Keep the row with the smallest id per key.
 
-    The key is hashed (SHA-256) and reduced with ``min(id)`` -- a partial
-    aggregate, so a key shared by a third of all rows is combined map-side --
-    and rows are then kept by a semi-join on the id, which is unique and hence
-    evenly partitioned (no hot key reaches the join)."""
-    h = F.sha2(key, 256)
-    keep = df.groupBy(h.alias("_k")).agg(F.min(id_col).alias("_keep_id"))
-    return df.join(keep, df[id_col] == keep["_keep_id"], "left_semi")
+    The key is hashed (SHA-256) and each key keeps its row of the least id: one partial
+    aggregate over the rows, so a key shared by a third of all rows is combined
+    map-side, and the input is computed once."""
+    row = F.min_by(F.struct(*[F.col(c) for c in df.columns]), F.col(id_col)).alias("_row")
+    return df.groupBy(F.sha2(key, 256).alias("_k")).agg(row).select("_row.*")
 
 
 def clean_papers(df: DataFrame, id_col: str = "id", null_abstract: str = "empty",

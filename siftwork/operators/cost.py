@@ -1,7 +1,6 @@
 """Token costs: price lookup, per-row cost, summaries, and the UNSURE-threshold
-cost-savings sweep. The price dimension has one row per model (5 here); it is
-inlined as a literal map (size checked), and an unknown model raises instead of
-silently costing 0."""
+cost-savings sweep. Prices are joined on the model without a size hint, and an
+unknown model raises instead of silently costing 0."""
 
 from __future__ import annotations
 
@@ -12,30 +11,24 @@ from siftwork.functions.expr import round_np
 from siftwork.operators.answers import UNSURE_SWEEP
 
 
-MAX_PRICE_ROWS = 10_000  # the price dimension is inlined; refuse anything larger
-
-
-def price_lookup(prices: DataFrame) -> F.Column:
-    """The price dimension as a literal map model -> (in, out). It has one row per model
-    (5 here), checked against MAX_PRICE_ROWS, so a map lookup replaces the join."""
-    rows = prices.select("model", "usd_per_1m_in", "usd_per_1m_out").limit(MAX_PRICE_ROWS + 1).collect()
-    if len(rows) > MAX_PRICE_ROWS:
-        raise ValueError("price dimension too large to inline")
-    kv = []
-    for m, pin, pout in rows:
-        kv += [F.lit(m), F.struct(F.lit(float(pin)).alias("pin"), F.lit(float(pout)).alias("pout"))]
-    return F.create_map(*kv)
+def with_price(df: DataFrame, prices: DataFrame, model: str) -> DataFrame:
+    """Left join of the price dimension: adds ``_price`` (in, out), null for an unknown model."""
+    p = prices.select(F.col("model").alias("_pm"), F.struct(
+        F.col("usd_per_1m_in").cast("double").alias("pin"), F.col("usd_per_1m_out").cast("double").alias("pout")).alias("_price"))
+    return df.join(p, F.col(model) == F.col("_pm"), "left").drop("_pm")
 
 
 def add_cost(df: DataFrame, prices: DataFrame, model: str = "model", in_tok: str = "input_tokens",
              out_tok: str = "output_tokens", out: str = "cost_usd", digits: int = 6) -> DataFrame:
     """cost = in/1e6 * price_in + out/1e6 * price_out, rounded to ``digits``; a model
     without a price raises."""
-    price = price_lookup(prices)[F.col(model)]
+    columns = [c for c in df.columns if c != out]
+    price = F.col("_price")
     missing = F.raise_error(F.concat(F.lit("no price for model "), F.coalesce(F.col(model), F.lit("NULL"))))
     cost = (F.coalesce(F.col(in_tok), F.lit(0)) / F.lit(1e6) * price["pin"]
             + F.coalesce(F.col(out_tok), F.lit(0)) / F.lit(1e6) * price["pout"])
-    return df.withColumn(out, F.when(price.isNull(), missing.cast("double")).otherwise(round_np(cost, digits)))
+    total = F.when(price.isNull(), missing.cast("double")).otherwise(round_np(cost, digits))
+    return with_price(df, prices, model).select(*columns, total.alias(out))
 
 
 def cost_totals(df: DataFrame, prices: DataFrame, group_cols=("model",), model: str = "model",
@@ -45,8 +38,8 @@ def cost_totals(df: DataFrame, prices: DataFrame, group_cols=("model",), model:
     g = list(group_cols)
     s = df.groupBy(*g).agg(F.sum(in_tok).alias("tot_in"), F.sum(out_tok).alias("tot_out"),
                            F.count(F.lit(1)).alias("n_papers"))
-    price = price_lookup(prices)[F.col(model)]
-    j = s
+    price = F.col("_price")
+    j = with_price(s, prices, model)
     tot = (F.col("tot_in") / F.lit(1e6) * price["pin"] + F.col("tot_out") / F.lit(1e6) * price["pout"])
     per = tot / F.col("n_papers")
     return j.select(*g, round_np(per, 4).alias("cost_per_paper"), round_np(per * 1000, 3).alias("cost_per_1k_papers"),
@@ -95,7 +88,7 @@ def cost_savings_sweep(answers_cost: DataFrame, question_stats: DataFrame, thres
                    *[F.count_if(~k).alias(f"_r{i}") for i, k in enumerate(kept)])
     # papers counted at t: those with an answered question kept at t, i.e. whose smallest
     # UNSURE rate among answered, right-signed questions is <= 100 t
-    pj = answers_cost.join(F.broadcast(qs), on=key, how="inner")
+    pj = answers_cost.join(qs, on=key, how="inner")
     per_paper = pj.groupBy(paper).agg(
         F.min(F.when(~F.col("_w"), F.col("unsure_pct"))).alias("_mr"), F.sum(cost).alias("_ps"))
     p_agg = per_paper.agg(F.avg("_ps").alias("_all"),

@@ -20,11 +20,7 @@ from pyspark.sql import functions as F
 
 from siftwork.functions.expr import as_int, f_beta, safe_div
 from siftwork.functions.text import parse_decision
-
-# Fixed value: the saved prompt layout of the per-question answer job.
-ANSWER_PROMPT = "Title: {title}\n\nAbstract: {abstract}\n\nQuestion: {question}"
-
-MAX_DIMENSION_ROWS = 10_000  # questions are a small dimension; refuse to inline more
+from siftwork.session import read_if_any
 
 
 def parse_decisions(df: DataFrame, raw: str = "raw_response", out: str = "decision") -> DataFrame:
@@ -140,20 +136,17 @@ def label_with(df: DataFrame, completer: Callable = rule_completer, prompt_col:
 
 
 def questions_array(questions) -> F.Column:
-    """Question dimension inlined as an array literal (refuses more than
-    MAX_DIMENSION_ROWS rows, so the inlined size is bounded)."""
+    """The questions as one array: a Python list is a literal, a DataFrame a scalar subquery."""
     if isinstance(questions, DataFrame):
-        rows = questions.select("id", "question").limit(MAX_DIMENSION_ROWS + 1).collect()
-        if len(rows) > MAX_DIMENSION_ROWS:
-            raise ValueError("question dimension too large to inline")
-        questions = [(r["id"], r["question"]) for r in rows]
+        each = F.struct(F.col("id").alias("question_id"), F.coalesce("question", "id").alias("question"))
+        return questions.agg(F.array_sort(F.collect_list(each))).scalar()
     return F.array(*[F.struct(F.lit(i).alias("question_id"), F.lit(q or i).alias("question"))
                      for i, q in questions])
 
 
 def answer_requests(papers: DataFrame, questions, id_col: str = "id") -> DataFrame:
     """papers x questions with the saved prompt text, one row per (paper, question);
-    the question list is a bounded literal, so this is an explode, not a join."""
+    the questions are one array, so this is an explode, not a join."""
     x = papers.select(F.col(id_col).alias("paper_id"), "title", "abstract",
                       F.explode(questions_array(questions)).alias("_q"))
     prompt = F.concat(F.lit("Title: "), F.coalesce("title", F.lit("")), F.lit("\n\nAbstract: "),
@@ -169,10 +162,8 @@ def run_answer_job(papers: DataFrame, questions, store_path: str, completer: Cal
     cache for the paper text stays warm. Returns processed / skipped counts."""
     spark = papers.sparkSession
     todo = answer_requests(papers, questions)
-    try:
-        done = spark.read.parquet(store_path).select("paper_id", "question_id")
-    except Exception:  # noqa: BLE001 - first run: no store yet
-        done = None
+    stored = read_if_any(lambda: spark.read.parquet(store_path))
+    done = None if stored is None else stored.select("paper_id", "question_id")
     total = todo.count()
     n_done = 0 if done is None else done.count()
     pending = todo if done is None else todo.join(done, ["paper_id", "question_id"], "left_anti")

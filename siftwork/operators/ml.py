@@ -16,13 +16,15 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import HashingTF, IDF, Normalizer, RegexTokenizer, StandardScaler
+from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwork.functions.vector import l2_normalize
 from siftwork.operators.split import stratified_folds
+from siftwork.session import read_if_any
 
 
 def with_features(df: DataFrame, vec: str = "embedding", out: str = "features") -> DataFrame:
@@ -32,10 +34,10 @@ def with_features(df: DataFrame, vec: str = "embedding", out: str = "features")
 
 
 def with_balanced_weights(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:
-    """n / (2 n_c): aggregate per class, join back (two-row broadcast)."""
+    """n / (2 n_c): aggregate per class, join back."""
     c = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
     c = c.withColumn(out, F.sum("_nc").over(Window.partitionBy()) / (2.0 * F.col("_nc"))).drop("_nc")
-    return df.join(F.broadcast(c), label, "inner")
+    return df.join(c, label, "inner")
 
 
 # ---------------------------------------------------------------- estimators
@@ -175,36 +177,39 @@ def seed_ensemble(scored_runs: DataFrame, id_col: str = "id") -> DataFrame:
 
 
 def hashing_encoder(num_features: int = 64):
-    """Offline text encoder: tokens -> hashed term counts -> IDF -> L2 normalised dense
-    array. Stands in for a pretrained sentence encoder."""
-    def encode(df: DataFrame, text_col: str = "text") -> DataFrame:
-        tok = RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern="\\W+", minTokenLength=1)
-        tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features)
-        idf = IDF(inputCol="_tf", outputCol="_idf")
-        nrm = Normalizer(inputCol="_idf", outputCol="_vec", p=2.0)
-        m = Pipeline(stages=[tok, tf, idf, nrm]).fit(df)
-        out = m.transform(df)
-        return out.withColumn("embedding", vector_to_array("_vec", "float32")).drop("_tok", "_tf", "_idf", "_vec")
+    """Offline text encoder, a function of the text alone: ASCII word tokens, lower-cased,
+    counted in ``num_features`` buckets by the first 32 bits of their MD5, L2-normalised.
+    Stands in for a pretrained sentence encoder. Texts without tokens get a zero vector."""
+    def encode(df: DataFrame, text_col: str = "text", key_col: str = "text_sha1") -> DataFrame:
+        tokens = F.filter(F.split(F.col(text_col), "[^A-Za-z0-9]+"), lambda t: t != "")
+        bucket = F.transform(tokens, lambda t: F.conv(F.substring(F.md5(F.lower(t)), 1, 8), 16, 10).cast("long") % num_features)
+        # bucket -1 keeps a row for every text
+        counts = df.select(key_col, F.explode(F.concat(F.array(F.lit(-1).cast("long")), F.coalesce(bucket, F.array().cast("array<bigint>")))).alias("b")) \
+            .groupBy(key_col, "b").agg(F.count(F.lit(1)).cast("double").alias("n"))
+        by_bucket = counts.groupBy(key_col).agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"))
+        raw = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(num_features - 1).cast("long")),
+                          lambda d: F.coalesce(F.element_at(F.col("m"), d), F.lit(0.0)))
+        return by_bucket.select(key_col, l2_normalize(raw).alias("embedding"))
     return encode
 
 
 def embed_with_store(df: DataFrame, store_path: str, model_name: str, encoder, text_col: str = "text",
                      id_col: str = "id") -> DataFrame:
     """Content-keyed embedding cache: texts whose (model, sha1(text)) is already stored are
-    not encoded again; new ones are encoded and appended (partitioned by model)."""
+    not encoded again; new ones are encoded and appended (partitioned by model). The
+    encoder sees different texts only, and only hashes go through the final join."""
     spark = df.sparkSession
-    keyed = df.withColumn("text_sha1", F.sha1(F.col(text_col).cast("binary")))
-    try:
-        store = spark.read.parquet(store_path).where(F.col("model") == model_name)
-    except Exception:  # noqa: BLE001 - empty store
-        store = None
-    todo = keyed if store is None else keyed.join(store.select("text_sha1"), "text_sha1", "left_anti")
-    todo = todo.dropDuplicates(["text_sha1"])
-    if todo.limit(1).count() > 0:
-        enc = encoder(todo, text_col).select("text_sha1", "embedding", F.lit(model_name).alias("model"))
-        enc.write.mode("append").partitionBy("model").parquet(store_path)
-    store = spark.read.parquet(store_path).where(F.col("model") == model_name)
-    return keyed.join(store.select("text_sha1", "embedding", "model"), "text_sha1", "inner").drop("text_sha1")
+    sha = F.sha1(F.col(text_col).cast("binary"))
+    store = read_if_any(lambda: spark.read.parquet(store_path))
+    todo = df.groupBy(sha.alias("text_sha1")).agg(F.first(text_col).alias(text_col)).where("text_sha1 is not null")
+    if store is not None:
+        todo = todo.join(store.where(F.col("model") == model_name).select("text_sha1"), "text_sha1", "left_anti")
+    encoder(todo, text_col).select("text_sha1", "embedding", F.lit(model_name).alias("model")) \
+        .write.mode("append").partitionBy("model").parquet(store_path)
+    store = spark.read.schema("text_sha1 string, embedding array<double>, model string").parquet(store_path) \
+        .where(F.col("model") == model_name)
+    rows = df.select(*[c for c in df.columns if c != text_col], sha.alias("text_sha1"))
+    return rows.join(store, "text_sha1", "inner").drop("text_sha1")
 
 
 def svm_platt(inner_folds: int = 3, max_iter: int = 100):

@@ -4,17 +4,16 @@ A plain ``sum(x) over (partition by g order by o)`` sends each group to a
 single task; with five folds, or one label holding a third of all rows, that
 is a handful of tasks for the whole table. Instead:
 
-1. range-partition the rows on ``(g, o)`` so a large group is cut into many
-   ordered blocks (``spark_partition_id`` is the block number);
-2. running totals inside each ``(g, block)`` with a window (bounded size);
-3. block totals per ``(g, block)`` -> a table of at most
-   ``blocks + groups`` rows -> exclusive prefix over blocks per group;
-4. add the block offset back (AQE broadcasts the offsets at run time only
-   when their measured size is under the broadcast threshold).
-
-The range exchange is shared by both consumers (ReusedExchange), so block
-numbers are consistent, and a retried task re-derives them from the same
-partitioner.
+1. each row gets a *block*: a pure function of its order key that never decreases
+   along the order, so a large group is cut into many ordered blocks;
+2. running totals inside each ``(g, block)`` with a window (one hash exchange);
+3. block totals per ``(g, block)`` -> exclusive prefix over blocks per group;
+4. add the block offset back (same keys as the window, so no further exchange of
+   the rows).
+
+Because the block depends on nothing but the row, both branches and any
+recomputed task agree on it, whatever columns are carried and whether or not
+exchanges are reused.
 """
 
 from __future__ import annotations
@@ -22,41 +21,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+_STEPS_PER_OCTAVE = 1024
+
+
+def number_block(value: Column, descending: bool = False) -> list[Column]:
+    """Blocks of a numeric key: its sign, then a step of its binary logarithm (about 0.07 %
+    wide). Both never decrease with the value (nor, negated, against it). NULLs share a block."""
+    x = value.cast("double")
+    sign = F.signum(x)
+    step = F.when(x == 0, F.lit(0.0)).otherwise(sign * F.floor(F.log2(F.abs(x)) * _STEPS_PER_OCTAVE))
+    way = -1 if descending else 1
+    return [sign * way, step * way]
+
 
-def _num_blocks(df: DataFrame, num_blocks: int | None) -> int:
-    if num_blocks:
-        return int(num_blocks)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+def hex_block(digest: Column, digits: int = 3) -> list[Column]:
+    """Blocks of a hex digest in ascending order: its leading digits (uniform by construction)."""
+    return [F.substring(digest, 1, digits)]
+
+
+def key_block(df: DataFrame, name: str) -> list[Column]:
+    """Blocks of an id column in ascending order: numbers by size, text by its first characters."""
+    if dict(df.dtypes)[name] == "string":
+        return [F.substring(F.col(name), 1, 4)]
+    return number_block(F.col(name))
 
 
 def running_totals(df: DataFrame, group_cols: list[str], order: list[Column],
-                   value_cols: list[str], prefix: str = "cum_",
-                   num_blocks: int | None = None) -> DataFrame:
-    """Add ``{prefix}{v}`` = inclusive running sum of ``v`` within ``group_cols``
-    following ``order`` (the order must be total, e.g. end with a unique key)."""
-    n = _num_blocks(df, num_blocks)
-    blk = "_sw_blk"
-    ranged = df.repartitionByRange(n, *[F.col(g) for g in group_cols], *order) \
-        .withColumn(blk, F.spark_partition_id())
-    w_in = (Window.partitionBy(*group_cols, blk).orderBy(*order)
+                   value_cols: list[str], block: list[Column], prefix: str = "cum_") -> DataFrame:
+    """Add ``{prefix}{v}`` = inclusive running sum of ``v`` within ``group_cols`` following
+    ``order`` (total, e.g. ending with a unique key); ``block`` columns ascend along it."""
+    blks = [f"_sw_blk{i}" for i in range(len(block))]
+    rows = df.select("*", *[b.alias(n) for b, n in zip(block, blks)])
+    w_in = (Window.partitionBy(*group_cols, *blks).orderBy(*order)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = ranged.select("*", *[F.sum(v).over(w_in).alias(f"_sw_l_{v}") for v in value_cols])
-    totals = ranged.groupBy(*group_cols, blk).agg(*[F.sum(v).alias(f"_sw_t_{v}") for v in value_cols])
-    w_off = Window.partitionBy(*group_cols).orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
+    local = rows.select("*", *[F.sum(v).over(w_in).alias(f"_sw_l_{v}") for v in value_cols])
+    totals = rows.groupBy(*group_cols, *blks).agg(*[F.sum(v).alias(f"_sw_t_{v}") for v in value_cols])
+    w_off = Window.partitionBy(*group_cols).orderBy(*blks).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *group_cols, blk,
+        *group_cols, *blks,
         *[F.coalesce(F.sum(f"_sw_t_{v}").over(w_off), F.lit(0)).alias(f"_sw_o_{v}") for v in value_cols])
-    cond = [local[g].eqNullSafe(offsets[g]) for g in group_cols] + [local[blk] == offsets[blk]]
+    cond = [local[c].eqNullSafe(offsets[c]) for c in [*group_cols, *blks]]
     joined = local.join(offsets, on=cond, how="inner")
     out_cols = [local[c] for c in df.columns] + [
         (F.col(f"_sw_l_{v}") + F.col(f"_sw_o_{v}")).alias(f"{prefix}{v}") for v in value_cols]
     return joined.select(*out_cols)
-
-
-def group_totals(df: DataFrame, group_cols: list[str], value_cols: list[str],
-                 prefix: str = "total_") -> DataFrame:
-    """Per-group totals joined back to every row (aggregate + join, no group window)."""
-    tot = df.groupBy(*group_cols).agg(*[F.sum(v).alias(f"{prefix}{v}") for v in value_cols])
-    cond = [df[g].eqNullSafe(tot[g]) for g in group_cols]
-    return df.join(tot, on=cond, how="inner").select(
-        *[df[c] for c in df.columns], *[tot[f"{prefix}{v}"] for v in value_cols])

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwork.functions.expr import as_int, f_beta, nan_to_null, round_np, safe_div
-from siftwork.operators.prefix import running_totals
+from siftwork.operators.prefix import key_block, number_block, running_totals
 
 END_POINT_EPS = 1e-6  # fixed value: offset below the minimum score for the end point
 EXACT_TOL = 1e-6      # fixed value: |recall - target| below this counts as exactly reached
@@ -51,13 +51,12 @@ def score_counts(scored: DataFrame, group_cols=None, label: str = "label",
             .agg(F.sum(y).cast("long").alias("pos"), F.sum(1 - y).cast("long").alias("neg")))
 
 
-def pr_curve(scored: DataFrame, group_cols=None, label: str = "label", score: str = "score",
-             num_blocks: int | None = None) -> DataFrame:
+def pr_curve(scored: DataFrame, group_cols=None, label: str = "label", score: str = "score") -> DataFrame:
     """Per distinct score: tp/fp at threshold = score (predict score >= threshold),
     group totals P/N, precision, recall. Recall is 1 everywhere when P = 0."""
     g = _g(group_cols)
     counts = score_counts(scored, g, label, score)
-    cum = running_totals(counts, g, [F.col("score").desc()], ["pos", "neg"], num_blocks=num_blocks)
+    cum = running_totals(counts, g, [F.col("score").desc()], ["pos", "neg"], number_block(F.col("score"), descending=True))
     tot = counts.groupBy(*g).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"),
                                  F.min("score").alias("min_score"), F.max("score").alias("max_score"))
     j = _join_totals(cum, tot, g)
@@ -145,12 +144,11 @@ FOLD_METRICS = ["roc_auc", "pr_auc", "f1", "f2", "accuracy", "recall", "precisio
 
 
 def evaluate_fixed_recall(scored: DataFrame, group_cols=None, target_recall: float = 0.95,
-                          label: str = "label", score: str = "score", targets=None,
-                          num_blocks: int | None = None) -> DataFrame:
+                          label: str = "label", score: str = "score", targets=None) -> DataFrame:
     """Fold-result rows at a fixed recall: threshold tuned per group (on that group's
     own rows, as in the study), predictions score >= threshold, all metrics."""
     g = _g(group_cols)
-    curve = pr_curve(scored, g, label, score, num_blocks=num_blocks)
+    curve = pr_curve(scored, g, label, score)
     summ = ranking_summary(curve, g, targets or (target_recall,))
     m = with_confusion_metrics(summ)
     return m.select(*g, *FOLD_METRICS, "support_pos", "support_neg", "target_recall",
@@ -158,11 +156,11 @@ def evaluate_fixed_recall(scored: DataFrame, group_cols=None, target_recall: flo
 
 
 def evaluate_default(scored: DataFrame, group_cols=None, label: str = "label",
-                     score: str = "score", num_blocks: int | None = None) -> DataFrame:
+                     score: str = "score") -> DataFrame:
     """Fold-result rows at the automatic threshold: 0.5 when all scores of the group lie
     in [0, 1] (probabilities), else 0.0 (margins)."""
     g = _g(group_cols)
-    curve = pr_curve(scored, g, label, score, num_blocks=num_blocks)
+    curve = pr_curve(scored, g, label, score)
     neg_below = F.col("N") - F.col("fp")
     s = curve.groupBy(*g).agg(
         F.first("P").alias("P"), F.first("N").alias("N"),
@@ -291,8 +289,7 @@ def highest_threshold_reaching(grid: DataFrame, group_cols=None, floor: float =
 
 
 def wss_at_recall(scored: DataFrame, group_cols=None, target_recall: float = 0.95,
-                  label: str = "label", score: str = "score", id_col: str = "id",
-                  num_blocks: int | None = None) -> DataFrame:
+                  label: str = "label", score: str = "score", id_col: str = "id") -> DataFrame:
     """Work saved over sampling: rows by score desc (ties by id), smallest k whose
     cumulative positives reach ceil(R * P); WSS = 1 - k/N clamped to [0, 1]; 0 without
     positives. (1 - k/N as in the study, not the published 1 - k/N - (1 - R).)
@@ -302,7 +299,7 @@ def wss_at_recall(scored: DataFrame, group_cols=None, target_recall: float = 0.9
     it; only the rows tied at s* are then ranked by id to place the m-th positive."""
     g = _g(group_cols)
     t = F.lit(float(target_recall))
-    curve = pr_curve(scored, g, label, score, num_blocks=num_blocks)
+    curve = pr_curve(scored, g, label, score)
     need = F.ceil(t * F.col("P").cast("double"))
     crit = curve.groupBy(*g).agg(
         F.first("P").alias("n_pos"), (F.first("P") + F.first("N")).alias("n"),
@@ -319,7 +316,7 @@ def wss_at_recall(scored: DataFrame, group_cols=None, target_recall: float = 0.9
                          F.lit(1).alias("_n"))
     cond = [rows[c].eqNullSafe(key[c]) for c in g] + [rows["_sc"] == key["_s"]]
     tie = rows.join(key, on=cond, how="inner").select(*[rows[c] for c in g], "_y", "_id", "_n", "_m")
-    cum = running_totals(tie, g, [F.col("_id").asc()], ["_y", "_n"], num_blocks=num_blocks)
+    cum = running_totals(tie, g, [F.col("_id").asc()], ["_y", "_n"], key_block(tie, "_id"))
     pos_in_tie = cum.where((F.col("_y") == 1) & (F.col("cum__y") == F.col("_m"))) \
         .groupBy(*g).agg(F.min("cum__n").alias("_pos_in_tie"))
     if g:

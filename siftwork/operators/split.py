@@ -15,7 +15,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwork.operators.prefix import running_totals
+from siftwork.operators.prefix import hex_block, running_totals
 
 
 def hash_key(id_col: str = "id", seed: int = 42) -> F.Column:
@@ -23,10 +23,10 @@ def hash_key(id_col: str = "id", seed: int = 42) -> F.Column:
 
 
 def class_rank(df: DataFrame, label: str = "label", id_col: str = "id", seed: int = 42,
-               out: str = "_rank", num_blocks: int | None = None) -> DataFrame:
+               out: str = "_rank") -> DataFrame:
     """0-based rank of each row inside its class in hash order, plus the class size."""
     x = df.withColumn("_h", hash_key(id_col, seed)).withColumn("_one", F.lit(1))
-    r = running_totals(x, [label], [F.col("_h"), F.col(id_col)], ["_one"], num_blocks=num_blocks)
+    r = running_totals(x, [label], [F.col("_h"), F.col(id_col)], ["_one"], hex_block(F.col("_h")))
     sizes = x.groupBy(label).agg(F.count(F.lit(1)).alias("_class_n"))
     cond = [r[label].eqNullSafe(sizes[label])]
     j = r.join(sizes, on=cond, how="inner").select(*[r[c] for c in r.columns], "_class_n")
@@ -34,18 +34,18 @@ def class_rank(df: DataFrame, label: str = "label", id_col: str = "id", seed: in
 
 
 def stratified_folds(df: DataFrame, k: int = 5, label: str = "label", id_col: str = "id",
-                     seed: int = 42, num_blocks: int | None = None) -> DataFrame:
+                     seed: int = 42) -> DataFrame:
     """fold = rank-in-class % k: folds are disjoint, complete, and per-class counts
     differ by at most one between folds."""
-    r = class_rank(df, label, id_col, seed, num_blocks=num_blocks)
+    r = class_rank(df, label, id_col, seed)
     return r.withColumn("fold", (F.col("_rank") % k).cast("int")).drop("_rank", "_class_n")
 
 
 def holdout_split(df: DataFrame, test: float = 0.2, val: float = 0.0, label: str = "label",
-                  id_col: str = "id", seed: int = 42, num_blocks: int | None = None) -> DataFrame:
+                  id_col: str = "id", seed: int = 42) -> DataFrame:
     """Stratified hold-out: per class, the first round(n*test) rows in hash order are
     'test', the next round(n*val) 'val', the rest 'train' (60/20/20 = test .2, val .2)."""
-    r = class_rank(df, label, id_col, seed, num_blocks=num_blocks)
+    r = class_rank(df, label, id_col, seed)
     n = F.col("_class_n").cast("double")
     n_test = F.round(n * F.lit(float(test)), 0)
     n_val = F.round(n * F.lit(float(val)), 0)

@@ -1,10 +1,10 @@
 """Evaluation-result store and fingerprints (S-09, A-22) and the vector collection
 table (S-14).
 
-Results are rows of a Parquet table partitioned by (embedding_model, classifier),
-keyed by an order-free data hash and a configuration hash. A lookup is an
-equality filter (partition pruning + pushed predicates); saving replaces only
-the written partitions (dynamic partition overwrite).
+Results are rows of a Parquet table partitioned by (embedding_model, classifier)
+and by their keys, an order-free data hash and a configuration hash. A lookup is an
+equality filter (partition pruning); saving replaces only the written
+partitions (dynamic partition overwrite).
 """
 
 from __future__ import annotations
@@ -15,7 +15,10 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwork.session import read_if_any
+
 PARTITIONS = ("embedding_model", "classifier")
+KEYS = ("data_hash", "config_hash")
 
 
 def data_hash(df: DataFrame, cols) -> DataFrame:
@@ -39,55 +42,47 @@ def config_hash(name: str, params: dict, **cv) -> str:
 
 
 def save_results(folds: DataFrame, path: str, data_key: str, config_key: str) -> None:
-    """Append/replace the fold rows of one evaluation (keyed by data and config hash)."""
-    spark = folds.sparkSession
+    """Store the fold rows of one evaluation, replacing an earlier save of the same keys.
+
+    The table is partitioned down to the two key hashes, so a save overwrites only its own
+    rows: other evaluations are neither read nor rewritten, whatever columns they have."""
     out = folds.withColumn("data_hash", F.lit(data_key)).withColumn("config_hash", F.lit(config_key))
-    try:
-        old = spark.read.parquet(path)
-        keep = old.where(~((F.col("data_hash") == data_key) & (F.col("config_hash") == config_key)))
-        parts = out.select(*PARTITIONS).distinct()
-        keep = keep.join(parts, list(PARTITIONS), "left_semi")
-        out = keep.unionByName(out, allowMissingColumns=True)
-        out = _materialise(out)
-    except Exception:  # noqa: BLE001 - no store yet
-        pass
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-        .partitionBy(*PARTITIONS).parquet(path)
-
-
-def _materialise(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint before overwriting the partitions it was read from."""
-    from siftwork.session import cut_lineage
-    return cut_lineage(df)
+        .partitionBy(*PARTITIONS, *KEYS).parquet(path)
 
 
 def load_results(spark: SparkSession, path: str, data_key: str, config_key: str,
                  embedding_model: str | None = None, classifier: str | None = None) -> DataFrame | None:
-    """Stored fold rows when every key matches, else None."""
-    try:
-        df = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001
+    """Stored fold rows when every key matches, else None. Only the folders of these keys are
+    read, so evaluations stored with other columns or types do not matter."""
+    folders = f"{path}/*/*/data_hash={data_key}/config_hash={config_key}"
+    df = read_if_any(lambda: spark.read.option("basePath", path).parquet(folders))
+    if df is None:
         return None
-    cond = (F.col("data_hash") == data_key) & (F.col("config_hash") == config_key)
+    df = df.withColumns({c: F.col(c).cast("string") for c in PARTITIONS} | {KEYS[0]: F.lit(data_key), KEYS[1]: F.lit(config_key)})
+    cond = F.lit(True)
     if embedding_model is not None:
         cond = cond & (F.col("embedding_model") == embedding_model)
     if classifier is not None:
         cond = cond & (F.col("classifier") == classifier)
     hit = df.where(cond)
-    return hit if hit.limit(1).count() else None
+    return hit if not hit.isEmpty() else None
 
 
 def list_results(spark: SparkSession, path: str) -> DataFrame:
     """One metadata row per stored evaluation."""
-    df = spark.read.parquet(path)
-    return df.groupBy(*PARTITIONS, "data_hash", "config_hash").agg(F.count(F.lit(1)).alias("n_folds"))
+    df = read_if_any(lambda: spark.read.parquet(path))
+    if df is None:
+        return spark.createDataFrame([], ", ".join(f"{c} string" for c in (*PARTITIONS, *KEYS)) + ", n_folds bigint")
+    named = df.select(*(F.col(c).cast("string").alias(c) for c in (*PARTITIONS, *KEYS)))
+    return named.groupBy(*PARTITIONS, *KEYS).agg(F.count(F.lit(1)).alias("n_folds"))
 
 
 def clear_results(spark: SparkSession, path: str) -> None:
     """Empty the store (overwrite with an empty table of the same schema)."""
     schema = spark.read.parquet(path).schema
     spark.createDataFrame([], schema).write.mode("overwrite").option("partitionOverwriteMode", "static") \
-        .partitionBy(*PARTITIONS).parquet(path)
+        .partitionBy(*PARTITIONS, *KEYS).parquet(path)
 
 
 # ---------------------------------------------------------------- vector collection

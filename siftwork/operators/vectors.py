@@ -16,15 +16,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwork.functions.vector import l2_norm, l2_normalize, scale
 
-NN_SCHEMA = "query_id long, neighbor_id long, distance double"
-SMOTE_BROADCAST_ROWS = 100_000  # minority rows broadcast to the synthetic-index range below this
-
-
 def normalize(df: DataFrame, vec: str = "embedding", out: str | None = None) -> DataFrame:
     """L2 normalisation in double precision; a zero vector is left unchanged."""
     return df.withColumn(out or vec, l2_normalize(vec))
@@ -42,44 +38,38 @@ def _tiles(n: int, tile_rows: int) -> int:
 
 def _block_topk(k: int, exclude_self: bool, chunk_rows: int = 512):
     """Per (query tile, corpus tile): exact top-k by (distance, neighbour id). Distances
-    are computed in chunks of ``chunk_rows`` queries, so memory is chunk x tile."""
+    are computed in chunks of ``chunk_rows`` queries, so memory is chunk x tile. The
+    distance to or from a zero vector is undefined: NULL, ranked after all others."""
     def fn(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": pd.Series([], dtype="int64"),
-                              "neighbor_id": pd.Series([], dtype="int64"),
-                              "distance": pd.Series([], dtype="float64")})
         if len(q) == 0 or len(c) == 0:
-            return empty
+            return pd.DataFrame({"query_id": q["qid"][:0], "neighbor_id": c["cid"][:0],
+                                 "distance": pd.Series([], dtype="float64")})
         qv = np.vstack(q["qv"].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
         cv = np.vstack(c["cv"].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
-        qid = q["qid"].to_numpy(dtype=np.int64)
-        cid = c["cid"].to_numpy(dtype=np.int64)
+        qid, cid = (np.array(x.tolist()) for x in (q["qid"], c["cid"]))  # numbers or text
         qn = np.sqrt((qv * qv).sum(axis=1))
         cn = np.sqrt((cv * cv).sum(axis=1))
-        kk = min(k, len(cid))
         outs = []
         for s0 in range(0, len(qid), chunk_rows):
             ids = qid[s0:s0 + chunk_rows]
             with np.errstate(divide="ignore", invalid="ignore"):
                 dist = 1.0 - (qv[s0:s0 + chunk_rows] @ cv.T) / np.outer(qn[s0:s0 + chunk_rows], cn)
-            key = np.where(np.isnan(dist), np.inf, dist)
-            if exclude_self:
-                key[ids[:, None] == cid[None, :]] = np.inf
-            if kk < key.shape[1]:
-                cut = np.partition(key, kk - 1, axis=1)[:, kk - 1]
-                r, j = np.nonzero(key <= cut[:, None])   # every tie at the cut is kept
+            dist[~np.isfinite(dist)] = np.inf
+            allowed = ids[:, None] != cid[None, :] if exclude_self else np.ones(dist.shape, dtype=bool)
+            if k + 1 < dist.shape[1]:  # k allowed ones are among the k + 1 smallest and their ties
+                cut = np.partition(dist, k, axis=1)[:, k]
+                r, j = np.nonzero((dist <= cut[:, None]) & allowed)
             else:
-                r, j = np.nonzero(np.ones(key.shape, dtype=bool))
-            d = key[r, j]
-            fin = np.isfinite(d)
-            r, j, d = r[fin], j[fin], d[fin]
+                r, j = np.nonzero(allowed)
+            d = dist[r, j]
             order = np.lexsort((cid[j], d, r))            # by row, then distance, then id
-            r, j = r[order], j[order]
-            starts = np.r_[0, np.flatnonzero(np.diff(r)) + 1]
+            r, j, d = r[order], j[order], d[order]
+            starts = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.empty(0, dtype=int)
             rank = np.arange(len(r)) - np.repeat(starts, np.diff(np.r_[starts, len(r)]))
-            sel = rank < kk
+            sel = rank < k
             outs.append(pd.DataFrame({"query_id": ids[r[sel]], "neighbor_id": cid[j[sel]],
-                                      "distance": dist[r[sel], j[sel]]}))
-        return pd.concat(outs, ignore_index=True) if outs else empty
+                                      "distance": np.where(np.isinf(d[sel]), np.nan, d[sel])}))
+        return pd.concat(outs, ignore_index=True)
     return fn
 
 
@@ -87,22 +77,78 @@ def nearest_neighbours(queries: DataFrame, corpus: DataFrame, k: int, q_id: str
                        c_id: str = "id", q_vec: str = "embedding", c_vec: str = "embedding",
                        exclude_self: bool = True, tile_rows: int = 8192) -> DataFrame:
     """Exact cosine-distance top-k: (query_id, rank, neighbor_id, distance), ties by
-    neighbour id. ``exclude_self`` drops corpus rows with the query's own id."""
+    neighbour id; every query has min(k, other corpus rows) rows. ``exclude_self`` drops
+    corpus rows with the query's own id. Ids may be numbers or text. All pairs are
+    computed, so one side must be small (a stated query set, one label's rows);
+    ``approximate_neighbours`` is the form for two large sides."""
     nq = _tiles(queries.count(), tile_rows)
     nc = _tiles(corpus.count(), tile_rows)
-    q = queries.select(F.col(q_id).cast("long").alias("qid"), F.col(q_vec).alias("qv"),
-                       F.pmod(F.xxhash64(q_id), F.lit(nq)).alias("qt"),
-                       F.explode(F.sequence(F.lit(0), F.lit(nc - 1))).alias("ct"))
-    c = corpus.select(F.col(c_id).cast("long").alias("cid"), F.col(c_vec).alias("cv"),
-                      F.pmod(F.xxhash64(c_id), F.lit(nc)).alias("ct"),
-                      F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qt"))
+
+    def tile(col: str, n: int):  # one type on both sides, or equal tiles would hash apart
+        return F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
+
+    def every(n: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    q = queries.select(F.col(q_id).alias("qid"), F.col(q_vec).alias("qv"), tile(q_id, nq).alias("qt"), every(nc).alias("ct"))
+    c = corpus.select(F.col(c_id).alias("cid"), F.col(c_vec).alias("cv"), tile(c_id, nc).alias("ct"), every(nq).alias("qt"))
+    kinds = [x.schema[n].dataType.simpleString() for x, n in ((q, "qid"), (c, "cid"))]
     cand = q.groupBy("qt", "ct").cogroup(c.groupBy("qt", "ct")).applyInPandas(
-        _block_topk(k, exclude_self), NN_SCHEMA)
+        _block_topk(k, exclude_self), f"query_id {kinds[0]}, neighbor_id {kinds[1]}, distance double")
+    return _best(cand, k)
+
+
+def _best(cand: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.col("distance").asc_nulls_last(), "neighbor_id")
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k) \
         .select("query_id", "rank", "neighbor_id", "distance")
 
 
+def _cell_signs(vec: str, dim: int, bits: int, table: int, seed: int):
+    """Cell of a vector in one hash table: the signs of ``bits`` seeded random projections,
+    and each projection's size (small ones are the likeliest to differ in a near vector)."""
+    rng = np.random.default_rng([seed, table])
+    planes = rng.standard_normal((bits, dim))
+    v = F.transform(vec, lambda x: x.cast("double"))
+    return [F.aggregate(F.zip_with(v, F.array(*[F.lit(float(x)) for x in p]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+            for p in planes]
+
+
+def approximate_neighbours(queries: DataFrame, corpus: DataFrame, k: int, dim: int, q_id: str = "id", c_id: str = "id",
+                           q_vec: str = "embedding", c_vec: str = "embedding", exclude_self: bool = True,
+                           bits: int = 6, tables: int = 12, probes: int = 4, seed: int = 42, tile_rows: int = 4096) -> DataFrame:
+    """Cosine top-k from candidate cells with exact re-rank: (query_id, rank, neighbor_id,
+    distance).
+
+    Every corpus vector is filed in one cell of each of ``tables`` hash tables (signs of
+    ``bits`` random projections); a query looks into its own cell and the ``probes`` cells that
+    differ in its least certain sign. A cell meets its queries in co-group tasks; cells above
+    ``tile_rows`` vectors are cut into pieces by an id hash, and their queries go to every
+    piece, so a hot cell is many tasks of bounded size. Distances inside a cell are exact;
+    only neighbours that share no probed cell are missed. Size ``bits`` so that
+    corpus rows / 2^bits stays near ``tile_rows``."""
+    piece_of = corpus.select(F.col(c_id).alias("cid"), F.col(c_vec).alias("cv"), F.array(*[
+        F.struct(F.lit(t).alias("table"), sum(((x > 0).cast("int") * (1 << i) for i, x in enumerate(_cell_signs(c_vec, dim, bits, t, seed))), F.lit(0)).alias("cell"))
+        for t in range(tables)]).alias("cells")).select("cid", "cv", F.inline("cells"))
+    sizes = piece_of.groupBy("table", "cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile_rows)).cast("int").alias("pieces"))
+    looks = []
+    for t in range(tables):
+        xs = _cell_signs(q_vec, dim, bits, t, seed)
+        own = sum(((x > 0).cast("int") * (1 << i) for i, x in enumerate(xs)), F.lit(0))
+        doubt = F.slice(F.array_sort(F.array(*[F.struct(F.abs(x).alias("size"), F.lit(1 << i).alias("bit")) for i, x in enumerate(xs)])), 1, probes)
+        near = F.transform(doubt, lambda d, own=own: own.bitwiseXOR(d["bit"]))
+        looks.append(F.transform(F.concat(F.array(own), near), lambda cell, t=t: F.struct(F.lit(t).alias("table"), cell.alias("cell"))))
+    asked = queries.select(F.col(q_id).alias("qid"), F.col(q_vec).alias("qv"), F.inline(F.flatten(F.array(*looks))))
+    asked = asked.join(sizes, ["table", "cell"]).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    cells = sizes.select("table", "cell", F.col("pieces").alias("cut"))
+    held = piece_of.join(cells, ["table", "cell"]).withColumn("piece", F.pmod(F.xxhash64("cid"), F.col("cut")).cast("int"))
+    kinds = [x.schema[n].dataType.simpleString() for x, n in ((asked, "qid"), (held, "cid"))]
+    key = ["table", "cell", "piece"]
+    cand = asked.groupBy(*key).cogroup(held.groupBy(*key)).applyInPandas(
+        _block_topk(k, exclude_self), f"query_id {kinds[0]}, neighbor_id {kinds[1]}, distance double")
+    return _best(cand.groupBy("query_id", "neighbor_id").agg(F.min("distance").alias("distance")), k)
+
+
 def nearest_by_label(queries: DataFrame, corpus: DataFrame, k: int, label: str = "label",
                      labels=(True, False), **kw) -> DataFrame:
     """Top-k per label value of the corpus (label filter pushed before the search);
@@ -117,9 +163,11 @@ def nearest_by_label(queries: DataFrame, corpus: DataFrame, k: int, label: str =
     return out
 
 
-def exclude_containing(df: DataFrame, text_col: str, query: str) -> DataFrame:
-    """Drop every document containing the query text (not only the query itself)."""
-    return df.where(~F.col(text_col).contains(query))
+def exclude_containing(df: DataFrame, text_col: str, query) -> DataFrame:
+    """Drop every document containing the query text (not only the query itself): a literal,
+    or a column for retrieval results that carry both texts. NULL texts contain nothing."""
+    q = query if isinstance(query, Column) else F.lit(query)
+    return df.where(~F.coalesce(F.col(text_col).contains(q), F.lit(False)))
 
 
 def lookup(df: DataFrame, id_value, id_col: str = "id") -> DataFrame:
@@ -153,18 +201,18 @@ def smote(df: DataFrame, k: int = 3, target: str = "target", id_col: str = "id",
     # synthetic row j comes from minority row j % n_min: the indices are a distributed
     # range, so a tiny minority facing a huge majority never expands inside one task
     gen = spark_range(df, n_synth).select(F.col("id").alias("_j"), (F.col("id") % n_min).alias("_r"))
-    # the minority side is broadcast only below a row bound checked from the counts above
-    side = F.broadcast(ranked) if n_min <= SMOTE_BROADCAST_ROWS else ranked
-    gen = gen.join(side, "_r", "inner")
+    gen = gen.join(ranked, "_r", "inner")  # every rank 0 .. n_min - 1 exists once
     h = F.xxhash64(F.col(id_col), F.col("_j"), F.lit(seed))
     n_nb = nn.groupBy("query_id").agg(F.max("rank").alias("_nk"))
-    gen = gen.join(n_nb, gen[id_col] == n_nb["query_id"], "inner").drop("query_id")
+    gen = gen.join(n_nb, gen[id_col] == n_nb["query_id"], "left").drop("query_id")
     gen = gen.withColumn("_pick", F.pmod(h, F.col("_nk")) + 1) \
              .withColumn("_u", F.pmod(F.xxhash64(F.col(id_col), F.col("_j"), F.lit(seed + 1)), F.lit(1 << 30))
                          / F.lit(float(1 << 30)))
-    nbv = mino.select(F.col(id_col).alias("_nid"), F.col(vec).alias("_nv"))
-    g2 = gen.join(nn, (gen[id_col] == nn["query_id"]) & (gen["_pick"] == nn["rank"]), "inner") \
-            .join(nbv, F.col("neighbor_id") == F.col("_nid"), "inner")
+    nbv = mino.select(F.col(id_col).alias("_nid"), F.col(vec).alias("_other"))
+    # a parent without neighbours (the only minority row) is repeated as it is
+    g2 = gen.join(nn, (gen[id_col] == nn["query_id"]) & (gen["_pick"] == nn["rank"]), "left") \
+            .join(nbv, F.col("neighbor_id") == F.col("_nid"), "left") \
+            .withColumn("_nv", F.coalesce("_other", F.col(vec)))
     newv = F.zip_with(F.col(vec), F.col("_nv"), lambda a, b: a.cast("double") + F.col("_u") * (b - a))
     synth = g2.select((-F.col("_j") - 1).alias(id_col), newv.alias(vec),
                       F.col(target), F.lit(True).alias("synthetic"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siftwork.operators import answers as A
 from siftwork.operators import cost as CO
+from siftwork.plans import sqlsnips as S
 from siftwork.plans.common import finish
 from siftwork.sources import fixtures as fx
 from siftwork.sources.dimensions import prices_df, question_ids
@@ -88,7 +89,7 @@ def q_cost_per_1000(spark, sf):
     """Cost per 1000 papers with all questions and with the filtered ones (A-08, J-09)."""
     ac = _answers_cost(spark, sf)
     removed = _stats(spark, sf).where("removed").select("question_id")
-    kept = ac.join(F.broadcast(removed), "question_id", "left_anti")  # <= 29 question ids
+    kept = ac.join(removed, "question_id", "left_anti")
     a = CO.cost_per_1000(ac).select(F.lit("all").alias("features"), "cost_per_1000")
     b = CO.cost_per_1000(kept).select(F.lit("filtered").alias("features"), "cost_per_1000")
     return finish(a.unionByName(b))
@@ -117,17 +118,19 @@ QUERIES = {
 
 # ---------------------------------------------------------------- DuckDB side
 
-ANSWERS = """answers AS (
+ANSWERS = f"""{S.PRICES},
+answers AS (
   SELECT l.doc_id AS paper_id,
     CASE WHEN q <= 17 THEN 'I' || CAST(q AS VARCHAR) ELSE 'E' || CAST(q - 17 AS VARCHAR) END AS question_id,
     CASE WHEN (l.doc_id * 7 + q * 13) % 100 < q THEN 'UNSURE'
-         WHEN (l.doc_id * 31 + q * 17) % 100 < CASE WHEN q <= 17 OR q % 4 = 0 THEN 30 + 30 * l.quality
-                                                    ELSE 60 - 30 * l.quality END THEN 'YES'
+         WHEN (l.doc_id * 31 + q * 17) % 100 < CASE WHEN q <= 17 OR q % 4 = 0 THEN 30 + 30 * l.ql
+                                                    ELSE 60 - 30 * l.ql END THEN 'YES'
          ELSE 'NO' END AS response,
-    'gpt-5-mini' AS model, CAST(50 + d.n_chars // 4 AS BIGINT) AS input_tokens, CAST(1 + q % 7 AS BIGINT) AS output_tokens
-  FROM labels l JOIN documents d ON l.doc_id = d.doc_id CROSS JOIN range(1, 30) t(q)),
+    {S.MODELS}[CAST(l.doc_id % 5 AS INTEGER) + 1] AS model, CAST(50 + d.n_chars // 4 AS BIGINT) AS input_tokens, CAST(1 + q % 7 AS BIGINT) AS output_tokens
+  FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE quality END AS ql FROM labels) l JOIN documents d ON l.doc_id = d.doc_id CROSS JOIN range(1, 30) t(q)),
 ac AS (
-  SELECT *, round_even((input_tokens / 1e6 * 0.25::DOUBLE + output_tokens / 1e6 * 2.0::DOUBLE) * 1e6, 0) / 1e6 AS cost_usd FROM answers),
+  SELECT a.*, round_even((input_tokens / 1e6 * pin + output_tokens / 1e6 * pout) * 1e6, 0) / 1e6 AS cost_usd
+  FROM answers a JOIN prices USING (model)),
 lab AS (SELECT doc_id AS paper_id, quality = 1 AS label FROM labels)"""
 
 STATS = """ur AS (

@@ -76,7 +76,7 @@ def q_document_embeddings(spark, sf):
     path = _scratch(spark, "embeddings")
     d = read_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     e = M.embed_with_store(d, path, "hashing-64", M.get_encoder("hashing-64"))
-    return e.select("id", "model", F.size("embedding").alias("dim"))
+    return finish(e.select("id", "model", "embedding"))
 
 
 QUERIES = {
@@ -96,6 +96,13 @@ SELECT fold, CAST(target_recall AS VARCHAR) AS target_recall,
   CASE WHEN isinf(threshold_literal) THEN 'inf' ELSE CAST(threshold_literal AS VARCHAR) END AS threshold_literal,
   CASE WHEN isinf(threshold_corrected) THEN 'inf' ELSE CAST(threshold_corrected AS VARCHAR) END AS threshold_corrected
 FROM s""",
+    "document_embeddings": """WITH tok AS (
+  SELECT doc_id, lower(t) AS t FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[^A-Za-z0-9]+')) AS t FROM documents) WHERE t <> ''),
+c AS (SELECT doc_id, ('0x' || substr(md5(t), 1, 8))::BIGINT % 64 AS b, COUNT(*)::DOUBLE AS n FROM tok GROUP BY ALL),
+nrm AS (SELECT doc_id, sqrt(SUM(n * n)) AS l FROM c GROUP BY doc_id),
+grid AS (SELECT doc_id, b FROM documents, range(64) r(b))
+SELECT doc_id AS id, 'hashing-64' AS model, list(round(coalesce(n / l, 0.0), 6) ORDER BY b) AS embedding
+FROM grid LEFT JOIN c USING (doc_id, b) LEFT JOIN nrm USING (doc_id) GROUP BY doc_id""",
     "first_papers": """SELECT doc_id AS id, quality = 1 AS label FROM labels ORDER BY doc_id LIMIT 25""",
     "answers_json_roundtrip": f"""WITH r AS ({SQL_RULE_ANSWERS})
 SELECT paper_id, question_id, response, model, input_tokens, output_tokens FROM r""",

@@ -92,7 +92,7 @@ QUERIES = {
     "rule_answers": q_rule_answers,
 }
 
-_MODELS = "['gpt-5-mini', 'gpt-5-nano', 'gemini-2.5-flash', 'gemini-2.5-pro', 'google/medgemma-27b-text-it']"
+_MODELS = S.MODELS
 _UP = f"upper({S.strip('text')})"
 
 DEC = f"""dec AS (
@@ -102,9 +102,7 @@ DEC = f"""dec AS (
          WHEN contains({_UP}, 'YES') THEN 'YES' WHEN contains({_UP}, 'NO') THEN 'NO' ELSE 'UNCERTAIN' END AS decision
   FROM conversations)"""
 
-PRICES = """prices AS (SELECT * FROM (VALUES ('gpt-5-mini', 0.25::DOUBLE, 2.0::DOUBLE), ('gpt-5-nano', 0.05::DOUBLE, 0.4::DOUBLE),
-  ('gemini-2.5-flash', 0.3::DOUBLE, 2.5::DOUBLE), ('gemini-2.5-pro', 1.25::DOUBLE, 10.0::DOUBLE),
-  ('google/medgemma-27b-text-it', 0.0::DOUBLE, 0.0::DOUBLE)) v(model, pin, pout))"""
+PRICES = S.PRICES
 
 SQL_DECISIONS = f"WITH {DEC}\nSELECT id, turn, model, decision FROM dec"
 

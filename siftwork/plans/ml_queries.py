@@ -18,8 +18,7 @@ def q_ml_logreg_fixed_recall(spark, sf):
     automatic threshold and at a fixed 95 % recall per fold (L-01, L-06, L-07, L-08)."""
     ensure_checkpoint_dir(spark)
     v = fx.vectors(spark, sf).select("id", "embedding", F.col("target").alias("label"))
-    scored = M.cross_val_scored(v, M.logreg(max_iter=100), 5, tags={"embedding_model": "given",
-                                                                    "classifier": "logreg"})
+    scored = M.cross_val_scored(v, M.logreg(), 5, tags={"embedding_model": "given", "classifier": "logreg"})
     g = ["embedding_model", "classifier", "fold"]
     return finish(R.evaluate_fixed_recall(scored, g, 0.95))
 
@@ -55,7 +54,7 @@ def q_ml_embedding_benchmark(spark, sf):
     v = fx.vectors(spark, sf).select("id", "embedding", F.col("target").alias("label"))
     both = V.scaled_vectors(v).withColumn("embedding_model", F.lit("scaled")).unionByName(
         V.normalize(V.scaled_vectors(v)).withColumn("embedding_model", F.lit("normalised")))
-    scored = M.benchmark_classifiers(both, {"logreg": M.logreg(max_iter=100)}, 5)
+    scored = M.benchmark_classifiers(both, {"logreg": M.logreg()}, 5)
     folds = R.evaluate_default(scored, ["embedding_model", "classifier", "fold"])
     return finish(R.summarise_folds(folds, ["embedding_model", "classifier"]))
 

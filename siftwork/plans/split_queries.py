@@ -35,7 +35,7 @@ def q_class_weights(spark, sf):
     c = p.groupBy("label").agg(F.count(F.lit(1)).alias("n_c"))
     n = F.sum("n_c").over(Window.partitionBy())  # window over the <= 2 aggregated rows
     w = c.select("label", (n / (2.0 * F.col("n_c"))).alias("weight"))
-    return finish(p.join(F.broadcast(w), "label").select("id", "label", "weight"))
+    return finish(p.join(w, "label").select("id", "label", "weight"))
 
 
 def q_balanced_sample(spark, sf):

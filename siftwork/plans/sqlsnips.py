@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from siftwork.functions.text import NATIVE_ENTITIES
+from siftwork.sources.dimensions import price_table
 
 # Unicode White_Space, as Java's (?U)\s sees it (RE2's \s is ASCII-only).
 WS = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -27,10 +28,11 @@ def decode(x: str) -> str:
 
 
 def html_to_text(x: str) -> str:
-    y = f"regexp_replace(CAST({x} AS VARCHAR), '(?s)<!--.*?-->', '', 'g')"
+    y = f"regexp_replace(CAST({x} AS VARCHAR), '(?s)<!--.*?(-->|\\z)', '', 'g')"
     for tag in ("script", "style", "template"):
-        y = f"regexp_replace({y}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', '', 'g')"
-    y = f"regexp_replace({y}, '<[a-zA-Z/!][^>]*>', '', 'g')"
+        y = f"regexp_replace({y}, '(?is)<{tag}\\b[^>]*>.*?(</{tag}\\s*>|\\z)', '', 'g')"
+    quoted = """<[a-zA-Z/!?](?:[^>"'']|"[^"]*"|''[^'']*'')*>"""
+    y = f"regexp_replace(regexp_replace({y}, '{quoted}', '', 'g'), '<[a-zA-Z/!?][^>]*>', '', 'g')"
     return collapse(decode(decode(y)))
 
 
@@ -40,4 +42,9 @@ PAPERS = """papers AS (
     l.quality = 1 AS label
   FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
 
+MODELS = "[" + ", ".join(sq(m) for m in price_table()) + "]"
+
+PRICES = "prices AS (SELECT * FROM (VALUES " + ", ".join(
+    f"({sq(m)}, {i}::DOUBLE, {o}::DOUBLE)" for m, (i, o) in price_table().items()) + ") v(model, pin, pout))"
+
 HASH42 = "md5(concat(CAST(id AS VARCHAR), ':42'))"

@@ -102,7 +102,7 @@ b AS (SELECT lang, COUNT(*) AS n_unique FROM kept GROUP BY lang)
 SELECT a.lang, CAST(a.n_docs AS BIGINT) AS n_docs, CAST(COALESCE(b.n_unique, 0) AS BIGINT) AS n_unique
 FROM a LEFT JOIN b ON a.lang = b.lang"""
 
-_MODELS = "['gpt-5-mini', 'gpt-5-nano', 'gemini-2.5-flash', 'gemini-2.5-pro', 'google/medgemma-27b-text-it']"
+_MODELS = S.MODELS
 
 SQL_MODEL_SHORT_NAMES = f"""
 WITH m AS (SELECT DISTINCT {_MODELS}[CAST(conv_id % 5 AS INTEGER) + 1] AS model FROM conversations)

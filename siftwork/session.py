@@ -10,6 +10,9 @@ from __future__ import annotations
 import os
 import tempfile
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_CONF = {
@@ -41,10 +44,12 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint folder; create a scratch one only when unset."""
+    """Return the cluster's checkpoint folder; a local master without one gets a scratch folder."""
     sc = spark.sparkContext
     configured = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="siftwork-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     if not sc.getCheckpointDir():
@@ -56,3 +61,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def read_if_any(load: Callable[[], DataFrame]) -> DataFrame | None:
+    """Run a read; None when the path does not exist or holds no files yet. Every other error
+    (permission, network, broken files) is raised: it must not pass for an empty table."""
+    try:
+        return load()
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise

@@ -56,20 +56,24 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Integer rule: the UNSURE rate of question q is about q %, include questions
     correlate positively with the label, exclusion questions negatively, except
-    E3, E7, E11 (q % 4 = 0) which have the wrong sign."""
+    E3, E7, E11 (q % 4 = 0) which have the wrong sign. Every third document is answered
+    without regard to its label, so answer patterns recur with both labels (conflicts and
+    ties). The model is one of the priced ones, by doc_id % 5."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "n_chars")
     lab = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
     base = docs.join(lab, on="doc_id", how="inner")
     q = F.explode(F.sequence(F.lit(1), F.lit(len(question_ids())))).alias("q")
     x = base.select("doc_id", "quality", "n_chars", q)
-    d, qq, ql = F.col("doc_id"), F.col("q"), F.col("quality")
+    d, qq = F.col("doc_id"), F.col("q")
+    ql = F.when(d % 3 == 0, 0).otherwise(F.col("quality"))
+    models = F.array(*[F.lit(m) for m in price_table()])
     yes_cut = F.when((qq <= 17) | (qq % 4 == 0), 30 + 30 * ql).otherwise(60 - 30 * ql)
     resp = (F.when((d * 7 + qq * 13) % 100 < qq, F.lit("UNSURE"))
             .when((d * 31 + qq * 17) % 100 < yes_cut, F.lit("YES")).otherwise(F.lit("NO")))
     qid = F.when(qq <= 17, F.concat(F.lit("I"), qq.cast("string"))) \
         .otherwise(F.concat(F.lit("E"), (qq - 17).cast("string")))
     return x.select(d.alias("paper_id"), qid.alias("question_id"), resp.alias("response"),
-                    F.lit("gpt-5-mini").alias("model"),
+                    F.element_at(models, (d % 5 + 1).cast("int")).alias("model"),
                     (F.lit(50) + F.expr("n_chars div 4")).cast("long").alias("input_tokens"),
                     (F.lit(1) + qq % 7).cast("long").alias("output_tokens"))
 

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siftwork.session import read_if_any
+
 PAPER_SCHEMA = T.StructType([
     T.StructField("id", T.LongType(), True),
     T.StructField("title", T.StringType(), True),
@@ -54,9 +56,8 @@ def read_answer_dir(spark: SparkSession, path: str, one_object_per_file: bool =
     """Answer folder: JSON lines (our writer) or one pretty-printed JSON object per
     (paper, question) file (``one_object_per_file``). Missing token counts default to
     0; sorted by (paper, question). An empty folder gives an empty frame."""
-    try:
-        df = spark.read.schema(ANSWER_SCHEMA).option("multiLine", one_object_per_file).json(path)
-    except Exception:  # noqa: BLE001 - no files yet
+    df = read_if_any(lambda: spark.read.schema(ANSWER_SCHEMA).option("multiLine", one_object_per_file).json(path))
+    if df is None:
         df = spark.createDataFrame([], ANSWER_SCHEMA)
     return df.select("paper_id", "question_id", "response", "model",
                      F.coalesce("input_tokens", F.lit(0)).alias("input_tokens"),
@@ -65,8 +66,10 @@ def read_answer_dir(spark: SparkSession, path: str, one_object_per_file: bool =
 
 
 def write_answer_dir(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Answers as JSON lines, partitioned by question (not one tiny file per answer)."""
-    df.write.mode(mode).partitionBy("question_id").json(path)
+    """Answers as JSON lines, partitioned by question (not one tiny file per answer). Rows are
+    dealt by question and a salt first, so a folder gets a few files, not one per task."""
+    salt = F.pmod(F.xxhash64("paper_id"), F.lit(4))
+    df.repartition("question_id", salt).write.mode(mode).partitionBy("question_id").json(path)
 
 
 def parse_run_name(file_col: F.Column) -> tuple[F.Column, F.Column]:

@@ -19,7 +19,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftwork.session import ensure_checkpoint_dir
+from siftwork.session import ensure_checkpoint_dir, read_if_any
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -30,7 +30,9 @@ def daily_counts_stream(spark: SparkSession, source_glob: str, schema, out_dir:
                         ckpt_dir: str | None = None, window: str = "1 day", delay: str = "1 day") -> DataFrame:
     """Windowed counts per (day, event_type) from a parquet stream. Each micro-batch's
     updated windows are appended with the batch id; the result keeps the newest value
-    per window, so the drained stream equals the batch aggregate."""
+    per window. Rows that arrive more than ``delay`` behind the newest event time of
+    earlier micro-batches are dropped (the watermark); with none so late, the drained
+    stream equals the batch aggregate."""
     out_dir = out_dir or _scratch(spark, "daily-counts-out")
     ckpt_dir = ckpt_dir or _scratch(spark, "daily-counts-ckpt")
     src = spark.readStream.schema(schema).parquet(source_glob)
@@ -73,18 +75,16 @@ def answer_ingest_stream(spark: SparkSession, source_dir: str, schema, target_di
     src = spark.readStream.schema(schema).format(fmt).load(source_dir)
 
     def sink(batch: DataFrame, batch_id: int):
-        new = batch.dropDuplicates(list(keys))
-        try:
-            have = spark.read.parquet(target_dir).select(*keys)
-            new = new.join(have, list(keys), "left_anti")
-        except Exception:  # noqa: BLE001 - target not created yet
-            pass
+        # of several answers to one key the least row stays, whatever the order of arrival
+        rest = [c for c in batch.columns if c not in keys]
+        new = batch.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row")).select(*keys, "_row.*").select(*batch.columns)
+        have = read_if_any(lambda: spark.read.parquet(target_dir))
+        if have is not None:
+            new = new.join(have.select(*keys), list(keys), "left_anti")
         new.write.mode("append").parquet(target_dir)
 
     q = (src.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt_dir)
          .trigger(availableNow=True).start())
     _await(q)
-    try:
-        return spark.read.parquet(target_dir).count()
-    except Exception:  # noqa: BLE001
-        return 0
+    have = read_if_any(lambda: spark.read.parquet(target_dir))
+    return 0 if have is None else have.count()

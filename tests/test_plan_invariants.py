@@ -40,8 +40,9 @@ def test_no_cartesian_operators(plans):
 
 
 @pytest.mark.parametrize("name", ["fixed_recall_folds", "pr_curve", "stratified_folds", "holdout_split"])
-def test_running_totals_use_range_blocks(plans, name):
-    assert "rangepartitioning" in plans[name]
+def test_running_totals_use_row_pure_blocks(plans, name):
+    """Blocks come from the row, not from a sampled range exchange."""
+    assert "_sw_blk0" in plans[name] and "rangepartitioning" not in plans[name]
 
 
 @pytest.mark.parametrize("name", ["random_per_label", "metric_leaderboard"])

@@ -105,7 +105,7 @@ def test_against_brute_force(spark, seed):
     scores = [round(rnd.random(), 1) for _ in range(n)]  # many ties
     df = _scored(spark, labels, scores)
     auc, ap, thr = _brute(labels, scores)
-    r = R.evaluate_fixed_recall(df, ["grp"], 0.95, num_blocks=4).collect()[0]
+    r = R.evaluate_fixed_recall(df, ["grp"], 0.95).collect()[0]
     assert r.roc_auc == pytest.approx(auc)
     assert r.pr_auc == pytest.approx(ap)
     assert (r.threshold, r.recall_achievable) == (pytest.approx(thr[0]), thr[2])
@@ -145,10 +145,10 @@ def test_fixture_numbers_event_id_folds(spark):
 
 def test_blocked_running_totals_match_window(spark):
     from pyspark.sql import Window
-    from siftwork.operators.prefix import running_totals
+    from siftwork.operators.prefix import number_block, running_totals
     df = spark.range(0, 500).select((F.col("id") % 3).alias("g"), F.col("id").alias("o"),
                                     (F.col("id") % 7).alias("v"))
-    got = running_totals(df, ["g"], [F.col("o").desc()], ["v"], num_blocks=16)
+    got = running_totals(df, ["g"], [F.col("o").desc()], ["v"], number_block(F.col("o"), descending=True))
     w = Window.partitionBy("g").orderBy(F.col("o").desc()).rowsBetween(Window.unboundedPreceding, 0)
     exp = df.withColumn("cum_v", F.sum("v").over(w))
     assert sorted(got.collect()) == sorted(exp.collect())
@@ -184,5 +184,5 @@ def test_wss_brute_force_with_ties(spark, target):
     exp = 0.0 if P == 0 or k is None else max(0.0, min(1.0, 1.0 - k / n))
     df = _scored(spark, labels, scores)
     for groups in (["grp"], []):
-        r = R.wss_at_recall(df, groups, target, num_blocks=3).collect()[0]
+        r = R.wss_at_recall(df, groups, target).collect()[0]
         assert r.k == k and r.wss == pytest.approx(exp)

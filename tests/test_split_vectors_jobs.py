@@ -21,7 +21,7 @@ def _labelled(spark, n=103, share=0.3, seed=1):
 
 def test_folds_disjoint_complete_balanced(spark):
     df = _labelled(spark)
-    f = SP.stratified_folds(df, 5, num_blocks=7).collect()
+    f = SP.stratified_folds(df, 5).collect()
     assert sorted(r.id for r in f) == list(range(103))
     for lab in (True, False):
         counts = [sum(1 for r in f if r.label == lab and r.fold == k) for k in range(5)]
