@@ -113,24 +113,43 @@ def rule_completer(prompts: pd.Series, keys: pd.DataFrame | None = None) -> pd.D
 
 
 def label_with(df: DataFrame, completer: Callable = rule_completer, prompt_col: str = "prompt",
-               key_col: str | None = None, model: str = "rule") -> DataFrame:
+               key_col: str | None = None, model: str = "rule", keep_errors: bool = False) -> DataFrame:
     """Run ``completer`` over the prompts batch by batch inside the executors.
     Adds response, input_tokens, output_tokens, model. Keep the input repartitioned to
-    bound concurrency (one partition = one sequential caller)."""
-    in_cols = df.columns
-    schema = df.select(*in_cols).schema.simpleString()[len("struct<"):-1]
+    bound concurrency (one partition = one sequential caller).
+
+    With ``keep_errors`` a prompt that raises does not end the job: its batch is repeated
+    prompt by prompt, and the failing rows have a null response and the message in an
+    ``error`` column (null for the others)."""
+    schema = df.schema.simpleString()[len("struct<"):-1]
     out_schema = f"{schema},response:string,input_tokens:bigint,output_tokens:bigint,model:string"
 
+    def call(pdf):
+        keys = pd.DataFrame({"key": pdf[key_col].reset_index(drop=True)}) if key_col else None
+        res = completer(pdf[prompt_col].reset_index(drop=True), keys)
+        return pd.DataFrame({"response": res["response"].values, "input_tokens": res["input_tokens"].astype("int64").values,
+                             "output_tokens": res["output_tokens"].astype("int64").values, "error": None})
+
+    def call_one(pdf):
+        try:
+            return call(pdf)
+        except Exception as e:  # noqa: BLE001 - a completer may raise anything; the row says what
+            return pd.DataFrame({"response": [None], "input_tokens": [0], "output_tokens": [0], "error": [f"{type(e).__name__}: {e}"]})
+
     def run(batches):
         for pdf in batches:
-            keys = pd.DataFrame({"key": pdf[key_col]}) if key_col else None
-            res = completer(pdf[prompt_col], keys)
-            out = pdf.reset_index(drop=True).copy()
-            out["response"] = res["response"].values
-            out["input_tokens"] = res["input_tokens"].astype("int64").values
-            out["output_tokens"] = res["output_tokens"].astype("int64").values
-            out["model"] = model
-            yield out
+            try:
+                res = call(pdf)
+            except Exception:
+                if not keep_errors:
+                    raise
+                res = pd.concat([call_one(pdf.iloc[k:k + 1]) for k in range(len(pdf))], ignore_index=True)
+            out = pdf.reset_index(drop=True)
+            yield out.assign(response=res["response"], input_tokens=res["input_tokens"], output_tokens=res["output_tokens"], model=model,
+                             **({"error": res["error"]} if keep_errors else {}))
+
+    if keep_errors:
+        out_schema += ",error:string"
 
     return df.mapInPandas(run, out_schema)
 
@@ -159,19 +178,43 @@ def run_answer_job(papers: DataFrame, questions, store_path: str, completer: Cal
     """Answer every (paper, question) not yet in the store and append the new answers.
 
     Questions of one paper stay in one partition, sorted, so a provider-side prompt
-    cache for the paper text stays warm. Returns processed / skipped counts."""
+    cache for the paper text stays warm. A failing prompt is stored with its ``error`` and
+    without a response; it counts as not answered, so the next run tries it again.
+    Returns processed / failed / skipped / stored counts (``read_answers`` and
+    ``read_failures`` give the rows)."""
     spark = papers.sparkSession
     todo = answer_requests(papers, questions)
-    stored = read_if_any(lambda: spark.read.parquet(store_path))
-    done = None if stored is None else stored.select("paper_id", "question_id")
+    done = read_answers(spark, store_path)
+    done = None if done is None else done.select("paper_id", "question_id")
     total = todo.count()
-    n_done = 0 if done is None else done.count()
+    before = _store_counts(spark, store_path)
     pending = todo if done is None else todo.join(done, ["paper_id", "question_id"], "left_anti")
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
     pending = pending.repartition(n, "paper_id").sortWithinPartitions("paper_id", "question_id")
     pending = pending.withColumn("key", F.concat_ws(":", F.col("paper_id").cast("string"), "question_id"))
-    answered = label_with(pending, completer, "prompt", "key", model).drop("key")
+    answered = label_with(pending, completer, "prompt", "key", model, keep_errors=True).drop("key")
     answered.write.mode("append").partitionBy("question_id").parquet(store_path)
-    stored = spark.read.parquet(store_path).count()
-    processed = stored - n_done
-    return {"processed": int(processed), "skipped": int(total - processed), "stored": int(stored)}
+    after = _store_counts(spark, store_path)
+    processed, failed = after[0] - before[0], after[1] - before[1]
+    return {"processed": processed, "failed": failed, "skipped": total - processed - failed, "stored": after[0]}
+
+
+def read_answers(spark, store_path: str) -> DataFrame | None:
+    """The answered rows of a store, None when there is none yet."""
+    stored = read_if_any(lambda: spark.read.parquet(store_path))
+    return None if stored is None else stored.where("error is null").drop("error")
+
+
+def read_failures(spark, store_path: str) -> DataFrame | None:
+    """Failed attempts: paper_id, question_id, prompt, model, error."""
+    stored = read_if_any(lambda: spark.read.parquet(store_path))
+    return None if stored is None else stored.where("error is not null").select("paper_id", "question_id", "prompt", "model", "error")
+
+
+def _store_counts(spark, store_path: str) -> tuple[int, int]:
+    """(answers, failed attempts) in a store."""
+    stored = read_if_any(lambda: spark.read.parquet(store_path))
+    if stored is None:
+        return 0, 0
+    r = stored.agg(F.count_if(F.col("error").isNull()), F.count_if(F.col("error").isNotNull())).first()
+    return int(r[0]), int(r[1])

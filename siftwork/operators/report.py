@@ -63,8 +63,8 @@ def approach_table(approaches: dict, metrics) -> DataFrame:
 
 
 def export_predictions(scored: DataFrame, threshold, id_col: str = "id", label: str = "label",
-                       score: str = "score") -> DataFrame:
-    """(id, truth, prediction, probability) with the real ids."""
+                       score: str = "score", keep=()) -> DataFrame:
+    """(id, truth, prediction, probability) with the real ids, and the columns ``keep``."""
     t = threshold if isinstance(threshold, F.Column) else F.lit(float(threshold))
     return scored.select(F.col(id_col).alias("paper_id"), F.col(label).cast("int").alias("y_true"),
-                         (F.col(score) >= t).cast("int").alias("y_pred"), F.col(score).alias("probability"))
+                         (F.col(score) >= t).cast("int").alias("y_pred"), F.col(score).alias("probability"), *keep)

@@ -104,49 +104,69 @@ def _best(cand: DataFrame, k: int) -> DataFrame:
         .select("query_id", "rank", "neighbor_id", "distance")
 
 
-def _cell_signs(vec: str, dim: int, bits: int, table: int, seed: int):
-    """Cell of a vector in one hash table: the signs of ``bits`` seeded random projections,
-    and each projection's size (small ones are the likeliest to differ in a near vector)."""
-    rng = np.random.default_rng([seed, table])
-    planes = rng.standard_normal((bits, dim))
-    v = F.transform(vec, lambda x: x.cast("double"))
-    return [F.aggregate(F.zip_with(v, F.array(*[F.lit(float(x)) for x in p]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-            for p in planes]
-
-
-def approximate_neighbours(queries: DataFrame, corpus: DataFrame, k: int, dim: int, q_id: str = "id", c_id: str = "id",
+def _unit(rows) -> np.ndarray:
+    v = np.vstack([np.asarray(r, dtype=np.float64) for r in rows])
+    n = np.linalg.norm(v, axis=1, keepdims=True)
+    return v / np.where(n == 0, 1.0, n)
+
+
+def fit_cells(corpus: DataFrame, cells: int, vec: str = "embedding", id_col: str = "id", sample_rows: int = 20_000,
+              rounds: int = 10, seed: int = 42) -> np.ndarray:
+    """Cell centres (spherical k-means) of a bounded sample: the ``sample_rows`` vectors of the
+    least seeded id hash. The sample is all that reaches the driver."""
+    picked = corpus.orderBy(F.xxhash64(F.lit(seed), id_col), id_col).select(vec).limit(sample_rows).collect()
+    if not picked:
+        raise ValueError("no vectors to fit cells on")
+    x = _unit([r[0] for r in picked])
+    rng = np.random.default_rng(seed)
+    centres = x[rng.choice(len(x), min(cells, len(x)), replace=False)]
+    for _ in range(rounds):
+        near = (x @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, x)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(size > 0, sums / np.where(size == 0, 1.0, size), centres)
+    return centres
+
+
+def _to_cells(df: DataFrame, id_col: str, vec: str, centres: np.ndarray, n: int) -> DataFrame:
+    """(id, vec, cell): each row with its ``n`` nearest cells."""
+    shared = df.sparkSession.sparkContext.broadcast(centres)  # cells x dimension, both parameters
+    n = min(n, len(centres))
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                near = np.argsort(-(_unit(pdf["vec"]) @ shared.value.T), axis=1, kind="stable")[:, :n]
+                yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(), n), "vec": pdf["vec"].repeat(n), "cell": near.ravel()})
+
+    x = df.select(F.col(id_col).alias("id"), F.col(vec).alias("vec"))
+    kinds = {f.name: f.dataType.simpleString() for f in x.schema.fields}
+    return x.mapInPandas(run, f"id {kinds['id']}, vec {kinds['vec']}, cell int")
+
+
+def approximate_neighbours(queries: DataFrame, corpus: DataFrame, k: int, centres: np.ndarray, q_id: str = "id", c_id: str = "id",
                            q_vec: str = "embedding", c_vec: str = "embedding", exclude_self: bool = True,
-                           bits: int = 6, tables: int = 12, probes: int = 4, seed: int = 42, tile_rows: int = 4096) -> DataFrame:
+                           probes: int = 4, tile_rows: int = 4096) -> DataFrame:
     """Cosine top-k from candidate cells with exact re-rank: (query_id, rank, neighbor_id,
     distance).
 
-    Every corpus vector is filed in one cell of each of ``tables`` hash tables (signs of
-    ``bits`` random projections); a query looks into its own cell and the ``probes`` cells that
-    differ in its least certain sign. A cell meets its queries in co-group tasks; cells above
+    Every corpus vector is filed in the cell of its nearest centre (``fit_cells``); a query looks
+    into its ``probes`` nearest cells. A cell meets its queries in co-group tasks; cells above
     ``tile_rows`` vectors are cut into pieces by an id hash, and their queries go to every
     piece, so a hot cell is many tasks of bounded size. Distances inside a cell are exact;
-    only neighbours that share no probed cell are missed. Size ``bits`` so that
-    corpus rows / 2^bits stays near ``tile_rows``."""
-    piece_of = corpus.select(F.col(c_id).alias("cid"), F.col(c_vec).alias("cv"), F.array(*[
-        F.struct(F.lit(t).alias("table"), sum(((x > 0).cast("int") * (1 << i) for i, x in enumerate(_cell_signs(c_vec, dim, bits, t, seed))), F.lit(0)).alias("cell"))
-        for t in range(tables)]).alias("cells")).select("cid", "cv", F.inline("cells"))
-    sizes = piece_of.groupBy("table", "cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile_rows)).cast("int").alias("pieces"))
-    looks = []
-    for t in range(tables):
-        xs = _cell_signs(q_vec, dim, bits, t, seed)
-        own = sum(((x > 0).cast("int") * (1 << i) for i, x in enumerate(xs)), F.lit(0))
-        doubt = F.slice(F.array_sort(F.array(*[F.struct(F.abs(x).alias("size"), F.lit(1 << i).alias("bit")) for i, x in enumerate(xs)])), 1, probes)
-        near = F.transform(doubt, lambda d, own=own: own.bitwiseXOR(d["bit"]))
-        looks.append(F.transform(F.concat(F.array(own), near), lambda cell, t=t: F.struct(F.lit(t).alias("table"), cell.alias("cell"))))
-    asked = queries.select(F.col(q_id).alias("qid"), F.col(q_vec).alias("qv"), F.inline(F.flatten(F.array(*looks))))
-    asked = asked.join(sizes, ["table", "cell"]).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    cells = sizes.select("table", "cell", F.col("pieces").alias("cut"))
-    held = piece_of.join(cells, ["table", "cell"]).withColumn("piece", F.pmod(F.xxhash64("cid"), F.col("cut")).cast("int"))
+    only neighbours in cells that are not probed are missed."""
+    filed = _to_cells(corpus, c_id, c_vec, centres, 1)
+    sizes = filed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile_rows)).cast("int").alias("pieces"))
+    asked = _to_cells(queries, q_id, q_vec, centres, probes).join(sizes, "cell") \
+        .select(F.col("id").alias("qid"), F.col("vec").alias("qv"), "cell", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+    cut = sizes.select("cell", F.col("pieces").alias("cut"))
+    held = filed.join(cut, "cell").select(F.col("id").alias("cid"), F.col("vec").alias("cv"), "cell",
+                                          F.pmod(F.xxhash64("id"), F.col("cut")).cast("int").alias("piece"))
     kinds = [x.schema[n].dataType.simpleString() for x, n in ((asked, "qid"), (held, "cid"))]
-    key = ["table", "cell", "piece"]
-    cand = asked.groupBy(*key).cogroup(held.groupBy(*key)).applyInPandas(
+    cand = asked.groupBy("cell", "piece").cogroup(held.groupBy("cell", "piece")).applyInPandas(
         _block_topk(k, exclude_self), f"query_id {kinds[0]}, neighbor_id {kinds[1]}, distance double")
-    return _best(cand.groupBy("query_id", "neighbor_id").agg(F.min("distance").alias("distance")), k)
+    return _best(cand, k)
 
 
 def nearest_by_label(queries: DataFrame, corpus: DataFrame, k: int, label: str = "label",

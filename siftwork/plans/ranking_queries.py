@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from siftwork.functions.expr import round_np
 from siftwork.operators import ranking as R
+from siftwork.operators import report as RP
+from siftwork.operators.ml import seed_ensemble
 from siftwork.plans.common import finish
 from siftwork.sources import fixtures as fx
 
@@ -91,8 +93,20 @@ def q_recall_tradeoff(spark, sf):
 def q_false_negatives(spark, sf):
     """Positives predicted negative at 0.5, with their probability (P-18, P-19)."""
     s = fx.scored(spark, sf)
-    fn = s.where(F.col("label") & (F.col("prob") < 0.5))
-    return finish(fn.select("id", "fold", F.col("prob").alias("probability")))
+    preds = RP.export_predictions(s, 0.5, score="prob", keep=("fold",))
+    fn = preds.where("y_true = 1 and y_pred = 0")
+    return finish(fn.select(F.col("paper_id").alias("id"), "fold", "probability"))
+
+
+def q_seed_ensemble(spark, sf):
+    """Average probability per row over three seeded runs (L-16): run k reads
+    value / (value + 10 k)."""
+    ev = fx.scored(spark, sf)
+    runs = None
+    for k in (1, 2, 3):
+        one = ev.select("id", "label", F.lit(k).alias("seed"), (F.col("score") / (F.col("score") + F.lit(10.0 * k))).alias("score"))
+        runs = one if runs is None else runs.unionByName(one)
+    return finish(seed_ensemble(runs).select("id", "label", "score"))
 
 
 QUERIES = {
@@ -108,6 +122,7 @@ QUERIES = {
     "confusion_at_half": q_confusion_at_half,
     "recall_tradeoff": q_recall_tradeoff,
     "false_negatives": q_false_negatives,
+    "seed_ensemble": q_seed_ensemble,
 }
 
 # ---------------------------------------------------------------- DuckDB side
@@ -394,6 +409,8 @@ WITH {SCORED}
 SELECT id, CAST(fold AS BIGINT) AS fold, ROUND(prob, 6) AS probability FROM scored WHERE label AND prob < 0.5"""
 
 ORACLE = {
+    "seed_ensemble": """SELECT event_id AS id, event_type = 'purchase' AS label,
+  ROUND((value / (value + 10.0::DOUBLE) + value / (value + 20.0::DOUBLE) + value / (value + 30.0::DOUBLE)) / 3, 6) AS score FROM events""",
     "fixed_recall_folds": SQL_FIXED_RECALL_FOLDS,
     "fixed_recall_summary": SQL_FIXED_RECALL_SUMMARY,
     "default_threshold_folds": SQL_DEFAULT_THRESHOLD_FOLDS,

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siftwork.operators import split as SP
@@ -31,11 +30,15 @@ def q_holdout_split(spark, sf):
 
 def q_class_weights(spark, sf):
     """Balanced class weights n / (2 n_c) per paper (F-09)."""
-    p = fx.papers(spark, sf)
-    c = p.groupBy("label").agg(F.count(F.lit(1)).alias("n_c"))
-    n = F.sum("n_c").over(Window.partitionBy())  # window over the <= 2 aggregated rows
-    w = c.select("label", (n / (2.0 * F.col("n_c"))).alias("weight"))
-    return finish(p.join(w, "label").select("id", "label", "weight"))
+    from siftwork.operators.ml import with_balanced_weights
+    return finish(with_balanced_weights(fx.papers(spark, sf).select("id", "label")).select("id", "label", "weight"))
+
+
+def q_folds_with_vectors(spark, sf):
+    """Stratified folds and a 60/20/20 split of rows that carry their vector (W-08, W-09)."""
+    v = fx.vectors(spark, sf).select("id", "embedding", F.col("target").alias("label"))
+    f = SP.holdout_split(SP.stratified_folds(v, 5), test=0.2, val=0.2)
+    return finish(f.select("id", "fold", "split", F.size("embedding").alias("dim")))
 
 
 def q_balanced_sample(spark, sf):
@@ -55,6 +58,7 @@ QUERIES = {
     "fold_balance": q_fold_balance,
     "holdout_split": q_holdout_split,
     "class_weights": q_class_weights,
+    "folds_with_vectors": q_folds_with_vectors,
     "balanced_sample": q_balanced_sample,
     "random_per_label": q_random_per_label,
 }
@@ -73,6 +77,13 @@ SELECT id, label, CASE WHEN rk < ROUND(n * 0.2::DOUBLE, 0) THEN 'test'
                        WHEN rk < ROUND(n * 0.2::DOUBLE, 0) + ROUND(n * 0.2::DOUBLE, 0) THEN 'val'
                        ELSE 'train' END AS split FROM r"""
 
+SQL_FOLDS_WITH_VECTORS = f"""
+WITH r AS (SELECT id, len(embedding) AS dim, row_number() OVER (PARTITION BY label ORDER BY {S.HASH42}, id) - 1 AS rk,
+             CAST(COUNT(*) OVER (PARTITION BY label) AS DOUBLE) AS n
+           FROM (SELECT vec_id AS id, embedding, label = 0 AS label FROM embeddings))
+SELECT id, CAST(rk % 5 AS BIGINT) AS fold, CASE WHEN rk < ROUND(n * 0.2::DOUBLE, 0) THEN 'test'
+  WHEN rk < ROUND(n * 0.2::DOUBLE, 0) + ROUND(n * 0.2::DOUBLE, 0) THEN 'val' ELSE 'train' END AS split, CAST(dim AS BIGINT) AS dim FROM r"""
+
 SQL_CLASS_WEIGHTS = f"""WITH {S.PAPERS},
 c AS (SELECT label, COUNT(*) AS n_c FROM papers GROUP BY label),
 w AS (SELECT label, (SELECT SUM(n_c) FROM c) / (2.0 * n_c) AS weight FROM c)
@@ -102,6 +113,7 @@ SELECT id, label FROM (
   FROM embeddings) WHERE rn <= 3"""
 
 ORACLE = {
+    "folds_with_vectors": SQL_FOLDS_WITH_VECTORS,
     "stratified_folds": SQL_FOLDS,
     "fold_balance": SQL_FOLD_BALANCE,
     "holdout_split": SQL_HOLDOUT,

@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import os
+import uuid
 
+from siftwork.operators import llm as L
+from siftwork.plans.llm_queries import SQL_RULE_ANSWERS, q_rule_answers
+from siftwork.session import ensure_checkpoint_dir
+from siftwork.sources import fixtures as fx
+from siftwork.sources.dimensions import question_ids
 from siftwork.sources.tables import read_table
-from siftwork.streaming.streams import daily_counts_stream
+from siftwork.streaming.streams import answer_ingest_stream, daily_counts_stream
 
 
 def q_stream_daily_counts(spark, sf):
@@ -14,9 +20,37 @@ def q_stream_daily_counts(spark, sf):
     return daily_counts_stream(spark, os.path.join(sf, "events*.parquet"), schema)
 
 
-QUERIES = {"stream_daily_counts": q_stream_daily_counts}
+def q_stream_answer_ingest(spark, sf):
+    """Rule answers arriving in two overlapping deliveries, kept once per (paper, question)
+    by the ingest stream (T-01, X-03)."""
+    work = f"{ensure_checkpoint_dir(spark)}/ingest-{uuid.uuid4().hex[:12]}"
+    rows = q_rule_answers(spark, sf).select("paper_id", "question_id", "response")
+    schema = rows.schema
+    for part in ("paper_id % 3 < 2", "paper_id % 3 > 0"):
+        rows.where(part).write.mode("append").parquet(f"{work}/source")
+        answer_ingest_stream(spark, f"{work}/source", schema, f"{work}/target", f"{work}/checkpoint")
+    return spark.read.schema(schema).parquet(f"{work}/target")
+
+
+def q_answer_job_resume(spark, sf):
+    """The resumable answer job run on a third of the papers, then on all of them: only
+    missing answers are computed (X-01, X-02, X-03, J-07)."""
+    path = f"{ensure_checkpoint_dir(spark)}/answers-{uuid.uuid4().hex[:12]}"
+    papers, questions = fx.papers(spark, sf), [(q, q) for q in question_ids()]
+    L.run_answer_job(papers.where("id % 3 = 0"), questions, path)
+    L.run_answer_job(papers, questions, path)
+    return L.read_answers(spark, path).select("paper_id", "question_id", "response", "input_tokens", "output_tokens", "model")
+
+
+QUERIES = {
+    "stream_daily_counts": q_stream_daily_counts,
+    "stream_answer_ingest": q_stream_answer_ingest,
+    "answer_job_resume": q_answer_job_resume,
+}
 
 ORACLE = {
+    "stream_answer_ingest": f"SELECT paper_id, question_id, response FROM ({SQL_RULE_ANSWERS})",
+    "answer_job_resume": SQL_RULE_ANSWERS,
     "stream_daily_counts": """
 SELECT CAST(ts AS DATE) AS day, event_type, CAST(COUNT(*) AS BIGINT) AS n FROM events GROUP BY 1, 2""",
 }

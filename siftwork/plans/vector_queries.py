@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from siftwork.functions.text import after_first_line, first_line
 from siftwork.operators import llm as L
+from siftwork.operators import store as ST
 from siftwork.operators import vectors as V
 from siftwork.plans.common import finish
 from siftwork.sources import fixtures as fx
+from siftwork.session import ensure_checkpoint_dir
 from siftwork.sources.tables import read_table
 
 
@@ -19,8 +23,11 @@ def q_normalized_vectors(spark, sf):
 
 
 def q_vector_dims(spark, sf):
-    """Items, dimension and mean norm per label: the collection summary (A-24, S-14)."""
-    return finish(V.dimension_stats(fx.vectors(spark, sf), ["label"]))
+    """Items, dimension and mean norm per label, of vectors stored in and read back from a
+    collection partitioned by label (A-24, S-14)."""
+    path = f"{ensure_checkpoint_dir(spark)}/collection-{uuid.uuid4().hex[:12]}"
+    ST.add_to_collection(fx.vectors(spark, sf).drop("target"), path)
+    return finish(V.dimension_stats(ST.read_collection(spark, path, label_type="long"), ["label"]))
 
 
 def q_vector_top3(spark, sf):
@@ -30,6 +37,20 @@ def q_vector_top3(spark, sf):
     return finish(V.nearest_neighbours(v, v, 3))
 
 
+def q_vector_search_recall(spark, sf):
+    """Approximate search by cells with exact re-rank, for every vector whose id is divisible
+    by 100 against all vectors: queries, rows, and whether at least 90 % of the exact three
+    nearest are found (J-10, W-12). The given vectors have no clusters, so 14 of 16 cells are
+    probed; vectors of a trained encoder need far fewer."""
+    v = fx.vectors(spark, sf).select("id", "embedding")
+    asked = v.where("id % 100 = 0")
+    near = V.approximate_neighbours(asked, v, 3, V.fit_cells(v, 16), probes=14)
+    exact = V.nearest_neighbours(asked, v, 3)
+    hit = exact.join(near.select("query_id", "neighbor_id", F.lit(1).alias("found")), ["query_id", "neighbor_id"], "left")
+    return hit.agg(F.count_distinct("query_id").alias("n_queries"), F.count(F.lit(1)).alias("n_exact"),
+                   (F.count("found") >= 0.9 * F.count(F.lit(1))).alias("recall_reached"))
+
+
 def _corpus(spark, sf):
     d = read_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     v = fx.vectors(spark, sf).select("id", "embedding", F.col("target").alias("include"))
@@ -60,6 +81,7 @@ QUERIES = {
     "vector_top3": q_vector_top3,
     "few_shot_examples": q_few_shot_examples,
     "smote_counts": q_smote_counts,
+    "vector_search_recall": q_vector_search_recall,
 }
 
 _VD = "CAST(embedding AS DOUBLE[])"
@@ -111,4 +133,6 @@ ORACLE = {
     "vector_top3": SQL_TOP3,
     "few_shot_examples": SQL_FEW_SHOT,
     "smote_counts": SQL_SMOTE_COUNTS,
+    "vector_search_recall": """WITH q AS (SELECT COUNT(*) AS n FROM embeddings WHERE vec_id % 100 = 0), a AS (SELECT COUNT(*) AS n FROM embeddings)
+SELECT q.n AS n_queries, q.n * LEAST(3, a.n - 1) AS n_exact, TRUE AS recall_reached FROM q, a""",
 }

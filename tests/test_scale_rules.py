@@ -112,7 +112,7 @@ def test_cells_find_most_neighbours_and_hot_cells_are_cut(spark, tile_rows):
     x, df = vectors(spark, 1500, 8)
     hot = spark.range(10_000, 10_400).select("id", F.array(*[F.lit(1.0 if k else 0.5) for k in range(8)]).alias("embedding"))
     both = df.unionByName(hot)
-    got = V.approximate_neighbours(df, both, 3, dim=8, bits=4, tables=12, probes=4, tile_rows=tile_rows).toPandas()
+    got = V.approximate_neighbours(df, both, 3, V.fit_cells(both, 20), probes=8, tile_rows=tile_rows).toPandas()
     full = V.nearest_neighbours(df, both, 3).toPandas()
     hit = got.merge(full, on=["query_id", "neighbor_id"])
     assert len(hit) / len(full) >= 0.9
@@ -191,3 +191,23 @@ def test_conflicts_exist_in_the_fixture(spark):
     left = [q[n](spark, SF01).count() for n in ("resolve_majority", "resolve_remove")]
     assert 0 < s.n_conflicting_patterns < s.n_conflicting_rows < s.n_rows
     assert left[1] == s.n_rows - s.n_conflicting_rows < left[0] < s.n_rows
+
+
+def test_a_failing_prompt_does_not_end_the_job(spark, tmp_path):
+    from siftwork.operators import llm as L
+    papers = spark.createDataFrame([(k, f"t{k}", "a") for k in range(6)], "id bigint, title string, abstract string")
+    questions = [("I1", "first"), ("I2", "second")]
+    store = str(tmp_path / "answers")
+
+    def flaky(prompts, keys):
+        if prompts.str.contains("t3").any():
+            raise RuntimeError("no answer for t3")
+        return L.rule_completer(prompts, keys)
+
+    assert L.run_answer_job(papers, questions, store, flaky) == {"processed": 10, "failed": 2, "skipped": 0, "stored": 10}
+    failures = L.read_failures(spark, store).collect()
+    assert {(r.paper_id, r.question_id) for r in failures} == {(3, "I1"), (3, "I2")} and all("no answer for t3" in r.error for r in failures)
+    assert L.run_answer_job(papers, questions, store) == {"processed": 2, "failed": 0, "skipped": 10, "stored": 12}
+    assert L.read_answers(spark, store).count() == 12
+    with pytest.raises(Exception, match="no answer"):
+        L.label_with(L.answer_requests(papers, questions), flaky, "prompt").collect()

@@ -79,8 +79,8 @@ def test_answer_job_resumes(spark):
     store = os.path.join(tempfile.mkdtemp(prefix="sw-store-"), "answers")
     qs = [("I1", "Q one"), ("E1", "Q two")]
     first = L.run_answer_job(papers, qs, store)
-    assert first == {"processed": 12, "skipped": 0, "stored": 12}
-    second = L.run_answer_job(papers, qs, store)
+    assert first == {"processed": 12, "failed": 0, "skipped": 0, "stored": 12}
+    second = L.run_answer_job(papers, qs, store)  # nothing left to do
     assert second["processed"] == 0 and second["skipped"] == 12
 
 
