@@ -14,7 +14,7 @@ from siftwork.llm.exact import drop_copies
 from siftwork.llm.mixing import mixed
 from siftwork.llm.pieces import encode_documents
 from siftwork.llm.quality import keep_good
-from siftwork.llm.simhash import near_duplicates
+from siftwork.llm.simhash import drop_near_duplicates
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +29,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each SimHash component."""
-    leaders = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(leaders, "doc_id", "left_semi").select(*docs.columns)
+    return drop_near_duplicates(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

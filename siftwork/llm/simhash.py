@@ -55,15 +55,15 @@ def simhash(raw: bytes, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fp) for every row."""
+    """(doc_id, text_hash, fp) for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = pa.array([simhash(raw.as_py(), shingle) for raw in batch.column(1)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), fps], names=["doc_id", "fp"])
+            fps = pa.array([simhash(raw.as_py(), shingle) for raw in batch.column(2)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], fps], names=["doc_id", "text_hash", "fp"])
 
-    keyed = docs.select(docs[id_col].alias("doc_id"), utf8(docs[text_col]).alias("raw"))
-    return keyed.mapInArrow(run, f"doc_id {keyed.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    keyed = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(docs[text_col]).alias("text_hash"), utf8(docs[text_col]).alias("raw"))
+    return keyed.mapInArrow(run, f"doc_id {keyed.schema['doc_id'].dataType.simpleString()}, text_hash bigint, fp bigint")
 
 
 def _distance(a: str, b: str):
@@ -109,7 +109,8 @@ def near_pairs(fps: DataFrame, max_bits: int = 2, blocks: int = 5, bucket_limit:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                     max_bits: int = 2, blocks: int = 5, bucket_limit: int = 64) -> DataFrame:
-    """(doc_id, fp, component_id) for every row; component_id = smallest doc_id reachable."""
+    """(doc_id, text_hash, fp, root, component_id) for every row; component_id = smallest doc_id
+    reachable, root = smallest fingerprint reachable."""
     work = work_dir(docs.sparkSession, "simhash")
     marks = written(fingerprints(docs, id_col, text_col, shingle), f"{work}/fingerprints")
     classes = written(marks.groupBy("fp").agg(F.min("doc_id").alias("first_id")), f"{work}/classes")
@@ -117,5 +118,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = components(links, f"{work}/components")
     members = classes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("root"))
     names = members.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = members.join(names, "root").select("fp", "component_id")
-    return marks.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = members.join(names, "root").select("fp", "root", "component_id")
+    return marks.join(named, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One document of each component, with all its columns: the smallest id (an id before
+    none), of rows that share it the smallest text hash. Rows equal in id and text are one
+    document and stay together."""
+    found = near_duplicates(docs, id_col, text_col, **options)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("first"))
+    leaders = first.select(F.col("first.doc_id").alias("leader"), F.col("first.text_hash").alias("leader_hash"))
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[id_col].alias("row_id"), F.xxhash64(docs[text_col]).alias("row_hash"))
+    kept = rows.join(leaders, F.col("row_id").eqNullSafe(F.col("leader")) & (F.col("row_hash") == F.col("leader_hash")), "left_semi")
+    return kept.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
