@@ -26,12 +26,6 @@ def dot(a, b) -> Column:
     return F.aggregate(F.zip_with(_d(a), _d(b), lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def cosine_distance(a, b) -> Column:
-    """1 - cos(a, b); NULL when either vector has zero norm."""
-    den = l2_norm(a) * l2_norm(b)
-    return F.lit(1.0) - F.try_divide(dot(a, b), den)
-
-
 def scale(v, factor) -> Column:
     f = col_(factor).cast("double") if not isinstance(factor, (int, float)) else F.lit(float(factor))
     return F.transform(_d(v), lambda x: x * f)

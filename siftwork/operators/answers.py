@@ -38,21 +38,6 @@ def pivot_answers(long: DataFrame, questions=None, index: str = "paper_id", key:
     return g.agg(F.first(value))
 
 
-def pivot_encoded(long: DataFrame, questions=None, index: str = "paper_id", key: str = "question_id",
-                  value: str = "response", unsure_as_one: bool = True, strict: bool = True) -> DataFrame:
-    """Encode on the long table, then pivot numeric cells (hash aggregation, no sort);
-    a duplicated (paper, question) cell raises inside the same aggregation. Note: keep
-    the result shallow -- hashing all pivoted columns of it again in the same plan
-    (as the conflict operators do) makes the optimizer run out of memory; use
-    ``pivot_answers`` + ``encode_features`` there."""
-    qs = list(questions or question_ids())
-    enc = long.select(index, key, encode_answer(value, unsure_as_one, strict).alias("_x"))
-    cell = F.when(F.count(F.lit(1)) > 1,
-                  F.raise_error(F.lit("duplicate (paper, question) answer")).cast("double")) \
-        .otherwise(F.max("_x"))
-    return enc.groupBy(index).pivot(key, qs).agg(cell)
-
-
 def unpivot_answers(wide: DataFrame, questions=None, index: str = "paper_id") -> DataFrame:
     qs = list(questions or question_ids())
     return wide.unpivot([index], qs, "question_id", "response").where(F.col("response").isNotNull())

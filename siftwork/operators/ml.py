@@ -250,3 +250,30 @@ def benchmark_classifiers(vectors: DataFrame, classifiers: dict, k: int = 5, lab
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def evaluated(df: DataFrame, classifier: str, make, store_path: str, params: dict | None = None, k: int = 5, label: str = "label",
+              id_col: str = "id", vec: str = "embedding", embedding_model: str = "given", seed: int = 42,
+              target_recall: float | None = None) -> DataFrame:
+    """Fold metrics of one cross-validated classifier, from the result store when the same data
+    and configuration were evaluated before, else fitted, evaluated and stored. Default
+    threshold without ``target_recall``. Stored rows carry n_samples, n_features, n_splits,
+    random_state, parameters, target_recall and created_at."""
+    from siftwork.operators import ranking as R
+    from siftwork.operators import store as ST
+    spark = df.sparkSession
+    data_key = ST.data_hash_value(df, [id_col, label, vec])
+    config_key = ST.config_hash(classifier, params or {}, k=k, seed=seed, target_recall=target_recall, embedding_model=embedding_model)
+    stored = ST.load_results(spark, store_path, data_key, config_key, embedding_model, classifier)
+    if stored is not None:
+        return stored
+    scored = cross_val_scored(df, make, k, label, id_col, seed, vec, {"embedding_model": embedding_model, "classifier": classifier})
+    group = ["embedding_model", "classifier", "fold"]
+    folds = R.evaluate_default(scored, group) if target_recall is None else R.evaluate_fixed_recall(scored, group, target_recall)
+    size = df.agg(F.count(F.lit(1)), F.max(F.size(vec))).first()
+    meta = {"n_samples": F.lit(size[0]), "n_features": F.lit(size[1]), "n_splits": F.lit(k), "random_state": F.lit(seed),
+            "parameters": F.lit(repr(sorted((params or {}).items()))), "created_at": F.current_timestamp()}
+    if "target_recall" not in folds.columns:
+        meta["target_recall"] = F.lit(target_recall).cast("double")
+    ST.save_results(folds.withColumns(meta), store_path, data_key, config_key)
+    return ST.load_results(spark, store_path, data_key, config_key, embedding_model, classifier)

@@ -65,9 +65,11 @@ def random_per_label(df: DataFrame, k: int, label: str = "label", id_col: str =
     return top_k_per_group(df, k, [label], [hash_key(id_col, seed), F.col(id_col)])
 
 
-def shuffled(df: DataFrame, id_col: str = "id", seed: int = 42) -> DataFrame:
-    """Full seeded shuffle (range-partitioned global sort on the hash)."""
-    return df.orderBy(hash_key(id_col, seed), F.col(id_col))
+def hash_rank(df: DataFrame, id_col: str = "id", seed: int = 42, out: str = "position") -> DataFrame:
+    """0-based position of every row in the seeded full shuffle (hash order, ties by id)."""
+    x = df.withColumn("_h", hash_key(id_col, seed)).withColumn("_one", F.lit(1))
+    r = running_totals(x, [], [F.col("_h"), F.col(id_col)], ["_one"], hex_block(F.col("_h")))
+    return r.withColumn(out, F.col("cum__one") - 1).drop("_h", "_one", "cum__one")
 
 
 def balanced_sample(df: DataFrame, n: int, include_share: float, label: str = "label",
@@ -75,33 +77,27 @@ def balanced_sample(df: DataFrame, n: int, include_share: float, label: str = "l
     """n rows with ceil(n * share) positives (clamped to what exists; share -1 means no
     quota), filled from the remaining rows in hash order; if every sampled row is
     positive and a negative exists, the last sampled row is swapped for one negative.
-    Output carries ``sample_order`` (shuffled position).
+    Output carries ``sample_order`` (its position in the sample's own hash order).
 
-    Candidates are taken with ordered limits (per-partition top-n, then merge), so
-    everything after that step is bounded by the requested sample size."""
+    Everything is a cut on blocked ranks, so n may be any share of the table."""
     requested = int(math.ceil(n * float(include_share))) if include_share != -1 else 0
     cols = df.columns
-    h = hash_key(id_col, seed)
-    pos = df.where(F.col(label)).withColumn("_h", h)
-    pos_pick = pos.orderBy("_h", id_col).limit(requested)
-    pool = df.join(pos_pick.select(id_col), on=id_col, how="left_anti").withColumn("_h", h)
-    pool_top = pool.orderBy("_h", id_col).limit(n)
-    neg = df.where(~F.col(label)).withColumn("_h", hash_key(id_col, seed + 1))
-    neg1 = neg.orderBy("_h", id_col).limit(1)
-    cand = (pos_pick.select(*cols, "_h", F.lit(0).alias("_src"))
-            .unionByName(pool_top.select(*cols, "_h", F.lit(1).alias("_src")))
-            .unionByName(neg1.select(*cols, "_h", F.lit(2).alias("_src"))))
-    everything = Window.partitionBy()
-    rank_in_src = F.row_number().over(Window.partitionBy("_src").orderBy("_h", id_col))
-    c = cand.withColumn("_r", rank_in_src) \
-        .withColumn("_n0", F.sum(F.when(F.col("_src") == 0, 1).otherwise(0)).over(everything))
-    c = c.withColumn("_in", (F.col("_src") == 0) | ((F.col("_src") == 1) & (F.col("_r") <= F.lit(n) - F.col("_n0"))))
-    c = c.withColumn("_ord", hash_key(id_col, seed))
-    c = c.withColumn("_allpos", F.min(F.when(F.col("_in"), F.col(label).cast("int"))).over(everything)) \
-         .withColumn("_hasneg", F.max(F.when(F.col("_src") == 2, 1).otherwise(0)).over(everything)) \
-         .withColumn("_last", F.max(F.when(F.col("_in"), F.col("_ord"))).over(everything))
-    swap = (F.col("_allpos") == 1) & (F.col("_hasneg") == 1)
-    keep = (F.col("_in") & ~(swap & (F.col("_ord") == F.col("_last")))) | ((F.col("_src") == 2) & swap)
-    out = c.where(keep).withColumn("_ord", F.when(F.col("_src") == 2, F.col("_last")).otherwise(F.col("_ord")))
-    w = Window.orderBy(F.col("_ord"), F.col(id_col))
-    return out.withColumn("sample_order", F.row_number().over(w) - 1).select(*cols, "sample_order")
+    ranked = class_rank(df, label, id_col, seed)
+    picked = F.coalesce(F.col(label), F.lit(False)) & (F.col("_rank") < requested)
+    rows = ranked.select(*cols, F.coalesce(picked, F.lit(False)).alias("_picked"))
+    rest = hash_rank(rows.where(~F.col("_picked")), id_col, seed, "_pool")
+    taken = rows.where("_picked").withColumn("_pool", F.lit(-1).cast("long")).unionByName(rest)
+    n_picked = rows.agg(F.count_if("_picked")).scalar()
+    taken = taken.where(F.col("_pool") < F.greatest(F.lit(0), F.lit(n) - n_picked)).select(*cols)
+    # a sample of positives only gives its last row up for the first negative of another order
+    summary = taken.agg(F.min(F.col(label).cast("int")).alias("all_positive"), F.max(F.struct(hash_key(id_col, seed).alias("h"), F.col(id_col).alias("id"))).alias("last")).first()
+    first_negative = df.where(~F.col(label)).agg(F.min(F.struct(hash_key(id_col, seed + 1).alias("h"), F.col(id_col).alias("id"))).alias("m")).first().m
+    if summary.all_positive == 1 and first_negative is not None:
+        negative = df.where((F.col(id_col) == F.lit(first_negative.id)) & ~F.col(label))
+        order = F.when(F.col(id_col) == F.lit(first_negative.id), F.lit(summary.last.h)).otherwise(hash_key(id_col, seed))
+        taken = taken.where(F.col(id_col) != F.lit(summary.last.id)).unionByName(negative)
+    else:
+        order = hash_key(id_col, seed)
+    x = taken.withColumn("_h", order).withColumn("_one", F.lit(1))
+    r = running_totals(x, [], [F.col("_h"), F.col(id_col)], ["_one"], hex_block(F.col("_h")))
+    return r.select(*cols, (F.col("cum__one") - 1).alias("sample_order"))

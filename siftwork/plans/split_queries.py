@@ -47,6 +47,11 @@ def q_balanced_sample(spark, sf):
     return s.select("id", "label", "sample_order")
 
 
+def q_shuffled_positions(spark, sf):
+    """Position of every paper in the seeded full shuffle (O-04)."""
+    return SP.hash_rank(fx.papers(spark, sf)).select("id", "position")
+
+
 def q_random_per_label(spark, sf):
     """Three seeded random vectors per label (W-11)."""
     v = fx.vectors(spark, sf)
@@ -61,6 +66,7 @@ QUERIES = {
     "folds_with_vectors": q_folds_with_vectors,
     "balanced_sample": q_balanced_sample,
     "random_per_label": q_random_per_label,
+    "shuffled_positions": q_shuffled_positions,
 }
 
 _FOLDS = f"""{S.PAPERS},
@@ -113,6 +119,7 @@ SELECT id, label FROM (
   FROM embeddings) WHERE rn <= 3"""
 
 ORACLE = {
+    "shuffled_positions": f"WITH {S.PAPERS} SELECT id, row_number() OVER (ORDER BY {S.HASH42}, id) - 1 AS position FROM papers",
     "folds_with_vectors": SQL_FOLDS_WITH_VECTORS,
     "stratified_folds": SQL_FOLDS,
     "fold_balance": SQL_FOLD_BALANCE,

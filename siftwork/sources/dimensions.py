@@ -68,14 +68,3 @@ def read_questions_csv(spark: SparkSession, path: str) -> DataFrame:
     return (spark.read.schema(QUESTION_SCHEMA)
             .option("header", True).option("multiLine", True).option("escape", '"')
             .csv(path))
-
-
-def questions_df(spark: SparkSession) -> DataFrame:
-    ids = question_ids()
-    rows = [(q, None, None, "include" if q.startswith("I") else "exclude", None) for q in ids]
-    return spark.createDataFrame(rows, QUESTION_SCHEMA)
-
-
-def load_json_dump(path: str) -> dict:
-    with open(path, encoding="utf-8") as f:
-        return json.load(f)

@@ -211,3 +211,25 @@ def test_a_failing_prompt_does_not_end_the_job(spark, tmp_path):
     assert L.read_answers(spark, store).count() == 12
     with pytest.raises(Exception, match="no answer"):
         L.label_with(L.answer_requests(papers, questions), flaky, "prompt").collect()
+
+
+def test_a_second_evaluation_fits_nothing(spark, tmp_path):
+    x, df = vectors(spark, 120, 3)
+    df = df.withColumn("label", F.element_at("embedding", 1) > 0)
+    fits, path = [], str(tmp_path / "results")
+
+    def make(n):
+        fits.append(n)
+        return M.logreg(max_iter=5)(n)
+
+    first = M.evaluated(df, "logreg", make, path, {"max_iter": 5}, k=2)
+    assert len(fits) == 2
+    again = M.evaluated(df, "logreg", make, path, {"max_iter": 5}, k=2)
+    assert len(fits) == 2 and sorted(map(str, first.collect())) == sorted(map(str, again.collect()))
+    row = again.first()
+    assert (row.n_samples, row.n_features, row.n_splits, row.random_state) == (120, 3, 2, 42)
+    M.evaluated(df, "logreg", make, path, {"max_iter": 5}, k=2, target_recall=0.95)
+    assert len(fits) == 4 and ST.list_results(spark, path).count() == 2
+    M.evaluated(df.where("id > 0"), "logreg", make, path, {"max_iter": 5}, k=2)
+    assert len(fits) == 6
+    ST.clear_results(spark, path)
