@@ -133,12 +133,11 @@ def encode_texts(texts: list[str | None], words: _Words, end_id: int) -> list[by
         found = [list(map(words.get, split)) for split in group]
         open_texts = [k for k, got in enumerate(found) if None in got]
         missing = {w for k in open_texts for w, got in zip(group[k], found[k], strict=True) if got is None}
-        if len(words) + 2 * len(missing) > _WORDS_KEPT:
+        if len(words) + len(missing) > _WORDS_KEPT:
             words.clear()
-            missing = {w for k in open_texts for w in group[k]}
         words.learn(missing)
         for k in open_texts:
-            found[k] = list(map(words.__getitem__, group[k]))
+            found[k] = [words[w] if got is None else got for w, got in zip(group[k], found[k], strict=True)]
         out.extend(b"".join(got) + end for got in found)
         group.clear()
 
