@@ -404,7 +404,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 names=["print", "key", "pos"])
 
     marks = base.select("key", "text").mapInArrow(anchors, "print bigint, key bigint, pos int")
-    repeated = marks.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1").select("print")
+    # written, so that the join reads two plain exchanges and a hot print's rows can be split
+    repeated = written(marks.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1").select("print"), f"{work}/repeated")
     cand = written(marks.join(repeated, "print").select("key", "pos"), f"{work}/candidates")
     n_cand = cand.count()
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
