@@ -27,7 +27,8 @@ def _scratch(spark: SparkSession, name: str) -> str:
 
 
 def daily_counts_stream(spark: SparkSession, source_glob: str, schema, out_dir: str | None = None,
-                        ckpt_dir: str | None = None, window: str = "1 day", delay: str = "1 day") -> DataFrame:
+                        ckpt_dir: str | None = None, window: str = "1 day", delay: str = "1 day",
+                        files_per_batch: int = 1000) -> DataFrame:
     """Windowed counts per (day, event_type) from a parquet stream. Each micro-batch's
     updated windows are appended with the batch id; the result keeps the newest value
     per window. Rows that arrive more than ``delay`` behind the newest event time of
@@ -35,7 +36,7 @@ def daily_counts_stream(spark: SparkSession, source_glob: str, schema, out_dir:
     stream equals the batch aggregate."""
     out_dir = out_dir or _scratch(spark, "daily-counts-out")
     ckpt_dir = ckpt_dir or _scratch(spark, "daily-counts-ckpt")
-    src = spark.readStream.schema(schema).parquet(source_glob)
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source_glob)
     # event time as an instant whose UTC reading is the stored wall clock (unix_timestamp
     # reads TIMESTAMP_NTZ as UTC), so day windows do not move with the session time zone
     ev = src.select(F.timestamp_seconds(F.unix_timestamp("ts")).alias("et"), "event_type")

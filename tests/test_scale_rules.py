@@ -233,3 +233,35 @@ def test_a_second_evaluation_fits_nothing(spark, tmp_path):
     M.evaluated(df.where("id > 0"), "logreg", make, path, {"max_iter": 5}, k=2)
     assert len(fits) == 6
     ST.clear_results(spark, path)
+
+
+def test_daily_counts_over_several_batches_with_late_rows(spark, tmp_path):
+    """One file per micro-batch: rows within the delay still count, rows behind the watermark of
+    earlier batches do not, and a second run continues from the checkpoint."""
+    import time
+
+    from siftwork.streaming.streams import daily_counts_stream
+    batches = [
+        [("2024-01-01 10:00:00", "view"), ("2024-01-01 12:00:00", "view")],
+        [("2024-01-02 09:00:00", "view"), ("2024-01-01 23:00:00", "view")],  # one late, within a day
+        [("2024-01-06 00:00:00", "click")],
+        [("2024-01-06 01:00:00", "click")],  # late rows are judged by the watermark of the batch before
+        [("2024-01-01 08:00:00", "view"), ("2024-01-05 12:00:00", "click")],  # one behind the watermark, one within
+    ]
+    src = tmp_path / "src"
+    schema = "ts timestamp_ntz, event_type string"
+
+    def deliver(rows):
+        spark.createDataFrame(rows, "t string, event_type string").selectExpr("cast(t as timestamp_ntz) ts", "event_type").coalesce(1).write.mode("append").parquet(str(src))
+        time.sleep(1.1)  # file order follows modification times
+
+    def run():
+        out = daily_counts_stream(spark, str(src), schema, str(tmp_path / "out"), str(tmp_path / "ckpt"), files_per_batch=1)
+        return {(str(r.day), r.event_type): r.n for r in out.collect()}
+
+    for rows in batches[:2]:
+        deliver(rows)
+    assert run() == {("2024-01-01", "view"): 3, ("2024-01-02", "view"): 1}
+    for rows in batches[2:]:
+        deliver(rows)
+    assert run() == {("2024-01-01", "view"): 3, ("2024-01-02", "view"): 1, ("2024-01-06", "click"): 2, ("2024-01-05", "click"): 1}
