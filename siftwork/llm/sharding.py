@@ -3,8 +3,9 @@
 Rows are put in one order and cut into shards of near equal bytes.
 
 * The order is (hash of the text, hash of the id, id): uniform, and equal texts are neighbours.
-* A sample, in which a row is drawn in proportion to its size, gives quantile boundaries
-  of the text hash: the splitters of fine ranges of about equal bytes. A key that fills
+* A sample, in which a row is drawn in proportion to its size (and a share equal for all
+  rows), gives quantile boundaries of the text hash: the splitters of fine ranges, each bounded
+  in bytes and rows. A key that fills
   several quantiles by itself (a hot group of copies) is an overfull range: it gets a
   range of its own, subdivided by the id hash into as many pieces as quantiles it filled.
 * Within a range, windows give running bytes and row numbers; one row per range gives the
@@ -30,17 +31,20 @@ from pyspark.sql import functions as F
 from siftwork.llm.common import work_dir, written
 
 FIXED_BYTES = 16
+_KEY_SHIFT = 11  # 53 bits of the hash: quantiles pass through doubles and must give keys back exactly
 
 
 def _splitters(rows: DataFrame, ranges: int, per_range: int) -> list[int]:
-    """Quantiles of ``key`` weighted by ``size``, from a sample of about ``ranges * per_range`` draws."""
-    total = rows.agg(F.sum("size")).first()[0]
-    if not total:
+    """Quantiles of ``key`` from a sample of about ``ranges * per_range`` draws. Half of the weight is
+    the size and half is the same for every row, so a range is bounded in bytes and in rows
+    (a hot group of short texts is small in bytes only)."""
+    total, n = rows.agg(F.sum("size"), F.count("*")).first()
+    if not n:
         return []
-    step = F.lit(total / (ranges * per_range))
+    weight = (F.col("size") / float(total) + 1.0 / n) / 2 * ranges * per_range
     # systematic draws: whole steps surely, the rest by a uniform hash
     u = F.shiftrightunsigned(F.xxhash64(F.lit("draw"), "spread", "key"), 11) / float(1 << 53)
-    draws = rows.withColumn("draws", F.floor(F.col("size") / step + u)).filter("draws > 0")
+    draws = rows.withColumn("draws", F.floor(weight + u)).filter("draws > 0")
     sample = draws.select("key", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("draws"))).alias("_"))
     cuts = sample.agg(F.percentile_approx("key", [k / ranges for k in range(1, ranges)], 20 * ranges)).first()[0]
     return list(cuts or [])
@@ -74,7 +78,7 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     text = F.coalesce(docs[text_col], F.lit(""))
     rows = written(docs.select(
         docs[id_col].alias("doc_id"), (F.octet_length(text) + FIXED_BYTES).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.xxhash64(text).alias("key"), F.xxhash64(F.lit("spread"), docs[id_col]).alias("spread")), f"{work}/rows")
+        F.shiftright(F.xxhash64(text), _KEY_SHIFT).alias("key"), F.xxhash64(F.lit("spread"), docs[id_col]).alias("spread")), f"{work}/rows")
     ranges = min(max_ranges, max(shards * ranges_per_shard, rows.count() // rows_per_range))
     band, pieces = _range_of(_splitters(rows, ranges, per_range))
     piece = F.floor(F.shiftrightunsigned("spread", 11) / float(1 << 53) * pieces)

@@ -5,7 +5,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from siftwork.llm.sharding import FIXED_BYTES, shard
+from siftwork.llm.sharding import FIXED_BYTES, _range_of, _splitters, shard
 from tests.llm.conftest import BASE, documents
 
 
@@ -38,6 +38,18 @@ def test_equal_bytes_with_a_hot_group_and_giants(spark, rows_per_range):
     laws(got, 40, lambda mean: 5000 + 0.01 * mean)
 
 
+def test_a_hot_key_is_found_and_subdivided(spark):
+    """Its quantiles must be its key exactly; short copies are heavy in rows, not in bytes."""
+    docs = spark.range(8000).selectExpr("id doc_id", "if(id % 3 = 0, 'hot', concat('text ', id, repeat(' filler', 30))) text")
+    rows = docs.selectExpr("length(text) + 16L size", "shiftright(xxhash64(text), 11) key", "xxhash64('spread', doc_id) spread")
+    splitters = _splitters(rows, 100, 64)
+    hot = rows.filter("size < 30").first().key
+    assert splitters.count(hot) >= 10
+    band, pieces = _range_of(splitters)
+    sizes = rows.withColumn("band", band).withColumn("piece", F.floor(F.shiftrightunsigned("spread", 11) / float(1 << 53) * pieces)).groupBy("band", "piece").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 300
+
+
 def test_copies_stay_together_unless_they_fill_a_shard(spark):
     docs = spark.range(8000).selectExpr("id doc_id", "concat('text ', id div 4, repeat(' filler', 20)) text")
     got = shard(docs, shards=10, group_share=0.01)
