@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from siftwork.llm.common import written
 
-_WORDS_KEPT = 1_200_000
+_WORDS_KEPT = 1_500_000
 _GAMMA = 2
 _MAX_LEVELS = 64
 _RECORD = np.dtype([("fingerprint", "<u4"), ("shard", "<u4"), ("at", "<u8"), ("n", "<u8"), ("start", "<u8")])
@@ -235,7 +235,7 @@ def _keyed(df: DataFrame, parts: int) -> DataFrame:
 
 
 def write_store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: bytes | None = None,
-                end_id: int = 2, shard_bytes: int = 64 << 20, part_keys: int = 100_000) -> None:
+                end_id: int = 2, shard_bytes: int = 96 << 20, part_keys: int = 100_000) -> None:
     """Encode the texts and write the store into ``folder`` (a new folder below a shared one)."""
     spark = docs.sparkSession
     source = tokenizer or default_tokenizer()
