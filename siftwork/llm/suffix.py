@@ -24,6 +24,13 @@ counted first (collisions only cost work), and only suffixes whose count is abov
    repeats; each entry learns how far its repeated windows reach to the left and right.
 5. The reach goes back to the runs, which hold the documents' texts, and becomes spans.
 
+A prefix with more than ``hot`` candidates (a boilerplate line between different neighbours) would
+fill one bucket whatever their number. Its suffixes do not go to the runs but through ``_hot_reach``:
+the splits are halved, and for the splits lo to hi a suffix is filed under the bytes that all their
+windows hold (``length - hi`` to the right, ``lo`` to the left). Suffixes equal in all bytes that any
+of these windows holds collapse into one. Files of at most ``hot`` are searched as in 4; larger
+ones are halved again, down to one split, where a file is one window and collapses.
+
 Defined results: null and empty texts have no spans; texts shorter than ``length`` bytes
 neither have nor cause any; rows that repeat a document are copies of each other;
 a null id is carried along; other columns are ignored.
@@ -184,7 +191,7 @@ def _unpack(blob: bytes, *types: str) -> list[np.ndarray]:
 class _Run:
     """The documents of one run in a fixed order, their candidate suffixes and entries."""
 
-    def __init__(self, docs: pa.Table, side: pa.Table, shape: Shape):
+    def __init__(self, docs: pa.Table, side: pa.Table):
         keys = docs.column("key").to_numpy()
         self.order = np.argsort(keys, kind="stable")
         texts = docs.column("text").take(pa.array(self.order)).to_pylist()
@@ -198,13 +205,17 @@ class _Run:
         times = last - first  # one suffix for each row with that key
         self.doc = np.repeat(first, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
         self.at = self.starts[self.doc] + np.repeat(pos, times)
+        self.cand, self.times = pairs, times
+
+    def entries(self, shape: Shape) -> None:
         if len(self.at):
             self.rows, self.place = _entries(self.buf, self.at, self.starts[self.doc], self.ends[self.doc], shape)
 
 
 def _cut_run(docs: pa.Table, side: pa.Table, shape: Shape, buckets: int, schema: pa.Schema) -> pa.Table:
     """Sorted front-coded entries of one run, one blob a bucket."""
-    run = _Run(docs, side, shape)
+    run = _Run(docs, side)
+    run.entries(shape)
     if not len(run.at):
         return schema.empty_table()
     number = docs.column("run")[0].as_py()
@@ -290,9 +301,9 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[int], li
     return sources, shared
 
 
-def _reach(rows: np.ndarray, lcp: np.ndarray, several: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
+def _reach(rows: np.ndarray, lcp: np.ndarray, several: np.ndarray, shape: Shape, parts: range | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For sorted rows with their shared prefix lengths: the most and the fewest bytes to the left
-    with which a repeated window holds the suffix's start (-1: none)."""
+    (of ``parts``, else of all splits) with which a repeated window holds the suffix's start (-1: none)."""
     n = len(rows)
     right, left = rows[:, shape.length].astype(np.int64), rows[:, -1].astype(np.int64)
     before = np.ascontiguousarray(rows[:, shape.length + 1:-1])
@@ -303,7 +314,7 @@ def _reach(rows: np.ndarray, lcp: np.ndarray, several: np.ndarray, shape: Shape)
         raise ValueError("too many entries in a bucket: use more buckets")
     most, fewest = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
     left_class = np.empty(n, np.int64)
-    for part in range(shape.left + 1):
+    for part in parts or range(shape.left + 1):
         can = np.flatnonzero((left >= part) & (right >= shape.length - part))
         if not len(can):
             continue
@@ -355,11 +366,94 @@ def _merge_bucket(blobs: pa.Table, shape: Shape, schema: pa.Schema) -> pa.Table:
     return pa.Table.from_pydict({"run": [x[0] for x in out], "blob": [x[1] for x in out]}, schema=schema)
 
 
+# ---- hot prefixes -----------------------------------------------------------------------
+
+def _hot_rows(docs: pa.Table, side: pa.Table, shape: Shape, schema: pa.Schema) -> pa.Table:
+    """The bytes to the right and (reversed) to the left of one run's hot candidates; rows that
+    repeat a document are one row with ``several``."""
+    if not side.num_rows:
+        return schema.empty_table()
+    run = _Run(docs, side)
+    there = run.times > 0
+    first = (np.cumsum(run.times) - run.times)[there]
+    at, start, end = run.at[first], run.starts[run.doc[first]], run.ends[run.doc[first]]
+    right, left = [], []
+    for a, s, e in zip(at.tolist(), start.tolist(), end.tolist(), strict=True):
+        right.append(run.buf[a:min(e, a + shape.length)].tobytes())
+        left.append(run.buf[max(s, a - shape.left):a][::-1].tobytes())
+    return pa.Table.from_pydict({"key": run.cand.f0[there], "pos": run.cand.f1[there], "several": run.times[there] > 1,
+                                 "r": pa.array(right, pa.binary()), "l": pa.array(left, pa.binary())}, schema=schema)
+
+
+def _merge_file(rows: pa.Table, shape: Shape, schema: pa.Schema) -> pa.Table:
+    """The reach of the suffixes of some files that hold all their partners."""
+    out = []
+    low, high = rows.column("lo").to_numpy(), rows.column("hi").to_numpy()
+    for lo, hi in sorted(set(zip(low.tolist(), high.tolist(), strict=True))):
+        part = rows.filter(pa.array((low == lo) & (high == hi)))
+        right, left = part.column("r").to_pylist(), part.column("l").to_pylist()
+        text = [r.ljust(shape.length, b"\0") + bytes([len(r)]) + x.ljust(shape.left, b"\0") + bytes([len(x)]) for r, x in zip(right, left, strict=True)]
+        table = np.frombuffer(b"".join(text), np.uint8).reshape(-1, shape.width)
+        order = np.argsort(table.view(f"S{shape.width}").ravel(), kind="stable")
+        lcp, _ = _front_coded(table[order])
+        several = part.column("several").to_numpy()[order]
+        most, fewest = _reach(table[order], lcp, several, shape, range(lo, hi + 1))
+        part = part.take(pa.array(order)).select(["key", "pos"])
+        hit = pa.array((most >= 0) & part.column("key").is_valid().to_numpy())
+        found = part.append_column("most", pa.array(most, pa.int32())).append_column("fewest", pa.array(fewest, pa.int32()))
+        out.append(found.filter(hit).cast(schema))
+    return pa.concat_tables(out)
+
+
+def _hot_reach(rows: DataFrame, shape: Shape, hot: int, work: str) -> DataFrame:
+    """(key, pos, several, r, l) -> (key, pos, most, fewest), one row a suffix. A null key is a suffix whose reach is known already; it stays a partner of others."""
+    spark, length = rows.sparkSession, shape.length
+    schema = pa.schema([("key", pa.int64()), ("pos", pa.int32()), ("most", pa.int32()), ("fewest", pa.int32())])
+    node = ["lo", "hi", "r", "l"]
+    most = F.least("hi", F.length("l")).cast("int")
+    fewest = F.greatest("lo", length - F.length("r")).cast("int")
+    state = rows.select("key", "pos", "several", "r", "l", F.lit(0).alias("lo"), F.lit(shape.left).alias("hi"))
+    state, found, level = state.filter(fewest <= most), [], 0
+    while True:
+        state = written(state, f"{work}/hot-{level}")
+        # equal in all bytes of all windows: one entry, and all of them are repeats
+        same = written(state.groupBy(*node).agg(((F.count("*") > 1) | F.max("several")).alias("several"), F.min(F.struct("key", "pos")).alias("who")), f"{work}/same-{level}")
+        repeats = same.filter("several").select(*node)
+        found.append(written(state.filter("key is not null").join(repeats, node).select("key", "pos", most.alias("most"), fewest.alias("fewest")), f"{work}/equal-{level}"))
+        who = F.when(~F.col("several"), F.col("who"))
+        file = F.xxhash64("lo", "hi", F.expr(f"substring(r, 1, {length} - hi)"), F.expr("substring(l, 1, lo)"))
+        entries = written(same.filter("lo < hi").select(file.alias("file"), *node, "several", who["key"].alias("key"), who["pos"].alias("pos")), f"{work}/entries-{level}")
+        sizes = written(entries.groupBy("file").agg(F.count("*").alias("n")).filter("n > 1"), f"{work}/sizes-{level}")
+        small = sizes.filter(F.col("n") <= hot)
+        total = small.agg(F.sum("n")).first()[0] or 0
+        if total:
+            groups = max(1, total // hot, min(64, total // 500))
+            cold = entries.join(small.select("file"), "file").withColumn("bucket", F.pmod("file", F.lit(groups)))
+            merged = cold.groupBy("bucket").applyInArrow(lambda t: _merge_file(t, shape, schema), "key bigint, pos int, most int, fewest int")
+            found.append(written(merged, f"{work}/merged-{level}"))
+        large = sizes.filter(F.col("n") > hot).select("file")
+        if large.isEmpty():
+            break
+        middle = F.expr("(lo + hi) div 2").cast("int")
+        halves = F.explode(F.array(F.struct(F.col("lo").alias("lo"), middle.alias("hi")), F.struct((middle + 1).alias("lo"), F.col("hi").alias("hi"))))
+        state = (entries.join(large, "file").select("key", "pos", "several", "r", "l", halves.alias("half"))
+                 .select("key", "pos", "several", F.expr(f"substring(r, 1, {length} - half.lo)").alias("r"), F.expr("substring(l, 1, half.hi)").alias("l"), "half.lo", "half.hi")
+                 .filter((F.length("l") >= F.col("lo")) & (F.length("r") >= length - F.col("hi")) & (fewest <= most)))
+        level += 1
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionAll(more)
+    # all windows hold the suffix's start, so the outermost two tell their union
+    return out.groupBy("key", "pos").agg(F.max("most").alias("most"), F.min("fewest").alias("fewest"))
+
+
 # ---- spans ------------------------------------------------------------------------------
 
 def _spans(docs: pa.Table, side: pa.Table, shape: Shape, schema: pa.Schema) -> pa.Table:
     """The removed spans and the remaining bytes of one run's documents."""
-    run = _Run(docs, side, shape)
+    hot = side.filter(side.column("most").is_valid())
+    run = _Run(docs, side.filter(side.column("most").is_null()))
+    run.entries(shape)
     depth = np.zeros(len(run.buf) + 1, np.int32)
     if len(run.at):
         most, fewest = np.full(len(run.rows), -1, np.int64), np.zeros(len(run.rows), np.int64)
@@ -371,6 +465,11 @@ def _spans(docs: pa.Table, side: pa.Table, shape: Shape, schema: pa.Schema) -> p
         # every window holds the start of its suffix, so their union is one span
         np.add.at(depth, at - most, 1)
         np.add.at(depth, at + shape.length - fewest, -1)
+    if hot.num_rows:
+        more = _Run(docs, hot)
+        hot = hot.sort_by([("key", "ascending"), ("pos", "ascending")])  # one row a suffix, in the order of the candidates
+        np.add.at(depth, more.at - np.repeat(hot.column("most").to_numpy(), more.times), 1)
+        np.add.at(depth, more.at + shape.length - np.repeat(hot.column("fewest").to_numpy(), more.times), -1)
     gone = np.cumsum(depth[:-1]) > 0
     ids = docs.column("doc_id").take(pa.array(run.order))
     spans, kept = [], []
@@ -386,9 +485,10 @@ def _spans(docs: pa.Table, side: pa.Table, shape: Shape, schema: pa.Schema) -> p
     return pa.table([ids, pa.array(run.ends - run.starts), pa.array(spans, schema.field("spans").type), pa.array(kept, pa.binary())], schema=schema)
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, hot: int = 40_000) -> DataFrame:
     """(doc_id, n_bytes, spans array<struct<start, end>>, kept binary) for every row: byte spans of
-    the text covered by repeated strings of ``length`` bytes, and the other bytes."""
+    the text covered by repeated strings of ``length`` bytes, and the other bytes. Prefixes with more
+    than ``hot`` candidates are searched in parts; the result does not depend on it."""
     shape, work = Shape(length), work_dir(docs.sparkSession, "suffix")
     kind = docs.schema[id_col].dataType.simpleString()
     # the key names a document by id and text: rows with the same key are copies and share their result
@@ -405,8 +505,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     marks = base.select("key", "text").mapInArrow(anchors, "print bigint, key bigint, pos int")
     # written, so that the join reads two plain exchanges and a hot print's rows can be split
-    repeated = written(marks.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1").select("print"), f"{work}/repeated")
-    cand = written(marks.join(repeated, "print").select("key", "pos"), f"{work}/candidates")
+    repeated = written(marks.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1").select("print", (F.col("n") > hot).alias("hot")), f"{work}/repeated")
+    every = written(marks.join(repeated, "print").select("key", "pos", "hot"), f"{work}/candidates")
+    cand = every.filter("not hot")
     n_cand = cand.count()
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # runs of 256 KB to 8 MB; beyond 4096 runs they grow instead, so that runs x buckets stays in proportion
@@ -417,12 +518,18 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = base.select(run, "key", "doc_id", "text")
     side = cand.select(run, "key", "pos", F.lit(None).cast("binary").alias("blob"))
 
+    none = F.lit(None).cast("int")
     cut_schema = pa.schema([("bucket", pa.int64()), ("run", pa.int64()), ("blob", pa.binary())])
     reach_schema = pa.schema([("run", pa.int64()), ("blob", pa.binary())])
     cut = (texts.groupBy("run").cogroup(side.groupBy("run"))
            .applyInArrow(lambda d, s: _cut_run(d, s, shape, buckets, cut_schema), "bucket bigint, run bigint, blob binary"))
     merged = cut.groupBy("bucket").applyInArrow(lambda b: _merge_bucket(b, shape, reach_schema), "run bigint, blob binary")
-    both = side.unionAll(merged.select("run", F.lit(None).cast("bigint"), F.lit(None).cast("int"), "blob"))
+    both = side.unionAll(merged.select("run", F.lit(None).cast("bigint"), F.lit(None).cast("int"), "blob")).withColumns({"most": none, "fewest": none})
+    if not repeated.filter("hot").isEmpty():
+        hot_schema = pa.schema([("key", pa.int64()), ("pos", pa.int32()), ("several", pa.bool_()), ("r", pa.binary()), ("l", pa.binary())])
+        rows = (texts.groupBy("run").cogroup(every.filter("hot").select(run, "key", "pos").groupBy("run"))
+                .applyInArrow(lambda d, s: _hot_rows(d, s, shape, hot_schema), "key bigint, pos int, several boolean, r binary, l binary"))
+        both = both.unionAll(_hot_reach(rows, shape, hot, work).select(run, "key", "pos", F.lit(None).cast("binary"), "most", "fewest"))
     to_arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     out = pa.schema([("doc_id", to_arrow[kind]), ("n_bytes", pa.int64()), ("spans", spans), ("kept", pa.binary())])

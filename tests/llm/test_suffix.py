@@ -22,10 +22,10 @@ def brute(texts, length):
     return out
 
 
-def compare(docs, rows, length):
+def compare(docs, rows, length, **options):
     texts = [(r[1] or "").encode() for r in rows]
     want = sorted(((r[0], len(t), n, kept) for r, t, (kept, n) in zip(rows, texts, brute(texts, length), strict=True)), key=str)
-    got = repeated_spans(docs, length=length).collect()
+    got = repeated_spans(docs, length=length, **options).collect()
     assert sorted(((r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), bytes(r.kept)) for r in got), key=str) == want
     for r in got:  # maximal, ordered runs
         assert all(a.end < b.start for a, b in zip(r.spans, r.spans[1:]))
@@ -87,3 +87,43 @@ def test_loser_tree_merges_and_keeps_prefix_lengths(runs):
         at[s] += 1
     assert out == sorted(strings)
     assert shared[1:] == [next((i for i in range(12) if a[i] != b[i]), 12) for a, b in zip(out, out[1:])]
+
+
+def hot_rows():
+    """Passages of 40 to 110 bytes between different neighbours, copies, short ends, and a period."""
+    r = random.Random(5)
+    line = "".join(r.choice("abcdefgh") for _ in range(110))
+    rows = []
+    for k in range(160):
+        left, right = ("".join(r.choice("stuvwxyz ") for _ in range(r.choice([0, 3, 30, 90]))) for _ in range(2))
+        rows.append((k, left + line[r.choice([0, 0, 0, 25]):r.choice([110, 110, 65])] + right, "en", "a"))
+    rows += [(200 + k, rows[k % 3][1], "en", "a") for k in range(30)]
+    rows += [(5, rows[5][1], "en", "b"), (None, line, "en", "a"), (300, "z" * 300, "", ""), (301, "y" + "z" * 90, "", "")]
+    return rows
+
+
+@pytest.mark.parametrize("hot", [3, 40])
+def test_hot_passage_between_different_neighbours(spark, hot):
+    rows = hot_rows()
+    docs = documents(spark, rows).repartition(5)
+    compare(docs, rows, 60, hot=hot)
+
+
+def test_entries_of_a_hot_prefix_do_not_meet_in_one_task(spark, tmp_path, monkeypatch):
+    import siftwork.llm.suffix as suffix
+    inner, seen = suffix._reach, str(tmp_path)
+
+    def counted(rows, *rest):
+        import os
+        import uuid
+        most = max(Counter(bytes(x) for x in rows[:, :19]).values())  # the core of 60 bytes
+        with open(os.path.join(seen, uuid.uuid4().hex), "w") as f:
+            f.write(str(most))
+        return inner(rows, *rest)
+
+    monkeypatch.setattr(suffix, "_reach", counted)
+    r = random.Random(9)
+    line = "".join(r.choice("abcdefgh") for _ in range(70))
+    rows = [(k, "".join(r.choice("stuvwxyz ") for _ in range(40)) + line + "".join(r.choice("stuvwxyz ") for _ in range(40)), "en", "a") for k in range(300)]
+    compare(documents(spark, rows).repartition(5), rows, 60, hot=50)
+    assert max([0, *(int(p.read_text()) for p in tmp_path.iterdir())]) <= 150  # two or three files of a bucket; all 300 before
