@@ -9,7 +9,9 @@ sample are the targets, and no document is repeated.
 A margin's targets are explicit shares, or ``Flattened``: the corpus's own shares raised to
 a power below one, which lowers a hot source without fixing its share in advance.
 Classes are the values listed in the targets, which are parameters; everything else
-(nulls too) is the class "(other)" (with the remaining share, or its own flattened one). The cell table is therefore
+(nulls too) is the class "(other)" (with the remaining share, or its own flattened one; where
+the listed shares leave none, "(other)" keeps its share of the corpus and the listed shares are
+of what it leaves, so that no document is lost for its class). The cell table is therefore
 bounded by the product of the target lists, whatever the data: it is raked in one
 partition (a sweep is three window sums), and joining it back needs no shuffle of the
 documents. A hot source is summed on the map side.
@@ -85,17 +87,23 @@ def rake(cells: DataFrame, targets: Targets, work: str, tolerance: float = 1e-9,
     current = cells.coalesce(1).withColumn("raked", F.col("tokens").cast("double")).withColumn("total", F.sum("raked").over(everything))
     for name, shares in targets.items():
         w = W.partitionBy(f"by_{name}")
+        first = F.row_number().over(w.orderBy(*(f"by_{m}" for m in targets))) == 1
+        present = F.sum("raked").over(w) > 0
+        current = current.withColumn("_new", first & present)
         if isinstance(shares, Flattened):
             share = F.pow(F.coalesce(F.try_divide(F.sum("raked").over(w), F.col("total")), F.lit(0.0)), shares.power)
         else:
-            share = F.lit(max(0.0, 1 - sum(shares.values())))
+            rest = max(0.0, 1 - sum(shares.values()))
+            share = F.lit(rest)
             for value, s in shares.items():
                 share = F.when(F.col(f"by_{name}") == value, F.lit(float(s))).otherwise(share)
-        first = F.row_number().over(w.orderBy(*(f"by_{m}" for m in targets))) == 1
-        present = F.sum("raked").over(w) > 0
-        current = (current.withColumn("_share", share).withColumn("_once", F.when(first & present, F.col("_share")).otherwise(0.0))
+            if rest < 1e-9 and OTHER not in shares:  # the listed shares are of what the other classes leave
+                listed = F.sum(F.when(F.col("_new") & (F.col(f"by_{name}") != OTHER), share)).over(everything)
+                own = F.try_divide(F.sum("raked").over(w), F.col("total"))
+                share = F.when(F.col(f"by_{name}") != OTHER, share).otherwise(F.coalesce(F.try_divide(F.nullif(listed, F.lit(0.0)) * own, 1 - own), F.lit(1.0)))
+        current = (current.withColumn("_share", share).withColumn("_once", F.when(F.col("_new"), F.col("_share")).otherwise(0.0))
                    .withColumn(f"to_{name}", F.try_divide(F.col("_share") * F.col("total"), F.sum("_once").over(everything)))
-                   .drop("_share", "_once"))
+                   .drop("_share", "_once", "_new"))
     current = written(current, f"{work}/cells")
     for done in range(0, max_sweeps, sweeps_per_job):
         current = current.coalesce(1)

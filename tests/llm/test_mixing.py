@@ -109,3 +109,19 @@ def test_words_and_topics(spark):
 def test_no_python_in_the_plan(edge, capsys):
     mix(edge).explain()
     assert not any(x in capsys.readouterr().out for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_unlisted_and_null_languages_keep_their_share_of_the_corpus(spark):
+    import corpus_pipeline
+    langs = ["en", "en", "en", "de", "fr", "es", None, "it"]
+    docs = documents(spark, [(k, "one two three", langs[k % 8], "src0") for k in range(4000)])
+    targets = {"lang": TARGETS["lang"]}
+    got = mix(docs, targets=targets, margins={"lang": docs["lang"]}).collect()
+    raked = defaultdict(float)
+    for r in got:
+        raked[r.by_lang] += r.weight * r.tokens / 12_000
+    assert dict(raked) == pytest.approx({OTHER: 0.25, **{v: 0.75 * s for v, s in TARGETS["lang"].items()}}, rel=1e-6)
+    kept = {(r.lang, r.n) for r in corpus_pipeline.mix(spark, docs, "").groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    assert {v for v, n in kept if n > 0} == set(langs)
+    alone = documents(spark, [(k, "one two three", None, "src0") for k in range(20)])
+    assert corpus_pipeline.mix(spark, alone, "").count() == 20
