@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,3 +39,11 @@ def utf8(column: str | Column) -> Column:
     """The text's UTF-8 bytes, null as empty."""
     col = F.col(column) if isinstance(column, str) else column
     return F.coalesce(col, F.lit("")).cast("binary")
+
+
+def per_worker(shared, make: Callable):
+    """``make(broadcast value)``, made once per Python worker: it is kept with the worker's copy of the
+    broadcast, which outlives a task, and goes with it."""
+    if not hasattr(shared, "made"):
+        shared.made = make(shared.value)
+    return shared.made

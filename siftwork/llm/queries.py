@@ -76,5 +76,25 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(spark, folder, find_keys(spark, folder, document_keys(docs))).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwork.llm.negatives import mine
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    found = mine(vectors.select("vec_id", label.alias("label"), "embedding"), anchor=F.col("vec_id") % 100 == 0)
+    return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwork.llm.alignment import align
+    return align(table(spark, sf_dir, "documents")).documents
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwork.llm.packing import pack, tokenised
+    pieces = pack(tokenised(table(spark, sf_dir, "documents")))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "stored", "loss_tokens")
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_exact_dedup, op2_suffix_dedup, op3_mix_sources, op4_sentencepiece, op5_sharding, op6_simhash_near_dedup, op7_quality_rules, op8_url_filter, op9_line_dedup, op10_token_store)}
+    op1_exact_dedup, op2_suffix_dedup, op3_mix_sources, op4_sentencepiece, op5_sharding, op6_simhash_near_dedup, op7_quality_rules, op8_url_filter, op9_line_dedup, op10_token_store,
+    op11_hard_negatives, op12_token_alignment, op13_packing)}
