@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from siftwork.llm.common import per_worker, work_dir, written
 from siftwork.llm.slices import cut_after, cut_before
+from siftwork.llm.words import ByteLevel
 
 _FAN = 16
 _BATCH_CHARS = 2 << 20   # texts aligned at once
@@ -54,30 +55,13 @@ def default_tokenizers() -> tuple[bytes, bytes]:
 
 # ---- tokenizers -------------------------------------------------------------------------
 
-def _byte_symbols() -> dict[str, int]:
-    """The byte-level alphabet: printable Latin-1 characters stand for themselves, the other bytes for
-    the characters from U+0100 on, in order."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    other = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(other)}
-
-
 class Pair:
     """Both tokenizers with the bytes of their ids."""
 
     def __init__(self, a: bytes, b: bytes):
-        import os
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
-        self.a = Tokenizer.from_buffer(a)
-        self.a.encode_special_tokens = True
-        self.b = SentencePieceProcessor(model_proto=b)
-        symbols = _byte_symbols()
-        vocabulary = self.a.get_vocab(with_added_tokens=True)
-        self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
-        for piece, k in vocabulary.items():
-            self.bytes_a[k] = bytes(symbols[c] for c in piece) if all(c in symbols for c in piece) else piece.encode("utf-8")
+        self.a, self.b = ByteLevel(a, plain=True), SentencePieceProcessor(model_proto=b)
+        self.bytes_a = self.a.bytes
         self.bytes_b = []
         for k in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(k)
@@ -97,11 +81,11 @@ class Pair:
                 size += len(spaced[to])
                 to += 1
             part = spaced[at:to]
-            both = zip([e.ids for e in self.a.encode_batch_fast(part, add_special_tokens=False)], self.b.encode([t[1:] for t in part], num_threads=1), strict=True)
+            both = zip(self.a.encode(part), self.b.encode([t[1:] for t in part], num_threads=1), strict=True)
             for text, (a, b) in zip(part, both, strict=True):
                 raw = text.encode("utf-8")
-                same = b"".join(map(self.bytes_a.__getitem__, a)) == raw == b"".join(map(self.bytes_b.__getitem__, b))
-                out.append((np.array(a, np.int64), np.array(b, np.int64)) if same else None)
+                same = b"".join(map(self.bytes_a.__getitem__, a.tolist())) == raw == b"".join(map(self.bytes_b.__getitem__, b))
+                out.append((a.astype(np.int64), np.array(b, np.int64)) if same else None)
             at = to
         return out
 

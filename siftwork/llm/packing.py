@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwork.llm.common import per_worker
-from siftwork.llm.slices import slices
+from siftwork.llm.words import ByteLevel
 
 _TAKEN = np.iinfo(np.int64).max
 _BATCH_IDS = 1 << 20
@@ -56,10 +56,7 @@ def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     schema = f"doc_id {keyed.schema['doc_id'].dataType.simpleString()}, ids binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        known, end = per_worker(shared, Tokenizer.from_buffer), np.array([end_id], "<u4").tobytes()
+        known, end = per_worker(shared, ByteLevel), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             lengths = np.array([len(t) for t in batch.column(1).to_pylist()], np.int64)
             part = (np.cumsum(lengths) // (1 << 18)).tolist()
@@ -67,9 +64,7 @@ def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
             while at < len(part):  # about 256 K characters at a time
                 to = at + part[at:].count(part[at])
                 texts = batch.column(1).slice(at, to - at).to_pylist()
-                cut = [slices(t) for t in texts]
-                flat = iter([np.array(e.ids, "<u4").tobytes() for e in known.encode_batch_fast([s for c in cut for s in c], add_special_tokens=False)])
-                ids = [b"".join(next(flat) for _ in c) + end for c in cut]
+                ids = [x.astype("<u4").tobytes() + end for x in known.encode(texts)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
                 at = to
 

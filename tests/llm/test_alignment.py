@@ -24,7 +24,7 @@ def brute(pair, rows):
     groups_of = []
     for _, text in rows:
         spaced = " " + (text or "")
-        a, b = pair.a.encode(spaced, add_special_tokens=False).ids, pair.b.encode(text or "")
+        a, b = pair.a.tokenizer.encode(spaced, add_special_tokens=False).ids, pair.b.encode(text or "")
         raw = spaced.encode()
         if not text or b"".join(pair.bytes_a[i] for i in a) != raw or b"".join(pair.bytes_b[i] for i in b) != raw:
             groups_of.append(None)
