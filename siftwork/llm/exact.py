@@ -67,7 +67,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         rows = rows.withColumn("digit", F.substring("rest", 1, width))
         sizes = (rows.groupBy("group", "digit")
                  .agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "occ")).alias("least"),
-                      F.max(F.struct("n_code_points", F.col("doc_id").isNotNull().alias("named"), (-F.col("doc_id")).alias("minus_id"), (-F.col("occ")).alias("minus_occ"))).alias("best"))
+                      F.min(F.struct((-F.col("n_code_points")).alias("minus_n"), F.col("doc_id").isNull().alias("unnamed"), "doc_id", "occ")).alias("best"))
                  .filter("n > 1"))
         both = sizes.select(F.col("group").alias("g"), F.col("digit").alias("d"), "n", "least", "best")
         found = rows.join(both, F.col("group").eqNullSafe(F.col("g")) & (F.col("digit") == F.col("d")), "left")
@@ -79,10 +79,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             F.when(is_open, F.struct(F.col("least.doc_id").alias("doc_id"), F.col("least.occ").alias("occ"))).alias("group"),
             F.when(is_open, F.expr(f"substring(rest, {width + 1})")).alias("rest"),
             F.when(~is_open, F.coalesce("n", F.lit(1))).alias("group_size"),
-            F.when(~is_open, F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(-F.col("best.minus_id"))).alias("keep_id"),
-            (F.col("n").isNull() | ((F.col("best.n_code_points") == F.col("n_code_points"))
-                                    & (-F.col("doc_id")).eqNullSafe(F.col("best.minus_id"))
-                                    & (-F.col("occ") == F.col("best.minus_occ")))).alias("kept"),
+            F.when(~is_open, F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id"))).alias("keep_id"),
+            (F.col("n").isNull() | ((F.col("best.minus_n") == -F.col("n_code_points"))
+                                    & F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("occ") == F.col("best.occ")))).alias("kept"),
             "open")
         stored = written(out, f"{work}/round-{level}", partition_by="open")
         finished.append(stored.filter("not open").select("doc_id", "keep_id", "group_size", "kept", "carried"))

@@ -39,9 +39,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftwork.llm.common import written
+from siftwork.llm.common import per_worker, written
 
-_WORDS_KEPT = 1_500_000
+_WORDS_KEPT = 900_000  # about 180 MB a worker
 _GAMMA = 2
 _MAX_LEVELS = 64
 _RECORD = np.dtype([("fingerprint", "<u4"), ("shard", "<u4"), ("at", "<u8"), ("n", "<u8"), ("start", "<u8")])
@@ -181,17 +181,44 @@ def build_mph(h1: np.ndarray, h2: np.ndarray) -> list[np.ndarray]:
 
 def mph_slots(levels: list[np.ndarray], h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
     """Slot 0 .. n-1 of each key; -1 for a key that no level holds."""
-    out, todo, before = np.full(len(h1), -1, np.int64), np.arange(len(h1)), 0
-    for k, alone in enumerate(levels):
-        if not len(todo):
-            break
-        slot = _level_hash(h1[todo], h2[todo], k, len(alone)).astype(np.int64)
-        hit = alone[slot]
-        rank = np.cumsum(alone) - 1
-        out[todo[hit]] = before + rank[slot[hit]]
-        before += int(rank[-1]) + 1
-        todo = todo[~hit]
-    return out
+    return Ranked(levels).slots(h1, h2)
+
+
+class Ranked:
+    """Levels as 64-bit words with the number of ones before each word: a lookup reads one word and one
+    count per level, whatever the number of keys."""
+
+    def __init__(self, levels: list[np.ndarray]):
+        self.bits = [len(alone) for alone in levels]
+        padded = [np.concatenate([alone, np.zeros(-len(alone) % 64, bool)]) for alone in levels]
+        self._set([np.packbits(alone, bitorder="little").view("<u8") for alone in padded])
+
+    def _set(self, words: list[np.ndarray]) -> None:
+        self.words, before = words, 0
+        self.ranks = []
+        for w in words:
+            ones = np.cumsum(np.bitwise_count(w), dtype=np.int64)
+            self.ranks.append(before + np.concatenate([np.zeros(1, np.int64), ones[:-1]]) if len(w) else np.zeros(0, np.int64))
+            before += int(ones[-1]) if len(w) else 0
+
+    @classmethod
+    def of(cls, bits: list[int], words: list[np.ndarray], ranks: list[np.ndarray]) -> Ranked:
+        out = cls([])
+        out.bits, out.words, out.ranks = bits, words, ranks
+        return out
+
+    def slots(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        out, todo = np.full(len(h1), -1, np.int64), np.arange(len(h1))
+        for k, (bits, words, ranks) in enumerate(zip(self.bits, self.words, self.ranks, strict=True)):
+            if not len(todo):
+                break
+            at = _level_hash(h1[todo], h2[todo], k, bits)
+            word, bit = words[(at >> np.uint64(6)).astype(np.int64)], at & np.uint64(63)
+            hit = (word >> bit) & np.uint64(1) == 1
+            below = np.bitwise_count(word & ((np.uint64(1) << bit) - np.uint64(1))).astype(np.int64)
+            out[todo[hit]] = (ranks[(at >> np.uint64(6)).astype(np.int64)] + below)[hit]
+            todo = todo[~hit]
+        return out
 
 
 def _fingerprint(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
@@ -199,28 +226,32 @@ def _fingerprint(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
 
 
 def _index_bytes(levels: list[np.ndarray], records: np.ndarray) -> Iterator[bytes]:
-    yield np.array([len(records), len(levels), *map(len, levels)], "<u8").tobytes()
-    for alone in levels:
-        yield np.packbits(alone, bitorder="little").tobytes()
+    """[number of records, number of levels, bits of each level], words and ranks of each level, records."""
+    table = Ranked(levels)
+    yield np.array([len(records), len(levels), *table.bits], "<u8").tobytes()
+    for words, ranks in zip(table.words, table.ranks, strict=True):
+        yield words.tobytes()
+        yield ranks.astype("<i8").tobytes()
     yield records.tobytes()
 
 
 class IndexPart:
-    """One index part, read once."""
+    """One index part over its raw bytes; nothing is rebuilt when it is opened."""
 
     def __init__(self, raw: bytes):
         n, n_levels = np.frombuffer(raw, "<u8", 2).astype(int)
-        sizes = np.frombuffer(raw, "<u8", n_levels, 16).astype(int)
-        at, self.levels = 16 + 8 * n_levels, []
-        for bits in sizes:
-            size = (bits + 7) // 8
-            self.levels.append(np.unpackbits(np.frombuffer(raw, np.uint8, size, at), count=bits, bitorder="little").astype(bool))
-            at += size
-        self.records = np.frombuffer(raw, _RECORD, n, at)
+        bits = np.frombuffer(raw, "<u8", n_levels, 16).astype(int).tolist()
+        at, words, ranks = 16 + 8 * int(n_levels), [], []
+        for size in bits:
+            count = (size + 63) // 64
+            words.append(np.frombuffer(raw, "<u8", count, at))
+            ranks.append(np.frombuffer(raw, "<i8", count, at + 8 * count))
+            at += 16 * count
+        self.table, self.records = Ranked.of(bits, words, ranks), np.frombuffer(raw, _RECORD, n, at)
 
     def find(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(is it there, its record) for each key."""
-        slot = mph_slots(self.levels, h1, h2)
+        slot = self.table.slots(h1, h2)
         if not len(self.records):
             return np.zeros(len(slot), bool), np.zeros(len(slot), _RECORD)
         got = self.records[np.maximum(slot, 0)]
@@ -252,7 +283,7 @@ def write_store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from pyspark import TaskContext
-        shard, words, rows = TaskContext.get().partitionId(), _Words(shared.value, width), []
+        shard, words, rows = TaskContext.get().partitionId(), per_worker(shared, lambda file: _Words(file, width)), []
 
         def parts():
             at, last, occ = 0, object(), 0
@@ -274,10 +305,15 @@ def write_store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_pydict({"doc_id": name, "occ": occ, "shard": [shard] * len(name), "at": at, "n": n}, schema=manifest)
 
     manifest = pa.schema([("doc_id", pa.int64()), ("occ", pa.int64()), ("shard", pa.int64()), ("at", pa.int64()), ("n", pa.int64())])
-    ordered = (keyed.repartitionByRange(shards, F.col("doc_id").cast("bigint").asc_nulls_first())
+    ordered = (keyed.repartitionByRange(shards, F.col("doc_id").cast("bigint").asc_nulls_first(), F.xxhash64("text"))  # a hot id is many shards
                .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text"))
     entries = written(ordered.mapInArrow(write, "doc_id bigint, occ bigint, shard bigint, at bigint, n bigint"), f"{folder}/manifest")
-    totals = entries.groupBy("shard").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
+    # an id that goes on in the next shard is that shard's first: its rows there are numbered on
+    first = entries.groupBy("shard").agg(F.min_by(F.struct("doc_id"), "at").alias("id")).select(F.col("id.doc_id").alias("doc_id")).distinct()
+    here = entries.join(first, entries["doc_id"].eqNullSafe(first["doc_id"]), "left_semi").groupBy("doc_id", "shard").agg(F.count("*").alias("rows"))
+    earlier = here.withColumn("earlier", F.sum("rows").over(W.partitionBy("doc_id").orderBy("shard")) - F.col("rows")).filter("earlier > 0")
+    earlier = written(earlier.select(F.col("doc_id").alias("same"), F.col("shard").alias("in"), "earlier"), f"{folder}/repeats")  # a row per shard at most
+    totals = entries.groupBy("shard").agg(F.sum("n").alias("n"))
     # one row per shard
     before = totals.select("shard", (F.sum("n").over(W.orderBy("shard")) - F.col("n")).alias("base"))
     n_parts = max(1, -(-entries.count() // part_keys))
@@ -294,7 +330,8 @@ def write_store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
         _put(folder, f"index-{part:05d}.bin", _index_bytes(levels, records))
         return pd.DataFrame({"part": [part], "keys": [len(pdf)]})
 
-    placed = _keyed(entries.join(before, "shard").withColumn("start", F.col("base") + F.col("at")), n_parts)
+    numbered = entries.join(earlier, F.col("doc_id").eqNullSafe(F.col("same")) & (F.col("shard") == F.col("in")), "left").withColumn("occ", F.col("occ") + F.coalesce("earlier", F.lit(0)))
+    placed = _keyed(numbered.drop("same", "in", "earlier").join(before, "shard").withColumn("start", F.col("base") + F.col("at")), n_parts)
     built = placed.groupBy("part").applyInPandas(index, "part bigint, keys bigint").agg(F.sum("keys")).first()[0] or 0
     _put(folder, "meta.json", [json.dumps({"width": width, "parts": n_parts, "keys": built}).encode()])
 
@@ -331,20 +368,44 @@ def read_ids(spark: SparkSession, folder: str, found: DataFrame) -> DataFrame:
 
 
 class IdStore:
-    """Keyed access from one process: two small reads a key."""
+    """Keyed access from one process. A lookup reads one word and one rank per level tried (mostly one or
+    two), one record and the ids, each by its offset in the file; a part's header is read once."""
 
     def __init__(self, folder: str):
         self.folder = folder
         meta = json.loads(_read(folder, "meta.json"))
-        self.width, self.parts, self._open_parts = meta["width"], meta["parts"], {}
+        self.width, self.parts, self._headers = meta["width"], meta["parts"], {}
+
+    def _header(self, name: str) -> list[int]:
+        if name not in self._headers:
+            n, n_levels = np.frombuffer(_read(self.folder, name, 0, 16), "<u8").tolist()
+            self._headers[name] = [n, *np.frombuffer(_read(self.folder, name, 16, 8 * n_levels), "<u8").tolist()]
+        return self._headers[name]
+
+    def _record(self, name: str, h1: np.ndarray, h2: np.ndarray) -> np.ndarray | None:
+        n, *bits = self._header(name)
+        at, slot = 16 + 8 * len(bits), None
+        for level, size in enumerate(bits):
+            count = (size + 63) // 64
+            if slot is None:
+                bit = int(_level_hash(h1, h2, level, size)[0])
+                word = int.from_bytes(_read(self.folder, name, at + 8 * (bit >> 6), 8), "little")
+                if word >> (bit & 63) & 1:
+                    rank = int.from_bytes(_read(self.folder, name, at + 8 * (count + (bit >> 6)), 8), "little")
+                    slot = rank + (word & ((1 << (bit & 63)) - 1)).bit_count()
+            at += 16 * count
+        if slot is None:
+            return None
+        got = np.frombuffer(_read(self.folder, name, at + _RECORD.itemsize * slot, _RECORD.itemsize), _RECORD)
+        return got if got["fingerprint"] == _fingerprint(h1, h2) else None
 
     def get(self, h1: int, h2: int) -> np.ndarray | None:
         """The ids of the key with these hashes (``key_hashes``), or None."""
-        part = h1 % self.parts
-        if part not in self._open_parts:
-            self._open_parts[part] = IndexPart(_read(self.folder, f"index-{part:05d}.bin"))
-        there, got = self._open_parts[part].find(*(np.array([h], np.int64).view(np.uint64) for h in (h1, h2)))
-        if not there[0]:
+        try:
+            got = self._record(f"index-{h1 % self.parts:05d}.bin", *(np.array([h], np.int64).view(np.uint64) for h in (h1, h2)))
+        except FileNotFoundError:  # no key of the store has this part
+            return None
+        if got is None:
             return None
         raw = _read(self.folder, f"ids-{int(got['shard'][0]):06d}.bin", int(got["at"][0]) * self.width, int(got["n"][0]) * self.width)
         return np.frombuffer(raw, f"<u{self.width}")
@@ -358,4 +419,5 @@ def key_hashes(keys: DataFrame) -> DataFrame:
 def document_keys(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The keys (doc_id, occ) of a table's rows."""
     counts = docs.groupBy(docs[id_col].cast("bigint").alias("doc_id")).agg(F.count("*").alias("n"))
-    return counts.select("doc_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("occ"))
+    begins = counts.select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(1 << 16).cast("bigint"))).alias("from"))  # short arrays, also for a hot id
+    return begins.select("doc_id", F.explode(F.sequence("from", F.least(F.col("from") + (1 << 16), "n") - 1)).alias("occ"))

@@ -45,11 +45,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwork.llm.common import work_dir, written
+from siftwork.llm.common import per_worker, work_dir, written
 
 MARK = "▁"
 NONE = -(1 << 60)
-_UNITS_KEPT = 600_000
+_UNITS_KEPT = 250_000  # about 60 MB a worker
 _UNIT_CHARS = 64  # longer units are searched here: the library adds scores in single precision
 _BLOCK = 64
 
@@ -78,7 +78,7 @@ def scored_model(model: bytes) -> bytes:
 
 
 class PieceModel:
-    """Pieces, scores and the search; built in each task from ``scored_model``'s bytes."""
+    """Pieces, scores and the search; built once per worker from ``scored_model``'s bytes."""
 
     def __init__(self, model: bytes):
         import sentencepiece
@@ -106,18 +106,25 @@ class PieceModel:
             if value < 0x80 or value >= 0xC0:
                 self.score_of[k] = self.unknown
         self.longest = max(map(len, score))
-        self.trie: list = [{}, None]  # [next by character, score]
-        for piece, value in score.items():
-            node = self.trie
-            for c in piece:
-                node = node[0].setdefault(c, [{}, None])
-            node[1] = value
+        self.score, self._trie = score, None
         outside = re.escape("".join(c for c in "\n\t\r" if not any(c in p for p in score)))
         splits = all(MARK not in p.lstrip(MARK) for p in score)
         skip = f"[{outside}]|" if outside else ""
         self.unit_re = re.compile(skip + (f"{MARK}*[^{MARK}{outside}]+|{MARK}+" if splits else f"[^{outside}]+" if outside else "(?s:.+)"))
         self.known: dict[str, bytes] = {}
 
+    @property
+    def trie(self) -> list:
+        """[next by character, score]; built when a unit is searched here for the first time."""
+        if self._trie is None:
+            self._trie = [{}, None]
+            for piece, value in self.score.items():
+                node = self._trie
+                for c in piece:
+                    node = node[0].setdefault(c, [{}, None])
+                node[1] = value
+        return self._trie
+
     def search(self, s: str, starts_before: int, entry: list[int]) -> tuple[list[int], list[int]]:
         """Best score to each position of ``s`` and where its last piece starts; pieces start before
         ``starts_before`` only. ``entry``: scores of the first positions that paths come in at."""
@@ -190,7 +197,7 @@ class PieceModel:
         for text in texts:
             group.append(marked(text))
             size += len(group[-1])
-            if size > 1_000_000:
+            if size > 1 << 18:
                 ids += self.encode_marked(group)
                 group, size = [], 0
         ids += self.encode_marked(group)
@@ -299,7 +306,7 @@ def _giants(parts: DataFrame, model, chunk_chars: int, work: str) -> DataFrame:
     """(uid, text) -> (uid, ids, n_chunks) by the scan."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        longest = PieceModel(model.value).longest
+        longest = per_worker(model, PieceModel).longest
         for batch in batches:
             for uid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = marked(text)
@@ -315,7 +322,7 @@ def _giants(parts: DataFrame, model, chunk_chars: int, work: str) -> DataFrame:
     dealt = max(2 * spark.sparkContext.defaultParallelism, pieces.count() // 64)
 
     def transfer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = PieceModel(model.value)
+        m = per_worker(model, PieceModel)
         for pdf in batches:
             out = [Chunk(m, s, size).transfer().tobytes() for s, size in zip(pdf["s"], pdf["size"], strict=True)]
             yield pd.DataFrame({"uid": pdf["uid"], "k": pdf["k"], "matrix": out})
@@ -332,7 +339,7 @@ def _giants(parts: DataFrame, model, chunk_chars: int, work: str) -> DataFrame:
     ready = pieces.join(entries, ["uid", "k"])
 
     def origins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = PieceModel(model.value)
+        m = per_worker(model, PieceModel)
         for pdf in batches:
             out = [Chunk(m, s, size).origins([int(x) for x in entry]) for s, size, entry in zip(pdf["s"], pdf["size"], pdf["entry"], strict=True)]
             yield pd.DataFrame({"uid": pdf["uid"], "k": pdf["k"], "origin": out})
@@ -349,7 +356,7 @@ def _giants(parts: DataFrame, model, chunk_chars: int, work: str) -> DataFrame:
                      .groupBy("uid").applyInPandas(compose, "uid bigint, k bigint, leave bigint"), f"{work}/leaves")
 
     def trace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = PieceModel(model.value)
+        m = per_worker(model, PieceModel)
         for pdf in batches:
             ids = [Chunk(m, s, size).ids([int(x) for x in entry], leave) for s, size, entry, leave in zip(pdf["s"], pdf["size"], pdf["entry"], pdf["leave"], strict=True)]
             yield pd.DataFrame({"uid": pdf["uid"], "k": pdf["k"], "ids": ids})
@@ -369,14 +376,14 @@ def encode_documents(docs: DataFrame, text_col: str = "text", carry: dict[str, C
     length = F.coalesce(F.length("text"), F.lit(0))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = PieceModel(shared.value)
+        m = per_worker(shared, PieceModel)
         for batch in batches:
             scores, ids = m.encode(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.int64()), _lists(ids), pa.array([1] * len(ids), pa.int64())],
                                              names=["carried", "score", "ids", "n_chunks"])
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = PieceModel(shared.value)
+        m = per_worker(shared, PieceModel)
         for batch in batches:
             found = [int(m.score_of[x.values.to_numpy()].sum()) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64()), *batch.columns[2:]], names=batch.schema.names)
@@ -399,7 +406,7 @@ def decode_documents(encoded: DataFrame, ids_col: str = "ids", model: bytes | No
     at = encoded.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = PieceModel(shared.value)
+        m = per_worker(shared, PieceModel)
         for batch in batches:
             texts = [m.decode(x.as_py() or []) for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out_col])

@@ -24,6 +24,8 @@ repeat an id get slots of their own; null ids sort first; extra columns are left
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -56,7 +58,7 @@ def _range_of(splitters: list[int]):
     distinct = sorted(set(splitters))
     if not distinct:
         return F.lit(0).cast("bigint"), F.lit(1)
-    hot = {s: splitters.count(s) for s in distinct if splitters.count(s) > 1}
+    hot = {s: n for s, n in Counter(splitters).items() if n > 1}
     # two-level search: coarse steps first, then one slice
     width = max(1, int(len(distinct) ** 0.5))
     slices = [distinct[k:k + width] for k in range(0, len(distinct), width)]
@@ -76,9 +78,11 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     """(doc_id, size, text_crc32, shard, slot) for every row."""
     work = work_dir(docs.sparkSession, "sharding")
     text = F.coalesce(docs[text_col], F.lit(""))
+    # rows without an id are spread by their place, which is fixed when they are written
+    spread = F.xxhash64(F.lit("spread"), F.coalesce(docs[id_col].cast("string"), F.concat(F.lit("#"), F.monotonically_increasing_id().cast("string"))))
     rows = written(docs.select(
         docs[id_col].alias("doc_id"), (F.octet_length(text) + FIXED_BYTES).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.shiftright(F.xxhash64(text), _KEY_SHIFT).alias("key"), F.xxhash64(F.lit("spread"), docs[id_col]).alias("spread")), f"{work}/rows")
+        F.shiftright(F.xxhash64(text), _KEY_SHIFT).alias("key"), spread.alias("spread")), f"{work}/rows")
     ranges = min(max_ranges, max(shards * ranges_per_shard, rows.count() // rows_per_range))
     band, pieces = _range_of(_splitters(rows, ranges, per_range))
     piece = F.floor(F.shiftrightunsigned("spread", 11) / float(1 << 53) * pieces)

@@ -66,3 +66,13 @@ def test_a_hot_group_stays_whole(spark):
     docs = spark.range(6000).selectExpr("id doc_id", "if(id % 3 = 0, repeat('copy ', 100), concat('text number ', id)) text")
     got = {(r.group_size, r.kept): r["count"] for r in exact_groups(docs).groupBy("group_size", "kept").count().collect()}
     assert got == {(2000, True): 1, (2000, False): 1999, (1, True): 4000}
+
+
+def test_ids_of_any_type(spark):
+    least = -(1 << 63)
+    docs = spark.createDataFrame([(least, "a b"), (5, "ab"), (7, "c"), (least, "c"), (3, "c")], "doc_id bigint, text string")
+    got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_groups(docs).collect()}
+    assert got == {(least, least, 2, True), (5, least, 2, False), (7, least, 3, False), (least, least, 3, True), (3, least, 3, False)}
+    named = spark.createDataFrame([("x9", "ab"), ("x10", "a b"), (None, "a  b"), ("y", None), ("", "")], "doc_id string, text string")
+    got = {(r.doc_id, r.keep_id, r.kept) for r in exact_groups(named).collect()}
+    assert got == {("x9", None, False), ("x10", None, False), (None, None, True), ("y", "", False), ("", "", True)}

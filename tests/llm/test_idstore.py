@@ -124,3 +124,49 @@ def test_empty_table(spark, empty):
     folder = work_dir(spark, "test-store")
     write_store(empty, folder)
     assert read_ids(spark, folder, find_keys(spark, folder, document_keys(empty))).collect() == []
+
+
+def test_a_lookup_reads_the_same_bytes_whatever_the_number_of_keys(spark, monkeypatch, tmp_path):
+    """Bytes read per lookup, and its time, from 1,000 to 1,000,000 keys."""
+    import json
+    import time
+    cost, seconds = {}, {}
+    for n in (1_000, 1_000_000):
+        r = np.random.default_rng(n)
+        h1, h2 = (r.integers(0, 1 << 62, n, dtype=np.uint64) for _ in range(2))
+        levels, records = build_mph(h1, h2), np.zeros(n, _RECORD)
+        slot = mph_slots(levels, h1, h2)
+        records["fingerprint"][slot], records["n"][slot] = _fingerprint(h1, h2), 1
+        records["at"][slot] = np.arange(n)
+        folder = str(tmp_path / str(n))
+        (tmp_path / str(n)).mkdir()
+        (tmp_path / str(n) / "meta.json").write_text(json.dumps({"width": 4, "parts": 1, "keys": n}))
+        (tmp_path / str(n) / "index-00000.bin").write_bytes(b"".join(_index_bytes(levels, records)))
+        np.arange(n, dtype="<u4").tofile(tmp_path / str(n) / "ids-000000.bin")
+        folder, sizes = "file:" + folder, []
+        store, plain = IdStore(folder), idstore._read
+        keys = r.integers(0, n, 300).tolist()
+        store.get(int(h1[0]), int(h2[0]))  # the header
+        monkeypatch.setattr(idstore, "_read", lambda f, name, at=0, size=None: sizes.append(size) or plain(f, name, at, size))
+        begun = time.perf_counter()
+        assert all(store.get(int(h1[k]), int(h2[k])).tolist() == [k] for k in keys)
+        seconds[n], cost[n] = time.perf_counter() - begun, sum(sizes) / len(keys)
+        monkeypatch.setattr(idstore, "_read", plain)
+    assert cost[1_000_000] < 1.3 * cost[1_000] < 200
+    assert seconds[1_000_000] < 4 * seconds[1_000]
+
+
+def test_a_hot_id_is_many_shards_and_numbered_through(spark, tokenizer):
+    rows = [(None if k % 3 else k, f"text {k} " * 9, "en", "a") for k in range(400)] + [(None, "", "en", "a")] * 50
+    docs = documents(spark, rows).repartition(5)
+    folder = work_dir(spark, "test-store")
+    write_store(docs, folder, shard_bytes=2_000)
+    got = read_ids(spark, folder, find_keys(spark, folder, document_keys(docs))).collect()
+    n_null = sum(r[0] is None for r in rows)
+    assert sorted(r.occ for r in got if r.doc_id is None) == list(range(n_null)) and len(got) == len(rows)
+    ordered = sorted(got, key=lambda r: r.start)
+    assert [r.occ for r in ordered[:n_null]] == list(range(n_null))
+    assert [r.start for r in ordered] == list(accumulate([0, *(r.n_tokens for r in ordered)]))[:-1]
+    assert sorted(r.ids_crc32 for r in got) == sorted(zlib.crc32(np.array(ids(tokenizer, r[1]), "<u4").tobytes()) for r in rows)
+    hot = spark.read.parquet(f"{folder}/manifest").filter("doc_id is null").select("shard").distinct().count()
+    assert hot > 3

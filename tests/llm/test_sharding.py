@@ -67,3 +67,12 @@ def test_result_does_not_depend_on_the_partitioning(spark):
 def test_no_python_in_the_plan(edge, capsys):
     shard(edge, shards=4).explain()
     assert not any(x in capsys.readouterr().out for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_rows_without_an_id_are_spread(spark):
+    docs = documents(spark, [(None, "one very common text", "en", "a")] * 3000 + [(k, f"text {k}", "en", "a") for k in range(300)])
+    got = shard(docs.repartition(3), shards=8).collect()
+    sizes = [0] * 8
+    for r in got:
+        sizes[r.shard] += r.size
+    assert len(got) == 3300 and max(sizes) - min(sizes) < 0.1 * max(sizes)
