@@ -2,13 +2,16 @@
 
 Token counts are summed per cell (source class x language class x topic class). Raking
 scales the cells to each margin's target shares in turn until all margins hold at once;
-a document of a cell is then kept with probability ``weight / largest weight``, where
-weight = raked tokens / actual tokens of its cell. So the expected token shares of the
-sample are the targets, and no document is repeated.
+a document of a cell is then kept with probability ``weight * rate``, at most 1, where weight =
+raked tokens / actual tokens of its cell and ``rate`` is the stated share of the corpus to
+sample. So the expected token shares of the sample are the targets and no document is repeated;
+a cell that would need more than all of its documents (weight * rate over 1) is kept whole, and its
+class falls short by that much. A rare class doesn't change how many documents of others stay.
 
 A margin's targets are explicit shares, or ``Flattened``: the corpus's own shares raised to
 a power below one, which lowers a hot source without fixing its share in advance.
-Classes are the values listed in the targets, which are parameters; everything else
+Classes are the values listed in the targets, which are parameters, or the ``most`` most frequent
+values of the column (ties by value) where ``Flattened`` lists none; everything else
 (nulls too) is the class "(other)" (with the remaining share, or its own flattened one; where
 the listed shares leave none, "(other)" keeps its share of the corpus and the listed shares are
 of what it leaves, so that no document is lost for its class). The cell table is therefore
@@ -20,12 +23,13 @@ Defined results: a document without tokens has weight and probability of its cel
 other; a cell without tokens has weight 0; target shares of classes without tokens are
 spread over the others in proportion; the draw is a hash of the id and the seed, so
 rows that repeat an id share their fate, and a null id is drawn as the empty string;
-extra columns are left alone.
+margins that can't all hold (a cell they need is empty) leave the weights of the last sweep, or raise
+an error with the gap when ``strict``; extra columns are left alone.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -39,20 +43,23 @@ LONG_WORDS = 2_000
 
 @dataclass(frozen=True)
 class Flattened:
-    """Targets in proportion to the classes' own token shares to the power ``power``."""
+    """Targets in proportion to the classes' own token shares to the power ``power``. Without ``values``
+    the classes are the column's ``most`` most frequent ones."""
 
-    values: tuple[str, ...]
+    values: tuple[str, ...] | None
     power: float = 0.7
+    most: int = 64
 
 
 Targets = dict[str, "dict[str, float] | Flattened"]
 
 # Production targets of the registered query and the pipeline.
 TARGETS: Targets = {
-    "source": Flattened(tuple(f"src{k}" for k in range(20)), 0.7),
+    "source": Flattened(None, 0.7),
     "lang": {"en": 0.58, "de": 0.15, "fr": 0.15, "es": 0.12},
     "topic": Flattened(("prose", "longform", "contact", "licence"), 0.97),
 }
+RATE = 0.65
 
 
 def words(text: Column) -> Column:
@@ -69,7 +76,17 @@ def topic(text: Column, n_words: Column) -> Column:
 
 def _class(value: Column, listed: dict[str, float] | Flattened) -> Column:
     values = listed.values if isinstance(listed, Flattened) else listed
-    return F.when(value.isin(list(values)), value).otherwise(F.lit(OTHER))
+    return F.when(value.isin(list(values)), value).otherwise(F.lit(OTHER)) if values else F.lit(OTHER)
+
+
+def listed(docs: DataFrame, targets: Targets, margins: dict[str, Column]) -> Targets:
+    """The targets with the classes that are to come from the data: a bounded list for each."""
+    out = dict(targets)
+    for name, t in targets.items():
+        if isinstance(t, Flattened) and t.values is None:
+            counts = docs.select(margins[name].alias("value")).dropna().groupBy("value").agg(F.count("*").alias("n"))
+            out[name] = replace(t, values=tuple(r["value"] for r in counts.orderBy(F.desc("n"), "value").limit(t.most).collect()))
+    return out
 
 
 def classified(docs: DataFrame, targets: Targets, margins: dict[str, Column], tokens: Column, carry: dict[str, Column]) -> DataFrame:
@@ -78,8 +95,10 @@ def classified(docs: DataFrame, targets: Targets, margins: dict[str, Column], to
                        *(_class(margins[m], targets[m]).alias(f"by_{m}") for m in targets))
 
 
-def rake(cells: DataFrame, targets: Targets, work: str, tolerance: float = 1e-9, sweeps_per_job: int = 4, max_sweeps: int = 400) -> DataFrame:
-    """Cells (by_<margin>..., tokens) -> the same with ``raked``, their scaled token counts."""
+def rake(cells: DataFrame, targets: Targets, work: str, tolerance: float = 1e-9, sweeps_per_job: int = 4, max_sweeps: int = 400,
+         strict: bool = False) -> DataFrame:
+    """Cells (by_<margin>..., tokens) -> the same with ``raked``, their scaled token counts. ``strict``: an error when
+    a margin still misses its goal by more than 1e-3 of all tokens."""
     for name, shares in targets.items():
         if not isinstance(shares, Flattened) and (min(shares.values()) < 0 or sum(shares.values()) > 1 + 1e-9):
             raise ValueError(f"target shares of {name} must be between 0 and 1 in total")
@@ -118,16 +137,23 @@ def rake(cells: DataFrame, targets: Targets, work: str, tolerance: float = 1e-9,
             gap = F.abs(F.sum("raked").over(W.partitionBy(f"by_{name}")) - F.col(f"to_{name}"))
             checked = checked.withColumn(f"gap_{name}", F.when(F.sum("tokens").over(W.partitionBy(f"by_{name}")) > 0, F.try_divide(gap, F.col("total"))))
             off = F.greatest(off, F.coalesce(F.col(f"gap_{name}"), F.lit(0.0)))
-        if (checked.agg(F.max(off)).first()[0] or 0.0) < tolerance:
+        gap = checked.agg(F.max(off)).first()[0] or 0.0
+        if gap < tolerance:
             break
+    if strict and gap > 1e-3:
+        raise ValueError(f"the margins can't all hold: one misses its goal by {gap:.4f} of all tokens")
     return current
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: Targets = TARGETS,
-        margins: dict[str, Column] | None = None, tokens: Column | None = None, carry: dict[str, Column] | None = None, seed: str = "mix") -> DataFrame:
+        margins: dict[str, Column] | None = None, tokens: Column | None = None, carry: dict[str, Column] | None = None, seed: str = "mix",
+        rate: float = RATE, strict: bool = False) -> DataFrame:
     """The carried columns, tokens, by_<margin>, weight, probability and ``kept``, one row per input row."""
+    if not 0 < rate <= 1:
+        raise ValueError("rate must be above 0 and at most 1")
     n = words(docs[text_col]) if tokens is None else tokens
     margins = margins or {"source": docs["source"], "lang": docs["lang"], "topic": topic(docs[text_col], n)}
+    targets = listed(docs, targets, margins)
     carry = carry or {"doc_id": docs[id_col]}
     by = [f"by_{m}" for m in targets]
     # 48 bits of a digest of the seed and the id, as a number in [0, 1)
@@ -135,10 +161,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets
     draw = F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("double") / float(1 << 48)
     rows = classified(docs, targets, margins, n, {"draw": draw, **{f"c{k}": c for k, c in enumerate(carry.values())}})
     cells = rows.groupBy(*by).agg(F.sum("tokens").alias("tokens"))
-    raked = rake(cells, targets, work_dir(docs.sparkSession, "mixing"))
+    raked = rake(cells, targets, work_dir(docs.sparkSession, "mixing"), strict=strict)
     weight = F.coalesce(F.try_divide("raked", F.col("tokens").cast("double")), F.lit(0.0))
-    weights = raked.select(*by, weight.alias("weight")).coalesce(1).withColumn("top", F.max("weight").over(W.partitionBy()))
-    found = weights.select(*by, "weight", F.coalesce(F.try_divide("weight", "top"), F.lit(0.0)).alias("probability"))
+    found = raked.select(*by, weight.alias("weight")).withColumn("probability", F.least(F.lit(1.0), F.col("weight") * rate))
     # the cell table is bounded by the product of the target lists
     joined = rows.join(F.broadcast(found), by, "left")
     return joined.select(*(F.col(f"carried.c{k}").alias(name) for k, name in enumerate(carry)), "tokens", *by, "weight", "probability",

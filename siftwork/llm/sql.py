@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftwork.llm.mixing import LONG_WORDS, OTHER, TARGETS, Flattened
+from siftwork.llm.mixing import LONG_WORDS, OTHER, RATE, TARGETS, Flattened
 from siftwork.llm.quality import QualityRules
 
 _WS = r"[\x20\x09-\x0D]"
@@ -22,8 +22,11 @@ FROM t JOIN g ON t.norm = g.norm
 
 
 def _classes(margin: str, column: str) -> str:
-    listed = TARGETS[margin].values if isinstance(TARGETS[margin], Flattened) else TARGETS[margin]
-    values = ", ".join(f"'{v}'" for v in listed)
+    target = TARGETS[margin]
+    if isinstance(target, Flattened) and target.values is None:
+        values = f"SELECT {column} FROM documents WHERE {column} IS NOT NULL GROUP BY {column} ORDER BY count(*) DESC, {column} LIMIT {target.most}"
+    else:
+        values = ", ".join(f"'{v}'" for v in (target.values if isinstance(target, Flattened) else target))
     return f"CASE WHEN {column} IN ({values}) THEN {column} ELSE '{OTHER}' END AS by_{margin}"
 
 
@@ -33,7 +36,10 @@ def _share(margin: str) -> str:
     if isinstance(target, Flattened):
         return f"pow(nat, {target.power})"
     cases = " ".join(f"WHEN by_{margin} = '{v}' THEN {s}" for v, s in target.items())
-    return f"CASE {cases} ELSE {max(0.0, 1 - sum(target.values()))} END"
+    rest = f"{max(0.0, 1 - sum(target.values()))}"
+    if 1 - sum(target.values()) < 1e-9:  # the listed shares are of what the other classes leave
+        rest = f"coalesce(nullif(sum(CASE {cases} ELSE 0 END) OVER (), 0) * nat / nullif(1 - nat, 0), 1)"
+    return f"CASE {cases} ELSE {rest} END"
 
 
 def _mix_sources(sweeps: int = 200) -> str:
@@ -41,7 +47,7 @@ def _mix_sources(sweeps: int = 200) -> str:
     by = ", ".join(f"by_{m}" for m in margins)
     targets = ", ".join(
         f"to_{m} AS (SELECT by_{m}, share * total / sum(share) OVER () AS goal_{m} FROM (SELECT by_{m}, total, {_share(m)} AS share FROM "
-        f"(SELECT by_{m}, any_value(total) AS total, sum(tokens) / any_value(total) AS nat FROM cells, everything GROUP BY by_{m}) WHERE nat > 0))" for m in margins)
+        f"(SELECT by_{m}, any_value(total) AS total, sum(tokens) / any_value(total) AS nat FROM cells, everything GROUP BY by_{m} HAVING sum(tokens) > 0)))" for m in margins)
     step = "SELECT * FROM r"
     for m in margins:
         step = f"SELECT * REPLACE (coalesce(raked * goal_{m} / nullif(sum(raked) OVER (PARTITION BY by_{m}), 0), 0) AS raked) FROM ({step})"
@@ -64,7 +70,7 @@ r AS (
   SELECT * REPLACE (sweep + 1 AS sweep) FROM ({step}) WHERE sweep < {sweeps}
 ), weights AS (
   SELECT {by}, coalesce(raked / nullif(tokens, 0), 0) AS weight FROM r WHERE sweep = {sweeps}
-), probabilities AS (SELECT *, coalesce(weight / nullif(max(weight) OVER (), 0), 0) AS probability FROM weights)
+), probabilities AS (SELECT *, least(1.0, weight * {RATE}) AS probability FROM weights)
 SELECT doc_id, tokens, by_source AS source_class, by_lang AS lang_class, by_topic AS topic, round(weight, 6) AS weight, round(probability, 6) AS probability,
   draw < probability AS kept
 FROM classed JOIN probabilities USING ({by})

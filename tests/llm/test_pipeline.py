@@ -6,7 +6,7 @@ from itertools import combinations
 import pytest
 
 import corpus_pipeline
-from siftwork.llm.mixing import LONG_WORDS, TARGETS
+from siftwork.llm.mixing import LONG_WORDS, RATE, TARGETS
 from siftwork.llm.pieces import PieceModel, default_model, scored_model
 from tests.llm.conftest import BASE, WS, documents
 from tests.llm.test_exact import brute as copies
@@ -34,14 +34,13 @@ def brute(rows):
     rows = [r for r in rows if root[r[0]] == r[0]]
     tokens = {r[0]: len(WORD.findall(r[1])) for r in rows}
     weights, _, _ = raked([(tokens[r[0]], r[3], r[2], topic(r[1])) for r in rows], TARGETS, TARGETS)
-    top = max(weights.values())
 
     def cell(r):
         from siftwork.llm.mixing import OTHER, Flattened
         values = zip((r[3], r[2], topic(r[1])), TARGETS.values(), strict=True)
-        return tuple(v if v in (t.values if isinstance(t, Flattened) else t) else OTHER for v, t in values)
+        return tuple(OTHER if v is None else v if v in ((t.values or (v,)) if isinstance(t, Flattened) else t) else OTHER for v, t in values)
 
-    rows = [r for r in rows if int(hashlib.md5(f"mix{r[0]}".encode()).hexdigest()[:12], 16) / 2 ** 48 < weights[cell(r)] / top]
+    rows = [r for r in rows if int(hashlib.md5(f"mix{r[0]}".encode()).hexdigest()[:12], 16) / 2 ** 48 < min(1, weights[cell(r)] * RATE)]
     model = PieceModel(scored_model(default_model()))
     return {r[0]: model.encode([r[1]])[1][0].tolist() for r in rows}
 
