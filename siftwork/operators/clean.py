@@ -28,12 +28,15 @@ def strict_bool(c) -> F.Column:
 
 
 def dedup_keep_first(df: DataFrame, key: F.Column, id_col: str = "id") -> DataFrame:
-    """Keep the row with the smallest id per key.
+    """Keep the row with the smallest id per key; a row without an id only where no other has one (of
+    several such rows the least by a hash).
 
     The key is hashed (SHA-256) and each key keeps its row of the least id: one partial
     aggregate over the rows, so a key shared by a third of all rows is combined
     map-side, and the input is computed once."""
-    row = F.min_by(F.struct(*[F.col(c) for c in df.columns]), F.col(id_col)).alias("_row")
+    # an order that is never null: min_by passes over null orders, and would lose rows without an id
+    whole = F.struct(*[F.col(c) for c in df.columns])
+    row = F.min_by(whole, F.struct(F.col(id_col).isNull(), F.col(id_col), F.when(F.col(id_col).isNull(), F.xxhash64(*df.columns)))).alias("_row")
     return df.groupBy(F.sha2(key, 256).alias("_k")).agg(row).select("_row.*")
 
 
@@ -85,6 +88,35 @@ def text_fingerprint_ordered(df: DataFrame, text_col: str = "text", order_col: s
     return df.agg(F.sha1(s.cast("binary")).alias("sha1"))
 
 
+# Fixed values of the digest: a prime below 2^31 and two bases, so that products stay in 64 bits.
+DIGEST_PRIME = 2_147_483_647
+DIGEST_BASES = (1_103_515_245, 214_013_377)
+_DIGEST_BITS = 48  # rows up to 2^48
+
+
+def sequence_fingerprint(df: DataFrame, order_cols, text_col: str = "text") -> DataFrame:
+    """Digest of a table's texts in the order of ``order_cols`` (a total order; nulls first): (n_rows, digest_1, digest_2).
+
+    A sequence's digest is (length, hash) with hash = sum of h_i * B^i modulo a prime over its places i, h_i 31 bits of a
+    text's SHA-1. Two digests combine in order, (n + m, a + B^n * b), which is associative, so each row adds
+    h_i * B^i from its own place and partial sums meet in any order. Places come from ``running_totals``, whose blocks keep
+    a table out of one task. It changes when two different texts swap, whatever the partitioning. A null text counts as empty."""
+    from siftwork.operators.prefix import key_block, running_totals
+    order_cols = list(order_cols)
+    rows = df.select(*order_cols, F.conv(F.substring(F.sha1(F.coalesce(F.col(text_col), F.lit("")).cast("binary")), 1, 7), 16, 10).cast("long").alias("_h"), F.lit(1).cast("long").alias("_one"))
+    placed = running_totals(rows, [], [F.col(c).asc_nulls_first() for c in order_cols], ["_one"], key_block(df, order_cols[0]), prefix="_upto")
+
+    def power(base: int, place):
+        steps, square = [], base % DIGEST_PRIME
+        for bit in range(_DIGEST_BITS):
+            steps.append(F.when(F.shiftright(place, bit).bitwiseAND(F.lit(1)) == 1, F.lit(square)).otherwise(F.lit(1)).cast("long"))
+            square = square * square % DIGEST_PRIME
+        return F.aggregate(F.array(*steps), F.lit(1).cast("long"), lambda a, b: a * b % DIGEST_PRIME)
+
+    terms = [(F.col("_h") * power(base, F.col("_upto_one") - 1)) % DIGEST_PRIME for base in DIGEST_BASES]
+    return placed.agg(F.count(F.lit(1)).alias("n_rows"), *((F.coalesce(F.sum(t), F.lit(0)) % DIGEST_PRIME).cast("long").alias(f"digest_{k}") for k, t in enumerate(terms, 1)))
+
+
 def class_balance(df: DataFrame, label: str = "label") -> DataFrame:
     """Counts and shares per label value (aggregate first; the share window runs over
     the few aggregated rows only)."""

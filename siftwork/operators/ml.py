@@ -11,14 +11,13 @@ from __future__ import annotations
 
 import itertools
 import random
+import uuid
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
                                        RandomForestClassifier)
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,9 +84,12 @@ def random_forest(num_trees: int = 500, max_depth: int = 30, min_leaf: int = 1,
 
 
 def _score_col(pred: DataFrame) -> F.Column:
+    """Probability of the positive class, else its margin, else the prediction itself."""
     if "probability" in pred.columns:
         return vector_to_array("probability")[1]
-    return vector_to_array("rawPrediction")[1]
+    if "rawPrediction" in pred.columns:
+        return vector_to_array("rawPrediction")[1]
+    return F.col("prediction").cast("double")
 
 
 def fit_score(train: DataFrame, test: DataFrame, make, label: str = "label"):
@@ -99,21 +101,100 @@ def fit_score(train: DataFrame, test: DataFrame, make, label: str = "label"):
     return model, pred.withColumn("score", _score_col(pred))
 
 
+class FoldTable:
+    """A cut feature table with folds, and the class counts of every fold: one job, shared by all fits. Each fit's weights
+    are literals from the counts of its own training folds, so a fit needs no count, join or checkpoint."""
+
+    def __init__(self, df: DataFrame, k: int, label: str = "label", id_col: str = "id", seed: int = 42, vec: str = "embedding"):
+        from siftwork.session import cut_lineage
+        f = stratified_folds(with_features(df, vec), k, label, id_col, seed)
+        self.rows, self.label, self.id_col, self.k = cut_lineage(f.select(id_col, label, "features", "fold")), label, id_col, k
+        self.counts = {(r["fold"], r[label]): r["n"] for r in self.rows.groupBy("fold", label).agg(F.count(F.lit(1)).alias("n")).collect()}  # folds x classes
+
+    def train(self, without: int | None) -> tuple[DataFrame, int]:
+        """(rows of all other folds with ``_y`` and balanced ``weight``, their number)."""
+        have: dict = {}
+        for (fold, y), n in self.counts.items():
+            if fold != without:
+                have[y] = have.get(y, 0) + n
+        total, weight = sum(have.values()), F.lit(None).cast("double")
+        for y, n in have.items():
+            weight = F.when(F.col(self.label) == F.lit(y), F.lit(total / (2.0 * n))).otherwise(weight)
+        rows = self.rows if without is None else self.rows.where(F.col("fold") != without)
+        return rows.withColumn("_y", F.col(self.label).cast("double")).withColumn("weight", weight), total
+
+    def fit(self, make, without: int | None):
+        rows, n = self.train(without)
+        return make(n).fit(rows)
+
+    def scored(self, make, fold: int) -> DataFrame:
+        """(fold, id, label, score, prediction) of one fold by a model of the others."""
+        test = self.rows.where(F.col("fold") == fold).withColumn("_y", F.col(self.label).cast("double"))
+        pred = self.fit(make, fold).transform(test)
+        return pred.select("fold", self.id_col, self.label, _score_col(pred).alias("score"), "prediction")
+
+
+def shared_fits(folds: FoldTable, fits: list[tuple[dict, object]], path: str, parallelism: int = 4) -> DataFrame:
+    """Cross-validated scored rows of many fits over one table, written to ``path`` and read back: each fit's tags, fold, id,
+    label, score, prediction. Fits run ``parallelism`` at a time."""
+    from concurrent.futures import ThreadPoolExecutor
+    names = sorted({n for tags, _ in fits for n in tags})
+
+    def one(task):
+        (tags, make), fold = task
+        scored = folds.scored(make, fold).select(*(F.lit(tags.get(n)).cast("string").alias(n) for n in names), "*")
+        scored.write.mode("overwrite").parquet(f"{path}/{number[id(task[0])]}-{fold}")  # a folder each: fits end at any time
+        return scored.schema
+
+    number = {id(f): j for j, f in enumerate(fits)}
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        schemas = list(pool.map(one, itertools.product(fits, range(folds.k))))
+    return folds.rows.sparkSession.read.schema(schemas[0]).parquet(f"{path}/*-*")
+
+
+def model_search(df: DataFrame, estimator, grid: dict, k: int = 5, label: str = "label", id_col: str = "id", vec: str = "embedding",
+                 seed: int = 42, sample: int | None = None, metric: str = "recall", parallelism: int = 4, path: str | None = None):
+    """Cross-validated search over ``grid`` (parameter -> values) or ``sample`` seeded combinations of it:
+    (best parameters, best model refitted on all rows, combinations, scored rows).
+
+    combinations: one row per combination (its parameters, number of folds, mean ``recall`` and ``specificity`` over the folds,
+    selected), best first: by ``metric``, then by the other one, then in the grid's order. Balanced weights come from
+    each fit's own training folds. ``estimator(params, n_train)`` gives an estimator."""
+    from siftwork.session import ensure_checkpoint_dir
+    if metric not in ("recall", "specificity"):
+        raise ValueError("metric must be recall or specificity")
+    names = sorted(grid)
+    combos = [dict(zip(names, c, strict=True)) for c in itertools.product(*[grid[n] for n in names])]
+    if sample is not None and sample < len(combos):
+        combos = random.Random(seed).sample(combos, sample)
+    folds = FoldTable(df, k, label, id_col, seed, vec)
+    spark = df.sparkSession
+    path = path or f"{ensure_checkpoint_dir(spark)}/search-{uuid.uuid4().hex[:12]}"
+    fits = [({"combination": str(j)}, lambda n, c=c: estimator(c, n)) for j, c in enumerate(combos)]
+    scored = shared_fits(folds, fits, path, parallelism)
+    y, hit = F.col(label).cast("int") == 1, F.col("prediction") == F.col(label).cast("double")
+    per_fold = scored.groupBy("combination", "fold").agg(
+        F.try_divide(F.count_if(y & hit), F.count_if(y)).alias("recall"), F.try_divide(F.count_if(~y & hit), F.count_if(~y)).alias("specificity"))
+    means = {r["combination"]: r for r in per_fold.groupBy("combination").agg(F.count(F.lit(1)).alias("n"), F.avg("recall").alias("recall"), F.avg("specificity").alias("specificity")).collect()}
+    other = "specificity" if metric == "recall" else "recall"
+    order = sorted(range(len(combos)), key=lambda j: (-(means[str(j)][metric] or 0), -(means[str(j)][other] or 0), j))
+    best = combos[order[0]]
+    rows = [(j, *(str(combos[j][n]) for n in names), means[str(j)]["n"], means[str(j)]["recall"], means[str(j)]["specificity"], j == order[0]) for j in order]
+    table = spark.createDataFrame(rows, "combination bigint, " + "".join(f"{n} string, " for n in names) + "n_folds bigint, recall double, specificity double, selected boolean")
+    return best, folds.fit(lambda n: estimator(best, n), None), table, scored
+
+
 def cross_val_scored(df: DataFrame, make, k: int = 5, label: str = "label", id_col: str = "id",
                      seed: int = 42, vec: str = "embedding", tags: dict | None = None,
                      parallelism: int | None = None) -> DataFrame:
     """Scored table of a k-fold cross-validation: one fit per fold, predictions unioned.
-    Feature vectors are cut once (checkpointed) and reused by every fold; the k fits
-    are submitted concurrently (like CrossValidator's ``parallelism``)."""
+    Feature vectors and class counts are cut once (``FoldTable``) and reused by every fold; the k fits
+    are submitted concurrently."""
     from concurrent.futures import ThreadPoolExecutor
-
-    from siftwork.session import cut_lineage
-    f = stratified_folds(with_features(df, vec), k, label, id_col, seed)
-    f = cut_lineage(f.select(id_col, label, "features", "fold"))
+    folds = FoldTable(df, k, label, id_col, seed, vec)
 
     def one(i):
-        _, pred = fit_score(f.where(F.col("fold") != i), f.where(F.col("fold") == i), make, label)
-        return pred.select("fold", id_col, label, "score")
+        return folds.scored(make, i).drop("prediction")
 
     with ThreadPoolExecutor(max_workers=parallelism or k) as pool:
         parts = list(pool.map(one, range(k)))
@@ -154,21 +235,14 @@ def importance_table(spark, model, names) -> DataFrame:
 def grid_search(train: DataFrame, estimator, grid: dict, k: int = 5, label: str = "label",
                 id_col: str = "id", seed: int = 42, metric_label: float = 1.0, parallelism: int = 4,
                 sample: int | None = None):
-    """Cross-validated search maximising recall of the positive class (or specificity with
-    metric_label=0.0) over ``grid`` (param name -> values); ``sample`` draws that many
-    seeded combinations instead of all (randomised search). Refits the best on all rows."""
-    f = stratified_folds(train, k, label, id_col, seed).withColumn("_y", F.col(label).cast("double"))
-    f = with_balanced_weights(f, label)
-    names = sorted(grid)
-    combos = list(itertools.product(*[grid[n] for n in names]))
-    if sample is not None and sample < len(combos):
-        combos = random.Random(seed).sample(combos, sample)
-    maps = [{estimator.getParam(n): v for n, v in zip(names, c)} for c in combos]
-    ev = MulticlassClassificationEvaluator(labelCol="_y", metricName="recallByLabel", metricLabel=metric_label)
-    cv = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=ev, foldCol="fold",
-                        parallelism=parallelism, seed=seed)
-    m = cv.fit(f.withColumn("fold", F.col("fold").cast("int")))
-    return m, [(dict(zip(names, c)), float(s)) for c, s in zip(combos, m.avgMetrics)]
+    """``model_search`` around a Spark ML estimator over the columns ``features``, ``_y`` and ``weight``, maximising recall
+    of the positive class (or specificity with metric_label=0.0): (best model, [(parameters, mean metric)])."""
+    def make(params, n):
+        return estimator.copy({estimator.getParam(p): v for p, v in params.items()})
+    metric = "recall" if metric_label == 1.0 else "specificity"
+    _, model, table, _ = model_search(train, make, grid, k, label, id_col, "features", seed, sample, metric, parallelism)
+    values = {n: {str(x): x for x in v} for n, v in grid.items()}
+    return model, [({n: values[n][r[n]] for n in sorted(grid)}, r[metric]) for r in sorted(table.collect(), key=lambda r: r["combination"])]
 
 
 def seed_ensemble(scored_runs: DataFrame, id_col: str = "id") -> DataFrame:

@@ -18,6 +18,8 @@ exchanges are reused.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,9 +42,11 @@ def hex_block(digest: Column, digits: int = 3) -> list[Column]:
 
 
 def key_block(df: DataFrame, name: str) -> list[Column]:
-    """Blocks of an id column in ascending order: numbers by size, text by its first characters."""
+    """Blocks of an id column in ascending order: numbers by size, text by the four characters after the
+    prefix that all ids share (from their least and greatest value: two scalars)."""
     if dict(df.dtypes)[name] == "string":
-        return [F.substring(F.col(name), 1, 4)]
+        ends = [x or "" for x in df.agg(F.min(name), F.max(name)).first()]
+        return [F.substring(F.col(name), 1, len(os.path.commonprefix(ends)) + 4)]
     return number_block(F.col(name))
 
 

@@ -44,10 +44,14 @@ def _join_totals(rows: DataFrame, tot: DataFrame, g: list[str]) -> DataFrame:
 
 def score_counts(scored: DataFrame, group_cols=None, label: str = "label",
                  score: str = "score") -> DataFrame:
-    """(group..., score, pos, neg): one row per distinct score (map-side combined)."""
+    """(group..., score, pos, neg): one row per distinct score (map-side combined). A NaN score has no place in an
+    order and raises an error."""
     g = _g(group_cols)
     y = as_int(label)
-    return (scored.groupBy(*g, F.col(score).alias("score"))
+    value = F.col(score)
+    if dict(scored.dtypes)[score] in ("double", "float"):
+        value = F.when(F.isnan(value), F.raise_error(F.lit("a score is NaN")).cast("double")).otherwise(value)
+    return (scored.groupBy(*g, value.alias("score"))
             .agg(F.sum(y).cast("long").alias("pos"), F.sum(1 - y).cast("long").alias("neg")))
 
 

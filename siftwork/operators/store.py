@@ -69,13 +69,20 @@ def load_results(spark: SparkSession, path: str, data_key: str, config_key: str,
     return hit if not hit.isEmpty() else None
 
 
+# Columns that ``ml.evaluated`` stores with every fold row.
+METADATA = ("n_samples", "n_features", "n_splits", "random_state", "parameters", "target_recall", "created_at")
+
+
 def list_results(spark: SparkSession, path: str) -> DataFrame:
-    """One metadata row per stored evaluation."""
-    df = read_if_any(lambda: spark.read.parquet(path))
+    """One row per stored evaluation: its keys, number of folds, the stored metadata and the mean of every metric."""
+    df = read_if_any(lambda: spark.read.option("mergeSchema", "true").parquet(path))
     if df is None:
         return spark.createDataFrame([], ", ".join(f"{c} string" for c in (*PARTITIONS, *KEYS)) + ", n_folds bigint")
-    named = df.select(*(F.col(c).cast("string").alias(c) for c in (*PARTITIONS, *KEYS)))
-    return named.groupBy(*PARTITIONS, *KEYS).agg(F.count(F.lit(1)).alias("n_folds"))
+    keys = (*PARTITIONS, *KEYS)
+    meta = [c for c in METADATA if c in df.columns]
+    metrics = [n for n, t in df.dtypes if t == "double" and n not in meta]
+    named = df.select(*(F.col(c).cast("string").alias(c) for c in keys), *meta, *metrics)
+    return named.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_folds"), *(F.max(c).alias(c) for c in meta), *(F.avg(c).alias(f"mean_{c}") for c in metrics))
 
 
 def clear_results(spark: SparkSession, path: str) -> None:
@@ -104,3 +111,62 @@ def read_collection(spark: SparkSession, path: str, label: str = "label", label_
 
 def collection_info(spark: SparkSession, path: str, label: str = "label", label_type: str = "boolean") -> DataFrame:
     return read_collection(spark, path, label, label_type).groupBy(label).agg(F.count(F.lit(1)).alias("n_items"))
+
+
+# ---------------------------------------------------------------- keyed collection
+
+def _bucket(key, buckets: int):
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def create_keyed(spark: SparkSession, path: str, buckets: int = 256) -> None:
+    """An empty keyed collection; the number of buckets is fixed for its life."""
+    spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("error").parquet(f"{path}/_layout")
+
+
+def _buckets(spark: SparkSession, path: str) -> int:
+    return spark.read.schema("buckets int").parquet(f"{path}/_layout").first()[0]
+
+
+def upsert_keyed(rows: DataFrame, path: str, id_col: str = "id") -> None:
+    """Add rows by id: a new id is added, a stored one is replaced, and of several new rows with one id the least (by its
+    columns' hash) stays. The collection lies in folders by a hash of the id, sorted by id in each; only the folders that hold a new id are read and
+    overwritten, each at the commit of one job. Rows without an id are refused."""
+    spark = rows.sparkSession
+    n = _buckets(spark, path)
+    key = F.when(F.col(id_col).isNull(), F.raise_error(F.lit("a row without an id"))).otherwise(F.col(id_col))
+    whole = F.struct(*[F.col(c) for c in rows.columns])
+    new = rows.withColumn(id_col, key.cast(rows.schema[id_col].dataType)).groupBy(id_col).agg(F.min_by(whole, F.xxhash64(*rows.columns)).alias("_row"))
+    new = new.select("_row.*").withColumn("bucket", _bucket(id_col, n))
+    have = read_keyed(spark, path, keep_bucket=True)
+    if have is not None:
+        touched = new.select("bucket").distinct()
+        kept = have.join(touched, "bucket", "left_semi").join(new.select(id_col), id_col, "left_anti")
+        new = new.unionByName(kept, allowMissingColumns=True)
+    new.repartition("bucket").sortWithinPartitions("bucket", id_col) \
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/rows")
+
+
+def read_keyed(spark: SparkSession, path: str, keep_bucket: bool = False) -> DataFrame | None:
+    """The whole collection; None while nothing was added."""
+    df = read_if_any(lambda: spark.read.parquet(f"{path}/rows"))
+    return df if df is None or keep_bucket else df.drop("bucket")
+
+
+def lookup_keyed(spark: SparkSession, path: str, ids: list, id_col: str = "id") -> DataFrame | None:
+    """The rows of some ids: only their hash folders are listed and read, and the id goes down to the scan."""
+    df = read_keyed(spark, path, keep_bucket=True)
+    if df is None:
+        return None
+    kind = df.schema[id_col].dataType
+    wanted = [F.lit(i).cast(kind) for i in ids]
+    n = _buckets(spark, path)
+    at = spark.range(1).select(F.array(*(_bucket(w, n) for w in wanted))).first()[0] if ids else []
+    return df.where(F.col("bucket").isin(at) & F.col(id_col).isin(wanted)).drop("bucket")
+
+
+def clear_keyed(spark: SparkSession, path: str) -> None:
+    """Empty the collection; its layout stays."""
+    df = read_keyed(spark, path, keep_bucket=True)
+    if df is not None:
+        spark.createDataFrame([], df.schema).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(f"{path}/rows")

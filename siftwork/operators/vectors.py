@@ -199,11 +199,15 @@ def lookup(df: DataFrame, id_value, id_col: str = "id") -> DataFrame:
 
 
 def smote(df: DataFrame, k: int = 3, target: str = "target", id_col: str = "id", vec: str = "embedding",
-          seed: int = 42, tile_rows: int = 8192) -> DataFrame:
+          seed: int = 42, tile_rows: int = 8192, neighbours: DataFrame | None = None, parents: bool = False) -> DataFrame:
     """SMOTE to parity: each synthetic row = x + u (x_nb - x) with x a minority row, x_nb
     one of its k nearest minority neighbours and u in [0, 1), both chosen by hashes of
     (id, j, seed). Synthetic row j (0-based) grows from the minority row of hash rank
-    j % n_min, so rows share the quota evenly. Adds ``synthetic``."""
+    j % n_min, so rows share the quota evenly. Adds ``synthetic``.
+
+    The minority's neighbours (query_id, rank 1.., neighbor_id) can be given, e.g. from ``graph.neighbour_graph``; else they
+    are searched exactly, which is all pairs of the minority. ``parents`` adds parent_id, neighbor_id and share (null for
+    given rows): a synthetic row lies at ``share`` of the way from its parent to the neighbour."""
     from siftwork.operators.split import class_rank
     counts = {r[0]: r[1] for r in df.groupBy(target).count().collect()}  # two scalars
     if len(counts) < 2:
@@ -211,11 +215,15 @@ def smote(df: DataFrame, k: int = 3, target: str = "target", id_col: str = "id",
     minority = min(counts, key=lambda v: (counts[v], str(v)))
     n_min = counts[minority]
     n_synth = max(counts.values()) - n_min  # synthetic ids are -1 .. -n_synth
+    kind = df.schema[id_col].dataType
+    origin = ["parent_id", "neighbor_id", "share"] if parents else []
     base = df.withColumn("synthetic", F.lit(False))
+    if parents:
+        base = base.withColumns({"parent_id": F.lit(None).cast(kind), "neighbor_id": F.lit(None).cast(kind), "share": F.lit(None).cast("double")})
     if n_synth == 0:
         return base
     mino = df.where(F.col(target) == F.lit(minority))
-    nn = nearest_neighbours(mino, mino, k, id_col, id_col, vec, vec, True, tile_rows)
+    nn = nearest_neighbours(mino, mino, k, id_col, id_col, vec, vec, True, tile_rows) if neighbours is None else neighbours.select("query_id", "rank", "neighbor_id").where(F.col("rank") <= k)
     ranked = class_rank(mino.select(id_col, vec, target), target, id_col, seed, out="_r") \
         .select(id_col, vec, target, "_r")
     # synthetic row j comes from minority row j % n_min: the indices are a distributed
@@ -234,9 +242,9 @@ def smote(df: DataFrame, k: int = 3, target: str = "target", id_col: str = "id",
             .join(nbv, F.col("neighbor_id") == F.col("_nid"), "left") \
             .withColumn("_nv", F.coalesce("_other", F.col(vec)))
     newv = F.zip_with(F.col(vec), F.col("_nv"), lambda a, b: a.cast("double") + F.col("_u") * (b - a))
-    synth = g2.select((-F.col("_j") - 1).alias(id_col), newv.alias(vec),
-                      F.col(target), F.lit(True).alias("synthetic"))
-    keep = [c for c in base.columns if c in (id_col, vec, target, "synthetic")]
+    synth = g2.select((-F.col("_j") - 1).alias(id_col), newv.alias(vec), F.col(target), F.lit(True).alias("synthetic"),
+                      *([F.col(id_col).alias("parent_id"), F.coalesce("neighbor_id", F.col(id_col)).alias("neighbor_id"), F.col("_u").alias("share")] if parents else []))
+    keep = [c for c in base.columns if c in (id_col, vec, target, "synthetic", *origin)]
     return base.select(*keep).withColumn(vec, F.transform(vec, lambda x: x.cast("double"))) \
         .unionByName(synth.select(*keep))
 

@@ -47,14 +47,14 @@ def q_ml_forest_holdout(spark, sf):
 
 def q_ml_embedding_benchmark(spark, sf):
     """Embedding models x classifiers grid: raw and L2-normalised vectors, logistic
-    regression, 5 folds each; all scored rows unioned and evaluated in one grouped
+    regression and linear SVM (by its margin), 5 folds each; all scored rows unioned and evaluated in one grouped
     query, then averaged per (model, classifier) (J-06, L-08, A-17)."""
     from siftwork.operators import vectors as V
     ensure_checkpoint_dir(spark)
     v = fx.vectors(spark, sf).select("id", "embedding", F.col("target").alias("label"))
     both = V.scaled_vectors(v).withColumn("embedding_model", F.lit("scaled")).unionByName(
         V.normalize(V.scaled_vectors(v)).withColumn("embedding_model", F.lit("normalised")))
-    scored = M.benchmark_classifiers(both, {"logreg": M.logreg()}, 5)
+    scored = M.benchmark_classifiers(both, {"logreg": M.logreg(), "linear_svm": M.linear_svm()}, 5)
     folds = R.evaluate_default(scored, ["embedding_model", "classifier", "fold"])
     return finish(R.summarise_folds(folds, ["embedding_model", "classifier"]))
 
@@ -81,7 +81,27 @@ def q_ml_svm_platt_fixed_recall(spark, sf):
     return finish(R.evaluate_fixed_recall(scored, ["fold"], 0.95))
 
 
+def q_ml_model_search(spark, sf):
+    """Random forests on the encoded answer matrix: every combination of a small grid by recall, and a seeded draw from a
+    larger one by specificity, 5 folds each over one cut table (L-11, L-12, L-13)."""
+    from pyspark.ml.classification import RandomForestClassifier
+    ensure_checkpoint_dir(spark)
+    wide = _encoded(spark, sf).withColumnRenamed("paper_id", "id")
+    x = wide.select("id", "label", F.array(*[F.col(q) for q in QIDS]).alias("embedding"))
+
+    def forest(params, n):
+        return RandomForestClassifier(featuresCol="features", labelCol="_y", weightCol="weight", numTrees=30, seed=42, **params)
+
+    grid = {"maxDepth": [4, 8], "minInstancesPerNode": [1, 4]}
+    wider = {"maxDepth": [3, 5, 8, 12], "minInstancesPerNode": [1, 2, 4, 8], "featureSubsetStrategy": ["sqrt", "log2", "0.5"]}
+    _, _, whole, _ = M.model_search(x, forest, grid)
+    _, _, drawn, _ = M.model_search(x, forest, wider, sample=4, metric="specificity")
+    named = lambda df, name: df.select(F.lit(name).alias("search"), "combination", "maxDepth", "minInstancesPerNode", "n_folds", "recall", "specificity", "selected")
+    return finish(named(whole, "grid").unionAll(named(drawn, "randomised")))
+
+
 QUERIES = {
+    "ml_model_search": q_ml_model_search,
     "ml_svm_platt_fixed_recall": q_ml_svm_platt_fixed_recall,
     "ml_embedding_benchmark": q_ml_embedding_benchmark,
     "ml_logreg_fixed_recall": q_ml_logreg_fixed_recall,

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from siftwork.operators import ranking as R
 from siftwork.operators import report as RP
+from siftwork.operators.quantiles import describe_exact
 from siftwork.plans.common import finish
 from siftwork.plans.ranking_queries import SQL_DEFAULT_THRESHOLD_FOLDS, SQL_FIXED_RECALL_FOLDS, TARGET
 from siftwork.sources import fixtures as fx
+from siftwork.sources.tables import read_table
 
 METRICS = R.FOLD_METRICS
 
@@ -34,13 +36,19 @@ def q_threshold_comparison(spark, sf):
 def q_difference_describe(spark, sf):
     """count / mean / std / min / quartiles / max of those differences per metric (A-15)."""
     d = RP.paired_differences(_default(spark, sf), _fixed(spark, sf), ["fold"], METRICS, ("default", "fixed"))
-    return finish(RP.describe(d, "metric", "diff_pp", exact=True, digits=3))
+    return finish(describe_exact(d, "metric", "diff_pp", digits=3))
+
+
+def q_event_value_describe(spark, sf):
+    """count / mean / std / min / quartiles / max of the events' value per type, quartiles by distributed selection (A-15)."""
+    return finish(describe_exact(read_table(spark, sf, "events"), "event_type", "value", digits=3, block_rows=500))
 
 
 QUERIES = {
     "metric_leaderboard": q_metric_leaderboard,
     "threshold_comparison": q_threshold_comparison,
     "difference_describe": q_difference_describe,
+    "event_value_describe": q_event_value_describe,
 }
 
 _M = ", ".join(METRICS)
@@ -76,4 +84,7 @@ ORACLE = {
     "metric_leaderboard": SQL_LEADERBOARD,
     "threshold_comparison": SQL_COMPARISON,
     "difference_describe": SQL_DESCRIBE,
+    "event_value_describe": f"""SELECT event_type, CAST(COUNT(value) AS BIGINT) AS count, {_r3('AVG(value)')} AS mean, {_r3('STDDEV_SAMP(value)')} AS std,
+  {_r3('MIN(value)')} AS min, {_r3('quantile_cont(value, 0.25)')} AS q25, {_r3('quantile_cont(value, 0.5)')} AS q50,
+  {_r3('quantile_cont(value, 0.75)')} AS q75, {_r3('MAX(value)')} AS max FROM events GROUP BY event_type""",
 }

@@ -41,6 +41,14 @@ def q_text_fingerprint(spark, sf):
     return C.text_fingerprint(read_table(spark, sf, "documents"), "text")
 
 
+def q_sequence_fingerprint(spark, sf):
+    """Order-dependent digest of all document texts by doc_id, and by doc_id descending (A-21)."""
+    d = read_table(spark, sf, "documents")
+    by_id = C.sequence_fingerprint(d, ["doc_id"]).select(F.lit("doc_id").alias("ordered_by"), "*")
+    turned = d.select((-F.col("doc_id")).alias("back"), "text")
+    return by_id.unionAll(C.sequence_fingerprint(turned, ["back"]).select(F.lit("doc_id descending").alias("ordered_by"), "*"))
+
+
 def q_dedup_stats(spark, sf):
     """How many documents survive whitespace/case-insensitive dedup, per language (A-20)."""
     d = read_table(spark, sf, "documents")
@@ -64,6 +72,7 @@ QUERIES = {
     "pages_text": q_pages_text,
     "class_balance": q_class_balance,
     "text_fingerprint": q_text_fingerprint,
+    "sequence_fingerprint": q_sequence_fingerprint,
     "dedup_stats": q_dedup_stats,
     "model_short_names": q_model_short_names,
 }
@@ -109,12 +118,28 @@ WITH m AS (SELECT DISTINCT {_MODELS}[CAST(conv_id % 5 AS INTEGER) + 1] AS model
 SELECT model, split_part(model, '/', -1) AS short_name,
        regexp_replace(model, '[^a-zA-Z0-9._-]+', '_', 'g') AS safe_name FROM m"""
 
+def _sql_sequence(name: str, order: str) -> str:
+    parts = []
+    for k, base in enumerate(C.DIGEST_BASES, 1):
+        steps, square = [], base % C.DIGEST_PRIME
+        for bit in range(40):
+            steps.append(f"CASE WHEN (place >> {bit}) & 1 = 1 THEN {square} ELSE 1 END")
+            square = square * square % C.DIGEST_PRIME
+        power = f"list_reduce([{', '.join(steps)}], lambda a, b: CAST(a * b % {C.DIGEST_PRIME} AS BIGINT))"
+        parts.append(f"CAST(sum(h * {power} % {C.DIGEST_PRIME}) % {C.DIGEST_PRIME} AS BIGINT) AS digest_{k}")
+    return f"""SELECT '{name}' AS ordered_by, count(*) AS n_rows, {', '.join(parts)} FROM (
+  SELECT CAST(('0x' || substr(sha1(coalesce(text, '')), 1, 7)) AS BIGINT) AS h, CAST(row_number() OVER (ORDER BY {order}) - 1 AS BIGINT) AS place FROM documents)"""
+
+
+SQL_SEQUENCE_FINGERPRINT = _sql_sequence("doc_id", "doc_id") + " UNION ALL " + _sql_sequence("doc_id descending", "doc_id DESC")
+
 ORACLE = {
     "papers_clean": SQL_PAPERS_CLEAN,
     "paper_text": SQL_PAPER_TEXT,
     "pages_text": SQL_PAGES_TEXT,
     "class_balance": SQL_CLASS_BALANCE,
     "text_fingerprint": SQL_TEXT_FINGERPRINT,
+    "sequence_fingerprint": SQL_SEQUENCE_FINGERPRINT,
     "dedup_stats": SQL_DEDUP_STATS,
     "model_short_names": SQL_MODEL_SHORT_NAMES,
 }

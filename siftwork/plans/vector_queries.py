@@ -10,6 +10,7 @@ from siftwork.functions.text import after_first_line, first_line
 from siftwork.operators import llm as L
 from siftwork.operators import store as ST
 from siftwork.operators import vectors as V
+from siftwork.operators.graph import neighbour_graph
 from siftwork.plans.common import finish
 from siftwork.sources import fixtures as fx
 from siftwork.session import ensure_checkpoint_dir
@@ -75,7 +76,63 @@ def q_smote_counts(spark, sf):
     return s.groupBy("target", "synthetic").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _spectral(spark, sf):
+    """The given vectors with falling weights by coordinate: directions that matter are few, as in a trained encoder's vectors."""
+    return fx.vectors(spark, sf).select("id", "target", F.transform("embedding", lambda x, i: x.cast("double") * F.pow(F.lit(0.8), i)).alias("embedding"))
+
+
+def q_neighbour_graph_top3(spark, sf):
+    """Every vector's three nearest others from the neighbour graph (J-10, W-12, W-13); approximate, so without a twin."""
+    return finish(neighbour_graph(_spectral(spark, sf)).neighbours.where("rank <= 3"))
+
+
+def q_neighbour_graph_recall(spark, sf):
+    """The graph's three nearest for the vectors whose id is divisible by 100 against an exact search of all: rows, whether at
+    least 90 % are found, and whether under a quarter of all distances were measured (J-10, W-12)."""
+    v = _spectral(spark, sf)
+    n, graph = v.count(), neighbour_graph(v)
+    exact = V.nearest_neighbours(v.where("id % 100 = 0"), v, 3)
+    near = graph.neighbours.where("rank <= 3").select(F.col("id").alias("query_id"), "neighbor_id", F.lit(1).alias("found"))
+    hit = exact.join(near, ["query_id", "neighbor_id"], "left")
+    return hit.agg(F.count_distinct("query_id").alias("n_queries"), F.count(F.lit(1)).alias("n_exact"), (F.count("found") >= 0.9 * F.count(F.lit(1))).alias("recall_reached"),
+                   F.lit(graph.distances < n * (n - 1) / 8).alias("under_a_quarter"))
+
+
+def q_smote_segments(spark, sf):
+    """SMOTE with the minority's neighbours from the graph and recorded parents: rows per class, and how many synthetic rows lie on
+    the segment between their parents, which are two different minority rows (L-15)."""
+    v = _spectral(spark, sf).select("id", "embedding", "target")
+    graph = neighbour_graph(v.where("target"), k=6).neighbours.select(F.col("id").alias("query_id"), "rank", "neighbor_id")
+    s = V.smote(v, 3, neighbours=graph, parents=True)
+    ends = v.where("target").select("id", "embedding")
+    a, b = (ends.select(F.col("id").alias(x), F.col("embedding").alias(f"{x}_vec")) for x in ("parent_id", "neighbor_id"))
+    made = s.join(a, "parent_id", "left").join(b, "neighbor_id", "left")
+    at = F.zip_with("parent_id_vec", "neighbor_id_vec", lambda p, q: p + F.col("share") * (q - p))
+    near = F.forall(F.zip_with("embedding", at, lambda x, y: F.abs(x - y)), lambda d: d < 1e-9)
+    good = near & (F.col("share") >= 0) & (F.col("share") < 1) & (F.col("parent_id") != F.col("neighbor_id"))
+    return made.groupBy("target", "synthetic").agg(F.count(F.lit(1)).alias("n"), F.count_if(good).alias("on_segment"))
+
+
+def q_collection_upsert(spark, sf):
+    """Vectors added to a keyed collection, then a third of them added again with another label, twice: one row per id, the newest
+    label; counts per label, and the rows that a point lookup of every 50th id finds (S-14, S-15)."""
+    path = f"{ensure_checkpoint_dir(spark)}/keyed-{uuid.uuid4().hex[:12]}"
+    v = fx.vectors(spark, sf).select("id", "embedding", F.col("label").cast("bigint").alias("label"))
+    ST.create_keyed(spark, path, 16)
+    ST.upsert_keyed(v, path)
+    again = v.where("id % 3 = 0").withColumn("label", (F.col("label") + 1) % 10)
+    for _ in range(2):
+        ST.upsert_keyed(again, path)
+    stored = ST.read_keyed(spark, path)
+    found = ST.lookup_keyed(spark, path, [r[0] for r in v.where("id % 50 = 0").select("id").collect()]).select("id", F.lit(1).cast("bigint").alias("hit"))
+    return stored.join(found, "id", "left").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("n_ids"), F.count("hit").alias("n_found"))
+
+
 QUERIES = {
+    "neighbour_graph_top3": q_neighbour_graph_top3,
+    "neighbour_graph_recall": q_neighbour_graph_recall,
+    "smote_segments": q_smote_segments,
+    "collection_upsert": q_collection_upsert,
     "normalized_vectors": q_normalized_vectors,
     "vector_dims": q_vector_dims,
     "vector_top3": q_vector_top3,
@@ -128,6 +185,11 @@ UNION ALL
 SELECT c.target, TRUE, CAST(mx.m - c.n AS BIGINT) FROM c, mx WHERE c.n < mx.m"""
 
 ORACLE = {
+    "neighbour_graph_recall": """WITH q AS (SELECT COUNT(*) AS n FROM embeddings WHERE vec_id % 100 = 0), a AS (SELECT COUNT(*) AS n FROM embeddings)
+SELECT q.n AS n_queries, q.n * LEAST(3, a.n - 1) AS n_exact, TRUE AS recall_reached, TRUE AS under_a_quarter FROM q, a""",
+    "smote_segments": f"SELECT *, CASE WHEN synthetic THEN n ELSE 0 END AS on_segment FROM ({SQL_SMOTE_COUNTS})",
+    "collection_upsert": """SELECT CAST(CASE WHEN vec_id % 3 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label, COUNT(*) AS n,
+  COUNT(DISTINCT vec_id) AS n_ids, COUNT(*) FILTER (WHERE vec_id % 50 = 0) AS n_found FROM embeddings GROUP BY 1""",
     "normalized_vectors": SQL_NORMALIZED,
     "vector_dims": SQL_DIMS,
     "vector_top3": SQL_TOP3,

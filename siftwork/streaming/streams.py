@@ -4,7 +4,7 @@
   (the decision-distribution / progress counters, as a stream).
 * ``answer_ingest_stream``: a stream over an answer-store folder that keeps one
   answer per (paper, question) in a target table -- the resume logic of the
-  answer job as exactly-once micro-batches.
+  answer job as exactly-once micro-batches over a keyed state store.
 
 Both use ``trigger(availableNow=True)``: the stream drains what is there and
 stops, and a later run continues from the checkpoint. Checkpoints and sinks live
@@ -67,25 +67,24 @@ def _await(q, timeout_s: float = 3600.0) -> None:
 
 
 def answer_ingest_stream(spark: SparkSession, source_dir: str, schema, target_dir: str,
-                         ckpt_dir: str, keys=("paper_id", "question_id"), fmt: str = "parquet") -> int:
-    """Append to ``target_dir`` every answer whose key is not there yet. Within a
-    micro-batch duplicates collapse to one row; across batches and reruns the
-    anti-join against the target keeps the table unique, and the checkpoint makes the
-    stream skip files it already processed. ``fmt`` is the source format ('parquet' or
-    'json' for the JSON answer folders). Returns the number of rows in the target."""
+                         ckpt_dir: str, keys=("paper_id", "question_id"), fmt: str = "parquet",
+                         event_time: str | None = None, delay: str = "7 days") -> int:
+    """Append to ``target_dir`` every answer whose key has not been seen. The keys seen live in the
+    stream's state store, so no batch reads the target; the file sink commits each batch once.
+    Null key parts are equal to each other. Of several answers to one key in a micro-batch one stays.
+
+    Without ``event_time`` every key is kept in the state for good. With it, rows that are not newer than the
+    watermark (newest event time of earlier micro-batches less ``delay``) are dropped, and a key
+    leaves the state once the watermark has passed its first row by ``delay``, which bounds the
+    state: a key that comes back later than that is a new answer. ``fmt`` is the source format
+    ('parquet' or 'json' for the JSON answer folders). Returns the number of rows in the target."""
     src = spark.readStream.schema(schema).format(fmt).load(source_dir)
-
-    def sink(batch: DataFrame, batch_id: int):
-        # of several answers to one key the least row stays, whatever the order of arrival
-        rest = [c for c in batch.columns if c not in keys]
-        new = batch.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row")).select(*keys, "_row.*").select(*batch.columns)
-        have = read_if_any(lambda: spark.read.parquet(target_dir))
-        if have is not None:
-            new = new.join(have.select(*keys), list(keys), "left_anti")
-        new.write.mode("append").parquet(target_dir)
-
-    q = (src.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt_dir)
-         .trigger(availableNow=True).start())
+    if event_time is None:
+        new = src.dropDuplicates(list(keys))
+    else:
+        new = src.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
+    q = (new.writeStream.format("parquet").option("path", target_dir).option("checkpointLocation", ckpt_dir)
+         .outputMode("append").trigger(availableNow=True).start())
     _await(q)
-    have = read_if_any(lambda: spark.read.parquet(target_dir))
+    have = read_if_any(lambda: spark.read.schema(new.schema).parquet(target_dir))
     return 0 if have is None else have.count()
