@@ -258,7 +258,7 @@ def _short(keyed: DataFrame, shared) -> DataFrame:
         first = next(iter_ := iter(batches), None)
         if first is None:
             return
-        key, pair = first.column(0).type, per_worker(shared, lambda files: Pair(*files))
+        key, pair = first.column(0).type, per_worker(shared, "alignment", lambda files: Pair(*files))
 
         def chained():
             yield first
@@ -323,7 +323,7 @@ def _fragments(windows: DataFrame, shared) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pair = per_worker(shared, lambda files: Pair(*files))
+            pair = per_worker(shared, "alignment", lambda files: Pair(*files))
             for row in batch.to_pylist():
                 found, out = pair.encode([row["window"]])[0], {"ok": False, "n_a": 0, "n_b": 0, "uid": row["uid"], "k": row["k"]}
                 piece, groups = Fragment(), None
@@ -364,7 +364,7 @@ def _level(pieces: DataFrame, shared, last: bool) -> DataFrame:
                 closed.append(group)
         if last and total.cut is not None:  # the document's start closes the prefix; its end is a common end
             closed.append((total.cut, total.prefix))
-        pair = per_worker(shared, lambda files: Pair(*files)) if closed else None
+        pair = per_worker(shared, "alignment", lambda files: Pair(*files)) if closed else None
         out = [{"group": False, "uid": uid, "k": k} | _open_columns(total) | _closed_columns(None, pair)]
         out += [{"group": True, "uid": uid, "k": k} | _open_columns(Fragment(at)) | _closed_columns(_one_group(ids), pair) for at, ids in closed]
         return pa.Table.from_pylist(out, schema=types)

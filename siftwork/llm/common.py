@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import sys
 import uuid
 from collections.abc import Callable
+from types import ModuleType
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,9 +44,17 @@ def utf8(column: str | Column) -> Column:
     return F.coalesce(col, F.lit("")).cast("binary")
 
 
-def per_worker(shared, make: Callable):
-    """``make(broadcast value)``, made once per Python worker: it is kept with the worker's copy of the
-    broadcast, which outlives a task, and goes with it."""
-    if not hasattr(shared, "made"):
-        shared.made = make(shared.value)
-    return shared.made
+def per_worker(shared, kind: str, make: Callable):
+    """``make(broadcast value)``, made once per Python worker and kept while it is one of the last two made there, whatever
+    query asks for it: the same file is one model, and memory doesn't grow with the number of queries."""
+    kept = sys.modules.setdefault("siftwork_worker_models", ModuleType("siftwork_worker_models")).__dict__.setdefault("models", {})
+    value = shared.value
+    files = value if isinstance(value, tuple) else (value,)
+    key = (kind, *(hashlib.sha256(f).digest() for f in files))
+    model = kept.pop(key, None)
+    while len(kept) > 1:
+        kept.pop(next(iter(kept)))
+    if model is None:
+        model = make(value)
+    kept[key] = model  # the last made or used stands last
+    return model

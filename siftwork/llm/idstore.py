@@ -35,13 +35,15 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftwork.llm.common import per_worker, written
 
-_WORDS_KEPT = 900_000  # about 180 MB a worker
+_WORDS_KEPT = 800_000  # about 150 MB a worker
+_TEXT_BYTES = 4 << 20  # encoded at once
 _GAMMA = 2
 _MAX_LEVELS = 64
 _RECORD = np.dtype([("fingerprint", "<u4"), ("shard", "<u4"), ("at", "<u8"), ("n", "<u8"), ("start", "<u8")])
@@ -81,9 +83,6 @@ def _read(folder: str, name: str, at: int = 0, size: int | None = None) -> bytes
 
 # ---- encoding ---------------------------------------------------------------------------
 
-_MARK = b"\x00"
-
-
 class _Words(dict):
     """Ids (as little-endian bytes) by white-space-separated word, each encoded once while it is
     remembered (a bounded table).
@@ -98,6 +97,8 @@ class _Words(dict):
         ids = [e.ids for e in self._encode(["a b", "a", "b", "\x00"])]
         self.by_word = ids[0] == ids[1] + ids[2]
         self.mark = ids[3]
+        letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ The QUICK Brown Fox"
+        self.folds = self._encode([letters])[0].ids == self._encode([letters.lower()])[0].ids  # A-Z are lower-cased
 
     def _encode(self, texts: list[str]):
         return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -105,12 +106,12 @@ class _Words(dict):
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self._encode(texts)]
 
-    def learn(self, words: set[bytes]) -> None:
-        plain = [w for w in words if _MARK not in w and b"<|" not in w] if len(self.mark) == 1 else []
+    def learn(self, words: list[str]) -> None:
+        plain = [w for w in words if "\x00" not in w and "<|" not in w] if len(self.mark) == 1 else []
         step = np.dtype(self.kind).itemsize
         for k in range(0, len(plain), 2000):
             part = plain[k:k + 2000]
-            ids = np.array(self._encode([(b" " + _MARK + b" ").join(part).decode("utf-8")])[0].ids, self.kind)
+            ids = np.array(self._encode([" \x00 ".join(part)])[0].ids, self.kind)
             ends = [*(step * np.flatnonzero(ids == self.mark[0])).tolist(), step * len(ids)]
             if len(ends) == len(part):
                 raw, at = ids.tobytes(), 0
@@ -120,34 +121,46 @@ class _Words(dict):
         rest = [w for w in words if w not in self]
         for k in range(0, len(rest), 2000):
             part = rest[k:k + 2000]
-            self.update(zip(part, self.whole([w.decode("utf-8") for w in part]), strict=True))
-
-
-def encode_texts(texts: list[str | None], words: _Words, end_id: int) -> list[bytes]:
-    """Each text's ids with the end id, as little-endian bytes."""
-    end, out, group, size = np.array([end_id], words.kind).tobytes(), [], [], 0
+            self.update(zip(part, self.whole(part), strict=True))
+
+    def of(self, words: list[str]) -> list[bytes]:
+        """The ids of different words."""
+        found = list(map(self.get, words))
+        missing = [w for w, got in zip(words, found, strict=True) if got is None]
+        if not missing:
+            return found
+        if len(self) + len(missing) > _WORDS_KEPT:
+            self.clear()
+        self.learn(missing)
+        return [self[w] if got is None else got for w, got in zip(words, found, strict=True)]
+
+
+def encode_texts(texts: list[str | None] | pa.Array, words: _Words, end_id: int) -> list[bytes]:
+    """Each text's ids with the end id, as little-endian bytes. Arrow splits the texts and numbers their different words, so
+    Python looks up each different word of a group of texts once; numpy lays the ids out."""
+    end, out = np.array([end_id], words.kind).tobytes(), []
     if not words.by_word:
-        return [ids + end for ids in words.whole([t or "" for t in texts])]
-
-    def flush():
-        found = [list(map(words.get, split)) for split in group]
-        open_texts = [k for k, got in enumerate(found) if None in got]
-        missing = {w for k in open_texts for w, got in zip(group[k], found[k], strict=True) if got is None}
-        if len(words) + len(missing) > _WORDS_KEPT:
-            words.clear()
-        words.learn(missing)
-        for k in open_texts:
-            found[k] = [words[w] if got is None else got for w, got in zip(group[k], found[k], strict=True)]
-        out.extend(b"".join(got) + end for got in found)
-        group.clear()
-
-    for text in texts:
-        group.append((text or "").encode("utf-8").split())
-        size += len(group[-1])
-        if size >= 100_000:
-            flush()
-            size = 0
-    flush()
+        return [ids + end for ids in words.whole([t or "" for t in (texts.to_pylist() if isinstance(texts, pa.Array) else texts)])]
+    texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+    group = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64) // _TEXT_BYTES
+    width = np.dtype(words.kind).itemsize
+    for a, b in zip([0, *(np.flatnonzero(np.diff(group)) + 1).tolist()], [*(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)], strict=True):
+        part = texts.slice(a, b - a)
+        if words.folds and not pc.any(pc.match_substring(part, "<|")).as_py():  # special tokens' strings are matched as they are
+            part = pc.ascii_lower(part)
+        split = pc.ascii_split_whitespace(part)
+        numbered = split.flatten().dictionary_encode()
+        which, found = numbered.indices.to_numpy(zero_copy_only=False), words.of(numbered.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // width
+        table, n = np.frombuffer(b"".join(found), words.kind), sizes[which]
+        ends = np.cumsum(n)
+        begins = (np.cumsum(sizes) - sizes)[which] - (ends - n)
+        raw = table[np.repeat(begins, n) + np.arange(int(n.sum()))].tobytes()
+        upto = np.append(0, ends)[np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False), dtype=np.int64)] * width
+        at = 0
+        for to in upto.tolist():
+            out.append(raw[at:to] + end)
+            at = to
     return out
 
 
@@ -283,13 +296,13 @@ def write_store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from pyspark import TaskContext
-        shard, words, rows = TaskContext.get().partitionId(), per_worker(shared, lambda file: _Words(file, width)), []
+        shard, words, rows = TaskContext.get().partitionId(), per_worker(shared, f"words-{width}", lambda file: _Words(file, width)), []
 
         def parts():
             at, last, occ = 0, object(), 0
             for batch in batches:
                 names = batch.column(0).to_pylist()
-                for name, ids in zip(names, encode_texts(batch.column(1).to_pylist(), words, end_id), strict=True):
+                for name, ids in zip(names, encode_texts(batch.column(1), words, end_id), strict=True):
                     occ = occ + 1 if name == last else 0
                     last = name
                     rows.append((name, occ, at, len(ids) // width))

@@ -56,7 +56,7 @@ def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     schema = f"doc_id {keyed.schema['doc_id'].dataType.simpleString()}, ids binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, end = per_worker(shared, ByteLevel), np.array([end_id], "<u4").tobytes()
+        known, end = per_worker(shared, "byte-level", ByteLevel), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             lengths = np.array([len(t) for t in batch.column(1).to_pylist()], np.int64)
             part = (np.cumsum(lengths) // (1 << 18)).tolist()
