@@ -97,8 +97,6 @@ class _Words(dict):
         ids = [e.ids for e in self._encode(["a b", "a", "b", "\x00"])]
         self.by_word = ids[0] == ids[1] + ids[2]
         self.mark = ids[3]
-        letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ The QUICK Brown Fox"
-        self.folds = self._encode([letters])[0].ids == self._encode([letters.lower()])[0].ids  # A-Z are lower-cased
 
     def _encode(self, texts: list[str]):
         return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -145,10 +143,7 @@ def encode_texts(texts: list[str | None] | pa.Array, words: _Words, end_id: int)
     group = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64) // _TEXT_BYTES
     width = np.dtype(words.kind).itemsize
     for a, b in zip([0, *(np.flatnonzero(np.diff(group)) + 1).tolist()], [*(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)], strict=True):
-        part = texts.slice(a, b - a)
-        if words.folds and not pc.any(pc.match_substring(part, "<|")).as_py():  # special tokens' strings are matched as they are
-            part = pc.ascii_lower(part)
-        split = pc.ascii_split_whitespace(part)
+        split = pc.ascii_split_whitespace(texts.slice(a, b - a))
         numbered = split.flatten().dictionary_encode()
         which, found = numbered.indices.to_numpy(zero_copy_only=False), words.of(numbered.dictionary.to_pylist())
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // width

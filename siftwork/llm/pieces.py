@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwork.llm.common import per_worker, work_dir, written
+from siftwork.llm.common import work_dir, written
 
 MARK = "▁"
 NONE = -(1 << 60)
@@ -78,7 +78,7 @@ def scored_model(model: bytes) -> bytes:
 
 
 class PieceModel:
-    """Pieces, scores and the search; built once per worker from ``scored_model``'s bytes."""
+    """Pieces, scores and the search; built in each task, which frees it, from ``scored_model``'s bytes."""
 
     def __init__(self, model: bytes):
         import sentencepiece
@@ -306,7 +306,7 @@ def _giants(parts: DataFrame, model, chunk_chars: int, work: str) -> DataFrame:
     """(uid, text) -> (uid, ids, n_chunks) by the scan."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        longest = per_worker(model, "pieces", PieceModel).longest
+        longest = PieceModel(model.value).longest
         for batch in batches:
             for uid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = marked(text)
@@ -322,7 +322,7 @@ def _giants(parts: DataFrame, model, chunk_chars: int, work: str) -> DataFrame:
     dealt = max(2 * spark.sparkContext.defaultParallelism, pieces.count() // 64)
 
     def transfer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = per_worker(model, "pieces", PieceModel)
+        m = PieceModel(model.value)
         for pdf in batches:
             out = [Chunk(m, s, size).transfer().tobytes() for s, size in zip(pdf["s"], pdf["size"], strict=True)]
             yield pd.DataFrame({"uid": pdf["uid"], "k": pdf["k"], "matrix": out})
@@ -339,7 +339,7 @@ def _giants(parts: DataFrame, model, chunk_chars: int, work: str) -> DataFrame:
     ready = pieces.join(entries, ["uid", "k"])
 
     def origins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = per_worker(model, "pieces", PieceModel)
+        m = PieceModel(model.value)
         for pdf in batches:
             out = [Chunk(m, s, size).origins([int(x) for x in entry]) for s, size, entry in zip(pdf["s"], pdf["size"], pdf["entry"], strict=True)]
             yield pd.DataFrame({"uid": pdf["uid"], "k": pdf["k"], "origin": out})
@@ -356,7 +356,7 @@ def _giants(parts: DataFrame, model, chunk_chars: int, work: str) -> DataFrame:
                      .groupBy("uid").applyInPandas(compose, "uid bigint, k bigint, leave bigint"), f"{work}/leaves")
 
     def trace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = per_worker(model, "pieces", PieceModel)
+        m = PieceModel(model.value)
         for pdf in batches:
             ids = [Chunk(m, s, size).ids([int(x) for x in entry], leave) for s, size, entry, leave in zip(pdf["s"], pdf["size"], pdf["entry"], pdf["leave"], strict=True)]
             yield pd.DataFrame({"uid": pdf["uid"], "k": pdf["k"], "ids": ids})
@@ -376,14 +376,14 @@ def encode_documents(docs: DataFrame, text_col: str = "text", carry: dict[str, C
     length = F.coalesce(F.length("text"), F.lit(0))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = per_worker(shared, "pieces", PieceModel)
+        m = PieceModel(shared.value)
         for batch in batches:
             scores, ids = m.encode(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.int64()), _lists(ids), pa.array([1] * len(ids), pa.int64())],
                                              names=["carried", "score", "ids", "n_chunks"])
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = per_worker(shared, "pieces", PieceModel)
+        m = PieceModel(shared.value)
         for batch in batches:
             found = [int(m.score_of[x.values.to_numpy()].sum()) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64()), *batch.columns[2:]], names=batch.schema.names)
@@ -406,7 +406,7 @@ def decode_documents(encoded: DataFrame, ids_col: str = "ids", model: bytes | No
     at = encoded.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = per_worker(shared, "pieces", PieceModel)
+        m = PieceModel(shared.value)
         for batch in batches:
             texts = [m.decode(x.as_py() or []) for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out_col])
