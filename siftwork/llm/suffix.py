@@ -25,7 +25,9 @@ counted first (collisions only cost work), and only suffixes whose count is abov
 5. The reach goes back to the runs, which hold the documents' texts, and becomes spans.
 
 A prefix with more than ``hot`` candidates (a boilerplate line between different neighbours) would
-fill one bucket whatever their number. Its suffixes do not go to the runs but through ``_hot_reach``:
+fill one bucket whatever their number. Its suffixes are read off the texts where these are stored, by a bitmap of the hot
+prints (8 MB at any size; a print that shares a hot one's bit comes along with all its suffixes, which costs work only).
+They do not go to the runs but through ``_hot_reach``:
 the splits are halved, and for the splits lo to hi a suffix is filed under the bytes that all their
 windows hold (``length - hi`` to the right, ``lo`` to the left). Suffixes equal in all bytes that any
 of these windows holds collapse into one. Files of at most ``hot`` are searched as in 4; larger
@@ -49,6 +51,7 @@ from siftwork.llm.common import utf8, work_dir, written
 
 _SLAB = 4 << 20
 _ROWS = 1 << 16
+_SLOTS = 1 << 26
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -368,21 +371,32 @@ def _merge_bucket(blobs: pa.Table, shape: Shape, schema: pa.Schema) -> pa.Table:
 
 # ---- hot prefixes -----------------------------------------------------------------------
 
-def _hot_rows(docs: pa.Table, side: pa.Table, shape: Shape, schema: pa.Schema) -> pa.Table:
-    """The bytes to the right and (reversed) to the left of one run's hot candidates; rows that
-    repeat a document are one row with ``several``."""
-    if not side.num_rows:
-        return schema.empty_table()
-    run = _Run(docs, side)
-    there = run.times > 0
-    first = (np.cumsum(run.times) - run.times)[there]
-    at, start, end = run.at[first], run.starts[run.doc[first]], run.ends[run.doc[first]]
-    right, left = [], []
-    for a, s, e in zip(at.tolist(), start.tolist(), end.tolist(), strict=True):
-        right.append(run.buf[a:min(e, a + shape.length)].tobytes())
-        left.append(run.buf[max(s, a - shape.left):a][::-1].tobytes())
-    return pa.Table.from_pydict({"key": run.cand.f0[there], "pos": run.cand.f1[there], "several": run.times[there] > 1,
-                                 "r": pa.array(right, pa.binary()), "l": pa.array(left, pa.binary())}, schema=schema)
+def _slots(prints: DataFrame, n: int = _SLOTS) -> np.ndarray:
+    """A bitmap of ``n`` bits (8 MB, whatever the table) with the bit of every print set."""
+    slot = F.pmod("print", F.lit(n)) + 1
+    parts = prints.groupBy(F.bitmap_bucket_number(slot).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
+    bits = np.zeros(n, bool)
+    for part, found in parts:
+        size = 8 * len(found)
+        bits[(part - 1) * size:part * size] = np.unpackbits(np.frombuffer(found, np.uint8), bitorder="little")
+    return np.packbits(bits, bitorder="little")
+
+
+def _hot_rows(keys: pa.Array, texts: list[bytes], slots: np.ndarray, shape: Shape) -> Iterator[pa.RecordBatch]:
+    """(key, pos, r, l) of the suffixes whose print is set in ``slots``: the bytes to the right and (reversed) to the left."""
+    buf, starts, ends = _joined(texts)
+    every = _anchors(buf, starts, ends, shape)
+    slot = (_core_prints(buf, every, shape) & np.uint64(8 * len(slots) - 1)).astype(np.int64)
+    every = every[(slots[slot >> 3] >> (slot & 7)) & 1 > 0]
+    for k in range(0, len(every), _ROWS):
+        at = every[k:k + _ROWS]
+        doc = np.searchsorted(ends, at, "right")
+        right, left = [], []
+        for a, s, e in zip(at.tolist(), starts[doc].tolist(), ends[doc].tolist(), strict=True):
+            right.append(buf[a:min(e, a + shape.length)].tobytes())
+            left.append(buf[max(s, a - shape.left):a][::-1].tobytes())
+        yield pa.RecordBatch.from_arrays([keys.take(pa.array(doc)), pa.array((at - starts[doc]).astype(np.int32)), pa.array(right, pa.binary()), pa.array(left, pa.binary())],
+                                         names=["key", "pos", "r", "l"])
 
 
 def _merge_file(rows: pa.Table, shape: Shape, schema: pa.Schema) -> pa.Table:
@@ -506,8 +520,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marks = base.select("key", "text").mapInArrow(anchors, "print bigint, key bigint, pos int")
     # written, so that the join reads two plain exchanges and a hot print's rows can be split
     repeated = written(marks.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1").select("print", (F.col("n") > hot).alias("hot")), f"{work}/repeated")
-    every = written(marks.join(repeated, "print").select("key", "pos", "hot"), f"{work}/candidates")
-    cand = every.filter("not hot")
+    cand = written(marks.join(repeated.filter("not hot").select("print"), "print").select("key", "pos"), f"{work}/candidates")
     n_cand = cand.count()
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # runs of 256 KB to 8 MB; beyond 4096 runs they grow instead, so that runs x buckets stays in proportion
@@ -526,9 +539,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     merged = cut.groupBy("bucket").applyInArrow(lambda b: _merge_bucket(b, shape, reach_schema), "run bigint, blob binary")
     both = side.unionAll(merged.select("run", F.lit(None).cast("bigint"), F.lit(None).cast("int"), "blob")).withColumns({"most": none, "fewest": none})
     if not repeated.filter("hot").isEmpty():
-        hot_schema = pa.schema([("key", pa.int64()), ("pos", pa.int32()), ("several", pa.bool_()), ("r", pa.binary()), ("l", pa.binary())])
-        rows = (texts.groupBy("run").cogroup(every.filter("hot").select(run, "key", "pos").groupBy("run"))
-                .applyInArrow(lambda d, s: _hot_rows(d, s, shape, hot_schema), "key bigint, pos int, several boolean, r binary, l binary"))
+        slots = base.sparkSession.sparkContext.broadcast(_slots(repeated.filter("hot")))
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield from _hot_rows(batch.column(0), batch.column(1).to_pylist(), slots.value, shape)
+
+        rows = base.select("key", "text").mapInArrow(near, "key bigint, pos int, r binary, l binary").withColumn("several", F.lit(False))
         both = both.unionAll(_hot_reach(rows, shape, hot, work).select(run, "key", "pos", F.lit(None).cast("binary"), "most", "fewest"))
     to_arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
