@@ -7,9 +7,9 @@ surely above the limit are boilerplate; those whose estimate lies within ``margi
 errors of the limit get an exact distinct count, so the decision is exact there.
 Boilerplate lines are then removed from every document.
 
-Documents meet the boilerplate through narrow (document key, line hash) rows; each
-document gets the set of its hashes to remove (never more than its own lines) and filters
-its lines by it: the text is shuffled once.
+Documents meet the boilerplate through narrow (document key, line hash, line number) rows; each
+document gets the numbers of its lines to remove (never more than it has) and takes its other
+lines by number, in time proportional to its lines: the text is shuffled once.
 
 Defined results: a line is compared without the white space around it; lines without a
 word are never removed; a null site counts as one site of its own; null and empty texts
@@ -41,9 +41,9 @@ def spread_lines(docs: DataFrame, text_col: str, site_col: str, min_sites: int,
     work = work_dir(docs.sparkSession, "lines")
     text = docs[text_col]
     each = docs.select(_key(docs["doc_id"], text).alias("key"), F.coalesce(docs[site_col].cast("string"), F.lit("")).alias("site"),
-                       docs[site_col].isNull().alias("no_site"), F.explode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("line"))
+                       docs[site_col].isNull().alias("no_site"), F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("at", "line"))
     trimmed = _trimmed(F.col("line"))
-    rows = written(each.filter(trimmed != "").select("key", F.xxhash64(trimmed).alias("h"), F.xxhash64("site", "no_site").alias("site")), f"{work}/lines")
+    rows = written(each.filter(trimmed != "").select("key", "at", F.xxhash64(trimmed).alias("h"), F.xxhash64("site", "no_site").alias("site")), f"{work}/lines")
     estimates = rows.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites"))
     error = margin * 1.04 / sqrt(1 << lg_k)
     low, high = min_sites * (1 - error) - 1, min_sites * (1 + error) + 1
@@ -59,13 +59,13 @@ def drop_boilerplate(docs: DataFrame, text_col: str = "text", site_col: str = "s
     """``docs`` with boilerplate lines removed from the text, and two columns more:
     ``n_lines`` and ``n_removed`` (names already present are replaced)."""
     rows, boilerplate = spread_lines(docs, text_col, site_col, min_sites, lg_k, margin)
-    hits = rows.select("key", "h").join(boilerplate, "h").groupBy("key").agg(F.collect_set("h").alias("drop_hashes"))
+    hits = rows.select("key", "at", "h").join(boilerplate, "h").groupBy("key").agg(F.collect_set("at").alias("drop_lines"))
     keyed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), _key(docs["doc_id"], docs[text_col]).alias("key"), docs[text_col].alias("text"))
     joined = keyed.join(hits, "key", "left")
-    split = F.split(F.col("text"), "\n")
-    left = F.when(F.col("drop_hashes").isNull(), split).otherwise(
-        F.filter(split, lambda line: (_trimmed(line) == "") | ~F.array_contains(F.col("drop_hashes"), F.xxhash64(_trimmed(line)))))
-    cleaned = joined.withColumn("all_lines", split).withColumn("left_lines", left)
+    # each step is a column of its own, used more than once, so that a lambda reads an array made once for the row
+    cleaned = joined.withColumn("all_lines", F.split("text", "\n"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("all_lines") - 1), "drop_lines")  # a set lookup per line
+    cleaned = cleaned.withColumn("left_lines", F.when(F.col("drop_lines").isNull(), F.col("all_lines")).otherwise(F.transform(left, lambda i: F.get("all_lines", i))))
     n_lines = F.coalesce(F.size("all_lines"), F.lit(1)).cast("bigint")
     n_lines = F.when(F.col("text").isNull(), F.lit(1)).otherwise(n_lines).cast("bigint")
     n_removed = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("all_lines") - F.size("left_lines")).cast("bigint")

@@ -53,3 +53,16 @@ def test_empty_table_and_plan(empty, edge, capsys):
     assert drop_boilerplate(empty).collect() == []
     drop_boilerplate(edge).explain()
     assert not any(x in capsys.readouterr().out for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_time_grows_with_the_lines_of_a_document(spark):
+    """Ten documents of boilerplate lines only: four times the lines may not take sixteen times as long."""
+    from time import perf_counter
+    took = {}
+    for n in (200, 8_000, 32_000):
+        docs = documents(spark, [(k, "\n".join(f"line {i}" for i in range(n)) + f"\nown {k}", "en", f"s{k}") for k in range(10)])
+        start = perf_counter()
+        got = drop_boilerplate(docs, min_sites=5).collect()
+        took[n] = perf_counter() - start
+        assert sorted((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got) == [(k, f"own {k}", n + 1, n) for k in range(10)]
+    assert took[32_000] < 8 * max(took[8_000], 1.0)
