@@ -274,23 +274,43 @@ def max_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a[:, :, None] + b[None, :, :]).max(axis=1), NONE)
 
 
-def entry_vectors(matrices: np.ndarray) -> np.ndarray:
-    """Scan of a document's matrices: for each chunk the scores of its entry states. Blocks are
-    multiplied first, then the prefixes of blocks, then each block's own chunks."""
-    n, states = len(matrices), matrices.shape[1]
-    start = np.full((1, states), NONE, np.int64)
-    start[0, 0] = 0
-    carried, out = start, np.empty((n, states), np.int64)
-    for b in range(0, n, _BLOCK):
-        product, vector = None, carried
-        for k in range(b, min(n, b + _BLOCK)):
-            out[k] = vector[0]
-            vector = max_plus(vector, matrices[k])
-            product = matrices[k] if product is None else max_plus(product, matrices[k])
-        carried = max_plus(carried, product)
+def product(matrices: np.ndarray) -> np.ndarray:
+    """The transfer matrix of neighbouring chunks taken together."""
+    out = matrices[0]
+    for m in matrices[1:]:
+        out = max_plus(out, m)
     return out
 
 
+def entry_vectors(matrices: np.ndarray, entry: np.ndarray | None = None) -> np.ndarray:
+    """For each chunk (or block of chunks) the scores of its entry states, from those of the first
+    (default: a text's start)."""
+    states = matrices.shape[1]
+    vector = np.where(np.arange(states) == 0, 0, NONE)[None, :] if entry is None else entry[None, :]
+    out = np.empty((len(matrices), states), np.int64)
+    for k, m in enumerate(matrices):
+        out[k] = vector[0]
+        vector = max_plus(vector, m)
+    return out
+
+
+def joined_origins(origins: np.ndarray) -> np.ndarray:
+    """The entry state of the first of some neighbouring chunks for each exit state of the last (-1: no path)."""
+    out = origins[-1]
+    for origin in origins[-2::-1]:
+        out = np.where(out >= 0, origin[out], -1)
+    return out
+
+
+def exit_states(origins: np.ndarray, leave: int = 0) -> list[int]:
+    """The exit state of each chunk (or block of chunks) on the path that leaves the last one at ``leave``."""
+    out = []
+    for origin in origins[::-1]:
+        out.append(leave)
+        leave = int(origin[leave])
+    return out[::-1]
+
+
 def _padded(scores: list[int], states: int) -> np.ndarray:
     row = np.full(states, NONE, np.int64)
     row[:min(states, len(scores))] = scores[:states]
@@ -327,15 +347,30 @@ def _giants(parts: DataFrame, model, chunk_chars: int, work: str) -> DataFrame:
             out = [Chunk(m, s, size).transfer().tobytes() for s, size in zip(pdf["s"], pdf["size"], strict=True)]
             yield pd.DataFrame({"uid": pdf["uid"], "k": pdf["k"], "matrix": out})
 
-    matrices = pieces.repartition(dealt, "uid", "k").mapInPandas(transfer, "uid bigint, k bigint, matrix binary")
+    block = F.floor(F.col("k") / _BLOCK).alias("block")
+    matrices = written(pieces.repartition(dealt, "uid", "k").mapInPandas(transfer, "uid bigint, k bigint, matrix binary").select("uid", "k", block, "matrix"), f"{work}/matrices")
+
+    def stacked(pdf: pd.DataFrame) -> np.ndarray:
+        states = int((len(pdf["matrix"].iloc[0]) // 8) ** 0.5)
+        return np.stack([np.frombuffer(b, np.int64).reshape(states, states) for b in pdf["matrix"]])
+
+    def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("k")
+        return pd.DataFrame({"uid": pdf["uid"].iloc[:1], "block": pdf["block"].iloc[:1], "matrix": [product(stacked(pdf)).tobytes()]})
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")
+        return pd.DataFrame({"uid": pdf["uid"], "block": pdf["block"], "entry": list(entry_vectors(stacked(pdf)))})
+
+    def apply(pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("k")
-        states = int((len(pdf["matrix"].iloc[0]) // 8) ** 0.5)
-        vectors = entry_vectors(np.stack([np.frombuffer(b, np.int64).reshape(states, states) for b in pdf["matrix"]]))
-        return pd.DataFrame({"uid": pdf["uid"], "k": pdf["k"], "entry": list(vectors)})
+        return pd.DataFrame({"uid": pdf["uid"], "k": pdf["k"], "entry": list(entry_vectors(stacked(pdf), np.asarray(entry["entry"].iloc[0])))})
 
-    entries = written(matrices.groupBy("uid").applyInPandas(scan, "uid bigint, k bigint, entry array<bigint>"), f"{work}/entries")
+    # blocks are multiplied apart, a scan passes over their products (at most some 4,000 for a text of 2 GB), and
+    # each block's own chunks follow from its entry, apart again
+    products = matrices.groupBy("uid", "block").applyInPandas(multiply, "uid bigint, block bigint, matrix binary")
+    block_entries = products.groupBy("uid").applyInPandas(scan, "uid bigint, block bigint, entry array<bigint>")
+    entries = written(matrices.groupBy("uid", "block").cogroup(block_entries.groupBy("uid", "block")).applyInPandas(apply, "uid bigint, k bigint, entry array<bigint>"), f"{work}/entries")
     ready = pieces.join(entries, ["uid", "k"])
 
     def origins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -344,16 +379,24 @@ def _giants(parts: DataFrame, model, chunk_chars: int, work: str) -> DataFrame:
             out = [Chunk(m, s, size).origins([int(x) for x in entry]) for s, size, entry in zip(pdf["s"], pdf["size"], pdf["entry"], strict=True)]
             yield pd.DataFrame({"uid": pdf["uid"], "k": pdf["k"], "origin": out})
 
-    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+    # the maps from exit to entry states compose in the same three steps, from the end
+    came = written(ready.mapInPandas(origins, "uid bigint, k bigint, origin array<bigint>").select("uid", "k", block, "origin"), f"{work}/origins")
+
+    def join_block(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("k")
-        leave, out = [], 0  # the document's last piece ends with it
-        for origin in reversed(pdf["origin"].tolist()):
-            leave.append(out)
-            out = int(origin[out])
-        return pd.DataFrame({"uid": pdf["uid"], "k": pdf["k"], "leave": leave[::-1]})
-
-    leaves = written(ready.mapInPandas(origins, "uid bigint, k bigint, origin array<bigint>")
-                     .groupBy("uid").applyInPandas(compose, "uid bigint, k bigint, leave bigint"), f"{work}/leaves")
+        return pd.DataFrame({"uid": pdf["uid"].iloc[:1], "block": pdf["block"].iloc[:1], "origin": [joined_origins(np.stack(pdf["origin"]))]})
+
+    def leave_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")
+        return pd.DataFrame({"uid": pdf["uid"], "block": pdf["block"], "leave": exit_states(np.stack(pdf["origin"]))})  # the last piece ends with the text
+
+    def leave_chunks(pdf: pd.DataFrame, leave: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("k")
+        return pd.DataFrame({"uid": pdf["uid"], "k": pdf["k"], "leave": exit_states(np.stack(pdf["origin"]), int(leave["leave"].iloc[0]))})
+
+    block_leaves = (came.groupBy("uid", "block").applyInPandas(join_block, "uid bigint, block bigint, origin array<bigint>")
+                    .groupBy("uid").applyInPandas(leave_blocks, "uid bigint, block bigint, leave bigint"))
+    leaves = written(came.groupBy("uid", "block").cogroup(block_leaves.groupBy("uid", "block")).applyInPandas(leave_chunks, "uid bigint, k bigint, leave bigint"), f"{work}/leaves")
 
     def trace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = PieceModel(model.value)

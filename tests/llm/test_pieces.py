@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siftwork.llm.pieces import MARK, NONE, PieceModel, decode_documents, default_model, encode_documents, entry_vectors, marked, max_plus, scored_model
+from siftwork.llm.pieces import (
+    MARK, NONE, PieceModel, decode_documents, default_model, encode_documents, entry_vectors, exit_states, joined_origins, marked, max_plus, product, scored_model)
 from tests.llm.conftest import BASE, LONG, documents
 
 
@@ -81,11 +82,23 @@ def test_max_plus_product_is_associative():
 def test_scan_in_blocks_equals_the_scan_in_order(n):
     r = np.random.default_rng(n)
     m = np.where(r.random((n, 4, 4)) < 0.2, NONE, r.integers(-1000, 0, (n, 4, 4)))
-    vector, want = np.array([[0, NONE, NONE, NONE]]), []
-    for k in range(n):
-        want.append(vector[0])
-        vector = max_plus(vector, m[k])
-    assert (entry_vectors(m) == np.stack(want)).all()
+    blocks = [m[k:k + 64] for k in range(0, n, 64)]
+    starts = entry_vectors(np.stack([product(b) for b in blocks]))
+    assert (np.concatenate([entry_vectors(b, s) for b, s in zip(blocks, starts, strict=True)]) == entry_vectors(m)).all()
+    came = r.integers(0, 4, (n, 4))
+    came[:, 3] = -1
+    came[came == 3] = 0  # state 3 has no path, and no path comes from it
+    blocks = [came[k:k + 64] for k in range(0, n, 64)]
+    leaves = exit_states(np.stack([joined_origins(b) for b in blocks]))
+    assert [x for b, leave in zip(blocks, leaves, strict=True) for x in exit_states(b, leave)] == exit_states(came)
+
+
+def test_a_documents_chunks_are_combined_in_several_blocks(spark, model, monkeypatch):
+    """Three chunks a block: a long text has many blocks, which meet as products only."""
+    monkeypatch.setattr("siftwork.llm.pieces._BLOCK", 3)
+    text = LONG[:3000]
+    got = encode_documents(documents(spark, [(1, text, "en", "a"), (2, text[:150], "en", "a")]), giant_chars=100, chunk_chars=40).collect()
+    assert sorted((r.doc_id, r.score, list(r.ids)) for r in got) == [(1, *whole(model, text)), (2, *whole(model, text[:150]))]
 
 
 @pytest.mark.parametrize("chunk", [16, 17, 40, 1000])
