@@ -10,6 +10,7 @@ from siftwork.functions.text import after_first_line, first_line
 from siftwork.operators import llm as L
 from siftwork.operators import store as ST
 from siftwork.operators import vectors as V
+from siftwork.operators.contain import containing, nearest_not_containing
 from siftwork.operators.graph import neighbour_graph
 from siftwork.plans.common import finish
 from siftwork.sources import fixtures as fx
@@ -128,7 +129,24 @@ def q_collection_upsert(spark, sf):
     return stored.join(found, "id", "left").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("n_ids"), F.count("hit").alias("n_found"))
 
 
+def q_title_containment(spark, sf):
+    """For every document with a title, how many documents contain that title anywhere in their text, and the least of them (P-13)."""
+    d = read_table(spark, sf, "documents").select("doc_id", "text", first_line("text").alias("title"))
+    found = containing(d, d, "doc_id", "title", "doc_id", "text")
+    sizes = found.doc_classes.groupBy("doc_class").agg(F.count(F.lit(1)).alias("n"))
+    by_class = found.pairs.join(sizes, "doc_class").groupBy("query_class").agg(F.sum("n").alias("n_containing"), F.min("doc_class").alias("first_id"))
+    return found.query_classes.join(by_class, "query_class").select(F.col("query_id").alias("id"), "n_containing", "first_id")
+
+
+def q_few_shot_outside(spark, sf):
+    """Per vector, the three nearest others whose text does not contain the vector's own title (P-13, J-10)."""
+    c = _corpus(spark, sf).select("id", "embedding", "title", F.concat_ws("\n", "title", "abstract").alias("text"))
+    return finish(nearest_not_containing(c, c, 3, "text", query_col="title"))
+
+
 QUERIES = {
+    "title_containment": q_title_containment,
+    "few_shot_outside": q_few_shot_outside,
     "neighbour_graph_top3": q_neighbour_graph_top3,
     "neighbour_graph_recall": q_neighbour_graph_recall,
     "smote_segments": q_smote_segments,
@@ -184,7 +202,23 @@ SELECT target, FALSE AS synthetic, CAST(n AS BIGINT) AS n FROM c
 UNION ALL
 SELECT c.target, TRUE, CAST(mx.m - c.n AS BIGINT) FROM c, mx WHERE c.n < mx.m"""
 
+SQL_CONTAINMENT = """
+WITH d AS (SELECT doc_id AS id, text, split_part(text, chr(10), 1) AS title FROM documents)
+SELECT a.id, CAST(COUNT(*) AS BIGINT) AS n_containing, MIN(b.id) AS first_id
+FROM d a JOIN d b ON contains(b.text, a.title) WHERE a.title <> '' GROUP BY a.id"""
+
+SQL_FEW_SHOT_OUTSIDE = f"""WITH v AS (SELECT e.vec_id AS id, {_VD} AS e, split_part(doc.text, chr(10), 1) AS title,
+    split_part(doc.text, chr(10), 1) || chr(10) || CASE WHEN instr(doc.text, chr(10)) > 0 THEN substr(doc.text, instr(doc.text, chr(10)) + 1) ELSE '' END AS text
+  FROM embeddings e JOIN documents doc ON e.vec_id = doc.doc_id),
+d AS (SELECT a.id AS query_id, b.id AS neighbor_id,
+        1 - list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) AS distance
+      FROM v a JOIN v b ON a.id <> b.id AND (a.title = '' OR NOT contains(b.text, a.title)))
+SELECT query_id, CAST(rank AS BIGINT) AS rank, neighbor_id, ROUND(distance, 6) AS distance FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM d) WHERE rank <= 3"""
+
 ORACLE = {
+    "title_containment": SQL_CONTAINMENT,
+    "few_shot_outside": SQL_FEW_SHOT_OUTSIDE,
     "neighbour_graph_recall": """WITH q AS (SELECT COUNT(*) AS n FROM embeddings WHERE vec_id % 100 = 0), a AS (SELECT COUNT(*) AS n FROM embeddings)
 SELECT q.n AS n_queries, q.n * LEAST(3, a.n - 1) AS n_exact, TRUE AS recall_reached, TRUE AS under_a_quarter FROM q, a""",
     "smote_segments": f"SELECT *, CASE WHEN synthetic THEN n ELSE 0 END AS on_segment FROM ({SQL_SMOTE_COUNTS})",
