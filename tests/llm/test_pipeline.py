@@ -60,7 +60,6 @@ def test_run_matches_brute_force(spark, folder):
     path, rows = folder
     got = corpus_pipeline.run(spark, path)
     assert {r.doc_id: list(r.ids) for r in got.collect()} == brute(rows)
-    assert got.filter("not round_trip or round_trip is null").isEmpty()
 
 
 def test_stages_return_the_columns_of_documents(spark, folder):
