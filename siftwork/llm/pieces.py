@@ -35,6 +35,7 @@ one; null ids stay null; carried columns keep their names.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from math import log2
 
@@ -48,6 +49,8 @@ from pyspark.sql import types as T
 from siftwork.llm.common import work_dir, written
 
 MARK = "▁"
+_MARK_BYTES = MARK.encode("utf-8")
+_DECODED_AT_ONCE = 65_536
 NONE = -(1 << 60)
 _UNITS_KEPT = 250_000  # about 60 MB a worker
 _UNIT_CHARS = 64  # longer units are searched here: the library adds scores in single precision
@@ -207,6 +210,15 @@ class PieceModel:
         """The text of a whole document's ids."""
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")[1:]
 
+    def decoded_crc32(self, ids: np.ndarray) -> int:
+        """CRC-32 of the decoded text's UTF-8 bytes, from slices of the ids: no text as long as the document's is built.
+        For ids that spell valid UTF-8, as all encodings do."""
+        crc, first = 0, True
+        for at in range(0, len(ids), _DECODED_AT_ONCE):
+            part = b"".join(map(self.bytes_of.__getitem__, ids[at:at + _DECODED_AT_ONCE].tolist())).replace(_MARK_BYTES, b" ")
+            crc, first = zlib.crc32(part[1:] if first else part, crc), False
+        return crc
+
 
 class Chunk:
     """One chunk of a giant text: ``size`` characters of ``s``, the rest is what pieces may reach into."""
@@ -410,8 +422,10 @@ def _giants(parts: DataFrame, model, chunk_chars: int, work: str) -> DataFrame:
 
 
 def encode_documents(docs: DataFrame, text_col: str = "text", carry: dict[str, Column] | None = None, model: bytes | None = None,
-                     giant_chars: int = 65_536, chunk_chars: int = 8_192) -> DataFrame:
-    """The carried columns, ``score`` (in 1/1024), ``ids array<int>`` and ``n_chunks``, one row per input row."""
+                     giant_chars: int = 65_536, chunk_chars: int = 8_192, decode: bool = False) -> DataFrame:
+    """The carried columns, ``score`` (in 1/1024), ``ids array<int>`` and ``n_chunks``, one row per input row. With
+    ``decode`` also ``decoded_crc32``, the CRC-32 of the text that the finished ids decode to: the task that has the ids
+    decodes them, so checking a round trip needs no second pass over them and no second worker."""
     carry = carry if carry is not None else {"doc_id": docs["doc_id"]}
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(scored_model(model or default_model()))  # one model file: a fixed size
@@ -422,17 +436,23 @@ def encode_documents(docs: DataFrame, text_col: str = "text", carry: dict[str, C
         m = PieceModel(shared.value)
         for batch in batches:
             scores, ids = m.encode(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.int64()), _lists(ids), pa.array([1] * len(ids), pa.int64())],
-                                             names=["carried", "score", "ids", "n_chunks"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.int64()), _lists(ids), pa.array([1] * len(ids), pa.int64()), *decoded(m, ids)],
+                                             names=names)
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = PieceModel(shared.value)
         for batch in batches:
-            found = [int(m.score_of[x.values.to_numpy()].sum()) for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64()), *batch.columns[2:]], names=batch.schema.names)
+            ids = [x.values.to_numpy() for x in batch.column(2)]
+            found = [int(m.score_of[x].sum()) for x in ids]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64()), *batch.columns[2:], *decoded(m, ids)], names=names)
+
+    def decoded(m: PieceModel, ids: list[np.ndarray]) -> list[pa.Array]:
+        return [pa.array([m.decoded_crc32(x) for x in ids], pa.int64())] if decode else []
 
+    made = ["score", "ids", "n_chunks"] + ["decoded_crc32"] * decode
+    names = ["carried", *made]
     schema = T.StructType([base.schema["carried"], T.StructField("score", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())),
-                           T.StructField("n_chunks", T.LongType())])
+                           T.StructField("n_chunks", T.LongType()), *[T.StructField("decoded_crc32", T.LongType())] * decode])
     encoded = base.filter(length <= giant_chars).mapInArrow(whole, schema)
     work = work_dir(spark, "pieces")
     giants = written(base.filter(length > giant_chars).withColumn("uid", F.monotonically_increasing_id()), f"{work}/giants")
@@ -440,7 +460,7 @@ def encode_documents(docs: DataFrame, text_col: str = "text", carry: dict[str, C
         done = written(_giants(giants.select("uid", "text"), shared, chunk_chars, work), f"{work}/encoded")
         joined = giants.select("uid", "carried").join(done, "uid").select("carried", F.lit(0).cast("bigint").alias("score"), "ids", "n_chunks")
         encoded = encoded.unionAll(joined.mapInArrow(scores, schema))
-    return encoded.select(*(F.col(f"carried.`{n}`").alias(n) for n in carry), "score", "ids", "n_chunks")
+    return encoded.select(*(F.col(f"carried.`{n}`").alias(n) for n in carry), *made)
 
 
 def decode_documents(encoded: DataFrame, ids_col: str = "ids", model: bytes | None = None, out_col: str = "decoded") -> DataFrame:

@@ -1,6 +1,7 @@
 """SentencePiece search against a whole-text search, the library's unigram search, and round trips."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -120,3 +121,15 @@ def test_tables(edge, empty, model):
     assert {r.score2 for r in got} == {"clash"}
     assert encode_documents(empty).collect() == []
     assert encode_documents(edge, giant_chars=2000).filter(F.col("n_chunks") > 1).count() == 3
+
+
+def test_digests_of_decoded_texts(spark, model, monkeypatch):
+    """Every row's digest is that of its text, whether it was encoded whole or in chunks, in one slice of ids or many."""
+    monkeypatch.setattr("siftwork.llm.pieces._DECODED_AT_ONCE", 7)
+    texts = [None, "", " ", "  two  spaces ", LONG[:3000], "\u2581mark \u2581", "漢字\n\t🙂 é\u0000", "x" * 700]
+    got = encode_documents(documents(spark, [(k, t, "en", "a") for k, t in enumerate(texts)]), giant_chars=100, chunk_chars=40, decode=True)
+    assert got.columns == ["doc_id", "score", "ids", "n_chunks", "decoded_crc32"]
+    want = {k: zlib.crc32((t or "").replace("\u2581", " ").encode()) for k, t in enumerate(texts)}
+    assert {r.doc_id: r.decoded_crc32 for r in got.collect()} == want
+    ids = np.array(model.encode(["some words here"])[1][0])
+    assert model.decoded_crc32(ids[:-1]) != model.decoded_crc32(ids) == zlib.crc32(b"some words here")
