@@ -1,4 +1,4 @@
-"""Corpus pipeline: quality rules, exact dedup, SimHash near-dedup, mixing, SentencePiece encoding.
+"""Corpus pipeline: quality rules, exact dedup, SimHash near-dedup, mixing, SentencePiece encoding and decoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet in the shared folder and read back as the next stage's ``docs``.
@@ -38,9 +38,12 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, the ids of the text, their number and the segmentation's score."""
-    encoded = encode_documents(docs, carry={c: docs[c] for c in ("doc_id", "lang", "source")})
-    return encoded.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "score", "ids")
+    """doc_id, lang, source, the ids of the text, their number, the segmentation's score, and whether decoding the ids
+    gives the text back (null: empty; the space mark U+2581 as a space), by CRC-32 of the UTF-8 bytes."""
+    text = F.replace(F.coalesce(docs["text"], F.lit("")), F.lit("\u2581"), F.lit(" "))
+    encoded = encode_documents(docs, carry={**{c: docs[c] for c in ("doc_id", "lang", "source")}, "text_crc32": F.crc32(text.cast("binary"))}, decode=True)
+    return encoded.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "score", "ids",
+                          (F.col("decoded_crc32") == F.col("text_crc32")).alias("round_trip"))
 
 
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("mix", mix), ("encode", encode)]
