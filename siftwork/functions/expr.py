@@ -50,3 +50,9 @@ def round_out(c, digits: int = 6) -> Column:
     r = F.rint(v)
     away = F.when(F.abs(v - r) == F.lit(0.5), v + F.lit(0.5) * F.signum(v)).otherwise(r)
     return away / F.lit(p)
+
+
+def bound(value, body) -> Column:
+    """``body(value)`` with the value computed once per row: an expression that a lambda names is
+    otherwise computed again for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)

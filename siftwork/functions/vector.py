@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from siftwork.functions.expr import col_
+from siftwork.functions.expr import bound, col_
 
 
 def _d(v) -> Column:
@@ -18,8 +18,9 @@ def l2_norm(v) -> Column:
 
 def l2_normalize(v) -> Column:
     """Unit length; a zero vector is returned unchanged."""
-    n = l2_norm(v)
-    return F.transform(_d(v), lambda x: x / F.when(n == 0, F.lit(1.0)).otherwise(n))
+    def by_norm(d):
+        return bound(l2_norm(d), lambda n: F.transform(d, lambda x: x / F.when(n == 0, F.lit(1.0)).otherwise(n)))
+    return bound(_d(v), by_norm)
 
 
 def dot(a, b) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwork.functions.text import encode_answer
+from siftwork.session import cut_lineage
 from siftwork.sources.dimensions import question_ids
 
 UNSURE_RATE_MAX = 15.0  # fixed value: maximum UNSURE percentage allowed per question
@@ -94,20 +95,21 @@ def pattern_key(feature_cols) -> F.Column:
     return F.sha2(F.to_json(F.array(*[F.col(c).cast("string") for c in feature_cols])), 256)
 
 
-def pattern_stats(df: DataFrame, feature_cols, label: str = "label") -> DataFrame:
-    """Per distinct feature pattern: rows, positives, min/max label (partial aggregates, so
+def pattern_stats(df: DataFrame, key: F.Column, label: str = "label") -> DataFrame:
+    """Per distinct pattern key: rows, positives, min/max label (partial aggregates, so
     a pattern shared by a third of all papers is combined map-side)."""
     y = F.col(label).cast("int")
-    return df.groupBy(pattern_key(feature_cols).alias("_pk")).agg(
+    return df.groupBy(key.alias("_pk")).agg(
         F.count(F.lit(1)).alias("_n"), F.sum(y).alias("_pos"), F.min(y).alias("_miny"), F.max(y).alias("_maxy"))
 
 
 def _with_pattern(df: DataFrame, feature_cols, label: str) -> DataFrame:
-    """Rows joined with their pattern statistics. The statistics side has one row per
-    pattern; a hot pattern makes one join partition large on the row side only, which
+    """Rows joined with their pattern statistics. The rows (usually a pivot) and their keys
+    are computed once and cut: both sides of the join read them. The statistics side has one
+    row per pattern; a hot pattern makes one join partition large on the row side only, which
     AQE's skew-join handling splits (the one-row stats side is just replicated)."""
-    st = pattern_stats(df, feature_cols, label)
-    return df.withColumn("_pk", pattern_key(feature_cols)).join(st, on="_pk", how="inner")
+    rows = cut_lineage(df.withColumn("_pk", pattern_key(feature_cols)))
+    return rows.join(pattern_stats(rows, F.col("_pk"), label), on="_pk", how="inner")
 
 
 def conflicts(df: DataFrame, feature_cols, label: str = "label") -> DataFrame:
@@ -118,7 +120,7 @@ def conflicts(df: DataFrame, feature_cols, label: str = "label") -> DataFrame:
 
 def conflict_summary(df: DataFrame, feature_cols, label: str = "label") -> DataFrame:
     """Totals: rows, conflicting rows, distinct conflicting patterns, positives."""
-    st = pattern_stats(df, feature_cols, label)
+    st = pattern_stats(df, pattern_key(feature_cols), label)
     conf = F.col("_miny") != F.col("_maxy")
     return st.agg(F.sum("_n").alias("n_rows"),
                   F.sum(F.when(conf, F.col("_n")).otherwise(0)).alias("n_conflicting_rows"),

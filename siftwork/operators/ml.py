@@ -21,6 +21,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwork.functions.expr import bound
 from siftwork.functions.vector import l2_normalize
 from siftwork.operators.split import stratified_folds
 from siftwork.session import read_if_any
@@ -257,13 +258,15 @@ def hashing_encoder(num_features: int = 64):
     def encode(df: DataFrame, text_col: str = "text", key_col: str = "text_sha1") -> DataFrame:
         tokens = F.filter(F.split(F.col(text_col), "[^A-Za-z0-9]+"), lambda t: t != "")
         bucket = F.transform(tokens, lambda t: F.conv(F.substring(F.md5(F.lower(t)), 1, 8), 16, 10).cast("long") % num_features)
-        # bucket -1 keeps a row for every text
-        counts = df.select(key_col, F.explode(F.concat(F.array(F.lit(-1).cast("long")), F.coalesce(bucket, F.array().cast("array<bigint>")))).alias("b")) \
-            .groupBy(key_col, "b").agg(F.count(F.lit(1)).cast("double").alias("n"))
-        by_bucket = counts.groupBy(key_col).agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"))
-        raw = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(num_features - 1).cast("long")),
-                          lambda d: F.coalesce(F.element_at(F.col("m"), d), F.lit(0.0)))
-        return by_bucket.select(key_col, l2_normalize(raw).alias("embedding"))
+        # counted in the row: one mark per bucket sorted in among the tokens' buckets, so a count is the gap between marks
+        marks = F.sequence(F.lit(0).cast("long"), F.lit(num_features).cast("long"))
+        ordered = F.sort_array(F.concat(F.coalesce(bucket, F.array().cast("array<bigint>")), marks))
+
+        def gaps(at):
+            return F.zip_with(F.slice(at, 2, num_features), F.slice(at, 1, num_features), lambda after, mark: (after - mark - 1).cast("double"))
+
+        counts = bound(bound(ordered, lambda b: F.transform(marks, lambda d: F.array_position(b, d))), gaps)
+        return df.select(key_col, l2_normalize(counts).alias("embedding"))
     return encode
 
 
@@ -326,6 +329,24 @@ def benchmark_classifiers(vectors: DataFrame, classifiers: dict, k: int = 5, lab
     return out
 
 
+def refit_on_kept(wide: DataFrame, features: list[str], kept: list[str], make, label: str = "label", id_col: str = "id", test: float = 0.2,
+                  seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """One classifier fitted on all ``features`` and again on the ``kept`` ones, over the same rows of one stratified hold-out:
+    (scored test rows of both, tagged ``feature_set`` = all / kept, and the importance table of both: tree models)."""
+    from siftwork.operators.split import holdout_split
+    from siftwork.session import cut_lineage
+    if not kept or set(kept) - set(features):
+        raise ValueError("kept must be some of the features")
+    rows = cut_lineage(holdout_split(wide.select(id_col, label, *features), test, 0.0, label, id_col, seed))
+    scored, importance = [], []
+    for name, columns in (("all", features), ("kept", kept)):
+        x = with_features(rows.withColumn("embedding", F.array(*columns)))
+        model, pred = fit_score(x.where("split = 'train'"), x.where("split = 'test'"), make, label)
+        scored.append(pred.select(F.lit(name).alias("feature_set"), id_col, label, "score"))
+        importance.append(importance_table(wide.sparkSession, model, columns).withColumn("feature_set", F.lit(name)))
+    return scored[0].unionByName(scored[1]), importance[0].unionByName(importance[1])
+
+
 def evaluated(df: DataFrame, classifier: str, make, store_path: str, params: dict | None = None, k: int = 5, label: str = "label",
               id_col: str = "id", vec: str = "embedding", embedding_model: str = "given", seed: int = 42,
               target_recall: float | None = None) -> DataFrame:

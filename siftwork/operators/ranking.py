@@ -195,8 +195,9 @@ def summarise_folds(folds: DataFrame, group_cols=None, fixed_recall: bool = Fals
     g = _g(group_cols)
     aggs = [F.avg(nan_to_null(m)).alias(f"{m}_mean") for m in FOLD_METRICS]
     if fixed_recall:
-        aggs += [F.first("target_recall").alias("target_recall"),
-                 F.avg(nan_to_null("actual_recall")).alias("actual_recall_mean"),
+        if "target_recall" not in g:
+            aggs.append(F.first("target_recall").alias("target_recall"))
+        aggs += [F.avg(nan_to_null("actual_recall")).alias("actual_recall_mean"),
                  F.avg(nan_to_null("threshold")).alias("threshold_mean"),
                  F.avg(F.col("recall_achievable").cast("double")).alias("recall_achievable_ratio")]
     return folds.groupBy(*g).agg(*aggs)
@@ -209,12 +210,7 @@ def recall_tradeoff(scored: DataFrame, group_cols=None, fold_col: str = "fold",
     fold in one pass, then averaged over folds per (group, target)."""
     g = _g(group_cols)
     folds = evaluate_fixed_recall(scored, g + [fold_col], label=label, score=score, targets=targets)
-    s = summarise_folds(folds, g + ["target_recall"], fixed_recall=False)
-    extra = folds.groupBy(*g, "target_recall").agg(
-        F.avg(nan_to_null("actual_recall")).alias("actual_recall_mean"),
-        F.avg(nan_to_null("threshold")).alias("threshold_mean"),
-        F.avg(F.col("recall_achievable").cast("double")).alias("recall_achievable_ratio"))
-    return s.join(extra, on=g + ["target_recall"], how="inner")
+    return summarise_folds(folds, [*g, "target_recall"], fixed_recall=True)
 
 
 def confusion_at(scored: DataFrame, threshold, group_cols=None, label: str = "label",

@@ -11,11 +11,13 @@ executes with a per-partition group limit before the shuffle.
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwork.operators.prefix import hex_block, running_totals
+from siftwork.session import cut_lineage
 
 
 def hash_key(id_col: str = "id", seed: int = 42) -> F.Column:
@@ -79,8 +81,57 @@ def balanced_sample(df: DataFrame, n: int, include_share: float, label: str = "l
     positive and a negative exists, the last sampled row is swapped for one negative.
     Output carries ``sample_order`` (its position in the sample's own hash order).
 
-    Everything is a cut on blocked ranks, so n may be any share of the table."""
+    The rows are never ranked: the hashes at the two cuts (of the positives, and of the rest)
+    are selected from counts per hash prefix, and a row's place follows from its own hash. Only
+    where rows of one id lie on both sides of a cut are they told apart by blocked ranks."""
     requested = int(math.ceil(n * float(include_share))) if include_share != -1 else 0
+    cols = df.columns
+    h, yes = F.coalesce(hash_key(id_col, seed), F.lit("")), F.coalesce(F.col(label), F.lit(False))
+    swap = F.struct(hash_key(id_col, seed + 1).alias("h"), F.col(id_col).alias("id"))
+    keys = cut_lineage(df.select(h.alias("_h"), yes.alias("_yes"), F.col(label).cast("int").alias("_y"), F.col(id_col).alias("_id"), swap.alias("_swap")))
+    cut = _first_hashes(keys.where("_yes"), requested)
+    picked = F.col("_yes") & (F.col("_h") <= cut.hash)
+    fill = _first_hashes(keys.where(~picked), n - min(cut.found, n))
+    in_sample = picked | (F.col("_h") <= fill.hash)
+    if cut.split or fill.split or cut.found > n:
+        return _sampled_by_rank(df, n, requested, label, id_col, seed)
+    summary = keys.agg(F.min(F.when(in_sample, F.col("_y"))).alias("all_positive"), F.max(F.when(in_sample, F.struct(F.col("_h").alias("h"), F.col("_id").alias("id")))).alias("last"),
+                       F.min(F.when(F.col("_y") == 0, F.col("_swap"))).alias("first_negative")).first()
+    taken = df.where((yes & (h <= cut.hash)) | (h <= fill.hash))
+    return _in_sample_order(df, taken, summary, label, id_col, seed)
+
+
+class _Cut(NamedTuple):
+    """The first rows in hash order: those up to ``hash`` (null: none). ``split``: rows with that very hash lie on both sides."""
+    hash: str | None
+    found: int
+    split: bool
+
+
+_FEW = 4096
+
+
+def _first_hashes(keys: DataFrame, k: int) -> _Cut:
+    """Where the ``k`` least ``_h`` of ``keys`` end (all of them, if fewer). Each pass counts rows per prefix, three hex digits
+    longer, within the prefix that holds the cut: at most 4,097 counts; then the hashes of a prefix with few rows."""
+    if k <= 0:
+        return _Cut(None, 0, False)
+    prefix, left, exact = "", k, False
+    while True:
+        part = F.col("_h") if exact else F.substring("_h", 1, len(prefix) + 3)
+        counts = sorted(keys.where(F.col("_h").startswith(prefix)).groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+        if left > sum(r.n for r in counts):  # the first pass only: fewer than k rows
+            return _Cut("g", sum(r.n for r in counts), False)  # above every hex digest
+        for p, rows in counts:
+            if left <= rows:
+                break
+            left -= rows
+        if exact or len(p) != len(prefix) + 3:
+            return _Cut(p, k, left < rows)
+        prefix, exact = p, rows <= _FEW
+
+
+def _sampled_by_rank(df: DataFrame, n: int, requested: int, label: str, id_col: str, seed: int) -> DataFrame:
     cols = df.columns
     ranked = class_rank(df, label, id_col, seed)
     picked = F.coalesce(F.col(label), F.lit(False)) & (F.col("_rank") < requested)
@@ -88,10 +139,15 @@ def balanced_sample(df: DataFrame, n: int, include_share: float, label: str = "l
     rest = hash_rank(rows.where(~F.col("_picked")), id_col, seed, "_pool")
     taken = rows.where("_picked").withColumn("_pool", F.lit(-1).cast("long")).unionByName(rest)
     n_picked = rows.agg(F.count_if("_picked")).scalar()
-    taken = taken.where(F.col("_pool") < F.greatest(F.lit(0), F.lit(n) - n_picked)).select(*cols)
-    # a sample of positives only gives its last row up for the first negative of another order
-    summary = taken.agg(F.min(F.col(label).cast("int")).alias("all_positive"), F.max(F.struct(hash_key(id_col, seed).alias("h"), F.col(id_col).alias("id"))).alias("last")).first()
-    first_negative = df.where(~F.col(label)).agg(F.min(F.struct(hash_key(id_col, seed + 1).alias("h"), F.col(id_col).alias("id"))).alias("m")).first().m
+    taken = cut_lineage(taken.where(F.col("_pool") < F.greatest(F.lit(0), F.lit(n) - n_picked)).select(*cols))
+    summary = taken.agg(F.min(F.col(label).cast("int")).alias("all_positive"), F.max(F.struct(hash_key(id_col, seed).alias("h"), F.col(id_col).alias("id"))).alias("last"),
+                        df.where(~F.col(label)).agg(F.min(F.struct(hash_key(id_col, seed + 1).alias("h"), F.col(id_col).alias("id")))).scalar().alias("first_negative")).first()
+    return _in_sample_order(df, taken, summary, label, id_col, seed)
+
+
+def _in_sample_order(df: DataFrame, taken: DataFrame, summary, label: str, id_col: str, seed: int) -> DataFrame:
+    """The sample with ``sample_order``; one of positives only gives its last row up for the first negative of another order."""
+    cols, first_negative = df.columns, summary.first_negative
     if summary.all_positive == 1 and first_negative is not None:
         negative = df.where((F.col(id_col) == F.lit(first_negative.id)) & ~F.col(label))
         order = F.when(F.col(id_col) == F.lit(first_negative.id), F.lit(summary.last.h)).otherwise(hash_key(id_col, seed))

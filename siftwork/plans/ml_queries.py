@@ -100,7 +100,25 @@ def q_ml_model_search(spark, sf):
     return finish(named(whole, "grid").unionAll(named(drawn, "randomised")))
 
 
+def _kept_features(spark, sf):
+    from siftwork.plans.answer_queries import _stats
+    ensure_checkpoint_dir(spark)
+    kept = {r.question_id for r in _stats(spark, sf).where("not removed").select("question_id").collect()}  # at most 29
+    wide = _encoded(spark, sf).withColumnRenamed("paper_id", "id")
+    return M.refit_on_kept(wide, list(QIDS), [q for q in QIDS if q in kept], M.random_forest(num_trees=100))
+
+
+def q_ml_kept_features(spark, sf):
+    """Random forest on all questions and on those that the feature filter keeps, default threshold on the same hold-out, with
+    the number of questions and the shares of the five and ten most important ones (L-14, A-19)."""
+    scored, importance = _kept_features(spark, sf)
+    shares = importance.groupBy("feature_set").agg(
+        F.count(F.lit(1)).alias("n_features"), *(F.max(F.when(F.col("rank") <= k, F.col("cumulative_share"))).alias(f"share_top{k}") for k in (5, 10)))
+    return finish(R.evaluate_default(scored, ["feature_set"]).join(shares, "feature_set"))
+
+
 QUERIES = {
+    "ml_kept_features": q_ml_kept_features,
     "ml_model_search": q_ml_model_search,
     "ml_svm_platt_fixed_recall": q_ml_svm_platt_fixed_recall,
     "ml_embedding_benchmark": q_ml_embedding_benchmark,

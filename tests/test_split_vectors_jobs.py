@@ -141,3 +141,48 @@ def test_answer_ingest_stream_from_json(spark):
     schema = "paper_id long, question_id string, response string"
     spark.createDataFrame([(1, "I1", "YES"), (1, "I1", "YES"), (4, "E2", "NO")], schema).write.json(src)
     assert answer_ingest_stream(spark, src, schema, tgt, ck, fmt="json") == 2
+
+
+@pytest.mark.parametrize("n, share", [(0, 0.5), (1, -1), (7, 0.5), (20, 0.25), (60, 1.0), (90, 0.6), (500, 0.1)])
+def test_balanced_sample_equals_the_ranked_one(spark, monkeypatch, n, share):
+    """Cuts selected from prefix counts against ranks in plain Python; a few rows a prefix, so several passes are made."""
+    import hashlib
+    import math
+    monkeypatch.setattr(SP, "_FEW", 1)
+    rows = [(i, None if i % 11 == 0 else i % 3 == 0) for i in range(140)]
+    got = SP.balanced_sample(spark.createDataFrame(rows, "id long, label boolean").repartition(5), n, share).orderBy("sample_order").collect()
+    by = lambda r, seed=42: hashlib.md5(f"{r[0]}:{seed}".encode()).hexdigest()
+    ordered = sorted(rows, key=by)
+    want = [r for r in ordered if r[1]][:math.ceil(n * share) if share != -1 else 0]
+    want += [r for r in ordered if r not in want][:max(0, n - len(want))]
+    want.sort(key=by)
+    if want and all(y is not False for _, y in want) and any(y for _, y in want):
+        want[-1] = min((r for r in rows if r[1] is False), key=lambda r: by(r, 43))
+    assert [(r.id, r.label) for r in got] == want and [r.sample_order for r in got] == list(range(len(want)))
+
+
+def test_balanced_sample_of_repeated_and_null_ids(spark):
+    """Rows of one id on both sides of a cut: the sample still has exactly n rows."""
+    rows = [(1, True)] * 30 + [(2, False)] * 30 + [(None, False)] * 30
+    df = spark.createDataFrame(rows, "id long, label boolean")
+    for n in (10, 45, 90, 200):
+        got = SP.balanced_sample(df, n, 0.3).collect()
+        assert len(got) == min(n, 90) and sum(r.label for r in got) >= min(30, math_ceil(n * 0.3))
+
+
+def math_ceil(x):
+    return -int(-x // 1)
+
+
+def test_refit_on_kept_features(spark):
+    """A feature that says nothing goes: the forest on the kept ones ranks the test rows as well."""
+    rnd = random.Random(5)
+    rows = [(i, i % 3 == 0, float(i % 3 == 0) + rnd.random() * 0.5, rnd.random(), rnd.random()) for i in range(150)]
+    wide = spark.createDataFrame(rows, "id long, label boolean, a double, b double, c double")
+    scored, importance = M.refit_on_kept(wide, ["a", "b", "c"], ["a"], M.random_forest(num_trees=10, max_depth=4))
+    by_set = {s: sorted((r.score, r.label) for r in scored.where(F.col("feature_set") == s).collect()) for s in ("all", "kept")}
+    assert len(by_set["all"]) == len(by_set["kept"]) == 30
+    assert all(not y for _, y in by_set["kept"][:20]) and all(y for _, y in by_set["kept"][20:])
+    assert {(r.feature_set, r.feature) for r in importance.collect()} == {("all", "a"), ("all", "b"), ("all", "c"), ("kept", "a")}
+    with pytest.raises(ValueError):
+        M.refit_on_kept(wide, ["a"], ["z"], M.random_forest())
