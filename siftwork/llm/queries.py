@@ -30,13 +30,12 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from siftwork.llm.pieces import decode_documents, encode_documents
+    from siftwork.llm.pieces import encode_documents
     docs = table(spark, sf_dir, "documents")
     text = F.coalesce(docs["text"], F.lit(""))
-    encoded = encode_documents(docs, carry={"doc_id": docs["doc_id"], "text_crc32": F.crc32(F.replace(text, F.lit("\u2581"), F.lit(" ")).cast("binary"))})
-    decoded = decode_documents(encoded)
-    return decoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "score", "n_chunks",
-                          F.xxhash64("ids").alias("ids_hash"), (F.crc32(F.col("decoded").cast("binary")) == F.col("text_crc32")).alias("round_trip"))
+    encoded = encode_documents(docs, carry={"doc_id": docs["doc_id"], "text_crc32": F.crc32(F.replace(text, F.lit("\u2581"), F.lit(" ")).cast("binary"))}, decode=True)
+    return encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "score", "n_chunks",
+                          F.xxhash64("ids").alias("ids_hash"), (F.col("decoded_crc32") == F.col("text_crc32")).alias("round_trip"))
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
