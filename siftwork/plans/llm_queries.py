@@ -75,9 +75,8 @@ def q_zero_shot_prompts(spark, sf):
 def q_rule_answers(spark, sf):
     """Every paper x 29 questions answered through the batch seam with the offline rule
     completer (X-01, X-03, J-05, F-07)."""
-    req = L.answer_requests(fx.papers(spark, sf), [(q, q) for q in question_ids()])
-    req = req.withColumn("key", F.concat_ws(":", F.col("paper_id").cast("string"), "question_id"))
-    out = L.label_with(req, L.rule_completer, "prompt", "key", model="rule")
+    req = L.paper_requests(fx.papers(spark, sf), [(q, q) for q in question_ids()]).withColumn("key", F.col("paper_id").cast("string"))
+    out = L.each_answer(L.label_with(req, L.rule_completer, "prompt", "key", model="rule", each="questions", keep_prompt=False))
     return out.select("paper_id", "question_id", "response", "input_tokens", "output_tokens", "model")
 
 
