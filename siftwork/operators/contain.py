@@ -4,13 +4,14 @@ A text that contains a query contains all of the query's grams of eight bytes (U
 contained just where the texts are). Each query is filed under its rarest gram, documents are looked
 up by the grams they hold, and only these candidates are compared in full.
 
-1. The documents' grams that some query has are counted, each document once a gram, with partial sums.
-2. Each query is filed under the gram that the fewest documents hold; a query with a gram that no
-   document holds is contained in none.
+1. The documents' grams are counted by a hash of ``slots`` values, each document once a gram: a table of fixed
+   size for each task and for their sum. A slot's count is no less than that of any gram in it.
+2. The table goes to the tasks, and each query is filed under its gram of the least count; a query with a gram
+   of no count is contained in none. Only one gram per query is put out, never all of them.
 3. A second pass over the documents, where they are stored, puts out the filed grams only; the join with
-   the filed queries gives the candidates, which ``contains`` verifies.
+   the filed queries gives the candidates. These take up the query's text first, then meet the document's, which ``contains`` verifies.
 
-A bitmap of fixed size (``bits``) of the wanted grams goes to the tasks, so that a document's other
+A bitmap of fixed size (``bits``) of the filed grams goes to the tasks, so that a document's other
 grams aren't put out; grams that share a bit by chance fall out at the join. Equal queries and equal documents are one class each,
 so copies aren't expanded into pairs. Queries of less than eight bytes are filed under their whole text,
 and the documents are looked up by grams of that length too.
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -60,25 +62,22 @@ def _slot(grams: np.ndarray, size: int, bits: int) -> np.ndarray:
     return ((h ^ (h >> np.uint64(29))) % np.uint64(bits)).astype(np.int64)
 
 
-def _gram_rows(texts: DataFrame, sizes, wanted: tuple | None, keyed: bool = True) -> DataFrame:
-    """(key, size, gram): the different grams of each text, of the wanted slots only; without ``keyed``, no key."""
-    sizes = list(sizes)
-
+def _gram_rows(texts: DataFrame, sizes: list[int], wanted: tuple) -> DataFrame:
+    """(key, size, gram): the different grams of each text, of the wanted slots only."""
     def packed(rows: list) -> pa.RecordBatch:
         lengths = [len(g) for _, _, g in rows]
-        columns = {"size": pa.array(np.repeat(np.array([s for _, s, _ in rows], np.int32), lengths)), "gram": pa.array(np.concatenate([g for _, _, g in rows]))}
-        if keyed:
-            columns = {"key": pa.array([k for k, _, _ in rows], pa.string()).take(pa.array(np.repeat(np.arange(len(rows)), lengths))), **columns}
-        return pa.RecordBatch.from_pydict(columns)
+        return pa.RecordBatch.from_pydict({
+            "key": pa.array(np.repeat(np.array([k for k, _, _ in rows], np.int64), lengths)), "size": pa.array(np.repeat(np.array([s for _, s, _ in rows], np.int32), lengths)),
+            "gram": pa.array(np.concatenate([g for _, _, g in rows]))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, held = [], 0
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = text.as_py()
-                for size in sizes or ([GRAM] if len(data) >= GRAM else [len(data)]):
+                for size in sizes:
                     grams = byte_grams(data, size)
-                    if wanted is not None and len(grams):
+                    if len(grams):
                         slot = _slot(grams, size, wanted[1])
                         grams = grams[(wanted[0].value[slot >> 3] >> (slot & 7)) & 1 > 0]
                     if len(grams):
@@ -90,7 +89,56 @@ def _gram_rows(texts: DataFrame, sizes, wanted: tuple | None, keyed: bool = True
             if rows:
                 yield packed(rows)
 
-    return texts.select("key", F.col("text").cast("binary")).mapInArrow(run, ("key string, " if keyed else "") + "size int, gram bigint")
+    return texts.select("key", F.col("text").cast("binary")).mapInArrow(run, "key bigint, size int, gram bigint")
+
+
+def _slot_counts(texts: DataFrame, sizes: list[int], slots: int) -> tuple:
+    """How many texts hold a gram of each slot (a text counts once for each of its different grams there), as a broadcast of
+    4 ``slots`` bytes; a task puts out one row per block of its own table."""
+    block = min(slots, 4096)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            total = np.zeros(slots, np.uint32) if total is None else total
+            for text in batch.column(0):
+                data = text.as_py()
+                for size in sizes:
+                    np.add.at(total, _slot(byte_grams(data, size), size, slots), np.uint32(1))
+        if total is not None:
+            for k in range(0, slots, block):
+                if total[k:k + block].any():
+                    yield pa.RecordBatch.from_pydict({"block": pa.array([k // block], pa.int32()), "n": pa.array([total[k:k + block].tobytes()], pa.binary())})
+
+    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = np.zeros(block, np.int64)
+        for part in pdf["n"]:
+            n[:len(part) // 4] += np.frombuffer(part, np.uint32)
+        return pd.DataFrame({"block": pdf["block"][:1], "n": [np.minimum(n, 0xFFFFFFFF).astype(np.uint32).tobytes()]})
+
+    out = np.zeros(-(-slots // block) * block, np.uint32)
+    parts = texts.select(F.col("text").cast("binary")).mapInArrow(run, "block int, n binary")
+    for at, n in parts.groupBy("block").applyInPandas(merged, "block int, n binary").collect():  # 4 ``slots`` bytes in all
+        out[at * block:(at + 1) * block] = np.frombuffer(n, np.uint32)
+    return texts.sparkSession.sparkContext.broadcast(out), slots
+
+
+def _filed(asked: DataFrame, counts: tuple) -> DataFrame:
+    """(query_key, size, gram): each query's gram of the least count, without those that no document has."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, sizes, grams = [], [], []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = text.as_py()
+                size = min(GRAM, len(data))
+                own = byte_grams(data, size)
+                n = counts[0].value[_slot(own, size, counts[1])]
+                least = int(n.argmin())
+                if n[least]:
+                    keys.append(key), sizes.append(size), grams.append(int(own[least]))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(grams, pa.int64())], names=["query_key", "size", "gram"])
+
+    return asked.select("key", F.col("text").cast("binary")).mapInArrow(run, "query_key bigint, size int, gram bigint")
 
 
 def _bitmap(grams: DataFrame, bits: int) -> tuple:
@@ -115,32 +163,27 @@ def _saved(df: DataFrame, work: str, name: str) -> DataFrame:
 
 
 def _classes(df: DataFrame, id_col: str, text_col: str, name: str) -> tuple[DataFrame, DataFrame]:
-    """(key, text) of the different texts, and (id, class, key): the class is the smallest id."""
-    x = df.select(F.col(id_col).alias(f"{name}_id"), F.sha2(F.col(text_col), 256).alias("key"), F.col(text_col).alias("text")).where("key is not null and text <> ''")
-    least = x.groupBy("key").agg(F.min(f"{name}_id").alias(f"{name}_class"))
-    return x.groupBy("key").agg(F.any_value("text").alias("text")), x.select(f"{name}_id", "key").join(least, "key")
+    """(key, class, text) of the different texts, and (id, class): the class is the smallest id."""
+    x = df.select(F.col(id_col).alias(f"{name}_id"), F.sha2(F.col(text_col), 256).alias("sha"), F.col(text_col).alias("text")).where("sha is not null and text <> ''")
+    least = F.min(f"{name}_id").alias(f"{name}_class")
+    texts = x.groupBy("sha").agg(least, F.any_value("text").alias("text"))
+    return texts.select(F.monotonically_increasing_id().alias("key"), f"{name}_class", "text"), x.select(f"{name}_id", "sha").join(x.groupBy("sha").agg(least), "sha").drop("sha")
 
 
 def containing(queries: DataFrame, docs: DataFrame, q_id: str = "id", q_text: str = "text", d_id: str = "id", d_text: str = "text",
-               bits: int = 1 << 26) -> Containment:
+               bits: int = 1 << 26, slots: int = 1 << 22) -> Containment:
     """Every pair of a query class and a document class whose text contains the query's."""
     spark: SparkSession = docs.sparkSession
     work = f"{ensure_checkpoint_dir(spark).rstrip('/')}/contain-{uuid.uuid4().hex[:12]}"
     asked, asked_ids = _classes(queries, q_id, q_text, "query")
     held, held_ids = _classes(docs, d_id, d_text, "doc")
-    asked, held = _saved(asked, work, "asked"), _saved(held, work, "held")
-    of_query = _saved(_gram_rows(asked, [], None), work, "query-grams")
-    sizes = sorted(r[0] for r in of_query.select("size").distinct().collect())  # at most 8
-    wanted = of_query.select("size", "gram").distinct()
-    counts = _gram_rows(held, sizes or [GRAM], _bitmap(wanted, bits), keyed=False).groupBy("size", "gram").agg(F.count(F.lit(1)).alias("n"))
-    n = F.coalesce("n", F.lit(0))
-    filed = of_query.join(counts, ["size", "gram"], "left").groupBy("key").agg(F.min(F.struct(n.alias("n"), "size", "gram")).alias("f")).where("f.n > 0")
-    filed = _saved(filed.select(F.col("key").alias("query_key"), "f.size", "f.gram"), work, "filed")
-    found = _gram_rows(held, sizes or [GRAM], _bitmap(filed, bits)).join(filed, ["size", "gram"]).select("query_key", "key")
-    pairs = (found.join(held, "key").join(asked.select(F.col("key").alias("query_key"), F.col("text").alias("query_text")), "query_key")
-             .where(F.col("text").contains(F.col("query_text"))).select("query_key", "key"))
-    names = pairs.join(asked_ids.select(F.col("key").alias("query_key"), "query_class").distinct(), "query_key").join(held_ids.select("key", "doc_class").distinct(), "key")
-    return Containment(_saved(names.select("query_class", "doc_class"), work, "pairs"), asked_ids.select("query_id", "query_class"), held_ids.select("doc_id", "doc_class"))
+    asked, held = _saved(asked, work, "asked"), _saved(held, work, "held")  # written once, so that the keys stay
+    sizes = sorted(r[0] for r in asked.select(F.least(F.octet_length("text"), F.lit(GRAM))).distinct().collect()) or [GRAM]  # at most 8
+    filed = _saved(_filed(asked, _slot_counts(held, sizes, slots)), work, "filed")
+    found = _gram_rows(held, sizes, _bitmap(filed, bits)).join(filed, ["size", "gram"]).select("query_key", "key")
+    named = found.join(asked.select(F.col("key").alias("query_key"), "query_class", F.col("text").alias("query_text")), "query_key").drop("query_key")
+    pairs = named.join(held, "key").where(F.col("text").contains(F.col("query_text"))).select("query_class", "doc_class")
+    return Containment(_saved(pairs, work, "pairs"), asked_ids, held_ids)
 
 
 def nearest_not_containing(queries: DataFrame, corpus: DataFrame, k: int, text_col: str = "text", id_col: str = "id", query_col: str | None = None, **options) -> DataFrame:

@@ -1,6 +1,7 @@
 """Steps whose memory or disk must not follow the product of two sizes."""
 
 import os
+import random
 
 from siftwork.operators import llm as L
 
@@ -45,3 +46,24 @@ def test_the_answer_store_holds_a_text_once(spark, tmp_path):
     kept = L.read_answers(spark, store)
     want = {(r.paper_id, r.question_id, r.prompt) for r in L.answer_requests(papers, QUESTIONS).collect()}
     assert {(r.paper_id, r.question_id, r.prompt) for r in kept.collect()} == want and kept.count() == len(want)
+
+
+def test_containment_writes_one_gram_per_query(spark, monkeypatch):
+    """Long queries: what is written between the steps follows the texts, not their grams."""
+    from siftwork.operators import contain as C
+    written = {}
+
+    def saved(df, work, name):
+        out = _saved(df, work, name)
+        written[name] = out.count()
+        return out
+
+    _saved = C._saved
+    monkeypatch.setattr(C, "_saved", saved)
+    r = random.Random(5)
+    rows = [(k, "".join(r.choices("abcdefgh é", k=400)).strip()) for k in range(30)]
+    d = spark.createDataFrame(rows + [(100 + k, "before " + t + " after") for k, t in rows[:10]], "id bigint, text string")
+    found = C.containing(d, d, slots=1 << 8)
+    got = {(r.query_class, r.doc_class) for r in found.pairs.collect()}
+    assert got == {(k, k) for k in range(30)} | {(100 + k, 100 + k) for k in range(10)} | {(k, 100 + k) for k in range(10)}
+    assert written and all(n <= 50 for n in written.values())
