@@ -9,10 +9,14 @@ counterpart (documented per factory); gaps are noted.
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import random
+import re
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
                                        RandomForestClassifier)
@@ -21,8 +25,6 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwork.functions.expr import bound
-from siftwork.functions.vector import l2_normalize
 from siftwork.operators.split import stratified_folds
 from siftwork.session import read_if_any
 
@@ -251,22 +253,44 @@ def seed_ensemble(scored_runs: DataFrame, id_col: str = "id") -> DataFrame:
     return scored_runs.groupBy(id_col).agg(F.avg("score").alias("score"), F.first("label").alias("label"))
 
 
-def hashing_encoder(num_features: int = 64):
+class _Buckets(dict):
+    """Token -> bucket: the first 32 bits of its MD5; a bounded number is remembered."""
+
+    def __init__(self, num_features: int, kept: int = 200_000):
+        self.num_features, self.kept = num_features, kept
+
+    def __missing__(self, token: bytes) -> int:
+        if len(self) >= self.kept:
+            self.clear()
+        bucket = self[token] = int.from_bytes(hashlib.md5(token).digest()[:4], "big") % self.num_features
+        return bucket
+
+
+def hashing_encoder(num_features: int = 64, piece_bytes: int = 1 << 20):
     """Offline text encoder, a function of the text alone: ASCII word tokens, lower-cased,
     counted in ``num_features`` buckets by the first 32 bits of their MD5, L2-normalised.
-    Stands in for a pretrained sentence encoder. Texts without tokens get a zero vector."""
+    Stands in for a pretrained sentence encoder. Texts without tokens get a zero vector. Each different token is hashed once
+    while a task remembers it; long texts are read in pieces that end after a token."""
     def encode(df: DataFrame, text_col: str = "text", key_col: str = "text_sha1") -> DataFrame:
-        tokens = F.filter(F.split(F.col(text_col), "[^A-Za-z0-9]+"), lambda t: t != "")
-        bucket = F.transform(tokens, lambda t: F.conv(F.substring(F.md5(F.lower(t)), 1, 8), 16, 10).cast("long") % num_features)
-        # counted in the row: one mark per bucket sorted in among the tokens' buckets, so a count is the gap between marks
-        marks = F.sequence(F.lit(0).cast("long"), F.lit(num_features).cast("long"))
-        ordered = F.sort_array(F.concat(F.coalesce(bucket, F.array().cast("array<bigint>")), marks))
-
-        def gaps(at):
-            return F.zip_with(F.slice(at, 2, num_features), F.slice(at, 1, num_features), lambda after, mark: (after - mark - 1).cast("double"))
-
-        counts = bound(bound(ordered, lambda b: F.transform(marks, lambda d: F.array_position(b, d))), gaps)
-        return df.select(key_col, l2_normalize(counts).alias("embedding"))
+        def run(batches):
+            token, after, buckets = re.compile(rb"[a-z0-9]+"), re.compile(rb"[^A-Za-z0-9]"), _Buckets(num_features)
+            for batch in batches:
+                counts = np.zeros((batch.num_rows, num_features))
+                for row, text in enumerate(batch.column(1)):
+                    data, at = text.as_py() or b"", 0
+                    while at < len(data):
+                        cut = after.search(data, at + piece_bytes) if at + piece_bytes < len(data) else None
+                        end = cut.start() if cut else len(data)
+                        found = list(map(buckets.__getitem__, token.findall(data[at:end].lower())))
+                        counts[row] += np.bincount(found, minlength=num_features) if found else 0
+                        at = end
+                norm = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+                unit = counts / np.where(norm == 0, 1.0, norm)
+                ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * num_features)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(unit.ravel()))], names=[key_col, "embedding"])
+
+        kind = df.schema[key_col].dataType.simpleString()
+        return df.select(key_col, F.col(text_col).cast("binary")).mapInArrow(run, f"{key_col} {kind}, embedding array<double>")
     return encode
 
 
