@@ -38,7 +38,7 @@ def _tiles(n: int, tile_rows: int) -> int:
 
 def _block_topk(k: int, exclude_self: bool, chunk_rows: int = 512):
     """Per (query tile, corpus tile): exact top-k by (distance, neighbour id). Distances
-    are computed in chunks of ``chunk_rows`` queries, so memory is chunk x tile. The
+    are computed in chunks of ``chunk_rows`` queries, fewer for large tiles, so memory is chunk x tile. The
     distance to or from a zero vector is undefined: NULL, ranked after all others."""
     def fn(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if len(q) == 0 or len(c) == 0:
@@ -50,10 +50,11 @@ def _block_topk(k: int, exclude_self: bool, chunk_rows: int = 512):
         qn = np.sqrt((qv * qv).sum(axis=1))
         cn = np.sqrt((cv * cv).sum(axis=1))
         outs = []
-        for s0 in range(0, len(qid), chunk_rows):
-            ids = qid[s0:s0 + chunk_rows]
+        rows = min(chunk_rows, _chunk_rows(len(cid), 1 << 22))
+        for s0 in range(0, len(qid), rows):
+            ids = qid[s0:s0 + rows]
             with np.errstate(divide="ignore", invalid="ignore"):
-                dist = 1.0 - (qv[s0:s0 + chunk_rows] @ cv.T) / np.outer(qn[s0:s0 + chunk_rows], cn)
+                dist = 1.0 - (qv[s0:s0 + rows] @ cv.T) / np.outer(qn[s0:s0 + rows], cn)
             dist[~np.isfinite(dist)] = np.inf
             allowed = ids[:, None] != cid[None, :] if exclude_self else np.ones(dist.shape, dtype=bool)
             if k + 1 < dist.shape[1]:  # k allowed ones are among the k + 1 smallest and their ties
@@ -81,8 +82,10 @@ def nearest_neighbours(queries: DataFrame, corpus: DataFrame, k: int, q_id: str
     corpus rows with the query's own id. Ids may be numbers or text. All pairs are
     computed, so one side must be small (a stated query set, one label's rows);
     ``approximate_neighbours`` is the form for two large sides."""
-    nq = _tiles(queries.count(), tile_rows)
-    nc = _tiles(corpus.count(), tile_rows)
+    sizes = queries.count(), corpus.count()
+    # every vector goes to all tiles of the other side: larger tiles for larger tables, up to 8 times ``tile_rows``, so that
+    # less is shuffled while there are still some 64 pairs of tiles to share out
+    nq, nc = (_tiles(n, min(max(tile_rows, n // 8), 8 * tile_rows)) for n in sizes)
 
     def tile(col: str, n: int):  # one type on both sides, or equal tiles would hash apart
         return F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
@@ -104,6 +107,11 @@ def _best(cand: DataFrame, k: int) -> DataFrame:
         .select("query_id", "rank", "neighbor_id", "distance")
 
 
+def _chunk_rows(columns: int, values: int = 1 << 21) -> int:
+    """Rows of a block of at most ``values`` products (16 MB) with so many columns, one at least."""
+    return max(1, values // max(1, columns))
+
+
 def _unit(rows) -> np.ndarray:
     v = np.vstack([np.asarray(r, dtype=np.float64) for r in rows])
     n = np.linalg.norm(v, axis=1, keepdims=True)
@@ -120,8 +128,9 @@ def fit_cells(corpus: DataFrame, cells: int, vec: str = "embedding", id_col: str
     x = _unit([r[0] for r in picked])
     rng = np.random.default_rng(seed)
     centres = x[rng.choice(len(x), min(cells, len(x)), replace=False)]
+    chunk = _chunk_rows(len(centres))
     for _ in range(rounds):
-        near = (x @ centres.T).argmax(axis=1)
+        near = np.concatenate([(x[a:a + chunk] @ centres.T).argmax(axis=1) for a in range(0, len(x), chunk)])
         sums = np.zeros_like(centres)
         np.add.at(sums, near, x)
         size = np.linalg.norm(sums, axis=1, keepdims=True)
@@ -133,12 +142,15 @@ def _to_cells(df: DataFrame, id_col: str, vec: str, centres: np.ndarray, n: int)
     """(id, vec, cell): each row with its ``n`` nearest cells."""
     shared = df.sparkSession.sparkContext.broadcast(centres)  # cells x dimension, both parameters
     n = min(n, len(centres))
+    chunk = _chunk_rows(len(centres))
 
     def run(batches):
         for pdf in batches:
-            if len(pdf):
-                near = np.argsort(-(_unit(pdf["vec"]) @ shared.value.T), axis=1, kind="stable")[:, :n]
-                yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(), n), "vec": pdf["vec"].repeat(n), "cell": near.ravel()})
+            for at in range(0, len(pdf), chunk):  # a worker holds chunk x cells products, whatever the batch
+                part = pdf.iloc[at:at + chunk]
+                close = _unit(part["vec"]) @ shared.value.T
+                near = close.argmax(axis=1)[:, None] if n == 1 else np.argsort(-close, axis=1, kind="stable")[:, :n]
+                yield pd.DataFrame({"id": np.repeat(part["id"].to_numpy(), n), "vec": part["vec"].repeat(n), "cell": near.ravel()})
 
     x = df.select(F.col(id_col).alias("id"), F.col(vec).alias("vec"))
     kinds = {f.name: f.dataType.simpleString() for f in x.schema.fields}

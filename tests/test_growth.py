@@ -67,3 +67,56 @@ def test_containment_writes_one_gram_per_query(spark, monkeypatch):
     got = {(r.query_class, r.doc_class) for r in found.pairs.collect()}
     assert got == {(k, k) for k in range(30)} | {(100 + k, 100 + k) for k in range(10)} | {(k, 100 + k) for k in range(10)}
     assert written and all(n <= 50 for n in written.values())
+
+
+def test_filing_in_cells_holds_a_bounded_block(spark):
+    import numpy as np
+
+    from siftwork.operators.vectors import _chunk_rows, _to_cells
+    rnd = np.random.default_rng(3)
+    centres = rnd.normal(size=(4096, 4))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    rows = rnd.normal(size=(2000, 4))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rows)], "id bigint, embedding array<double>").coalesce(1)
+    assert _chunk_rows(4096) * 4096 * 8 <= 16 << 20 and _chunk_rows(1 << 30) == 1
+    want = (rows @ centres.T).argmax(axis=1)
+    one = {r.id: r.cell for r in _to_cells(df, "id", "embedding", centres, 1).collect()}
+    assert [one[k] for k in range(2000)] == want.tolist()
+    three = _to_cells(df, "id", "embedding", centres, 3).groupBy("id").count().collect()
+    assert len(three) == 2000 and {r["count"] for r in three} == {3}
+
+
+def test_tiles_grow_with_the_table(spark, monkeypatch):
+    """Vectors are sent to eight tiles of the other side, not to one per ``tile_rows`` rows, and the nearest stay exact."""
+    import numpy as np
+
+    from siftwork.operators import vectors as V
+    counted, tiles = [], V._tiles
+    monkeypatch.setattr(V, "_tiles", lambda n, rows: counted.append(tiles(n, rows)) or counted[-1])
+    v = np.random.default_rng(4).normal(size=(1600, 3))
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "id bigint, embedding array<double>")
+    found = V.nearest_neighbours(df, df, 2, tile_rows=32)
+    assert counted == [8, 8]
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    d = 1 - unit @ unit.T
+    np.fill_diagonal(d, np.inf)
+    got = {(r.query_id, r["rank"]): r.neighbor_id for r in found.collect()}
+    assert [[got[q, 1], got[q, 2]] for q in range(1600)] == np.argsort(d, axis=1, kind="stable")[:, :2].tolist()
+
+
+def test_hashing_encoder_counts_every_token(spark):
+    """Long texts are read in pieces; no token is cut or lost."""
+    import hashlib
+    import math
+    import re
+
+    from siftwork.operators import ml as M
+    texts = [None, "", " .. ", "One ONE two", "é1é ümlaut Straße x²y", "a" * 70, "tok1 " * 9, "".join(f"w{k % 701}{'.é '[k % 3]}" for k in range(4000))]
+    df = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "text_sha1 string, text string")
+    got = {int(r.text_sha1): r.embedding for r in M.hashing_encoder(64, piece_bytes=32)(df).collect()}
+    for k, t in enumerate(texts):
+        counts = [0.0] * 64
+        for token in re.findall(r"[A-Za-z0-9]+", t or ""):
+            counts[int(hashlib.md5(token.lower().encode()).hexdigest()[:8], 16) % 64] += 1
+        norm = math.sqrt(sum(c * c for c in counts)) or 1.0
+        assert max(abs(a - c / norm) for a, c in zip(got[k], counts, strict=True)) < 1e-12
