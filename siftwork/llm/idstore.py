@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from siftwork.llm.common import per_worker, written
 
 _WORDS_KEPT = 800_000  # about 150 MB a worker
-_TEXT_BYTES = 4 << 20  # encoded at once
+_TEXT_BYTES = 8 << 20  # encoded at once
 _GAMMA = 2
 _MAX_LEVELS = 64
 _RECORD = np.dtype([("fingerprint", "<u4"), ("shard", "<u4"), ("at", "<u8"), ("n", "<u8"), ("start", "<u8")])
@@ -105,18 +105,23 @@ class _Words(dict):
         return [np.array(e.ids, self.kind).tobytes() for e in self._encode(texts)]
 
     def learn(self, words: list[str]) -> None:
-        plain = [w for w in words if "\x00" not in w and "<|" not in w] if len(self.mark) == 1 else []
-        step = np.dtype(self.kind).itemsize
-        for k in range(0, len(plain), 2000):
-            part = plain[k:k + 2000]
-            ids = np.array(self._encode([" \x00 ".join(part)])[0].ids, self.kind)
-            ends = [*(step * np.flatnonzero(ids == self.mark[0])).tolist(), step * len(ids)]
-            if len(ends) == len(part):
-                raw, at = ids.tobytes(), 0
-                for w, end in zip(part, ends, strict=True):
-                    self[w] = raw[at:end]
-                    at = end + step
-        rest = [w for w in words if w not in self]
+        step, rest = np.dtype(self.kind).itemsize, [] if len(self.mark) == 1 else words
+        for k in range(0, len(words) if len(self.mark) == 1 else 0, 2000):
+            part = words[k:k + 2000]
+            joined = " \x00 ".join(part)
+            if "<|" in joined or joined.count("\x00") != len(part) - 1:  # words that hold a mark or may be a special token: one by one
+                rest += [w for w in part if "\x00" in w or "<|" in w]
+                part = [w for w in part if "\x00" not in w and "<|" not in w]
+                joined = " \x00 ".join(part)
+            if not part:
+                continue
+            ids = np.array(self._encode([joined])[0].ids, self.kind)
+            marks = step * np.flatnonzero(ids == self.mark[0])
+            if len(marks) == len(part) - 1:
+                raw = ids.tobytes()
+                self.update(zip(part, map(raw.__getitem__, map(slice, [0, *(marks + step).tolist()], [*marks.tolist(), len(raw)])), strict=True))
+            else:
+                rest += part
         for k in range(0, len(rest), 2000):
             part = rest[k:k + 2000]
             self.update(zip(part, self.whole(part), strict=True))

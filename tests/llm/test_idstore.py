@@ -170,3 +170,12 @@ def test_a_hot_id_is_many_shards_and_numbered_through(spark, tokenizer):
     assert sorted(r.ids_crc32 for r in got) == sorted(zlib.crc32(np.array(ids(tokenizer, r[1]), "<u4").tobytes()) for r in rows)
     hot = spark.read.parquet(f"{folder}/manifest").filter("doc_id is null").select("shard").distinct().count()
     assert hot > 3
+
+
+def test_words_with_marks_and_special_tokens_are_learned_alone(tokenizer):
+    from siftwork.llm.idstore import _Words, default_tokenizer
+    words = [f"w{k}ö" for k in range(4500)] + ["a\x00b", "\x00", "<|endoftext|>", "x<|y", "\x00\x00"] + [f"v{k}" for k in range(30)]
+    table = _Words(default_tokenizer(), 2)
+    got = table.of(words)
+    assert got == table.whole(words) and len(table) == len(set(words))
+    assert _Words(default_tokenizer(), 2).of(["\x00"]) == table.whole(["\x00"])
