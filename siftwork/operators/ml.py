@@ -95,11 +95,28 @@ def _score_col(pred: DataFrame) -> F.Column:
     return F.col("prediction").cast("double")
 
 
+def spread_for(estimator, rows: DataFrame, n: int, task_bytes: int = 64 << 20) -> DataFrame:
+    """``rows`` (``n`` of them) in as many partitions as a forest's training points need at ``task_bytes`` each. A forest caches,
+    for each row and tree, a bootstrap count and two node ids, so its points are far larger than the rows that
+    sized the partitions. A table that fits one task, and rows for any other estimator, stay as they are. Rows are ordered
+    by what the forest sees of them: its bootstrap draws go by position."""
+    if not estimator.hasParam("numTrees"):
+        return rows
+    features, y = estimator.getFeaturesCol(), estimator.getLabelCol()
+    first = rows.select(features).first()
+    if first is None or first[0] is None:
+        return rows
+    point = 12 * estimator.getOrDefault("numTrees") + 8 * first[0].size + 256
+    parts = -(-n * point // task_bytes)
+    return rows.repartition(parts).sortWithinPartitions(F.xxhash64(features, y), y) if parts > 1 else rows
+
+
 def fit_score(train: DataFrame, test: DataFrame, make, label: str = "label"):
     """Fit on train, score test: (model, test with ``score``)."""
     tr = with_balanced_weights(train.withColumn("_y", F.col(label).cast("double")), label)
     n = tr.count()
-    model = make(n).fit(tr)
+    estimator = make(n)
+    model = estimator.fit(spread_for(estimator, tr, n))
     pred = model.transform(test.withColumn("_y", F.col(label).cast("double")))
     return model, pred.withColumn("score", _score_col(pred))
 
@@ -128,7 +145,8 @@ class FoldTable:
 
     def fit(self, make, without: int | None):
         rows, n = self.train(without)
-        return make(n).fit(rows)
+        estimator = make(n)
+        return estimator.fit(spread_for(estimator, rows, n))
 
     def scored(self, make, fold: int) -> DataFrame:
         """(fold, id, label, score, prediction) of one fold by a model of the others."""

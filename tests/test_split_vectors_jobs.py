@@ -186,3 +186,31 @@ def test_refit_on_kept_features(spark):
     assert {(r.feature_set, r.feature) for r in importance.collect()} == {("all", "a"), ("all", "b"), ("all", "c"), ("kept", "a")}
     with pytest.raises(ValueError):
         M.refit_on_kept(wide, ["a"], ["z"], M.random_forest())
+
+
+def test_forest_points_are_spread_over_tasks_of_bounded_size(spark):
+    """A forest's training points, far larger than the rows they come from, go to as many partitions as they need, rows in an
+    order of their own; a small table keeps its one partition."""
+    from pyspark.ml.classification import RandomForestClassifier
+
+    class Stopped(Exception):
+        pass
+
+    class Seen(RandomForestClassifier):
+        def _fit(self, rows):
+            raise Stopped([[(r.id, r["_y"]) for r in part] for part in rows.select("id", "_y").rdd.glom().collect()])
+
+    def seen(run, trees):
+        with pytest.raises(Stopped) as got:
+            run(lambda n: Seen(featuresCol="features", labelCol="_y", weightCol="weight", numTrees=trees))
+        return got.value.args[0]
+
+    rows = [(i, i % 3 == 0, [float(i % 2), float(i % 5), 1.0]) for i in range(400)]
+    train = M.with_features(spark.createDataFrame(rows, "id long, label boolean, embedding array<double>").coalesce(1))
+    folds = M.FoldTable(train, 4, vec="features")
+    for run, n in ((lambda make: M.fit_score(train, train, make), 400), (lambda make: folds.fit(make, 0), folds.train(0)[1])):
+        few, many = seen(run, 10), seen(run, 60_000)
+        assert len([p for p in few if p]) == 1
+        assert max(map(len, many)) <= 110  # 720 KB a row, 64 MB a task
+        assert len({r for p in many for r in p}) == sum(map(len, many)) == n
+        assert sorted(r for p in many for r in p) == sorted(r for p in few for r in p)
