@@ -28,6 +28,7 @@ any other and sorts first; extra columns are ignored; an empty table gives a sto
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -41,7 +42,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftwork.llm.common import per_worker, written
-
+from siftwork.llm.words import _byte_symbols
+
+_PUNCTUATION = r"[!-/:-@\[-`{-~]"
+_LETTERS_THEN_PUNCTUATION = re.compile(rf"[A-Za-zÀ-ÖØ-öø-ɏ]+{_PUNCTUATION}+")  # letters below U+0250: no two engines read them differently
+# The steps before merging of the files whose pieces are known to close at letters, single digits and runs of other characters
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 _WORDS_KEPT = 800_000  # about 150 MB a worker
 _TEXT_BYTES = 8 << 20  # encoded at once
 _GAMMA = 2
@@ -89,14 +98,42 @@ class _Words(dict):
 
     A tokenizer that drops white space never joins across it, so a text's ids are its words'
     ids in a row (``by_word``; checked on an example, other kinds get whole texts). New words
-    are encoded many at a time, with a mark of one id between them."""
+    are encoded many at a time. If the tokenizer closes each piece before merging with a suffix (``closing``: the ids that hold
+    it), words of letters are cut apart by it, as are letters followed by punctuation: such a word has at least
+    one piece, or two, so a total of just as many means that each has that number. Other words have a mark
+    of one id between them."""
 
     def __init__(self, tokenizer: bytes, width: int):
         from tokenizers import Tokenizer
         self.tokenizer, self.kind = Tokenizer.from_buffer(tokenizer), f"<u{width}"
         ids = [e.ids for e in self._encode(["a b", "a", "b", "\x00"])]
         self.by_word = ids[0] == ids[1] + ids[2]
-        self.mark = ids[3]
+        self.mark, self.closing = ids[3], self._closing()
+
+    def _closing(self) -> np.ndarray | None:
+        file, added = json.loads(self.tokenizer.to_str()), self.tokenizer.get_added_tokens_decoder()
+        model, suffix = file["model"], file["model"].get("end_of_word_suffix")
+        inside = re.compile(rf"[^\W\d_]*{_PUNCTUATION}*")  # an added token that could be found in such a word
+        if (not suffix or (file["normalizer"], file["pre_tokenizer"]) != (_NORMALIZER, _PRE_TOKENIZER)
+                or any(inside.fullmatch(t.content) for t in added.values()) or any(c + suffix not in model["vocab"] for c in _byte_symbols())):
+            return None
+        out = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        out[[k for piece, k in model["vocab"].items() if piece.endswith(suffix)]] = True
+        return out
+
+    def _cut(self, words: list[str], pieces: int) -> list[str]:
+        """Learn words that should have so many pieces each; those of groups where the total differs are given back."""
+        step, rest = np.dtype(self.kind).itemsize, []
+        for k in range(0, len(words), 4000):
+            part = words[k:k + 4000]
+            ids = np.array(self._encode([" ".join(part)])[0].ids, self.kind)
+            ends = np.flatnonzero(self.closing[ids])
+            if len(ends) != pieces * len(part) or ends[-1] != len(ids) - 1:
+                rest += part
+                continue
+            raw, to = ids.tobytes(), (step * (ends[pieces - 1::pieces] + 1)).tolist()
+            self.update(zip(part, map(raw.__getitem__, map(slice, [0, *to[:-1]], to)), strict=True))
+        return rest
 
     def _encode(self, texts: list[str]):
         return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -105,6 +142,14 @@ class _Words(dict):
         return [np.array(e.ids, self.kind).tobytes() for e in self._encode(texts)]
 
     def learn(self, words: list[str]) -> None:
+        if self.closing is not None:
+            letters, other = [], []
+            for w in words:
+                (letters if w.isalpha() else other).append(w)
+            two, words = [], []
+            for w in other:
+                (two if _LETTERS_THEN_PUNCTUATION.fullmatch(w) else words).append(w)
+            words += self._cut(letters, 1) + self._cut(two, 2)
         step, rest = np.dtype(self.kind).itemsize, [] if len(self.mark) == 1 else words
         for k in range(0, len(words) if len(self.mark) == 1 else 0, 2000):
             part = words[k:k + 2000]
@@ -150,7 +195,7 @@ def encode_texts(texts: list[str | None] | pa.Array, words: _Words, end_id: int)
     for a, b in zip([0, *(np.flatnonzero(np.diff(group)) + 1).tolist()], [*(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)], strict=True):
         split = pc.ascii_split_whitespace(texts.slice(a, b - a))
         numbered = split.flatten().dictionary_encode()
-        which, found = numbered.indices.to_numpy(zero_copy_only=False), words.of(numbered.dictionary.to_pylist())
+        which, found = numbered.indices.to_numpy(zero_copy_only=False), words.of(numbered.dictionary.to_numpy(zero_copy_only=False).tolist())
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // width
         table, n = np.frombuffer(b"".join(found), words.kind), sizes[which]
         ends = np.cumsum(n)

@@ -1,5 +1,6 @@
 """Token store: ids against the tokenizer on whole texts, the hash, the files, keyed access."""
 
+import json
 import zlib
 from itertools import accumulate
 
@@ -179,3 +180,25 @@ def test_words_with_marks_and_special_tokens_are_learned_alone(tokenizer):
     got = table.of(words)
     assert got == table.whole(words) and len(table) == len(set(words))
     assert _Words(default_tokenizer(), 2).of(["\x00"]) == table.whole(["\x00"])
+
+
+def test_words_of_letters_are_cut_apart_without_marks():
+    """Plain words are learned with nothing between them; words whose pieces do not add up, and all others, as they were."""
+    words, seen = _Words(default_tokenizer(), 2), []
+    encode = words._encode
+    words._encode = lambda texts: seen.extend(texts) or encode(texts)
+    plain = ["Émile", "word", "mots,", "end.'", "ÀÉÎ", "ẞ", "слово", "漢字", "ǅ", "a?!", "x" * 300, "été;"]
+    words.learn(plain)
+    assert seen and not any("\x00" in t for t in seen)
+    awkward = ["İ", "İ.", "İa.", "İİ", "it's", "'s", "3.", "a1", "·a", "é", "ﬁ", " ", "a b", "\x00", "<|endoftext|>", "x<|", "ª", "ʼn", "ไทย", " ", "ΑΣ", "don't.", "'", "_a"]
+    words.learn(awkward)
+    assert {w: words[w] for w in plain + awkward} == dict(zip(plain + awkward, words.whole(plain + awkward), strict=True))
+
+
+def test_an_added_token_inside_plain_words_keeps_the_marks():
+    file = json.loads(default_tokenizer())
+    file["added_tokens"].append(dict(file["added_tokens"][0], id=49408, content="unk"))
+    words = _Words(json.dumps(file).encode(), 2)
+    some = ["unk", "xunky", "unk.", "word", "xunk"]
+    words.learn(some)
+    assert words.closing is None and [words[w] for w in some] == words.whole(some)
