@@ -51,8 +51,9 @@ _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Re
 _PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
     {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
     {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
-_WORDS_KEPT = 800_000  # about 150 MB a worker
-_TEXT_BYTES = 8 << 20  # encoded at once
+_WORDS_KEPT = 800_000  # packed: about 20 MB a worker
+_WORD_BYTES = 32 << 20  # of the words kept
+_TEXT_BYTES = 4 << 20  # encoded at once
 _GAMMA = 2
 _MAX_LEVELS = 64
 _RECORD = np.dtype([("fingerprint", "<u4"), ("shard", "<u4"), ("at", "<u8"), ("n", "<u8"), ("start", "<u8")])
@@ -92,9 +93,9 @@ def _read(folder: str, name: str, at: int = 0, size: int | None = None) -> bytes
 
 # ---- encoding ---------------------------------------------------------------------------
 
-class _Words(dict):
-    """Ids (as little-endian bytes) by white-space-separated word, each encoded once while it is
-    remembered (a bounded table).
+class _Words:
+    """Ids by white-space-separated word, each encoded once while it is remembered. The table is packed (an Arrow column of
+    the words and a numpy array of all their ids in a row, without an object per word) and bounded in words and bytes.
 
     A tokenizer that drops white space never joins across it, so a text's ids are its words'
     ids in a row (``by_word``; checked on an example, other kinds get whole texts). New words
@@ -109,6 +110,16 @@ class _Words(dict):
         ids = [e.ids for e in self._encode(["a b", "a", "b", "\x00"])]
         self.by_word = ids[0] == ids[1] + ids[2]
         self.mark, self.closing = ids[3], self._closing()
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.ids, self.ends = pa.array([], pa.string()), np.zeros(0, self.kind), np.zeros(1, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.known)
+
+    def __getitem__(self, word: str) -> bytes:
+        return self.of([word])[0]
 
     def _closing(self) -> np.ndarray | None:
         file, added = json.loads(self.tokenizer.to_str()), self.tokenizer.get_added_tokens_decoder()
@@ -121,7 +132,7 @@ class _Words(dict):
         out[[k for piece, k in model["vocab"].items() if piece.endswith(suffix)]] = True
         return out
 
-    def _cut(self, words: list[str], pieces: int) -> list[str]:
+    def _cut(self, words: list[str], pieces: int, learned: dict[str, bytes]) -> list[str]:
         """Learn words that should have so many pieces each; those of groups where the total differs are given back."""
         step, rest = np.dtype(self.kind).itemsize, []
         for k in range(0, len(words), 4000):
@@ -132,7 +143,7 @@ class _Words(dict):
                 rest += part
                 continue
             raw, to = ids.tobytes(), (step * (ends[pieces - 1::pieces] + 1)).tolist()
-            self.update(zip(part, map(raw.__getitem__, map(slice, [0, *to[:-1]], to)), strict=True))
+            learned.update(zip(part, map(raw.__getitem__, map(slice, [0, *to[:-1]], to)), strict=True))
         return rest
 
     def _encode(self, texts: list[str]):
@@ -142,6 +153,7 @@ class _Words(dict):
         return [np.array(e.ids, self.kind).tobytes() for e in self._encode(texts)]
 
     def learn(self, words: list[str]) -> None:
+        learned: dict[str, bytes] = {}
         if self.closing is not None:
             letters, other = [], []
             for w in words:
@@ -149,7 +161,7 @@ class _Words(dict):
             two, words = [], []
             for w in other:
                 (two if _LETTERS_THEN_PUNCTUATION.fullmatch(w) else words).append(w)
-            words += self._cut(letters, 1) + self._cut(two, 2)
+            words += self._cut(letters, 1, learned) + self._cut(two, 2, learned)
         step, rest = np.dtype(self.kind).itemsize, [] if len(self.mark) == 1 else words
         for k in range(0, len(words) if len(self.mark) == 1 else 0, 2000):
             part = words[k:k + 2000]
@@ -164,28 +176,37 @@ class _Words(dict):
             marks = step * np.flatnonzero(ids == self.mark[0])
             if len(marks) == len(part) - 1:
                 raw = ids.tobytes()
-                self.update(zip(part, map(raw.__getitem__, map(slice, [0, *(marks + step).tolist()], [*marks.tolist(), len(raw)])), strict=True))
+                learned.update(zip(part, map(raw.__getitem__, map(slice, [0, *(marks + step).tolist()], [*marks.tolist(), len(raw)])), strict=True))
             else:
                 rest += part
         for k in range(0, len(rest), 2000):
             part = rest[k:k + 2000]
-            self.update(zip(part, self.whole(part), strict=True))
+            learned.update(zip(part, self.whole(part), strict=True))
+        self.known = pa.concat_arrays([self.known, pa.array(list(learned), pa.string())])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(learned.values()), self.kind)])
+        self.ends = np.append(self.ends, self.ends[-1] + np.cumsum(np.fromiter(map(len, learned.values()), np.int64, len(learned)) // step))
+
+    def rows(self, words: pa.Array) -> np.ndarray:
+        """The rows of different words in the table; new ones are learned."""
+        words = words.cast(pa.string())
+        at = pc.index_in(words, value_set=self.known)
+        if at.null_count and (len(self) + at.null_count > _WORDS_KEPT or self.known.nbytes > _WORD_BYTES):
+            self._forget()
+            at = pc.index_in(words, value_set=self.known)
+        if at.null_count:
+            first, new = len(self), words.filter(at.is_null())
+            self.learn(new.to_pylist())
+            at = pc.replace_with_mask(at, at.is_null(), pc.add(pc.index_in(new, value_set=self.known.slice(first)), pa.scalar(first, pa.int32())))
+        return at.to_numpy()
 
     def of(self, words: list[str]) -> list[bytes]:
-        """The ids of different words."""
-        found = list(map(self.get, words))
-        missing = [w for w, got in zip(words, found, strict=True) if got is None]
-        if not missing:
-            return found
-        if len(self) + len(missing) > _WORDS_KEPT:
-            self.clear()
-        self.learn(missing)
-        return [self[w] if got is None else got for w, got in zip(words, found, strict=True)]
+        """The ids of different words, as little-endian bytes."""
+        return [self.ids[self.ends[k]:self.ends[k + 1]].tobytes() for k in self.rows(pa.array(words, pa.string())).tolist()]
 
 
 def encode_texts(texts: list[str | None] | pa.Array, words: _Words, end_id: int) -> list[bytes]:
-    """Each text's ids with the end id, as little-endian bytes. Arrow splits the texts and numbers their different words, so
-    Python looks up each different word of a group of texts once; numpy lays the ids out."""
+    """Each text's ids with the end id, as little-endian bytes. Arrow splits the texts, numbers their different words and finds
+    them in the table, so Python meets only new words; numpy lays the ids out."""
     end, out = np.array([end_id], words.kind).tobytes(), []
     if not words.by_word:
         return [ids + end for ids in words.whole([t or "" for t in (texts.to_pylist() if isinstance(texts, pa.Array) else texts)])]
@@ -195,12 +216,12 @@ def encode_texts(texts: list[str | None] | pa.Array, words: _Words, end_id: int)
     for a, b in zip([0, *(np.flatnonzero(np.diff(group)) + 1).tolist()], [*(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)], strict=True):
         split = pc.ascii_split_whitespace(texts.slice(a, b - a))
         numbered = split.flatten().dictionary_encode()
-        which, found = numbered.indices.to_numpy(zero_copy_only=False), words.of(numbered.dictionary.to_numpy(zero_copy_only=False).tolist())
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // width
-        table, n = np.frombuffer(b"".join(found), words.kind), sizes[which]
+        which = words.rows(numbered.dictionary)[numbered.indices.to_numpy(zero_copy_only=False)]
+        n = words.ends[which + 1] - words.ends[which]
         ends = np.cumsum(n)
-        begins = (np.cumsum(sizes) - sizes)[which] - (ends - n)
-        raw = table[np.repeat(begins, n) + np.arange(int(n.sum()))].tobytes()
+        at = np.repeat(words.ends[which] - (ends - n), n)
+        at += np.arange(len(at))
+        raw = words.ids[at].tobytes()
         upto = np.append(0, ends)[np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False), dtype=np.int64)] * width
         at = 0
         for to in upto.tolist():
@@ -358,6 +379,7 @@ def write_store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
         if first is None:
             return
         _put(folder, f"ids-{shard:06d}.bin", chain([first], stream))
+        pa.default_memory_pool().release_unused()  # the worker waits for its next task
         for k in range(0, len(rows), 65_536):
             name, occ, at, n = zip(*rows[k:k + 65_536], strict=True)
             yield pa.RecordBatch.from_pydict({"doc_id": name, "occ": occ, "shard": [shard] * len(name), "at": at, "n": n}, schema=manifest)

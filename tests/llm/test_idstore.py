@@ -5,6 +5,7 @@ import zlib
 from itertools import accumulate
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -57,6 +58,30 @@ def test_forgetting_words_changes_nothing(tokenizer, monkeypatch):
     assert [np.frombuffer(x, "<u2").tolist() for x in out] == [ids(tokenizer, t) for t in texts]
 
 
+def test_the_word_table_is_packed():
+    """No Python object stays for a remembered word: 60 bytes each are enough."""
+    import tracemalloc
+    words, n = _Words(default_tokenizer(), 2), 60_000
+    before = pa.total_allocated_bytes()
+    tracemalloc.start()
+    for k in range(0, n, 6_000):
+        encode_texts([" ".join(f"word{j}x" for j in range(k, k + 6_000))], words, 2)
+    kept = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    assert len(words) == n and kept < 60 * n
+
+
+def test_long_words_are_forgotten_by_their_bytes(tokenizer, monkeypatch):
+    monkeypatch.setattr(idstore, "_WORD_BYTES", 5_000)
+    words, texts = _Words(default_tokenizer(), 2), [f"{'long' * 500}{k} and {k % 3} it's. {k % 5}" for k in range(20)]
+    out, most = [], 0
+    for text in texts:
+        out += encode_texts([text], words, 2)
+        most = max(most, words.known.nbytes)
+    assert most < 3 * 5_000
+    assert [np.frombuffer(x, "<u2").tolist() for x in out] == [ids(tokenizer, t) for t in texts]
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 100, 20_000])
 def test_hash_is_minimal_and_perfect(n):
     r = np.random.default_rng(n)
