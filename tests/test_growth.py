@@ -120,3 +120,44 @@ def test_hashing_encoder_counts_every_token(spark):
             counts[int(hashlib.md5(token.lower().encode()).hexdigest()[:8], 16) % 64] += 1
         norm = math.sqrt(sum(c * c for c in counts)) or 1.0
         assert max(abs(a - c / norm) for a, c in zip(got[k], counts, strict=True)) < 1e-12
+
+
+def _plan_rows(df):
+    """{operator: the most rows that one of its kind put out} of a plan that has run."""
+    found, todo = {}, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        todo += [node.children().apply(k) for k in range(node.children().size())]
+        n = node.metrics().get("numOutputRows")
+        if n.isDefined():
+            found[name] = max(found.get(name, 0), n.get().value())
+    return found
+
+
+def test_containment_joins_pairs_only(spark, monkeypatch):
+    """Texts of two letters have few grams, and every document holds nearly all: what meets at the joins follows the pairs, not the queries times
+    the documents."""
+    from siftwork.operators import contain as C
+    plans = {}
+
+    def saved(df, work, name):
+        plans[name] = df
+        return _saved(df, work, name)
+
+    _saved = C._saved
+    monkeypatch.setattr(C, "_saved", saved)
+    r = random.Random(9)
+    docs = [(k, "".join(r.choices("ab", k=600))) for k in range(150)]
+    asked = [(k, t[300:300 + r.randrange(20, 150)]) for k, t in docs] + [(1000, "a" * 40), (1001, docs[7][1]), (1002, docs[8][1][:64])]
+    d, q = (spark.createDataFrame(x, "id bigint, text string") for x in (docs, asked))
+    want = {(a, b) for a, t in asked for b, u in docs if t in u}
+    assert {(x.query_class, x.doc_class) for x in C.containing(q, d).pairs.collect()} == want
+    assert len(plans["pairs"].collect()) == len(want)
+    rows = _plan_rows(plans["pairs"])
+    joins = {name: n for name, n in rows.items() if "Join" in name}
+    assert joins and max(joins.values()) <= len(want)
